@@ -93,22 +93,22 @@ ALARM_WORD = r"(?iU)\balarm\s+(\d+)\b"
 MO_NAME = r"(?U)\b([A-Z][A-Za-z]{4,}(?:DU|FDD|TDD|Cell|Ran|NR|LTE|SA|NSA))\b"
 COUNTER_GROUP = r"(?U)\b([A-Z]-\d{3,5})\b"
 COUNTER_NAME = r"(?U)\b([A-Z]{2,8}(?:\.[A-Z][A-Za-z0-9]{1,}){2,})\b"
-COMPARATIVE = r"차이점은|차이는|무엇이 다른가|어떻게 다른가|비교|와\s+\S+의\s+차이|(?U:\bvs\b)"
+COMPARATIVE = r"(?U)차이점은|차이는|무엇이 다른가|어떻게 다른가|비교|와\s+\S+의\s+차이|\bvs\b"
 PROCEDURAL = (
-    r"절차는|절차가|어떤\s+순서로|어떻게\s+수행|어떻게\s+진행|순서로\s+진행|단계로\s+수행|처리해야\s+하는가"
+    r"(?U)절차는|절차가|어떤\s+순서로|어떻게\s+수행|어떻게\s+진행|순서로\s+진행|단계로\s+수행|처리해야\s+하는가"
     r"|수행되는가|진행되는가|어떻게\s+되는가"
 )
 DIAGNOSTIC = (
-    r"원인은|원인이\s+무엇|원인과\s+확인|점검해야\s+할|점검할\s+|점검해야\s+하는가|안\s+될\s+때|안되는\s+이유"
+    r"(?U)원인은|원인이\s+무엇|원인과\s+확인|점검해야\s+할|점검할\s+|점검해야\s+하는가|안\s+될\s+때|안되는\s+이유"
     r"|이유는\s+무엇|실패.*원인|확인할\s+조건|우선\s+확인|우선\s+점검|어떤\s+요소를|무엇을\s+점검|어떤\s+요인"
     r"|미충족으로|어떤\s+보호\s+요구"
 )
 NUMERIC_LOOKUP = (
-    r"얼마인가|몇\s+개|기본값은|몇\s*가지인가|몇\s*초|몇\s*ms|식별자는\s+무엇|파라미터는\s+무엇|최대\s+크기는"
+    r"(?U)얼마인가|몇\s+개|기본값은|몇\s*가지인가|몇\s*초|몇\s*ms|식별자는\s+무엇|파라미터는\s+무엇|최대\s+크기는"
     r"|최소\s+크기는|몇\s+개가\s+제시|어느\s+주파수|몇\s+가지"
 )
 DEFINITION = (
-    r"[는은]\s+무엇인가|[는은]\s+무엇이며|이란\s+무엇|란\s+무엇|무엇을\s+의미|무엇을\s+나타내|[을를]\s+뜻하는가"
+    r"(?U)[는은]\s+무엇인가|[는은]\s+무엇이며|이란\s+무엇|란\s+무엇|무엇을\s+의미|무엇을\s+나타내|[을를]\s+뜻하는가"
     r"|[을를]\s+가리키는가|어떤\s+의미인가|어떤\s+의미로|어떤\s+개념인가|어떤\s+개념으로|어떤\s+역할[을를이]"
     r"|어떤\s+용도로|어떤\s+개념이[며인]|정의는\s+무엇|[을를]\s+뜻하며|[을를]\s+의미하며|약자[이인가는]|약어[이인가는]"
     r"|무엇을\s+위한|무엇을\s+하는|무엇을\s+다루는|[을를이]\s+의미하는가|무엇을\s+식별|무엇을\s+포함|나타내는가"

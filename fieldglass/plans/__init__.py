@@ -4,7 +4,7 @@ from fieldglass.plans.registry import REGISTRY, Tables, register
 
 __all__ = ["REGISTRY", "Tables", "register", "load_all"]
 
-MODULES = ("profiling", "traffic")
+MODULES = ("profiling", "traffic", "evaluation", "search")
 
 
 def load_all() -> dict:

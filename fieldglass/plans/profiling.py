@@ -372,7 +372,7 @@ def packet_counters(t):
 @register(
     "causal_model",
     """WITH u AS (SELECT l_orderkey, l_linenumber, l_discount*6 AS u1, l_tax-0.04 AS u2, -90+(l_quantity-25)/10 AS u3,
-       (l_tax-0.04)/2 AS u4, 0.5+l_discount*2 AS u5, l_extendedprice/100000-0.5 AS u6 FROM lineitem),
+       (l_tax-0.04)/2 AS u4, 0.5+l_discount*2 AS u5, ln(l_extendedprice)/7 AS u6 FROM lineitem),
        a AS (SELECT *, least(greatest(u1,0),1) AS load, least(greatest(u5,0),1) AS sched FROM u),
        b AS (SELECT *, least(greatest(0.7*load+u2,0),1) AS interf, least(greatest(0.8*load+u4,0),1) AS ru FROM a),
        c AS (SELECT *, least(greatest((u3-10*interf+110)/40,0),1) AS rn FROM b)
@@ -391,7 +391,7 @@ def causal_model(t):
         (F.lit(-90.0) + (F.col("l_quantity") - 25) / 10).alias("u_RSRP"),
         ((F.col("l_tax") - 0.04) / 2).alias("u_ResourceUtilization"),
         (F.lit(0.5) + F.col("l_discount") * 2).alias("u_SchedulingEfficiency"),
-        (F.col("l_extendedprice") / 100000 - 0.5).alias("u_Throughput"),
+        (F.ln("l_extendedprice") / 7).alias("u_Throughput"),
     )
     out = causal.counterfactual(noise, causal.cellular_model(), {"SchedulingEfficiency": 0.9}, "Throughput")
     return out.select(
