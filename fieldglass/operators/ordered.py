@@ -160,3 +160,32 @@ def _pick(df: DataFrame, keys: list[str], by, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return picked.select(*keys, "_r.*").select(*df.columns)
+
+
+def running_last(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], slice_col: Column
+) -> DataFrame:
+    """Add, per entry of ``values``, its last non-null value up to and including the row."""
+    sliced = df.withColumn("_slice", slice_col)
+    for name, expr in values.items():
+        sliced = sliced.withColumn(f"_v_{name}", expr)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    carry = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(
+            *[
+                F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}")
+                for n in values
+            ]
+        )
+        .select(*keys, "_slice", *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
+    )
+    windowed = sliced
+    for name in values:
+        windowed = windowed.withColumn(name, F.last(f"_v_{name}", ignorenulls=True).over(inside))
+    joined = _stitch(windowed, carry, keys)
+    for name in values:
+        joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"_c_{name}")))
+    return joined.drop("_slice", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])

@@ -76,6 +76,19 @@ def vector_top_k(
     return top_per_group(union_all(frames), ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
+def _centroid_scorer(block: list, label_type: str):
+    names = [r[0] for r in block]
+    matrix = np.stack([np.asarray(r[1], dtype=np.float64) for r in block]).T
+
+    @F.pandas_udf(f"struct<label: {label_type}, score: double>")
+    def best(v: pd.Series) -> pd.DataFrame:
+        scores = _unit_rows(v) @ matrix
+        top = scores.argmax(axis=1)
+        return pd.DataFrame({"label": [names[i] for i in top], "score": scores[np.arange(len(top)), top]})
+
+    return best
+
+
 def nearest_centroid(
     items: DataFrame,
     centroids: DataFrame,
@@ -88,15 +101,7 @@ def nearest_centroid(
     label_type = _type_of(centroids, label)
     out = items.withColumn("best_label", F.lit(None).cast(label_type)).withColumn("best_score", F.lit(None).cast("double"))
     for block in blocks(centroids.select(label, centroid), [label], block_rows):
-        names = [r[0] for r in block]
-        matrix = np.stack([np.asarray(r[1], dtype=np.float64) for r in block]).T
-
-        @F.pandas_udf(f"struct<label: {label_type}, score: double>")
-        def best(v: pd.Series, names=names, matrix=matrix) -> pd.DataFrame:
-            scores = _unit_rows(v) @ matrix
-            top = scores.argmax(axis=1)
-            return pd.DataFrame({"label": [names[i] for i in top], "score": scores[np.arange(len(top)), top]})
-
+        best = _centroid_scorer(block, label_type)
         scored = out.withColumn("_b", best(F.col(vector)))
         better = F.col("best_score").isNull() | (F.col("_b.score") > F.col("best_score"))
         out = scored.withColumn("best_label", F.when(better, F.col("_b.label")).otherwise(F.col("best_label"))).withColumn(
