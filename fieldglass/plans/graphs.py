@@ -167,19 +167,34 @@ def paths_to_region(t):
     return graph.simple_paths_to(edges(t), "R2").select("source", F.array_join("path", ">").alias("path"))
 
 
-@register("model_paths")
+_MODEL_PATHS = [
+    ["RSRP", "Throughput"],
+    ["ResourceUtilization", "Throughput"],
+    ["SchedulingEfficiency", "Throughput"],
+    ["Interference", "RSRP", "Throughput"],
+    ["TrafficLoad", "ResourceUtilization", "Throughput"],
+    ["TrafficLoad", "Interference", "RSRP", "Throughput"],
+]
+
+
+@register(
+    "model_paths",
+    "SELECT s_suppkey::VARCHAR || ':Throughput>Throughput' AS path FROM supplier UNION ALL "
+    + " UNION ALL ".join(
+        "SELECT " + " || '>' || ".join(f"s_suppkey || ':{v}'" for v in p) + " || '>Throughput' FROM supplier"
+        for p in _MODEL_PATHS
+    ),
+)
 def model_paths(t):
-    """Causal paths to throughput, once per product type present in the parts table."""
-    e = t.spark.createDataFrame(causal.cellular_model().edges(), "from_id string, to_id string")
-    kinds = t.part.select("p_type").distinct()
-    per_kind = kinds.select(
-        F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in causal.cellular_model().edges()])).alias("e"), "p_type"
-    ).select(F.concat_ws(":", "p_type", "e.a").alias("from_id"), F.concat_ws(":", "p_type", "e.b").alias("to_id"))
-    joined = per_kind.unionByName(
-        kinds.select(F.concat_ws(":", "p_type", F.lit("Throughput")).alias("from_id"), F.lit("Throughput").alias("to_id"))
+    """Causal paths to throughput over one copy of the model graph per supplier."""
+    k = F.col("s_suppkey").cast("string")
+    name = lambda v: F.concat_ws(":", k, v if not isinstance(v, str) else F.lit(v))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in causal.cellular_model().edges()]))
+    inner = t.supplier.select("s_suppkey", pairs.alias("e")).select(
+        name(F.col("e.a")).alias("from_id"), name(F.col("e.b")).alias("to_id")
     )
-    del e
-    return graph.simple_paths_to(joined, "Throughput").select(F.array_join("path", ">").alias("path"))
+    sink = t.supplier.select(name("Throughput").alias("from_id"), F.lit("Throughput").alias("to_id"))
+    return graph.simple_paths_to(inner.unionByName(sink), "Throughput").select(F.array_join("path", ">").alias("path"))
 
 
 def task_table(t):
@@ -479,11 +494,11 @@ def additive_merge(t):
 
 @register(
     "merge_descriptions",
-    """WITH v AS (SELECT p_type AS name, p_brand AS v, min(p_partkey) AS k FROM part GROUP BY 1,2)
+    """WITH v AS (SELECT p_type AS name, '<' || p_brand || '>' AS v, min(p_partkey) AS k FROM part GROUP BY 1,2)
        SELECT name, string_agg(v, ' / ' ORDER BY k) AS description FROM v GROUP BY 1""",
 )
 def merge_descriptions(t):
-    rows = t.part.select(F.col("p_type").alias("name"), "p_partkey", F.col("p_brand").alias("description"))
+    rows = t.part.select(F.col("p_type").alias("name"), "p_partkey", F.concat(F.lit("<"), F.col("p_brand"), F.lit(">")).alias("description"))
     return ontology.merge_descriptions(rows, ["name"], ["p_partkey"])
 
 

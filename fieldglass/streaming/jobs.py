@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from fieldglass.functions.vectors import METHODS
+from fieldglass.sources.stores import write_replacing
 
 
 def events_per_window(events: DataFrame, time_col: str, width: str) -> DataFrame:
@@ -11,3 +18,76 @@ def events_per_window(events: DataFrame, time_col: str, width: str) -> DataFrame
     return events.groupBy(F.window(time_col, width).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(
         F.col("w.start").alias("start"), "events"
     )
+
+
+def events_per_second(stream: DataFrame, time_col: str, late: str = "10 seconds") -> DataFrame:
+    """Rate per second; a second is emitted once the watermark has passed it, later events are dropped."""
+    return events_per_window(stream.withWatermark(time_col, late), time_col, "1 second")
+
+
+def _score(current: list[float], baseline: list[float], method: str) -> float:
+    import numpy as np
+
+    p, q = np.asarray(current, dtype=float), np.asarray(baseline, dtype=float)
+    if p.sum() == 0 or q.sum() == 0:
+        return 0.0
+    if method == "euclidean":
+        return float(np.sqrt(((p - q) ** 2).sum()))
+    if method == "wasserstein":
+        return float(np.abs(np.sort(p) - np.sort(q)).mean())
+    p, q = p / p.sum(), q / q.sum()
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(p > 0, p * np.log(p / m), 0.0) + np.where(q > 0, q * np.log(q / m), 0.0)
+    return float(np.sqrt(max(terms.sum() / 2, 0.0)))
+
+
+class DriftState(StatefulProcessor):
+    """Keeps the last distribution of each entity and scores the next one against it."""
+
+    def __init__(self, key: str, key_type: str, time_col: str, bins: list[str], method: str):
+        self.key, self.time_col, self.bins, self.method = key, time_col, bins, method
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "dist array<double>, ts timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        data = pd.concat(list(rows)).sort_values(self.time_col)
+        previous = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for ts, values in zip(data[self.time_col], data[self.bins].fillna(0.0).to_numpy(dtype=float)):
+            mass = values.sum()
+            dist = (values / mass if mass > 0 else values).tolist()
+            out.append((key[0], ts, 0.0 if previous is None else _score(dist, list(previous), self.method)))
+            previous = dist
+        self.last.update((previous, data[self.time_col].iloc[-1].to_pydatetime()))
+        yield pd.DataFrame(out, columns=[self.key, self.time_col, "score"])
+
+    def close(self) -> None:
+        pass
+
+
+def drift_stream(stream: DataFrame, key: str, time_col: str, bins: list[str], method: str = "jensenshannon") -> DataFrame:
+    """Drift scores as rows arrive: one row per entity and time step, in time order within a batch."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    key_type = stream.schema[key].dataType.simpleString()
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=DriftState(key, key_type, time_col, bins, method),
+        outputStructType=f"{key} {key_type}, {time_col} timestamp, score double",
+        outputMode="append",
+        timeMode="none",
+    )
+
+
+def ingest_documents(stream: DataFrame, chunker, target: str, checkpoint: str, partitions: list[str]):
+    """Chunk arriving documents and replace what is stored for their sources.
+
+    Writing a batch again gives the same files, so a restart repeats no rows.
+    ``chunker`` turns a batch of documents into chunk rows with ``partitions``.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        write_replacing(chunker(batch), target, partitions)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
