@@ -4,7 +4,7 @@ from fieldglass.plans.registry import REGISTRY, Tables, register
 
 __all__ = ["REGISTRY", "Tables", "register", "load_all"]
 
-MODULES = ("profiling", "traffic", "evaluation", "search", "text", "graphs", "sheets")
+MODULES = ("profiling", "traffic", "evaluation", "search", "text", "graphs", "sheets", "layouts", "stores")
 
 
 def load_all() -> dict:

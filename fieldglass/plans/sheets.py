@@ -8,25 +8,37 @@ from fieldglass.plans.registry import register
 from fieldglass.session import union_all
 
 
+def _cells(rows, sheet, row, values):
+    """Cells of table rows in one scan: ``values`` maps a column number to its text."""
+    packed = F.array(*[F.struct(F.lit(c).alias("col"), v.cast("string").alias("value")) for c, v in values.items()])
+    return rows.select(sheet.alias("sheet"), row.alias("row"), F.inline(packed))
+
+
+def _title_rows(sheets, rows):
+    """Cells of the leading rows of each sheet: ``(row, col, text)`` triples."""
+    packed = F.array(*[F.struct(r.cast("long").alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in rows])
+    return sheets.select("sheet", F.inline(packed))
+
+
 def alarm_cells(t):
     """One sheet per brand. The header stands in row 2 or 3; parts follow; some miss a name."""
     p = t.part
     sheets = p.select(F.col("p_brand").alias("sheet")).distinct()
-    at = F.when(F.length("sheet") % 2 == 0, 2).otherwise(3).cast("long")
-    head = lambda col, text: sheets.select("sheet", at.alias("row"), F.lit(col).alias("col"), F.lit(text).alias("value"))
-    title = sheets.select("sheet", F.lit(1).cast("long").alias("row"), F.lit(1).alias("col"), F.lit("Alarm reference").alias("value"))
-    row = (F.col("p_partkey") + 20).alias("row")
-    cell = lambda col, v: p.select(F.col("p_brand").alias("sheet"), row, F.lit(col).alias("col"), v.alias("value"))
+    at = F.when(F.length("sheet") % 2 == 0, 2).otherwise(3)
     code = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" a"), F.lpad((F.col("p_partkey") % 10000000).cast("string"), 7, "0"), F.lit("R "))).otherwise(
         F.concat(F.lit("H"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.when(F.col("p_size") % 3 == 0, "X").otherwise("D"))
     )
-    name = F.when(F.col("p_partkey") % 17 != 0, F.col("p_name"))
-    return union_all(
-        [
-            title, head(1, "Alarm Code"), head(2, " NAME "), head(3, "Level"), head(4, "Category"), head(5, "Group"),
-            cell(1, code), cell(2, name), cell(3, F.col("p_type")), cell(4, F.when(F.col("p_size") > 20, F.col("p_brand"))), cell(5, F.lit("ignored")),
-        ]
-    )
+    heads = [(F.lit(1), 1, "Alarm reference")] + [
+        (at, i + 1, v) for i, v in enumerate(["Alarm Code", " NAME ", "Level", "Category", "Group"])
+    ]
+    body = {
+        1: code,
+        2: F.when(F.col("p_partkey") % 17 != 0, F.col("p_name")),
+        3: F.col("p_type"),
+        4: F.when(F.col("p_size") > 20, F.col("p_brand")),
+        5: F.lit("ignored"),
+    }
+    return _title_rows(sheets, heads).unionByName(_cells(p, F.col("p_brand"), F.col("p_partkey") + 20, body))
 
 
 _A = """WITH a AS (SELECT p_brand AS sheet, p_partkey+20 AS row, CASE WHEN p_size%2=0 THEN 'A'||lpad((p_partkey%10000000)::VARCHAR,7,'0')||'R'
@@ -98,19 +110,19 @@ def counter_cells(t):
     sheets = t.region.select(F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("k"))
     keyed = p.withColumn("k", F.floor(F.col("p_partkey") / 10) % 5).join(sheets, "k")
     heads = ["Layer", "카운터명", "Value Range", "Unit", "Feature ID", "Sub Group", "No"]
-    head = sheets.select(
-        "sheet", F.lit(4).cast("long").alias("row"), F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("col", "value")
-    ).withColumn("col", F.col("col") + 1)
-    cell = lambda c, v: keyed.select("sheet", "row", F.lit(c).alias("col"), v.alias("value"))
     first = F.col("p_partkey") % 10 == 0
-    cells = union_all(
-        [
-            head,
-            cell(1, F.when(first, F.col("p_type"))).filter(F.col("value").isNotNull()),
-            cell(2, F.concat(F.col("p_name"), F.lit("."), F.col("p_partkey").cast("string"))),
-            cell(3, F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("0 ~ "), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("1-"), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string"))),
-            cell(4, F.lit("ms")), cell(6, F.col("p_brand")), cell(7, F.concat(F.lit("G-"), F.col("p_size").cast("string"))),
-        ]
+    size = F.col("p_size").cast("string")
+    span = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("0 ~ "), size)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("1-"), size)).otherwise(size)
+    body = {
+        1: F.when(first, F.col("p_type")),
+        2: F.concat(F.col("p_name"), F.lit("."), F.col("p_partkey").cast("string")),
+        3: span,
+        4: F.lit("ms"),
+        6: F.col("p_brand"),
+        7: F.concat(F.lit("G-"), size),
+    }
+    cells = _title_rows(sheets, [(F.lit(4), i + 1, v) for i, v in enumerate(heads)]).unionByName(
+        _cells(keyed, F.col("sheet"), F.col("row"), body).filter(F.col("value").isNotNull())
     )
     merges = keyed.filter(first).select(
         "sheet", F.col("row").alias("row0"), (F.col("row") + 9).alias("row1"), F.lit(1).alias("col0"), F.lit(1).alias("col1")
@@ -148,20 +160,22 @@ def parameter_cells(t):
     p = t.part
     sheets = p.select(F.col("p_type").alias("sheet")).distinct()
     heads = ["Hierarchy", "Parameter", "Default", "Range", "Unit", "Unit", "Feature"]
-    head = sheets.select("sheet", F.lit(1).cast("long").alias("row"), F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("col", "value"))
-    cell = lambda c, v: p.select(F.col("p_type").alias("sheet"), (F.col("p_partkey") + 1).alias("row"), F.lit(c).alias("col"), v.alias("value"))
-    body = [
-        cell(0, F.concat(F.lit("/root/"), F.col("p_brand"), F.lit("/cell"))),
-        cell(1, F.when(F.col("p_size") != 7, F.concat(F.col("p_name"), F.lit("Timer")))),
-        cell(2, F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))),
-        cell(3, F.lit("0..9")), cell(4, F.lit("first")), cell(5, F.lit("dB")), cell(6, F.col("p_brand")),
-    ]
-    return union_all([head, *body])
+    body = {
+        0: F.concat(F.lit("/root/"), F.col("p_brand"), F.lit("/cell")),
+        1: F.when(F.col("p_size") != 7, F.concat(F.col("p_name"), F.lit("Timer"))),
+        2: F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")),
+        3: F.lit("0..9"),
+        4: F.lit("first"),
+        5: F.lit("dB"),
+        6: F.col("p_brand"),
+    }
+    titles = _title_rows(sheets, [(F.lit(1), i, v) for i, v in enumerate(heads)])
+    return titles.unionByName(_cells(p, F.col("p_type"), F.col("p_partkey") + 2, body))
 
 
 @register(
     "parameter_texts",
-    """SELECT p_partkey+1 AS row, 'cell' AS mo_name, 'Parameter: ' || p_name || 'Timer' || chr(10) || 'Hierarchy: /root/' || p_brand || '/cell' || chr(10) || 'Value: ' ||
+    """SELECT p_partkey+2 AS row, 'cell' AS mo_name, 'Parameter: ' || p_name || 'Timer' || chr(10) || 'Hierarchy: /root/' || p_brand || '/cell' || chr(10) || 'Value: ' ||
        CASE WHEN p_size%2=0 THEN 'default=' || p_size || ', ' ELSE '' END || 'range=0..9' || chr(10) || 'Units: dB' || chr(10) || 'Feature: ' || p_brand AS text FROM part WHERE p_size<>7""",
 )
 def parameter_texts(t):

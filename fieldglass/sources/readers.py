@@ -113,6 +113,19 @@ def release_of(path: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.split(path, "/"), lambda p: p.startswith("Rel-")), F.lit(0)), F.lit("Rel-18"))
 
 
+def is_json_object(text: Column) -> Column:
+    """Whether the whole text is one JSON object.
+
+    The parser stops after a complete value. Text left over is found by wrapping:
+    inside an array it can only start with ``]`` or ``,``, inside an object only
+    with ``}`` or ``,``, and a comma makes the array longer.
+    """
+    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.coalesce(F.size(in_array) == 1, F.lit(False))
+    return F.ltrim(text).startswith("{") & one & in_object.isNotNull()
+
+
 def numbered_json(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """Parsed objects of non-blank lines ``(line, value)``, and the lines that are not JSON objects."""
     used = lines.filter(F.trim("value") != "")
@@ -120,7 +133,7 @@ def numbered_json(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     parsed = used.select(
         "line", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"), "value"
     )
-    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull() | ~F.trim("value").startswith("{")
+    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull() | ~is_json_object(F.col("value"))
     return parsed.filter(~bad).select("line", "j.*").drop("_corrupt_record"), parsed.filter(bad).select("line", "value")
 
 
