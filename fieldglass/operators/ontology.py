@@ -95,7 +95,8 @@ def clean_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def stringify(value: Column) -> Column:
     """JSON text of anything that is not a string."""
-    return F.to_json(F.struct(value.alias("v"))).substr(6, 1 << 30)
+    wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
 def node_key(value: Column, explicit: Column) -> Column:
