@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words (Unicode white space), no empty entries."""
     return F.filter(F.split(text, f"{fixed.SPACE_CLASS}+"), lambda w: w != "")
@@ -61,9 +66,12 @@ def overlap_windows(items: Column, size: int, overlap: int = 0) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the window")
     step = size - overlap
-    last = F.greatest(F.size(items) - F.lit(overlap) - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(step))
-    return F.transform(starts, lambda s: F.slice(items, s + 1, F.lit(size)))
+
+    def cut(all_items: Column) -> Column:
+        last = F.greatest(F.size(all_items) - F.lit(overlap) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.slice(all_items, s + 1, F.lit(size)))
+
+    return let(items, cut)
 
 
 def clock_seconds(clock: Column) -> Column:
@@ -188,25 +196,27 @@ def protocol_hints(headers: Column) -> Column:
 
 def parse_headers(raw: Column) -> Column:
     """Headers given as a JSON object or as ``Key: value`` lines, last value per key."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    as_json = F.from_json(text, "map<string,string>")
-    pairs = F.transform(
+    pairs = lambda text: F.transform(
         F.filter(F.split(text, r"\r?\n"), lambda l: l.contains(":")),
         lambda l: F.struct(
             strip(F.substring_index(l, ":", 1)).alias("key"),
             strip(F.substring(l, F.instr(l, ":") + 1, F.length(l))).alias("value"),
         ),
     )
-    last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p.key, p.value, i.alias("pos"))),
-        lambda p: ~F.exists(
-            F.transform(pairs, lambda q, j: F.struct(q.key, j.alias("pos"))),
-            lambda q: (q.key == p.key) & (q.pos > p.pos),
-        ),
+    # a later line of the same name wins
+    last = lambda ps: F.filter(
+        ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["key"] == p["key"])
     )
-    lines = F.map_from_entries(F.transform(last, lambda p: F.struct(p.key, p.value)))
+    lines = lambda text: F.map_from_entries(let(pairs(text), last))
     empty = F.create_map().cast("map<string,string>")
-    return F.when(text == "", empty).when(text.startswith("{") & as_json.isNotNull(), as_json).otherwise(lines)
+
+    def parse(text: Column) -> Column:
+        as_json = F.from_json(text, "map<string,string>")
+        return F.when(text == "", empty).otherwise(
+            F.coalesce(F.when(text.startswith("{"), as_json), lines(text))
+        )
+
+    return let(strip(F.coalesce(raw, F.lit(""))), parse)
 
 
 def packet_counters(summary: Column) -> Column:

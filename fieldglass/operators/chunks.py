@@ -31,14 +31,13 @@ def _piece(doc_type: Column, section: Column, num: Column, title: Column, key: C
 
 def fixed_pieces(text: Column, doc_type: Column, size: int = fixed.CHUNK_WORDS) -> Column:
     """Every ``size`` words one piece; a text without words gives none."""
-    words = tx.words(text)
     blank = F.lit("")
     none = F.array().cast("array<string>")
-    pieces = F.transform(
-        tx.overlap_windows(words, size),
+    windows = lambda words: F.filter(tx.overlap_windows(words, size), lambda w: F.size(w) > 0)
+    return F.transform(
+        tx.let(tx.words(text), windows),
         lambda w: _piece(doc_type, blank, blank, blank, blank, F.lit(0), none, F.lit(0), w),
     )
-    return F.filter(pieces, lambda _: F.size(words) > 0)
 
 
 def header_sections(text: Column) -> Column:
@@ -46,47 +45,53 @@ def header_sections(text: Column) -> Column:
     clean = F.translate(text, _OPEN + _CLOSE, "")
     marked = F.regexp_replace(clean, _FENCE_OR_HEADER, f"$1{_OPEN}$2{_CLOSE}$3$4")
     marked = F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit(""))
-    parts = F.split(marked, _OPEN)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return tx.let(F.split(marked, _OPEN), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
 
 
 def _parsed(section: Column) -> Column:
-    rest = F.regexp_replace(F.substring_index(section, _CLOSE, -1), f"^{_S}+", "")
-    raw = tx.strip(F.substring_index(rest, "\n", 1))
-    body = F.when(F.instr(rest, "\n") > 0, F.substring(rest, F.instr(rest, "\n") + 1, F.length(rest))).otherwise("")
-    return F.struct(
-        F.length(F.substring_index(section, _CLOSE, 1)).alias("depth"),
-        raw.alias("raw"),
-        tx.section_number(raw).alias("num"),
-        tx.section_title(raw).alias("title"),
-        tx.words(body).alias("words"),
+    def fields(rest: Column) -> Column:
+        at = F.instr(rest, "\n")
+        body = F.when(at > 0, F.substring(rest, at + 1, F.length(rest))).otherwise("")
+        return F.struct(tx.strip(F.substring_index(rest, "\n", 1)).alias("raw"), tx.words(body).alias("words"))
+
+    split = tx.let(F.regexp_replace(F.substring_index(section, _CLOSE, -1), f"^{_S}+", ""), fields)
+    return tx.let(
+        split,
+        lambda s: F.struct(
+            F.length(F.substring_index(section, _CLOSE, 1)).alias("depth"),
+            s["raw"].alias("raw"),
+            tx.section_number(s["raw"]).alias("num"),
+            tx.section_title(s["raw"]).alias("title"),
+            s["words"].alias("words"),
+        ),
     )
 
 
 def section_pieces(text: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP) -> Column:
     """Sections cut into overlapping windows; a text without headers falls back to fixed pieces."""
-    sections = header_sections(text)
-    filled = F.filter(F.transform(sections, _parsed), lambda s: F.size(s.words) > 0)
-    pieces = F.flatten(
-        F.transform(
-            filled,
-            lambda s: F.transform(
-                tx.overlap_windows(s.words, size, overlap),
-                lambda w, i: _piece(
-                    F.lit("spec"),
-                    F.when(s.num != "", tx.strip(F.concat_ws(" ", s.num, s.title))).otherwise(s.title),
-                    s.num,
-                    s.title,
-                    F.when(s.num != "", s.num).otherwise(s.raw),
-                    s.depth,
-                    tx.parent_sections(s.num),
-                    i,
-                    w,
-                ),
+    def of_section(s: Column) -> Column:
+        numbered = s["num"] != ""
+        return F.transform(
+            tx.overlap_windows(s["words"], size, overlap),
+            lambda w, i: _piece(
+                F.lit("spec"),
+                F.when(numbered, tx.strip(F.concat_ws(" ", s["num"], s["title"]))).otherwise(s["title"]),
+                s["num"],
+                s["title"],
+                F.when(numbered, s["num"]).otherwise(s["raw"]),
+                s["depth"],
+                tx.parent_sections(s["num"]),
+                i,
+                w,
             ),
         )
-    )
-    return F.when(F.size(sections) > 0, pieces).otherwise(fixed_pieces(text, F.lit("spec"), size))
+
+    def of_sections(sections: Column) -> Column:
+        filled = F.filter(F.transform(sections, _parsed), lambda s: F.size(s["words"]) > 0)
+        pieces = F.flatten(F.transform(filled, of_section))
+        return F.when(F.size(sections) > 0, pieces).otherwise(fixed_pieces(text, F.lit("spec"), size))
+
+    return tx.let(header_sections(text), of_sections)
 
 
 def _explode(docs: DataFrame, pieces: Column, source: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import collapse_spaces, strip
+from fieldglass.functions.text import collapse_spaces, let, strip
 from fieldglass.operators.ordered import (
     first_per_key,
     number_slice,
@@ -222,11 +222,12 @@ def merge_split_rows(rows: Column) -> Column:
     glue = lambda a, b: strip(F.when(filled(a), F.concat(a, F.lit("\n"), b)).otherwise(b))
 
     def step(acc: Column, row: Column) -> Column:
-        prev = F.element_at(acc, -1)
         used = F.filter(F.transform(row, lambda c, i: F.when(filled(c), i)), lambda i: i.isNotNull())
+        return let(F.struct(used.alias("used"), F.element_at(acc, -1).alias("prev")), lambda s: place(acc, row, s["used"], s["prev"]))
+
+    def place(acc: Column, row: Column, used: Column, prev: Column) -> Column:
         head = F.slice(acc, F.lit(1), F.size(acc) - 1)
         below = (F.size(acc) > 1) & ~filled(F.get(row, F.lit(0)))
-        at = F.get(used, F.lit(0))
         one = below & (F.size(used) == 1)
         second = strip(F.coalesce(F.get(prev, F.lit(1)), F.lit("")))
         repeat = (
@@ -236,7 +237,7 @@ def merge_split_rows(rows: Column) -> Column:
         put = lambda k: F.transform(prev, lambda c, i: F.when(i == k, glue(c, F.get(row, k))).otherwise(c))
         return (
             F.when(F.size(used) == 0, acc)
-            .when(one, F.array_append(head, put(at)))
+            .when(one, F.array_append(head, put(F.get(used, F.lit(0)))))
             .when(repeat, F.array_append(head, put(F.lit(2))))
             .otherwise(F.array_append(acc, row))
         )

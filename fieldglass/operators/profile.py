@@ -92,17 +92,20 @@ def distribution(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def strong_correlations(
     df: DataFrame, columns: list[str] | None = None, threshold: float = fixed.STRONG_CORRELATION
 ) -> DataFrame:
-    """Column pairs whose Pearson correlation over complete pairs reaches the threshold, one pass."""
+    """Column pairs whose Pearson correlation over complete pairs reaches the threshold.
+
+    One pass: each row is unfolded into its pairs, which are summed up per pair
+    before anything is shuffled.
+    """
     columns = columns or numeric_columns(df)
-    packed = []
-    for a, b in combinations(columns, 2):
-        x, y = present(F.col(a)), present(F.col(b))
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-        packed.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), r.alias("correlation")))
-    rows = df.agg(F.array(*packed).alias("s")).select(F.inline("s"))
-    return rows.filter(F.abs("correlation") >= threshold)
+    pairs = list(combinations(columns, 2))
+    clean = df.select(*[present(F.col(c)).alias(c) for c in columns])
+    packed = [F.struct(F.lit(i).alias("i"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+    long = clean.select(F.inline(F.array(*packed))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    strong = long.groupBy("i").agg(r.alias("correlation")).filter(F.abs("correlation") >= threshold)
+    name = lambda side: F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("i"))
+    return strong.select(name(1).alias("col1"), name(0).alias("col2"), "correlation")
 
 
 def outliers(df: DataFrame, columns: list[str] | None = None, threshold: float = fixed.OUTLIER_Z) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,41 +255,32 @@ def feature_header(text: Column) -> Column:
 
 def section_lines(text: Column, name: str) -> Column:
     """Lines of the first ``##`` section whose heading contains the name."""
-    lines = F.split(text, r"\r?\n")
-    start = F.struct(F.array().cast("array<string>").alias("l"), F.lit(0).alias("s"))
-    heading = lambda l: l.startswith("## ")
-
-    def step(acc: Column, l: Column) -> Column:
-        opens = (acc.s < 2) & heading(l) & F.lower(l).contains(name.lower())
-        closes = (acc.s == 1) & heading(l)
-        return F.struct(
-            F.when((acc.s == 1) & ~heading(l), F.array_append(acc.l, l)).otherwise(acc.l).alias("l"),
-            F.when(opens, 1).when(closes, 2).otherwise(acc.s).alias("s"),
-        )
-
-    return F.aggregate(lines, start, step, lambda acc: acc.l)
-
-
-def table_rows(lines: Column) -> Column:
-    """Pipe table as an array of maps from header to trimmed cell; fewer than two rows give none."""
-    rows = F.filter(lines, lambda l: l.startswith("|") & ~l.rlike(r"^\|[-| ]+\|"))
-    cells = lambda l: F.transform(F.split(F.regexp_replace(l, r"^\|+|\|+$", ""), r"\|"), strip)
-    header = cells(F.get(rows, F.lit(0)))
-    body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-
-    def as_map(l: Column) -> Column:
-        values = cells(l)
-        n = F.least(F.size(header), F.size(values))
-        return F.map_from_arrays(F.slice(header, F.lit(1), n), F.slice(values, F.lit(1), n))
-
-    return F.when(F.size(rows) >= 2, F.transform(body, as_map)).otherwise(
-        F.array().cast("array<map<string,string>>")
-    )
+    body = F.regexp_extract(text, rf"(?smd)^## (?iu:[^\n]*{re.escape(name)}[^\n]*)\n(.*?)(?=^## |\z)", 1)
+    return F.split(body, r"\r?\n")
+
+
+def table_lines(lines: Column) -> Column:
+    """Pipe-table lines without the rule below the header."""
+    return F.filter(lines, lambda l: l.startswith("|") & ~l.rlike(r"^\|[-| ]+\|"))
+
+
+def table_cells(line: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
 
 
 def feature_tables(docs: DataFrame, doc_id: str, text: str, section: str, columns: dict[str, str]) -> DataFrame:
     """Rows of one table section of every document: impacts, parameters or dependencies."""
-    rows = docs.select(doc_id, F.posexplode(table_rows(section_lines(F.col(text), section))).alias("pos", "r"))
-    return rows.select(
-        doc_id, "pos", *[F.coalesce(F.col("r")[head], F.lit("")).alias(name) for name, head in columns.items()]
+    tables = docs.select(doc_id, table_lines(section_lines(F.col(text), section)).alias("_l"))
+    heads = tables.filter(F.size("_l") > 1).select(
+        doc_id, table_cells(F.get("_l", F.lit(0))).alias("_h"), F.posexplode(F.slice("_l", F.lit(2), F.size("_l"))).alias("pos", "_r")
+    )
+    cells = heads.select(doc_id, "pos", "_h", table_cells(F.col("_r")).alias("_c"))
+    cell = lambda head: F.get("_c", F.array_position("_h", head).cast("int") - 1)
+    return cells.select(
+        doc_id,
+        "pos",
+        *[
+            F.coalesce(F.when(F.array_position("_h", head) > 0, cell(head)), F.lit("")).alias(name)
+            for name, head in columns.items()
+        ],
     )

@@ -82,9 +82,14 @@ def _centroid_scorer(block: list, label_type: str):
 
     @F.pandas_udf(f"struct<label: {label_type}, score: double>")
     def best(v: pd.Series) -> pd.DataFrame:
-        scores = _unit_rows(v) @ matrix
-        top = scores.argmax(axis=1)
-        return pd.DataFrame({"label": [names[i] for i in top], "score": scores[np.arange(len(top)), top]})
+        labels, scores = np.full(len(v), None, dtype=object), np.full(len(v), np.nan)
+        given = v.notna().to_numpy()
+        if given.any():
+            dots = _unit_rows(v[given]) @ matrix
+            top = dots.argmax(axis=1)
+            labels[given] = [names[i] for i in top]
+            scores[given] = dots[np.arange(len(top)), top]
+        return pd.DataFrame({"label": pd.Series(labels, dtype=object), "score": pd.Series(scores).where(given)})
 
     return best
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.operators.retrieval import nearest_centroid
-from fieldglass.session import union_all
 
 
 def _result(route: str, confidence: float, entity: str | None = None, value: Column | None = None) -> Column:
@@ -57,32 +56,23 @@ def route_questions(
     vector: str = "embedding",
     threshold: float = fixed.CENTROID_THRESHOLD,
 ) -> DataFrame:
-    """Layered routing. Only questions the rules leave open reach the centroid scan."""
+    """Layered routing in one pass. Only questions the rules leave open carry a vector to the centroids."""
     ruled = questions.withColumn("_r", rule_route(F.col(query)))
     sure = F.coalesce(F.col("_r.confidence") >= fixed.RULE_THRESHOLD, F.lit(False))
-    by_rule = ruled.filter(sure).select(*questions.columns, "_r.*")
-    open_ = ruled.filter(~sure).drop("_r")
-    fallback = lambda df: df.select(
-        *questions.columns,
-        F.lit("default_rag").alias("route"),
-        F.lit(0.0).alias("confidence"),
-        F.lit("fallback").alias("layer"),
-        F.lit(None).cast("string").alias("entity"),
-        F.lit(None).cast("string").alias("value"),
-    )
     if centroids is None:
-        return union_all([by_rule, fallback(open_)])
-    near = nearest_centroid(open_, centroids, vector)
-    hit = F.coalesce(F.col("best_score") >= threshold, F.lit(False))
-    routed = near.select(
+        near = ruled.withColumn("best_label", F.lit(None).cast("string")).withColumn("best_score", F.lit(None).cast("double"))
+    else:
+        near = nearest_centroid(ruled.withColumn("_v", F.when(~sure, F.col(vector))), centroids, "_v")
+    hit = ~sure & F.coalesce(F.col("best_score") >= threshold, F.lit(False))
+    by = lambda rule, label, other: F.when(sure, rule).when(hit, label).otherwise(other)
+    return near.select(
         *questions.columns,
-        F.when(hit, F.col("best_label").cast("string")).otherwise("default_rag").alias("route"),
-        F.when(hit, F.col("best_score")).otherwise(0.0).alias("confidence"),
-        F.when(hit, "embedding").otherwise("fallback").alias("layer"),
-        F.lit(None).cast("string").alias("entity"),
-        F.lit(None).cast("string").alias("value"),
+        by(F.col("_r.route"), F.col("best_label").cast("string"), "default_rag").alias("route"),
+        by(F.col("_r.confidence"), F.col("best_score"), F.lit(0.0)).alias("confidence"),
+        by(F.col("_r.layer"), F.lit("embedding"), "fallback").alias("layer"),
+        F.when(sure, F.col("_r.entity")).alias("entity"),
+        F.when(sure, F.col("_r.value")).alias("value"),
     )
-    return union_all([by_rule, routed])
 
 
 def doc_types(route: Column, entity: Column) -> Column:

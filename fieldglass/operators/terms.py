@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import strip, word_tokens
+from fieldglass.functions.text import let, strip, word_tokens
 from fieldglass.operators.predicates import is_noise_term
 from fieldglass.session import blocks, union_all
 
 TERM_BLOCK = 50_000
+RUN_WORDS = 4
+_WORD_CLASS = r"[\p{L}\p{N}_]"
 
 
 def _quoted(term: Column) -> Column:
@@ -21,31 +23,62 @@ def _quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def _ngrams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of 1..n whole words of a lower-cased text, with the characters between them."""
+    pieces = F.struct(
+        F.filter(F.split(text, f"{fixed.NON_WORD_CLASS}+"), lambda w: w != "").alias("w"),
+        F.split(text, f"{_WORD_CLASS}+").alias("s"),
+    )
+
+    def run(p: Column, i: Column, n: int) -> Column:
+        parts = [F.get(p["w"], i)]
+        for k in range(1, n):
+            parts += [F.get(p["s"], i + k), F.get(p["w"], i + k)]
+        return F.concat(*parts)  # null past the last word
+
+    def runs(p: Column) -> Column:
+        of_size = lambda n: p["w"] if n == 1 else F.transform(p["w"], lambda _, i: run(p, i, n))
+        found = [of_size(n) for n in sizes]
+        return F.array_distinct(F.array_compact(F.concat(*found)))
+
+    return let(pieces, runs)
+
+
 def match_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``(doc_id, term)`` where the term stands in the text as a whole word, ignoring case.
 
-    A match always contains the term's longest word as a complete word of the
-    text, so that word is the join key: an equi-join of distinct words per text
-    with the dictionary, with no pass over text x terms. Terms of several words
-    are then checked against the text with the pattern itself. A term without
-    any letter or digit has no key and never matches.
+    Terms of a few words are found by an equi-join of the dictionary with the
+    texts' own word runs, so there is no pass over text x terms. Longer terms and
+    terms with other characters at an edge are joined on their longest word,
+    which a match always contains as a complete word, and then checked against
+    the text with the pattern itself. A term without any letter or digit has no
+    such word and never matches.
     """
     tokens = word_tokens(F.col("term"))
-    longest = F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    keyed = terms.select("term").distinct().select("term", longest.alias("_w"), (F.lower("term") == longest).alias("_single"))
-    keyed = keyed.filter(F.col("_w").isNotNull())
-    words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
-    pairs = words.join(keyed, "_w")
-    whole = pairs.filter("_single").select(doc_id, "term")
-    pattern = F.concat(F.lit(r"(?iuU)\b"), _quoted(F.col("term")), F.lit(r"\b"))
-    checked = (
-        pairs.filter(~F.col("_single"))
-        .select(doc_id, "term")
-        .join(docs.select(doc_id, F.col(text).alias("_t")), doc_id)
-        .filter(F.rlike(F.col("_t"), pattern))
-        .select(doc_id, "term")
+    longest = F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    plain = F.col("term").rlike(f"(?s)^{_WORD_CLASS}(?:.*{_WORD_CLASS})?$") & (F.size(tokens) <= RUN_WORDS)
+    keyed = terms.select("term").distinct().select(
+        "term", F.lower("term").alias("_t"), F.size(tokens).alias("_n"), longest.alias("_w"), plain.alias("_plain")
     )
-    return whole.unionByName(checked)
+    sizes = sorted(r[0] for r in keyed.filter("_plain").select("_n").distinct().collect())  # at most RUN_WORDS values
+    odd = keyed.filter(~F.col("_plain") & F.col("_w").isNotNull())
+    found = []
+    if sizes:
+        runs = docs.select(doc_id, F.explode(_ngrams(F.lower(F.col(text)), sizes)).alias("_t"))
+        found.append(runs.join(keyed.filter("_plain").select("term", "_t"), "_t").select(doc_id, "term"))
+    if not odd.isEmpty():
+        words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
+        pattern = F.concat(F.lit(r"(?iuU)\b"), _quoted(F.col("term")), F.lit(r"\b"))
+        found.append(
+            words.join(odd.select("term", "_w"), "_w")
+            .select(doc_id, "term")
+            .join(docs.select(doc_id, F.col(text).alias("_x")), doc_id)
+            .filter(F.rlike(F.col("_x"), pattern))
+            .select(doc_id, "term")
+        )
+    if not found:
+        return docs.select(doc_id, F.lit("").alias("term")).limit(0)
+    return union_all(found)
 
 
 def tag_keywords(

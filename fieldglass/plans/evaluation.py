@@ -130,7 +130,7 @@ def language_pairs(t):
         F.when(x.contains(" the "), "en").when(x.contains(" les "), "fr").when(x.contains(" der "), "de")
         .when(x.contains(" los "), "es").otherwise("other")
     )
-    return t.documents.select(F.col("doc_id"), F.col("lang").alias("expected"), guess.alias("predicted"))
+    return t.texts.select(F.col("doc_id"), F.col("lang").alias("expected"), guess.alias("predicted"))
 
 
 _PAIRS = """WITH p AS (SELECT doc_id, lang AS expected, CASE WHEN lower(text) LIKE '% the %' THEN 'en' WHEN lower(text) LIKE '% les %' THEN 'fr'

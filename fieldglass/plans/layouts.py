@@ -8,7 +8,7 @@ from fieldglass.plans.registry import register
 
 def text_lines(t):
     """Every line of every document; the source is the document, the doc_id the page."""
-    rows = t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    rows = t.texts.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     n = F.length("text")
     i = F.col("line")
     return rows.select(
@@ -198,7 +198,7 @@ def split_rows(t):
     r"""SELECT doc_id, length(replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x<>''), ' '), '- ', '-'))::INTEGER AS n FROM documents WHERE NOT regexp_matches(text, '- ') AND NOT regexp_matches(text,'-[\t ]*\n\s*\n')""",
 )
 def paragraph_join(t):
-    d = t.documents.filter(~F.col("text").contains("- ") & ~F.col("text").rlike(r"-[\t ]*\n\s*\n"))
+    d = t.texts.filter(~F.col("text").contains("- ") & ~F.col("text").rlike(r"-[\t ]*\n\s*\n"))
     lines = F.transform(F.split("text", "\n"), lambda l: F.trim(l))
     return d.select("doc_id", F.length(layout.join_lines(lines)).alias("n"))
 
@@ -208,7 +208,7 @@ def paragraph_join(t):
     """SELECT source AS doc, regexp_replace(substr('D#'||min(doc_id)||'-heading',1,10),'[^A-Za-z0-9._-]','_','g') AS document_id FROM documents GROUP BY 1""",
 )
 def document_ids(t):
-    lines = t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("line"), F.concat(F.lit("## D#"), F.col("doc_id").cast("string"), F.lit("-heading of page")).alias("text"))
+    lines = t.texts.select(F.col("source").alias("doc"), F.col("doc_id").alias("line"), F.concat(F.lit("## D#"), F.col("doc_id").cast("string"), F.lit("-heading of page")).alias("text"))
     return layout.document_ids(lines, "doc", "line")
 
 

@@ -136,7 +136,7 @@ _BM25 = r"""WITH tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(t
 
 @register("bm25_topk", _BM25 + "SELECT query_id, item_id, round(score,6)::DOUBLE AS score FROM r WHERE rank<=10")
 def bm25_topk(t):
-    hits = retrieval.bm25_top_k(t.documents, t.benchmark, 10, query_id="item_id", query_text="text")
+    hits = retrieval.bm25_top_k(t.texts, t.benchmark, 10, query_id="item_id", query_text="text")
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
@@ -323,7 +323,7 @@ def route_doc_types(t):
 def retrieval_filter(t):
     from fieldglass.functions.text import word_tokens
 
-    docs = t.documents.select(
+    docs = t.texts.select(
         "doc_id", F.col("lang").alias("product"), F.col("source").alias("release"), word_tokens(F.col("text")).alias("keywords")
     )
     return docs.filter(predicates.retrieval_filter("en", "src7", ["the", "were"])).select("doc_id")
