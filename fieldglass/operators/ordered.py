@@ -91,7 +91,7 @@ def order_statistics(
     keys: list[str],
     value: str,
     picks: dict[str, list[Column]],
-    slices: int = 64,
+    slices: int = 256,
 ) -> DataFrame:
     """Exact values at given 0-based positions of each group's sorted values.
 
@@ -105,7 +105,7 @@ def order_statistics(
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     probs = [i / slices for i in range(1, slices)]
     bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 1000).alias("_b"), F.count(F.lit(1)).alias("n")
+        F.percentile_approx(value, probs, 10 * slices).alias("_b"), F.count(F.lit(1)).alias("n")
     )
     placed = counts.join(bounds, keys)
     upto = running_totals(

@@ -30,16 +30,24 @@ def _unit_rows(vectors) -> np.ndarray:
 
 
 def _best_of_batch(scores: np.ndarray, ids: np.ndarray, query_ids: list, k: int, floor: float) -> pd.DataFrame:
-    """Rows at or above each query's k-th best score of the batch, ties kept."""
-    n = scores.shape[0]
-    if n > k:
-        cut = np.partition(scores, n - k, axis=0)[n - k]
-    else:
-        cut = np.full(scores.shape[1], -np.inf)
-    rows, cols = np.nonzero((scores >= cut) & (scores > floor))
-    return pd.DataFrame(
-        {"query_id": [query_ids[c] for c in cols], "item_id": ids[rows], "score": scores[rows, cols]}
-    )
+    """At most ``k`` rows per query: best scores first, smaller ids first among equal scores.
+
+    Scores are rounded so that copies of one item tie exactly wherever they are stored.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, scores = ids[by_id], np.round(scores[by_id], 12)
+    n = len(ids)
+    cut = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
+    frames = []
+    for j, query_id in enumerate(query_ids):
+        s = scores[:, j]
+        rows = np.flatnonzero(s > cut[j])
+        if n > k:
+            rows = np.concatenate([rows, np.flatnonzero(s == cut[j])[: k - len(rows)]])
+        rows = rows[s[rows] > floor]
+        if len(rows):
+            frames.append(pd.DataFrame({"query_id": query_id, "item_id": ids[rows], "score": s[rows]}))
+    return pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
 
 def _type_of(df: DataFrame, column: str) -> str:
@@ -68,7 +76,9 @@ def vector_top_k(
             for pdf in batches:
                 if len(pdf):
                     scores = _unit_rows(pdf["v"]) @ matrix
-                    yield _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, -np.inf)
+                    best = _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, -np.inf)
+                    if len(best):
+                        yield best
 
         frames.append(source.mapInPandas(scan, schema))
     if not frames:
@@ -185,7 +195,9 @@ def bm25_top_k(
                         at, tf = np.unique(np.asarray(hits), return_counts=True)
                         scale = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * len(toks) / avgdl))
                         scores[i] = scale @ weights[at]
-                yield _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, 0.0)
+                best = _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, 0.0)
+                if len(best):
+                    yield best
 
         frames.append(tokens.mapInPandas(scan, schema))
     if not frames:
@@ -206,10 +218,24 @@ def weighted_rank_fusion(
     weight = F.lit(1.0)
     if weights:
         weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in weights.items()], F.lit(1.0))
-    fused = ranked.groupBy("query_id", "item_id").agg(F.sum(weight / (F.lit(rrf_k) + F.col("_rk"))).alias("score"))
+    # rounded so that equal sums tie whatever the order of their terms
+    score = F.round(F.sum(weight / (F.lit(rrf_k) + F.col("_rk"))), 12)
+    fused = ranked.groupBy("query_id", "item_id").agg(score.alias("score"))
     return top_per_group(fused, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
+def hybrid_search(
+    items: DataFrame, docs: DataFrame, queries: DataFrame, k: int, item_id: str, vector: str, doc_id: str, text: str
+) -> DataFrame:
+    """Dense and lexical rankings of twice the wanted length, fused by reciprocal rank.
+
+    ``queries``: query_id, embedding, query.
+    """
+    dense = vector_top_k(items, queries, 2 * k, item_id, vector).withColumn("field", F.lit("dense"))
+    lexical = bm25_top_k(docs, queries, 2 * k, doc_id, text).withColumn("field", F.lit("sparse"))
+    return weighted_rank_fusion(dense.unionByName(lexical).drop("rank"), k)
+
+
 def cross_collection_top_k(per_collection: list[DataFrame], k: int) -> DataFrame:
     """Results of several collections as one list, best score first."""
     both = union_all(per_collection)

@@ -129,6 +129,20 @@ def substring_finder(patterns: list[str]):
     return lambda text: {p for _, p in automaton.iter(text)}
 
 
+def query_context(history: DataFrame, acronyms: DataFrame, key: str) -> DataFrame:
+    """Context block of a query: its history text, then the acronyms found in it, whichever are present.
+
+    ``history``: key, history. ``acronyms``: key, term, expansion, as many as one text mentions.
+    """
+    line = F.concat(F.lit("- "), F.col("term"), F.lit(": "), F.col("expansion"))
+    lines = acronyms.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("_a"))
+    joined = history.join(lines, key, "full")
+    part = lambda head, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head), F.col(c)))
+    return joined.select(
+        key, F.concat_ws("\n\n", part("Conversation history:\n", "history"), part("Relevant acronyms:\n", "_a")).alias("context")
+    )
+
+
 def vocabulary(acronyms: DataFrame, names: DataFrame) -> DataFrame:
     """Acronyms and entity names without noise terms (digits only, or two characters and less)."""
     clean = names.select("term").filter((F.col("term") != "") & ~is_noise_term(F.col("term")))

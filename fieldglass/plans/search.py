@@ -140,6 +140,28 @@ def bm25_topk(t):
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@register(
+    "hybrid_search",
+    _UNIT
+    + ", "
+    + _BM25.replace("WITH ", "", 1)
+    + """, ds AS (SELECT b.item_id AS query_id, vec_id AS item_id, list_inner_product(n.e, c.c) AS score FROM benchmark b JOIN c ON c.label=b.item_id%10, n),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,12) DESC, item_id) AS rk FROM ds),
+    al AS (SELECT query_id, item_id, rk FROM dr WHERE rk<=10 UNION ALL SELECT query_id, item_id, rank FROM r WHERE rank<=10),
+    fu AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE/(60+rk)),12) AS score FROM al GROUP BY 1,2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM fu)
+    SELECT query_id, item_id, round(score,9) AS score FROM o WHERE rank<=5""",
+)
+def hybrid_search(t):
+    """Benchmark texts searched in the documents, their class centroids in the vectors; both id spaces are one."""
+    cents = class_centroids(t).select((F.col("label").cast("long")).alias("k"), F.col("centroid").alias("embedding"))
+    queries = t.benchmark.join(cents, F.col("item_id") % 10 == F.col("k")).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding"
+    )
+    out = retrieval.hybrid_search(t.embeddings, t.texts, queries, 5, "vec_id", "embedding", "doc_id", "text")
+    return out.select("query_id", "item_id", F.round("score", 9).alias("score"))
+
+
 @register(
     "rerank_order",
     """WITH r AS (SELECT user_id AS query_id, event_id AS item_id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events),

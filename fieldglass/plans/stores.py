@@ -17,6 +17,18 @@ def typed_load(t):
     return df.select("o_orderkey", "o_orderstatus", "o_totalprice").unionByName(missing)
 
 
+@register(
+    "dated_files",
+    """SELECT strftime(ts,'%Y%m%d') AS day, '/lake/' || min('data_' || strftime(ts,'%Y%m%d') || '_' || (user_id%7) || '.parquet') AS path
+       FROM events WHERE strftime(ts,'%Y%m%d') BETWEEN '20240105' AND '20240120' GROUP BY 1""",
+)
+def dated_files(t):
+    """A file listing named after the events' days and users, cut to a day range."""
+    name = F.concat(F.lit("/lake/data_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"), (F.col("user_id") % 7).cast("string"), F.lit(".parquet"))
+    listing = t.events.select(name.alias("path")).distinct()
+    return readers.dated_files(listing, "20240105", "20240120")
+
+
 @register(
     "corpus_text",
     "SELECT 's_suppkey: '||s_suppkey||' | s_name: '||s_name||' | s_nationkey: '||s_nationkey AS text FROM supplier",

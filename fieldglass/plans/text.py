@@ -158,6 +158,23 @@ def contained_terms(t):
     return hits.join(short, "term").select("id", F.col("n_name").alias("term"))
 
 
+@register(
+    "query_context",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations),
+       h AS (SELECT conv_id, string_agg((CASE WHEN role='user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) ORDER BY turn) AS h FROM r WHERE b <= 10 GROUP BY 1),
+       a AS (SELECT DISTINCT conv_id, '- ' || substr(n_name,1,3) || ': ' || lower(substr(n_name,1,3)) AS l FROM conversations, nation WHERE contains(upper(text), upper(substr(n_name,1,3)))),
+       g AS (SELECT conv_id, string_agg(l, chr(10) ORDER BY l) AS a FROM a GROUP BY 1)
+       SELECT conv_id, 'Conversation history:' || chr(10) || h || CASE WHEN a IS NOT NULL THEN chr(10) || chr(10) || 'Relevant acronyms:' || chr(10) || a ELSE '' END AS context FROM h LEFT JOIN g USING (conv_id)""",
+)
+def query_context(t):
+    from fieldglass.operators.traffic import last_turns
+
+    short = t.nation.select(F.substring("n_name", 1, 3).alias("term")).distinct()
+    hits = terms.contained_terms(t.conversations.select("conv_id", "text"), short, "conv_id")
+    named = hits.withColumn("expansion", F.lower("term"))
+    return terms.query_context(last_turns(t.conversations), named, "conv_id")
+
+
 @register(
     "repeated_lines",
     rf"""WITH l AS (SELECT DISTINCT source, doc_id, lower(trim(regexp_replace(unnest({_LINES}), '{_SP}+', ' ', 'g'))) AS line FROM documents),

@@ -27,22 +27,23 @@ def dated_parquet(spark: SparkSession, folder: str, start: str, end: str) -> Dat
     the range are listed but not read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    day = F.regexp_extract(name, r"(\d{8})", 1)
-    chosen = (
-        files.select("path", name.alias("name"), day.alias("day"))
-        .filter((F.col("day") != "") & F.col("day").between(start, end))
-        .groupBy("day")
-        .agg(F.min_by("path", "name").alias("path"))
-        .select("path")
-    )
-    paths = [r[0] for r in chosen.collect()]  # at most one file name per day of the range
+    chosen = dated_files(files.select("path"), start, end)
+    paths = [r[0] for r in chosen.select("path").collect()]  # at most one file name per day of the range
     if not paths:
         raise FileNotFoundError(f"no file for {start}..{end} in {folder}")
     data = spark.read.parquet(*paths)
     return data.withColumn("file_date", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1))
 
 
+def dated_files(files: DataFrame, start: str, end: str) -> DataFrame:
+    """One path per day of the range from a listing: the smallest name that carries the day."""
+    name = F.element_at(F.split("path", "/"), -1)
+    day = F.regexp_extract(name, r"(\d{8})", 1)
+    dated = files.select("path", name.alias("name"), day.alias("day"))
+    wanted = dated.filter((F.col("day") != "") & F.col("day").between(start, end))
+    return wanted.groupBy("day").agg(F.min_by("path", "name").alias("path"))
+
+
 def load_typed(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """Parquet or CSV. A missing path gives an empty frame, another kind is an error."""
     if kind not in ("parquet", "csv"):

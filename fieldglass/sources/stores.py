@@ -35,6 +35,10 @@ def read_runs(spark, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def runs_by_time(listed: DataFrame) -> DataFrame:
+    return listed.orderBy("timestamp", "exec_id")
+
+
 def list_runs(documents: DataFrame) -> DataFrame:
     """Projection of id, time, mode, flags and totals; absent flags count as false."""
     d = documents.select(F.from_json("value", RUN_SCHEMA).alias("d"))
