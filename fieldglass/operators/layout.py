@@ -11,8 +11,8 @@ from fieldglass.operators.ordered import (
     first_per_key,
     number_slice,
     previous_row,
-    running_last,
     running_totals,
+    running_values,
     top_per_group,
 )
 
@@ -152,10 +152,9 @@ def heading_paths(elements: DataFrame, doc: str, pos: str, split_depth: int) ->
     marks = {f"last_{d}": F.when(depth == d, F.struct(pos, "text")) for d in range(1, split_depth)}
     marks["any_folder"] = F.when(folder, F.col(pos))
     marks["file"] = F.when(depth == split_depth, F.struct(pos, "text"))
-    seen = running_last(elements, [doc], [pos], marks, number_slice(pos, ELEMENTS_PER_SLICE))
-    totals = {f"n_{d}": (F.coalesce(depth, F.lit(0)) == d).cast("int") for d in range(1, split_depth)}
-    totals["file_no"] = (F.coalesce(depth, F.lit(0)) == split_depth).cast("int")
-    counted = running_totals(seen, [doc], [pos], totals, number_slice(pos, ELEMENTS_PER_SLICE))
+    is_depth = lambda d: (F.coalesce(depth, F.lit(0)) == d).cast("int")
+    totals = {f"n_{d}": is_depth(d) for d in range(1, split_depth)} | {"file_no": is_depth(split_depth)}
+    counted = running_values(elements, [doc], [pos], number_slice(pos, ELEMENTS_PER_SLICE), totals, marks)
     slugs, titles = [], []
     for d in range(1, split_depth):
         here = F.col(f"last_{d}")

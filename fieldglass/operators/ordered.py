@@ -22,6 +22,22 @@ def number_slice(value: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
+def _sliced(df: DataFrame, keys: list[str], slice_col: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with their key packed as ``_k`` and their slice.
+
+    A struct is equal to itself also where a key is null, so the same columns
+    serve the windows and the join below and one shuffle is enough for both.
+    """
+    added = [expr.alias(name) for name, expr in (extra or {}).items()]
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(F.struct(*keys).alias("_k"), slice_col.alias("_slice"), *rest, *added)
+
+
+def _unpack(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    key = {k: F.col(f"_k.{k}").alias(k) for k in keys}
+    return df.select(*[key.get(c, F.col(c)) for c in columns])
+
+
 def previous_row(
     df: DataFrame,
     keys: list[str],
@@ -31,59 +47,79 @@ def previous_row(
     out: str = "prev",
 ) -> DataFrame:
     """Add struct ``out`` with ``values`` of the row before, null on a key's first row."""
-    sliced = df.withColumn("_slice", slice_col)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_slice")
+    sliced = _sliced(df, keys, slice_col)
+    inside = Window.partitionBy("_k", "_slice").orderBy(*order)
+    across = Window.partitionBy("_k").orderBy("_slice")
     carry = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy("_k", "_slice")
         .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
-        .select(*keys, "_slice", F.lag("_last").over(across).alias("_carry"))
+        .select("_k", "_slice", F.lag("_last").over(across).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
     )
     windowed = sliced.withColumn(out, F.lag(F.struct(*values)).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1
     )
-    # null keys form a group of their own in a window, so they must match here too
-    return _stitch(windowed, carry, keys).withColumn(
+    # rows without an order value form the first slice, which carries nothing in
+    stitched = windowed.join(carry, ["_k", "_slice"], "left").withColumn(
         out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out))
-    ).drop("_slice", "_first", "_carry")
+    )
+    return _unpack(stitched, keys, [*df.columns, out])
 
 
-def running_totals(
+def running_values(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    totals: dict[str, Column],
     slice_col: Column,
+    totals: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add one inclusive running sum per entry of ``totals``."""
-    sliced = df.withColumn("_slice", slice_col)
-    for name, expr in totals.items():
-        sliced = sliced.withColumn(f"_v_{name}", expr)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    """Add inclusive running sums (``totals``) and last non-null values so far (``lasts``)."""
+    totals, lasts = totals or {}, lasts or {}
+    values = {**totals, **lasts}
+    sliced = _sliced(df, keys, slice_col, {f"_v_{n}": e for n, e in values.items()})
+    inside = Window.partitionBy("_k", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    last_of = lambda n: F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at))
     carry = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
-        .select(*keys, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in totals])
+        sliced.groupBy("_k", "_slice")
+        .agg(
+            *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals],
+            *[last_of(n).alias(f"_t_{n}") for n in lasts],
+        )
+        .select(
+            "_k",
+            "_slice",
+            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in totals],
+            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
+        )
     )
-    windowed = sliced
-    for name in totals:
-        windowed = windowed.withColumn(name, F.sum(f"_v_{name}").over(inside))
-    joined = _stitch(windowed, carry, keys)
+    windowed = sliced.select(
+        "*",
+        *[F.sum(f"_v_{n}").over(inside).alias(n) for n in totals],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(n) for n in lasts],
+    )
+    stitched = windowed.join(carry, ["_k", "_slice"], "left")
     for name in totals:
-        joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
-    return joined.drop("_slice", *[f"_v_{n}" for n in totals], *[f"_c_{n}" for n in totals])
+        stitched = stitched.withColumn(name, F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
+    for name in lasts:
+        stitched = stitched.withColumn(name, F.coalesce(F.col(name), F.col(f"_c_{name}")))
+    return _unpack(stitched, keys, [*df.columns, *values])
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], slice_col: Column
+) -> DataFrame:
+    """Add one inclusive running sum per entry of ``totals``."""
+    return running_values(df, keys, order, slice_col, totals=totals)
 
 
-def _stitch(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    cond = None
-    renamed = carry
-    for k in [*keys, "_slice"]:
-        renamed = renamed.withColumnRenamed(k, f"_k_{k}")
-        term = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        cond = term if cond is None else cond & term
-    return rows.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in [*keys, "_slice"]])
+def running_last(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], slice_col: Column
+) -> DataFrame:
+    """Add, per entry of ``values``, its last non-null value up to and including the row."""
+    return running_values(df, keys, order, slice_col, lasts=values)
 
 
 def order_statistics(
@@ -160,32 +196,3 @@ def _pick(df: DataFrame, keys: list[str], by, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return picked.select(*keys, "_r.*").select(*df.columns)
-
-
-def running_last(
-    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], slice_col: Column
-) -> DataFrame:
-    """Add, per entry of ``values``, its last non-null value up to and including the row."""
-    sliced = df.withColumn("_slice", slice_col)
-    for name, expr in values.items():
-        sliced = sliced.withColumn(f"_v_{name}", expr)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct(*order)
-    carry = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(
-            *[
-                F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}")
-                for n in values
-            ]
-        )
-        .select(*keys, "_slice", *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
-    )
-    windowed = sliced
-    for name in values:
-        windowed = windowed.withColumn(name, F.last(f"_v_{name}", ignorenulls=True).over(inside))
-    joined = _stitch(windowed, carry, keys)
-    for name in values:
-        joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"_c_{name}")))
-    return joined.drop("_slice", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])

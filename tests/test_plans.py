@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from fieldglass.operators import terms
+from fieldglass.operators import chunks, terms
+from fieldglass.operators.ordered import previous_row, time_slice
 from fieldglass.plans import Tables
 from fieldglass.plans.text import benchmark_terms
 
@@ -35,9 +36,25 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "l_shipdate" not in scan and "l_comment" not in scan
 
 
-def test_sections_need_no_shuffle(spark):
-    assert "Exchange" not in plan(entry_points.queries()["chunk_sections"](spark, FOLDER))
-    assert "Exchange" not in plan(entry_points.queries()["chunk_fixed"](spark, FOLDER))
+def test_chunking_needs_no_shuffle(spark):
+    docs = Tables(spark, FOLDER).documents
+    assert "Exchange" not in plan(chunks.chunk_sections(docs, "doc_id"))
+    assert "Exchange" not in plan(chunks.chunk_fixed(docs, "doc_id", "mop"))
+
+
+def test_slices_shuffle_the_rows_once(spark):
+    """Without any broadcast the rows move once; the second shuffle carries slice summaries."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        events = Tables(spark, FOLDER).events
+        text = plan(previous_row(events, ["user_id"], ["ts", "event_id"], ["value", "props"], time_slice("ts")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [l for l in text.splitlines() if "Exchange hashpartitioning" in l]
+    # rows by (key, slice); summaries by (key, slice), by key, and back by (key, slice)
+    assert len(moved) == 4, text
 
 
 def test_single_word_tags_combine_before_the_shuffle(spark):
