@@ -10,8 +10,6 @@ from fieldglass.functions.text import collapse_spaces, let, strip
 from fieldglass.operators.ordered import (
     first_per_key,
     number_slice,
-    previous_row,
-    running_totals,
     running_values,
     top_per_group,
 )
@@ -184,9 +182,8 @@ def merge_tables(elements: DataFrame, doc: str, pos: str) -> DataFrame:
     again, so a run of tables pairs up first with second, third with fourth.
     """
     slice_of = number_slice(pos, ELEMENTS_PER_SLICE)
-    breaks = F.coalesce(F.col("is_page_break"), F.lit(False))
-    solid = elements.filter(~breaks)
-    seq = previous_row(solid, [doc], [pos], [pos, "kind", "col_count"], slice_of)
+    solid = elements.filter(~F.coalesce(F.col("is_page_break"), F.lit(False)))
+    seq = running_values(solid, [doc], [pos], slice_of, {"_n": F.lit(1)}, previous=[pos, "kind", "col_count"])
     follows = F.coalesce(
         (F.col("kind") == "table")
         & (F.col("prev.kind") == "table")
@@ -194,10 +191,10 @@ def merge_tables(elements: DataFrame, doc: str, pos: str) -> DataFrame:
         & (F.col(pos) - F.col(f"prev.{pos}") > 1),
         F.lit(False),
     )
-    flagged = seq.withColumn("_f", follows).drop("prev")
-    runs = running_totals(flagged, [doc], [pos], {"_run": (~F.col("_f")).cast("int"), "_n": F.lit(1)}, slice_of)
-    start = runs.groupBy(doc, "_run").agg(F.min("_n").alias("_n0"))
-    placed = runs.join(start, [doc, "_run"]).withColumn("_pair", F.floor((F.col("_n") - F.col("_n0")) / 2))
+    starts = {"_run": F.when(~follows, F.struct(F.col(pos).alias("at"), F.col("_n").alias("n")))}
+    placed = running_values(seq, [doc], [pos], slice_of, lasts=starts).withColumn(
+        "_pair", F.floor((F.col("_n") - F.col("_run.n")) / 2)
+    )
     # at most two tables share a pair
     row = F.struct(pos, "kind", "col_count", "rows")
     pairs = placed.groupBy(doc, "_run", "_pair").agg(F.array_sort(F.collect_list(row)).alias("t"))

@@ -33,39 +33,6 @@ def _sliced(df: DataFrame, keys: list[str], slice_col: Column, extra: dict[str,
     return df.select(F.struct(*keys).alias("_k"), slice_col.alias("_slice"), *rest, *added)
 
 
-def _unpack(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    key = {k: F.col(f"_k.{k}").alias(k) for k in keys}
-    return df.select(*[key.get(c, F.col(c)) for c in columns])
-
-
-def previous_row(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: list[str],
-    slice_col: Column,
-    out: str = "prev",
-) -> DataFrame:
-    """Add struct ``out`` with ``values`` of the row before, null on a key's first row."""
-    sliced = _sliced(df, keys, slice_col)
-    inside = Window.partitionBy("_k", "_slice").orderBy(*order)
-    across = Window.partitionBy("_k").orderBy("_slice")
-    carry = (
-        sliced.groupBy("_k", "_slice")
-        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
-        .select("_k", "_slice", F.lag("_last").over(across).alias("_carry"))
-        .filter(F.col("_carry").isNotNull())
-    )
-    windowed = sliced.withColumn(out, F.lag(F.struct(*values)).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    # rows without an order value form the first slice, which carries nothing in
-    stitched = windowed.join(carry, ["_k", "_slice"], "left").withColumn(
-        out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out))
-    )
-    return _unpack(stitched, keys, [*df.columns, out])
-
-
 def running_values(
     df: DataFrame,
     keys: list[str],
@@ -73,39 +40,54 @@ def running_values(
     slice_col: Column,
     totals: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    previous: list[str] | None = None,
+    out: str = "prev",
 ) -> DataFrame:
-    """Add inclusive running sums (``totals``) and last non-null values so far (``lasts``)."""
-    totals, lasts = totals or {}, lasts or {}
+    """Add values that depend on the rows before, all from one pass over the sorted rows.
+
+    ``totals``: inclusive running sums. ``lasts``: last non-null value up to and
+    including the row. ``previous``: these columns of the row before as struct
+    ``out``, null on a key's first row.
+    """
+    totals, lasts, previous = totals or {}, lasts or {}, previous or []
     values = {**totals, **lasts}
     sliced = _sliced(df, keys, slice_col, {f"_v_{n}": e for n, e in values.items()})
-    inside = Window.partitionBy("_k", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
+    ordered = Window.partitionBy("_k", "_slice").orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    slices = Window.partitionBy("_k").orderBy("_slice")
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+
     last_of = lambda n: F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at))
-    carry = (
-        sliced.groupBy("_k", "_slice")
-        .agg(
-            *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals],
-            *[last_of(n).alias(f"_t_{n}") for n in lasts],
-        )
-        .select(
-            "_k",
-            "_slice",
-            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in totals],
-            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-        )
+    summary = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals] + [last_of(n).alias(f"_t_{n}") for n in lasts]
+    carried = [F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in totals]
+    carried += [F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts]
+    here = [F.sum(f"_v_{n}").over(so_far).alias(n) for n in totals]
+    here += [F.last(f"_v_{n}", ignorenulls=True).over(so_far).alias(n) for n in lasts]
+    if previous:
+        row = F.struct(*previous)
+        summary.append(F.max_by(row, at).alias("_t_row"))
+        carried.append(F.lag("_t_row").over(slices).alias("_c_row"))
+        here += [F.lag(row).over(ordered).alias(out), (F.row_number().over(ordered) == 1).alias("_first")]
+
+    carry = sliced.groupBy("_k", "_slice").agg(*summary).select("_k", "_slice", *carried)
+    # rows without an order value form the first slice of their key, which carries nothing in
+    stitched = sliced.select("*", *here).join(carry, ["_k", "_slice"], "left")
+    result = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in totals}
+    result |= {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in lasts}
+    if previous:
+        result[out] = F.when(F.col("_first"), F.col("_c_row")).otherwise(F.col(out))
+    key = {k: F.col(f"_k.{k}") for k in keys}
+    return stitched.select(
+        *[key.get(c, F.col(c)).alias(c) for c in df.columns], *[e.alias(n) for n, e in result.items()]
     )
-    windowed = sliced.select(
-        "*",
-        *[F.sum(f"_v_{n}").over(inside).alias(n) for n in totals],
-        *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(n) for n in lasts],
-    )
-    stitched = windowed.join(carry, ["_k", "_slice"], "left")
-    for name in totals:
-        stitched = stitched.withColumn(name, F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
-    for name in lasts:
-        stitched = stitched.withColumn(name, F.coalesce(F.col(name), F.col(f"_c_{name}")))
-    return _unpack(stitched, keys, [*df.columns, *values])
+
+
+def previous_row(
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], slice_col: Column, out: str = "prev"
+) -> DataFrame:
+    """Add struct ``out`` with ``values`` of the row before, null on a key's first row."""
+    return running_values(df, keys, order, slice_col, previous=values, out=out)
 
 
 def running_totals(

@@ -21,45 +21,40 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
         F.explode(F.sequence("row0", "row1")).alias("row"), "col1",
     ).select("sheet", "row0", "col0", "row", F.explode(F.sequence("col0", "col1")).alias("col"))
     top = cells.select("sheet", F.col("row").alias("row0"), F.col("col").alias("col0"), F.col("value").alias("_top"))
-    filled = covered.join(top, ["sheet", "row0", "col0"], "left").select("sheet", "row", "col", F.col("_top").alias("value"))
-    rest = cells.join(filled.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_anti")
-    return rest.select("sheet", "row", "col", "value").unionByName(filled.filter(F.col("value").isNotNull()))
+    filled = covered.join(top, ["sheet", "row0", "col0"], "left").select("sheet", "row", "col", "_top", F.lit(True).alias("_in"))
+    merged = cells.join(filled, ["sheet", "row", "col"], "full")
+    value = F.when(F.col("_in"), F.col("_top")).otherwise(F.col("value"))
+    return merged.select("sheet", "row", "col", value.alias("value")).filter(F.col("value").isNotNull())
 
 
 def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str], last: bool = False) -> DataFrame:
-    """Header row of each sheet and the column of every field: ``(sheet, header_row, field, col)``.
+    """Header row and fields of each sheet: ``(sheet, header_row, fields)``, ``fields`` a map of column to field.
 
     The header is the first of the leading rows whose cells name all required
     fields. When two columns name a field the first one counts (``last``: the last).
     """
-    spark = cells.sparkSession
-    names = spark.createDataFrame(list(aliases.items()), "alias string, field string")
+    names = cells.sparkSession.createDataFrame(list(aliases.items()), "alias string, field string")
     head = cells.filter((F.col("row") <= fixed.HEADER_ROWS) & F.col("value").isNotNull())
     named = head.withColumn("alias", F.lower(strip(F.col("value")))).join(names, "alias")
     pick = F.max("col") if last else F.min("col")
     fields = named.groupBy("sheet", "row", "field").agg(pick.alias("col"))
+    rows = fields.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "field"))).alias("fields"))
     need = F.array(*[F.lit(r) for r in required])
-    complete = fields.groupBy("sheet", "row").agg(F.collect_set("field").alias("fs")).filter(
-        F.size(F.array_except(need, F.col("fs"))) == 0
-    )
-    header = complete.groupBy("sheet").agg(F.min("row").alias("header_row"))
-    return header.join(fields, (fields.sheet == header.sheet) & (fields.row == F.col("header_row"))).select(
-        header.sheet, "header_row", "field", "col"
-    )
+    complete = rows.filter(F.size(F.array_except(need, F.map_values("fields"))) == 0)
+    return complete.groupBy("sheet").agg(F.min("row").alias("header_row"), F.min_by("fields", "row").alias("fields"))
 
 
 def sheets_without_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    return cells.select("sheet").distinct().join(columns.select("sheet").distinct(), "sheet", "left_anti")
+    return cells.select("sheet").distinct().join(columns.select("sheet"), "sheet", "left_anti")
 
 
 def sheet_records(cells: DataFrame, columns: DataFrame, fields: list[str]) -> DataFrame:
     """Rows below the header as one column per field, trimmed, missing cells empty; blank rows dropped."""
-    head = columns.groupBy("sheet").agg(F.first("header_row").alias("header_row"))
     present = cells.filter(F.col("value").isNotNull())
-    body = present.join(head, "sheet").filter(F.col("row") > F.col("header_row"))
-    placed = body.join(columns.select("sheet", "col", "field"), ["sheet", "col"], "left")
+    body = present.join(columns, "sheet").filter(F.col("row") > F.col("header_row"))
+    placed = body.select("sheet", "row", F.col("fields")[F.col("col")].alias("field"), strip(F.col("value")).alias("v"))
     return placed.groupBy("sheet", "row").agg(
-        *[F.coalesce(F.max(F.when(F.col("field") == f, strip(F.col("value")))), F.lit("")).alias(f) for f in fields]
+        *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("v"))), F.lit("")).alias(f) for f in fields]
     )
 
 

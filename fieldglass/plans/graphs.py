@@ -533,33 +533,26 @@ def relation_types(t):
 
 
 def hierarchy_source(t):
-    """Regions as control groups, nations as functions, customers as features, segments as KPIs."""
-    feats = t.customer.groupBy("c_nationkey").agg(
-        F.collect_list(
-            F.struct(
-                _id("C", "c_custkey").alias("id"), F.col("c_name").alias("name"),
-                F.when(F.col("c_custkey") % 2 == 0, "MAC").alias("layer"), F.array("c_mktsegment").alias("kpis"),
-            )
-        ).alias("features")
+    """One nested document per customer: its nation as function, its segment as feature."""
+    key = F.col("c_custkey").cast("string")
+    feature = F.struct(
+        F.concat(F.lit("F"), key).alias("id"), F.col("c_mktsegment").alias("name"),
+        F.when(F.col("c_custkey") % 2 == 0, "MAC").alias("layer"), F.array("c_mktsegment").alias("kpis"),
     )
-    fn = t.nation.join(feats, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    funcs = fn.groupBy("n_regionkey").agg(
-        F.collect_list(
-            F.struct(_id("N", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array(F.lit("kpi:all")).alias("kpis"), "features")
-        ).alias("functions")
-    )
-    nested = t.region.join(funcs, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        F.to_json(F.struct(_id("R", "r_regionkey").alias("id"), F.col("r_name").alias("name"), "functions")).alias("doc")
+    function = F.struct(
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("-"), key).alias("id"), F.lit("fn").alias("name"),
+        F.array(F.lit("kpi:all")).alias("kpis"), F.array(feature).alias("features"),
     )
+    doc = F.to_json(F.struct(_id("C", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(function).alias("functions")))
     schema = "id string, name string, functions array<struct<id:string,name:string,kpis:array<string>,features:array<struct<id:string,name:string,layer:string,kpis:array<string>>>>>"
-    return nested.select(F.from_json("doc", schema).alias("g")).select("g.*")
+    return t.customer.select(F.from_json(doc, schema).alias("g")).select("g.*")
 
 
 @register(
     "hierarchy_edges",
-    """SELECT 'R'||n_regionkey AS from_id, 'N'||n_nationkey AS to_id, 'INCLUDES' AS relation FROM nation UNION ALL
-       SELECT 'N'||c_nationkey, 'C'||c_custkey, 'REALIZED_BY' FROM customer UNION ALL SELECT 'N'||n_nationkey, 'kpi:all', 'MEASURED_BY' FROM nation UNION ALL
-       SELECT 'C'||c_custkey, c_mktsegment, 'MEASURED_BY' FROM customer UNION ALL SELECT 'C'||c_custkey, 'MAC', 'IMPLEMENTED_IN' FROM customer WHERE c_custkey%2=0""",
+    """SELECT 'C'||c_custkey AS from_id, 'N'||c_nationkey||'-'||c_custkey AS to_id, 'INCLUDES' AS relation FROM customer UNION ALL
+       SELECT 'N'||c_nationkey||'-'||c_custkey, 'F'||c_custkey, 'REALIZED_BY' FROM customer UNION ALL SELECT 'N'||c_nationkey||'-'||c_custkey, 'kpi:all', 'MEASURED_BY' FROM customer UNION ALL
+       SELECT 'F'||c_custkey, c_mktsegment, 'MEASURED_BY' FROM customer UNION ALL SELECT 'F'||c_custkey, 'MAC', 'IMPLEMENTED_IN' FROM customer WHERE c_custkey%2=0""",
 )
 def hierarchy_edges(t):
     return ontology.hierarchy(hierarchy_source(t))[1]
@@ -567,8 +560,8 @@ def hierarchy_edges(t):
 
 @register(
     "hierarchy_nodes",
-    """SELECT 'R'||r_regionkey AS id, r_name AS name, 'control_group' AS node_type FROM region UNION ALL SELECT 'N'||n_nationkey, n_name, 'function' FROM nation UNION ALL
-       SELECT 'C'||c_custkey, c_name, 'feature' FROM customer UNION ALL SELECT DISTINCT c_mktsegment, c_mktsegment, 'kpi' FROM customer UNION ALL SELECT 'kpi:all','kpi:all','kpi'""",
+    """SELECT 'C'||c_custkey AS id, c_name AS name, 'control_group' AS node_type FROM customer UNION ALL SELECT 'N'||c_nationkey||'-'||c_custkey, 'fn', 'function' FROM customer UNION ALL
+       SELECT 'F'||c_custkey, c_mktsegment, 'feature' FROM customer UNION ALL SELECT DISTINCT c_mktsegment, c_mktsegment, 'kpi' FROM customer UNION ALL SELECT 'kpi:all','kpi:all','kpi'""",
 )
 def hierarchy_nodes(t):
     return ontology.hierarchy(hierarchy_source(t))[0].select("id", "name", "node_type")
