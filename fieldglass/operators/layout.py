@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import collapse_spaces, let, strip
+from fieldglass.functions.text import let, strip
 from fieldglass.operators.ordered import (
     first_per_key,
     number_slice,
@@ -292,6 +292,3 @@ def safe_id(col: Column) -> Column:
     clean = F.regexp_replace(F.trim(col), r"[^A-Za-z0-9._-]", "_")
     return F.when(clean == "", "output").otherwise(clean)
 
-
-def clean_line(text: Column) -> Column:
-    return collapse_spaces(text)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from fieldglass import fixed_values as fixed
 from fieldglass.operators import causal, graph, ontology, predicates, review, tree
 from fieldglass.plans.registry import register
 from fieldglass.session import union_all

@@ -46,11 +46,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads at most one more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def blocks(df: DataFrame, order: list[str], rows_per_block: int):
     """Yield ``df`` on the driver in lists of bounded length, in a fixed order.
 

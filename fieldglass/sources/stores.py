@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.operators.ordered import last_per_key
+from fieldglass.session import cut_lineage
 
 RUN_SCHEMA = """exec_id long, timestamp string, mode string, mock boolean, dummy boolean,
     params map<string,string>, summary struct<totals: struct<tokens: long, wire_bytes: long>>"""
@@ -68,6 +70,27 @@ def write_replacing(incoming: DataFrame, path: str, partitions: list[str]) -> No
     )
 
 
+def replace_in_buckets(incoming: DataFrame, path: str, source: str, buckets: int) -> None:
+    """Replace-by-source on files without a folder per source.
+
+    Rows are stored by a hash bucket of their source. Only buckets that receive
+    rows are read, merged and rewritten; the merge is written down first because
+    a folder cannot be overwritten while it is read. Running the same call again
+    leaves the same rows.
+    """
+    new = incoming.withColumn("bucket", F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int"))
+    try:
+        stored = incoming.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = new
+    else:
+        touched = stored.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        merged = cut_lineage(replace_by_source(touched, new, source))
+    write_replacing(merged.repartition("bucket"), path, ["bucket"])
+
+
 def upsert(existing: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Last write per key. Existing rows rank below every change; changes by ``version``."""
     old = existing.withColumn("_gen", F.lit(0)).withColumn("_v", F.lit(None).cast(changes.schema[version].dataType))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fieldglass.functions.vectors import METHODS
-from fieldglass.sources.stores import write_replacing
+from fieldglass.sources.stores import replace_in_buckets
 
 
 def events_per_window(events: DataFrame, time_col: str, width: str) -> DataFrame:
@@ -68,7 +68,11 @@ class DriftState(StatefulProcessor):
 
 
 def drift_stream(stream: DataFrame, key: str, time_col: str, bins: list[str], method: str = "jensenshannon") -> DataFrame:
-    """Drift scores as rows arrive: one row per entity and time step, in time order within a batch."""
+    """Drift scores as rows arrive: one row per entity and time step, in time order within a batch.
+
+    Needs the RocksDB state store. The state is one distribution per entity, so
+    input should arrive aggregated per time step.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     key_type = stream.schema[key].dataType.simpleString()
@@ -80,14 +84,15 @@ def drift_stream(stream: DataFrame, key: str, time_col: str, bins: list[str], me
     )
 
 
-def ingest_documents(stream: DataFrame, chunker, target: str, checkpoint: str, partitions: list[str]):
+def ingest_documents(stream: DataFrame, chunker, target: str, checkpoint: str, source: str = "source_doc", buckets: int = 64):
     """Chunk arriving documents and replace what is stored for their sources.
 
-    Writing a batch again gives the same files, so a restart repeats no rows.
-    ``chunker`` turns a batch of documents into chunk rows with ``partitions``.
+    Writing a batch again gives the same rows, so a restart repeats nothing.
+    ``chunker`` turns a batch of documents into chunk rows with the source column.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        write_replacing(chunker(batch), target, partitions)
+        if not batch.isEmpty():
+            replace_in_buckets(chunker(batch), target, source, buckets)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

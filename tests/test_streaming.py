@@ -53,7 +53,7 @@ def test_ingest_again_changes_nothing(spark, tmp_path, rows):
 
     def run(name):
         stream = spark.readStream.schema(schema).parquet(source)
-        q = jobs.ingest_documents(stream, chunker, target, str(tmp_path / name), ["doc_type", "source_doc"]).start()
+        q = jobs.ingest_documents(stream, chunker, target, str(tmp_path / name), buckets=2).start()
         q.processAllAvailable()
         q.stop()
 
