@@ -1,7 +1,8 @@
 """Distribution distances and vector helpers as Column expressions.
 
-Where the number of bins is known the sums are written out term by term, which
-keeps them inside generated code; lambdas are used only for open lengths.
+Short sums over a known number of bins are written out term by term, which keeps
+them inside generated code. Where written-out terms would repeat long
+expressions, lambdas over arrays keep the generated code small instead.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldglass.functions.text import let
+
 METHODS = ("jensenshannon", "wasserstein", "euclidean")
 
 
@@ -40,19 +43,25 @@ def array_mass(arr: Column, n: int | None = None) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
-def _js_term(p: Column, m: Column) -> Column:
-    return F.when(p > 0, p * F.ln(p / m)).otherwise(F.lit(0.0))
+def _scaled(arr: Column) -> Column:
+    """Entries divided by their sum, which is computed once."""
+    return let(array_mass(arr), lambda mass: F.transform(arr, lambda x: x / mass))
 
 
-def js_distance(p: Column, q: Column, n: int) -> Column:
+def js_distance(p: Column, q: Column) -> Column:
     """Square root of the Jensen-Shannon divergence, natural logarithm, inputs rescaled to one."""
-    sp, sq = array_mass(p, n), array_mass(q, n)
-    terms = []
-    for a, b in zip(_items(p, n), _items(q, n)):
-        x, y = a / sp, b / sq
-        m = (x + y) / F.lit(2.0)
-        terms.append(_js_term(x, m) + _js_term(y, m))
-    return F.sqrt(F.greatest(_total(terms) / F.lit(2.0), F.lit(0.0)))
+
+    def part(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
+
+    def term(x: Column, y: Column) -> Column:
+        return let((x + y) / 2.0, lambda m: part(x, m) + part(y, m))
+
+    def distance(pair: Column) -> Column:
+        total = F.aggregate(F.zip_with(pair["p"], pair["q"], term), F.lit(0.0), lambda a, t: a + t)
+        return F.sqrt(F.greatest(total / 2.0, F.lit(0.0)))
+
+    return let(F.struct(_scaled(p).alias("p"), _scaled(q).alias("q")), distance)
 
 
 def wasserstein_values(p: Column, q: Column) -> Column:
@@ -78,7 +87,7 @@ def euclidean(p: Column, q: Column, n: int) -> Column:
 def distribution_change(current: Column, baseline: Column, n: int, method: str = "jensenshannon") -> Column:
     """Distance of two bin arrays, zero when either has no mass."""
     if method == "jensenshannon":
-        score = js_distance(current, baseline, n)
+        score = js_distance(current, baseline)
     elif method == "wasserstein":
         score = wasserstein_values(current, baseline)
     elif method == "euclidean":

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import words
 from fieldglass.operators.ordered import (
-    median_positions,
+    median_position,
     order_statistics,
     quantile_position,
     top_per_group,
-    upper_median_positions,
+    upper_median_position,
 )
 
 
@@ -69,14 +69,14 @@ def suite_summary(per_query: DataFrame, config: str = "config") -> DataFrame:
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")],
         F.avg("faithfulness").alias("faithfulness"),
     )
-    p50 = order_statistics(per_query, [config], "latency_ms", {"p50_ms": median_positions()}).drop("n")
+    p50 = order_statistics(per_query, [config], "latency_ms", {"p50_ms": median_position()}).drop("n")
     return means.join(p50, config, "left").withColumn("p50_ms", F.coalesce("p50_ms", F.lit(0.0)))
 
 
 def latency_summary(per_query: DataFrame, config: str = "config") -> DataFrame:
     """Ablation latencies: positions n//2 and int(0.95 n) of the sorted values, and the mean."""
     picks = order_statistics(
-        per_query, [config], "latency_ms", {"p50_ms": upper_median_positions(), "p95_ms": quantile_position(0.95)}
+        per_query, [config], "latency_ms", {"p50_ms": upper_median_position(), "p95_ms": quantile_position(0.95)}
     )
     means = per_query.groupBy(config).agg(F.avg("latency_ms").alias("mean_ms"))
     return picks.join(means, config)

@@ -9,6 +9,8 @@ and only those summaries are windowed over the whole key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,58 +107,55 @@ def running_last(
 
 
 def order_statistics(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    picks: dict[str, list[Column]],
-    slices: int = 256,
+    df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[float, list[Column]]], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact values at given 0-based positions of each group's sorted values.
 
-    ``picks`` maps an output name to position expressions over the column ``n``
-    (the group's count); several positions are averaged. Values are first
-    counted per distinct value, the counts are accumulated slice by slice along
-    approximate quantiles, and only the rows a position falls on are kept, so
-    no group is ever gathered.
+    ``picks`` maps an output name to the quantile it is near and to position
+    expressions over ``n`` (the group's count); several positions are averaged.
+
+    An approximate quantile on either side brackets each position. Distinct
+    values are counted, counts are summed per bracket, and only brackets a
+    position really falls into are sorted, so no group is ever gathered. The
+    brackets decide how much is sorted, never the result.
     """
     rows = df.filter(F.col(value).isNotNull())
+    margin = 4.0 / accuracy
+    probs = sorted({min(max(q + d, 0.0), 1.0) for q, _ in picks.values() for d in (-margin, margin)})
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / slices for i in range(1, slices)]
     bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10 * slices).alias("_b"), F.count(F.lit(1)).alias("n")
+        F.percentile_approx(value, probs, accuracy).alias("_b"), F.count(F.lit(1)).alias("n")
     )
-    placed = counts.join(bounds, keys)
-    upto = running_totals(
-        placed,
-        keys,
-        [value],
-        {"_end": F.col("_c")},
-        F.size(F.filter("_b", lambda b: b < F.col(value))),
+    placed = counts.join(bounds, keys).withColumn("_slice", F.size(F.filter("_b", lambda b: b < F.col(value))))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "n", "_slice").agg(F.sum("_c").alias("_t"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    inside = lambda p, low, count: (p >= low) & (p < low + count)
+    wanted = reduce(
+        lambda x, y: x | y, [inside(p, F.col("_before"), F.col("_t")) for _, ps in picks.values() for p in ps]
     )
-    aggs = []
-    for name, positions in picks.items():
-        parts = [
-            F.max(F.when((p >= F.col("_end") - F.col("_c")) & (p < F.col("_end")), F.col(value)))
-            for p in positions
-        ]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        aggs.append((total / F.lit(len(parts))).alias(name))
-    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-
-
-def median_positions() -> list[Column]:
+    hit = totals.filter(wanted).select(*keys, "_slice", "_before")
+    upto = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.join(hit, [*keys, "_slice"]).withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    at = lambda p: F.max(F.when(inside(p, F.col("_end") - F.col("_c"), F.col("_c")), F.col(value)))
+    aggs = [
+        (reduce(lambda x, y: x + y, [at(p) for p in ps]) / F.lit(len(ps))).alias(name) for name, (_, ps) in picks.items()
+    ]
+    return ends.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+
+
+def median_position() -> tuple[float, list[Column]]:
     """True median: the mean of the two middle values."""
-    return [F.expr("(n - 1) div 2"), F.expr("n div 2")]
+    return 0.5, [F.expr("(n - 1) div 2"), F.expr("n div 2")]
 
 
-def upper_median_positions() -> list[Column]:
-    return [F.expr("n div 2")]
+def upper_median_position() -> tuple[float, list[Column]]:
+    return 0.5, [F.expr("n div 2")]
 
 
-def quantile_position(q: float) -> list[Column]:
-    return [F.floor(F.col("n") * F.lit(float(q)))]
+def quantile_position(q: float) -> tuple[float, list[Column]]:
+    """Position ``int(n * q)``."""
+    return q, [F.floor(F.col("n") * F.lit(float(q)))]
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

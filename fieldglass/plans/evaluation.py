@@ -10,7 +10,7 @@ ROUTES = ["en", "fr", "de", "es", "other"]
 
 def gold(t):
     """Per order the smallest supplier as gold document; odd orders also ask for a section."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    lines = t.lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
     joined = lines.join(t.orders, lines.l_orderkey == F.col("o_orderkey"))
     return joined.select(
         F.col("l_orderkey").alias("query_id"),
@@ -21,7 +21,7 @@ def gold(t):
 
 
 def retrieved(t):
-    return t.lineitem.select(
+    return t.lines.select(
         F.col("l_orderkey").alias("query_id"),
         F.col("l_linenumber").alias("rank"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source_doc"),
@@ -75,7 +75,7 @@ def metrics_by_type(t):
        FROM lineitem WHERE l_linenumber<=3 GROUP BY 1""",
 )
 def precision_at_k(t):
-    li = t.lineitem.select(
+    li = t.lines.select(
         F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"),
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("item"), "l_returnflag",
     )

@@ -98,7 +98,7 @@ def node_filter(t):
 
 
 def scored_edges(t):
-    li = t.lineitem
+    li = t.lines
     return li.select(
         _id("O", "l_orderkey").alias("from_id"),
         _id("S", "l_suppkey").alias("to_id"),
@@ -198,7 +198,7 @@ def model_paths(t):
 
 def task_table(t):
     """Order lines as tasks that wait for the line before; some wait for a task nobody has."""
-    li = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+    li = t.lines.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_linestatus").alias("s"), F.min("l_returnflag").alias("r"), F.min("l_partkey").alias("p")
     )
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -395,7 +395,7 @@ def validate_values(t):
         F.when(kind == 0, F.col("l_quantity").cast("long").cast("string")).when(kind == 1, F.col("l_suppkey").cast("string"))
         .when(kind == 2, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
     )
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), value.alias("v"), info.alias("i"))
+    rows = t.lines.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), value.alias("v"), info.alias("i"))
     return rows.select("l_orderkey", "l_linenumber", "x", tree.validation_error(F.col("v"), F.col("i")).isNull().alias("valid"))
 
 
@@ -415,7 +415,7 @@ def validate_nodes(t):
 
 def triples(t):
     """Order lines as triples: supplier delivers part, some of them unusable."""
-    li = t.lineitem
+    li = t.lines
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"),
         F.when(F.col("l_orderkey") % 97 != 0, _id("S", "l_suppkey")).alias("subject"),
@@ -474,7 +474,7 @@ def triple_edges(t):
     "SELECT l_suppkey, count(DISTINCT l_partkey) AS chunks FROM lineitem GROUP BY 1",
 )
 def provenance(t):
-    p = ontology.provenance(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("chunk_id")), ["l_suppkey"])
+    p = ontology.provenance(t.lines.select("l_suppkey", F.col("l_partkey").alias("chunk_id")), ["l_suppkey"])
     return p.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("chunks"))
 
 

@@ -26,6 +26,12 @@ class Tables:
         """The documents, spread by id for work on their whole texts."""
         return spread(self.documents, "doc_id")
 
+    @property
+    def lines(self) -> DataFrame:
+        """The order lines, spread by order."""
+        return spread(self.lineitem, "l_orderkey")
+
+
 
 def register(name: str, sql: str | None = None):
     def keep(fn: Callable[[Tables], DataFrame]):

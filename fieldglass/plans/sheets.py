@@ -89,7 +89,7 @@ def alarm_keywords(t):
 def alarm_lookup(t):
     good = records.alarm_records(alarm_cells(t))[0]
     code = F.concat(F.lit(" h"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit("d"))
-    asked = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), code.alias("code"))
+    asked = t.lines.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), code.alias("code"))
     return records.alarm_lookup(asked, good, "code", ["row"]).select("l_orderkey", "l_linenumber", "x", "alarm_id", "alarm_name")
 
 
@@ -191,7 +191,7 @@ def parameter_texts(t):
 def value_ranges(t):
     q, s = F.col("l_quantity").cast("long").cast("string"), F.col("l_suppkey").cast("string")
     raw = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("-"), q)).when(F.col("l_linenumber") % 3 == 1, F.concat(q, F.lit(" ~ "), s)).otherwise(q)
-    return t.lineitem.select(
+    return t.lines.select(
         "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), tx.range_low(raw).alias("low"), tx.range_high(raw).alias("high")
     )
 

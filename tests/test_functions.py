@@ -21,9 +21,9 @@ def doubles(*values):
 
 
 def test_js_distance(spark):
-    got = one(spark, vectors.js_distance(doubles(0.5, 0.5, 0), doubles(0.25, 0.25, 0.5), 3))
+    got = one(spark, vectors.js_distance(doubles(0.5, 0.5, 0), doubles(0.25, 0.25, 0.5)))
     assert got == pytest.approx(0.464501, abs=1e-6)
-    assert one(spark, vectors.js_distance(doubles(1, 0), doubles(0, 1), 2)) == pytest.approx(math.sqrt(math.log(2)))
+    assert one(spark, vectors.js_distance(doubles(1, 0), doubles(0, 1))) == pytest.approx(math.sqrt(math.log(2)))
 
 
 def test_zero_mass_scores_zero(spark):

@@ -42,14 +42,15 @@ def test_running_last(series, rows, width):
     assert rows(got, "k", "t", "i", "l") == rows(want, "k", "t", "i", "l")
 
 
-def test_order_statistics(series):
+@pytest.mark.parametrize("accuracy", [5, 10_000])
+def test_order_statistics(series, accuracy):
     known = series.filter(F.col("k").isNotNull())
     picks = {
-        "median": ordered.median_positions(),
-        "upper": ordered.upper_median_positions(),
+        "median": ordered.median_position(),
+        "upper": ordered.upper_median_position(),
         "p95": ordered.quantile_position(0.95),
     }
-    got = {r["k"]: r for r in ordered.order_statistics(known, ["k"], "v", picks, slices=8).collect()}
+    got = {r["k"]: r for r in ordered.order_statistics(known, ["k"], "v", picks, accuracy).collect()}
     groups = {}
     for r in known.collect():
         groups.setdefault(r["k"], []).append(r["v"])
