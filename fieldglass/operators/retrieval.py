@@ -20,6 +20,7 @@ from fieldglass.operators.ordered import first_per_key, top_per_group
 from fieldglass.session import blocks, union_all
 
 QUERY_BLOCK = 512
+TERM_CELLS = 1 << 23
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -137,6 +138,20 @@ def centroids(examples: DataFrame, label: str = "label", vector: str = "embeddin
     return ordered.select(label, l2_normalise(F.col("mean")).alias("centroid"))
 
 
+def _term_blocks(query_blocks: Iterator[list]) -> Iterator[tuple[list, list[str]]]:
+    """Query blocks with their terms, halved until terms x queries fits ``TERM_CELLS``."""
+    for block in query_blocks:
+        open_ = [block]
+        while open_:
+            part = open_.pop()
+            vocab = sorted({w for r in part for w in r["tokens"]})
+            if len(vocab) * len(part) > TERM_CELLS and len(part) > 1:
+                half = len(part) // 2
+                open_ += [part[half:], part[:half]]
+            elif vocab:
+                yield part, vocab
+
+
 def bm25_top_k(
     docs: DataFrame,
     queries: DataFrame,
@@ -147,12 +162,13 @@ def bm25_top_k(
     query_text: str = "query",
     k1: float = fixed.BM25_K1,
     b: float = fixed.BM25_B,
-    block_rows: int = 256,
+    block_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Lexical top-k over whole texts: ``(query_id, item_id, score, rank)``.
 
     Corpus size, mean length and the document frequency of the query terms come
-    from aggregates; scoring is one more scan of the tokens per query block.
+    from aggregates; scoring is one more scan of the tokens per query block. A
+    block is bounded in its queries and in its table of terms by queries.
     """
     spark = docs.sparkSession
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(docs, doc_id)}, score double"
@@ -160,10 +176,7 @@ def bm25_top_k(
     corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
     asked = queries.select(F.col(query_id).alias("query_id"), word_tokens(F.col(query_text)).alias("tokens"))
     frames = []
-    for block in blocks(asked, ["query_id"], block_rows):
-        vocab = sorted({w for r in block for w in r["tokens"]})
-        if not vocab:
-            continue
+    for block, vocab in _term_blocks(blocks(asked, ["query_id"], block_rows)):
         terms = spark.createDataFrame(list(enumerate(vocab)), "t int, term string")
         freq = (
             tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))

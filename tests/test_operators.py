@@ -67,10 +67,13 @@ def test_vector_search_without_queries(spark):
     assert retrieval.vector_top_k(i, q, 3).count() == 0
 
 
-def test_bm25_blocks_agree(spark, rows):
+def test_bm25_blocks_agree(spark, rows, monkeypatch):
     docs = spark.createDataFrame([(i, "a " * (i % 4) + "b c " + ("rare" if i == 5 else "")) for i in range(20)], "doc_id int, text string").repartition(5)
     q = spark.createDataFrame([(1, "a rare"), (2, "c"), (3, "zzz"), (4, "")], "query_id int, query string")
     one, many = retrieval.bm25_top_k(docs, q, 4), retrieval.bm25_top_k(docs, q, 4, block_rows=1)
+    monkeypatch.setattr(retrieval, "TERM_CELLS", 2)
+    halved = retrieval.bm25_top_k(docs, q, 4)
+    assert rows(one, "query_id", "item_id", "rank") == rows(halved, "query_id", "item_id", "rank")
     assert rows(one, "query_id", "item_id", "rank") == rows(many, "query_id", "item_id", "rank")
     assert one.filter("query_id = 1 AND rank = 1").first().item_id == 5
     assert one.filter("query_id = 2").count() == 4 and one.filter("query_id > 2").count() == 0
