@@ -6,6 +6,7 @@ from fieldglass import fixed_values as fixed
 from fieldglass.functions import vectors
 from fieldglass.operators import predicates, retrieval, routing
 from fieldglass.plans.registry import register
+from fieldglass.session import cut_lineage
 
 _UNIT = """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
  n AS (SELECT vec_id, label, list_transform(e, lambda x: x/sqrt(list_sum(list_transform(e, lambda y: y*y)))) AS e FROM u),
@@ -71,7 +72,7 @@ _FIELD_SQL = (
 def field_hits(t, k):
     """Four rankings per class: each quarter of the vectors stands for one search field."""
     frames = []
-    cents = class_centroids(t)
+    cents = cut_lineage(class_centroids(t))  # one row per class, read by four searches
     for i, field in enumerate(_FIELDS):
         part = lambda c: F.slice(F.col(c), 16 * i + 1, 16)
         items = t.embeddings.select(F.col("vec_id").alias("item_id"), part("embedding").alias("embedding"))
@@ -114,7 +115,7 @@ def rrf_fusion(t):
 )
 def cross_collection(t):
     """Three collections searched apart, their results merged by score."""
-    queries = class_centroids(t).select(F.col("label").alias("query_id"), F.col("centroid").alias("embedding"))
+    queries = cut_lineage(class_centroids(t)).select(F.col("label").alias("query_id"), F.col("centroid").alias("embedding"))
     hits = [
         retrieval.vector_top_k(t.embeddings.filter(F.col("vec_id") % 3 == c), queries, 5, "vec_id").drop("rank")
         for c in range(3)
