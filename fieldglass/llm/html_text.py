@@ -34,15 +34,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag on the left ends an open element of the tags on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead"), "thead": ("tbody",)}
+#: An element left open is not looked for beyond these.
+SCOPES = CONTAINERS | {"ul", "ol", "table", "blockquote"}
 #: Class and id words of page furniture.
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adbox|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert"
     r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|masthead|site-header|page-header|top-bar|topbar|comment|comments|commentlist|reply|replies|respond|discussion|disqus"
     r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|widget|copyright|skip|hidden)(?:$|[\s_-])|^header$|^header\s|\sheader$|\sheader\s", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<text>[^<]+|<)", re.I | re.S)
+#: Comments and elements whose content is not markup.
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.I | re.S)
+TAG = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)|[!?][^>]*)>")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -56,49 +58,58 @@ class Page:
         self.texts: list[tuple[int, str | None, bool]] = []
         stack: list[tuple[str, int]] = [("", 0)]
         links = 0
-        for m in TOKEN.finditer(html):
-            kind = m.lastgroup
-            if kind == "text":
-                self.texts.append((stack[-1][1], m["text"], links > 0))
-                continue
-            tag = m["tag"]
+        parts = TAG.split(RAW.sub("", html))
+        texts, top = self.texts, 0
+        for k in range(0, len(parts), 4):
+            if parts[k]:
+                texts.append((top, parts[k], links > 0))
+            tag = parts[k + 2] if k + 2 < len(parts) else None
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag in BLOCKS:
-                self.texts.append((stack[-1][1], None, False))
-            if m["end"]:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                # an inline element that was left open does not end the blocks opened since
-                if at and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[at + 1 :])):
+            block = tag in BLOCKS
+            if block:
+                texts.append((top, None, False))
+            if parts[k + 1]:
+                at = len(stack) - 1
+                while at and stack[at][0] != tag:
+                    # an inline element that was left open does not end the blocks opened since
+                    at = 0 if not block and stack[at][0] in BLOCKS else at - 1
+                if at:
                     links -= sum(t == "a" for t, _ in stack[at:])
                     del stack[at:]
+                    top = stack[-1][1]
                 continue
             if tag == "br":
-                self.texts.append((stack[-1][1], " ", False))
+                texts.append((top, " ", False))
             if tag in VOID:
                 continue
-            closed = ("p",) if tag in BLOCKS else ()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closed or stack[k][0] in ENDS.get(tag, ()):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol", "table", "blockquote"):
-                    break
-            parent = stack[-1][1]
-            attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m["attrs"])} if "=" in m["attrs"] or "hidden" in m["attrs"] else {}
-            words = " ".join(attrs[a] for a in ("class", "id") if a in attrs)
-            drop = (
-                self.dropped[parent] or tag in SKIPPED or (tag not in ("html", "body", "main", "article") and words and FURNITURE.search(words) is not None)
-                or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
-                or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None)
-            names = sorted(set(re.sub(r"\d+", "0", attrs.get("class", "")).lower().split()))
+            if block or tag in ENDS:
+                ended = ENDS.get(tag, ())
+                for at in range(len(stack) - 1, 0, -1):
+                    name = stack[at][0]
+                    if name in ended or (block and name == "p"):
+                        links -= sum(t == "a" for t, _ in stack[at:])
+                        del stack[at:]
+                        break
+                    if name in SCOPES:
+                        break
+            parent, raw = stack[-1][1], parts[k + 3]
+            attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(raw)} if raw else {}
+            drop, path = self.dropped[parent] or tag in SKIPPED, tag
+            if attrs:
+                words = " ".join(attrs[a] for a in ("class", "id") if a in attrs)
+                drop = (
+                    drop or (tag not in ("html", "body", "main", "article") and bool(words) and FURNITURE.search(words) is not None)
+                    or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+                    or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None)
+                path = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", attrs.get("class", "")).lower().split()))])
             self.parents.append(parent)
-            self.paths.append(f"{self.paths[parent]}>{'.'.join([tag, *names])}")
+            self.paths.append(f"{self.paths[parent]}>{path}")
             self.dropped.append(drop)
             self.containers.append(tag in CONTAINERS and not drop)
-            stack.append((tag, len(self.parents) - 1))
+            top = len(self.parents) - 1
+            stack.append((tag, top))
             links += tag == "a"
 
     def best(self) -> tuple[int, int]:
