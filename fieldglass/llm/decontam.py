@@ -94,7 +94,7 @@ def _scan(docs: DataFrame, windows: tuple, text: str) -> DataFrame:
             rows.append((len(words), *scan_words(words, *shared.value)))
         return pd.DataFrame(rows, columns=["n_words", "hits", "items"])
 
-    return docs.withColumn("_found", scan(F.col(text)))
+    return docs.withColumn("__found", scan(F.col(text)))
 
 
 def _join(docs: DataFrame, items: DataFrame, text: str, window: int, key: str) -> DataFrame:
@@ -107,29 +107,29 @@ def _join(docs: DataFrame, items: DataFrame, text: str, window: int, key: str) -
     of_items = of_items.groupBy("length", "window").agg(F.collect_set("item_id").alias("owners")).cache()
     lengths = [r["length"] for r in of_items.select("length").distinct().collect()]
     words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    texts = docs.select(F.col(key).alias("_key"), F.md5(F.coalesce(text, F.lit(""))).alias("_md5"), words.alias("words"))
+    texts = docs.select(F.col(key).alias("__key"), F.md5(F.coalesce(text, F.lit(""))).alias("__md5"), words.alias("words"))
     parts = None
     for length in lengths:
-        part = windows(texts.withColumn("length", F.lit(length)), F.lit(length), "_key", "_md5", "length")
+        part = windows(texts.withColumn("length", F.lit(length)), F.lit(length), "__key", "__md5", "length")
         parts = part if parts is None else parts.unionByName(part)
     covered = F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)
-    hits = parts.join(of_items, ["length", "window"]).groupBy("_key", "_md5").agg(
+    hits = parts.join(of_items, ["length", "window"]).groupBy("__key", "__md5").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(covered)))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
-    left = docs.withColumns({"_md5": F.md5(F.coalesce(text, F.lit(""))), "_n": F.size(words).cast("bigint")}).alias("d")
-    joined = left.join(hits.alias("h"), F.col(f"d.{key}").eqNullSafe(F.col("h._key")) & (F.col("d._md5") == F.col("h._md5")), "left")
-    found = F.struct(F.col("_n").alias("n_words"), F.coalesce(F.col("h.hits"), F.array().cast("array<int>")).alias("hits"),
+    left = docs.withColumns({"__md5": F.md5(F.coalesce(text, F.lit(""))), "__n": F.size(words).cast("bigint")}).alias("d")
+    joined = left.join(hits.alias("h"), F.col(f"d.{key}").eqNullSafe(F.col("h.__key")) & (F.col("d.__md5") == F.col("h.__md5")), "left")
+    found = F.struct(F.col("__n").alias("n_words"), F.coalesce(F.col("h.hits"), F.array().cast("array<int>")).alias("hits"),
                      F.coalesce(F.col("h.items"), F.array().cast("array<bigint>")).alias("items"))
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], found.alias("_found"))
+    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], found.alias("__found"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: its words, hit words, items found and a digest of the items' ids."""
     found = find_hits(docs.select("doc_id", "text"), benchmark, **options)
-    ids = F.array_join(F.array_sort(F.transform("_found.items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort(F.transform("__found.items", lambda i: i.cast("string"))), ",")
     return found.select(
-        "doc_id", F.col("_found.n_words").alias("n_words"), F.size("_found.hits").cast("bigint").alias("n_hit"),
-        F.size("_found.items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("_found.hits") > 0).alias("contaminated"))
+        "doc_id", F.col("__found.n_words").alias("n_words"), F.size("__found.hits").cast("bigint").alias("n_hit"),
+        F.size("__found.items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("__found.hits") > 0).alias("contaminated"))
 
 
 def cut_words(text: str, hits) -> str:
@@ -161,9 +161,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", dro
         return pd.Series([cut_words(x, h) for x, h in zip(texts, hits, strict=True)], dtype=object)
 
     found = find_hits(docs, benchmark, doc_text=text, **options)
-    n_hit = F.size("_found.hits")
-    kept = found.where((n_hit == 0) | (n_hit <= F.col("_found.n_words") * drop_share))
-    return kept.withColumn(text, F.when(n_hit == 0, F.col(text)).otherwise(cut(F.coalesce(text, F.lit("")), F.col("_found.hits")))).drop("_found")
+    n_hit = F.size("__found.hits")
+    kept = found.where((n_hit == 0) | (n_hit <= F.col("__found.n_words") * drop_share))
+    return kept.withColumn(text, F.when(n_hit == 0, F.col(text)).otherwise(cut(F.coalesce(text, F.lit("")), F.col("__found.hits")))).drop("__found")
 
 
 def contamination_sql(window: int = WINDOW) -> str:

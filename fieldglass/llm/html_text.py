@@ -171,9 +171,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
-    """``pages`` with ``_text``, the main text, for columns ``url`` and ``html``."""
-    named = pages.withColumn("_host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    winners = materialise(host_paths(named.select(F.col("_host").alias("host"), "html")).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "host_paths")
+    """``pages`` with ``__text``, the main text, for columns ``url`` and ``html``."""
+    named = pages.withColumn("__host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    winners = materialise(host_paths(named.select(F.col("__host").alias("host"), "html")).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host_paths")
     # one short row for each host: sent to all tasks while they are few, else joined
     side = F.broadcast(winners) if winners.count() <= max_hosts else winners
 
@@ -183,10 +183,10 @@ def extract(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
 
         return pd.Series([Page(h).text(p) if h else "" for h, p in zip(htmls, paths, strict=True)], dtype=object)
 
-    return named.join(side, "_host", "left").withColumn("_text", text(F.col("html"), F.col("_path"))).drop("_host", "_path")
+    return named.join(side, "__host", "left").withColumn("__text", text(F.col("html"), F.col("__path"))).drop("__host", "__path")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``."""
     found = extract(pages.select("page_id", "url", "html"))
-    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_chars"))
+    return found.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("bigint").alias("n_chars"))

@@ -113,7 +113,7 @@ def chance_answers(planes: np.ndarray, n: int) -> np.ndarray:
 
 
 def identify(docs: DataFrame, languages: list[str], planes: np.ndarray, sizes: tuple[int, ...] = GRAMS, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang``: the language (``lang_pred``) and its share of all corrected answers (``score``)."""
+    """``docs`` with ``__lang``: the language (``lang_pred``) and its share of all corrected answers (``score``)."""
     chance = chance_answers(planes, max(1, len(languages)))
     shared = docs.sparkSession.sparkContext.broadcast((languages, planes, chance, sizes))
 
@@ -136,11 +136,11 @@ def identify(docs: DataFrame, languages: list[str], planes: np.ndarray, sizes: t
             out.append((languages[best], float(own[best] / own.sum()) if own.sum() > 0 else 0.0))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lang", predict(F.col(text)))
+    return docs.withColumn("__lang", predict(F.col(text)))
 
 
 def predicted_languages(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``lang_pred``, ``score``."""
     languages, planes = learn(docs.select("doc_id", "text", "lang"))
     found = identify(docs.select("doc_id", "text"), languages, planes)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))

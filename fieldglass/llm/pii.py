@@ -154,8 +154,8 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     at = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])[F.col("kind")]
     span = F.struct(at.alias("at"), "start", "end", "kind")
     found = materialise(every.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(span)).alias("spans")), "spans").alias("s")  # spans of one text
-    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._digest") == F.col("s.digest"))
+    rows = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__digest") == F.col("s.digest"))
     spans = F.coalesce("s.spans", F.array().cast(found.schema["spans"].dataType))
     return rows.join(found, same, "left").select(*[F.col(f"d.{c}") for c in docs.columns if c != "spans"], spans.alias("spans"))
 

@@ -105,26 +105,26 @@ def measures(text: str = "text") -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_q``: the counts, ``base_failed`` and ``kept``."""
-    m, w = F.col("_m"), F.col("_m.words")
+    """``docs`` with ``__quality``: the counts, ``base_failed`` and ``kept``."""
+    m, w = F.col("__measures"), F.col("__measures.words")
     failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEAT_PERCENT * w["n_words"])
     kept = ~failed & (m["lost_chars"] <= w["word_chars"] * MAX_LOST)
     named = F.struct(
         w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"),
         w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), kept.alias("kept"), m["lost_chars"].alias("lost_chars"))
-    return docs.withColumn("_m", measures(text)).withColumn("_q", named).drop("_m")
+    return docs.withColumn("__measures", measures(text)).withColumn("__quality", named).drop("__measures")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document with its counts and the verdict."""
-    return judge(docs.select("doc_id", "text")).select("doc_id", "_q.*")
+    return judge(docs.select("doc_id", "text")).select("doc_id", "__quality.*")
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """Kept documents with their failing lines removed; a text without any such line stays as it is."""
     lines = F.split(F.col(text), "\n")
     left = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
-    return judge(docs, text).where("_q.kept").withColumn(text, F.when(F.col("_q.lost_chars") > 0, left).otherwise(F.col(text))).drop("_q")
+    return judge(docs, text).where("__quality.kept").withColumn(text, F.when(F.col("__quality.lost_chars") > 0, left).otherwise(F.col(text))).drop("__quality")
 
 
 def quality_sql() -> str:

@@ -155,7 +155,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             out.append("".join([*parts, text[last:]]))
         return pd.Series(out, dtype=object)
 
-    named = docs.withColumn("_blob", blob_of(F.col("text"))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._blob") == F.col("f.blob"))
+    named = docs.withColumn("__blob", blob_of(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__blob") == F.col("f.blob"))
     joined = named.join(hit, same, "left")
     return joined.select(*[F.when(F.col("f.findings").isNull(), F.col("d.text")).otherwise(cut(F.col("d.text"), F.col("f.findings"))).alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])

@@ -271,6 +271,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with the first document of each component; one row of it if that row is repeated."""
     first = grouped(docs, radius).select("first.doc_id", "first.digest").distinct().alias("f")
-    named = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._digest") == F.col("f.digest"))
-    return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    named = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__digest") == F.col("f.digest"))
+    return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

@@ -215,8 +215,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "words_sha256")).alias("kept_sha256")]
     if with_text:
-        own = docs.select(F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"), "text").dropDuplicates(["_id", "_digest"])
-        rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+        own = docs.select(F.col("doc_id").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__digest"), "text").dropDuplicates(["__id", "__digest"])
+        rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
         plain = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
         out.append(F.when(whole, F.lit("")).otherwise(F.coalesce("left_text", plain)).alias("kept_text"))
     return rows.select(*out)
