@@ -196,11 +196,16 @@ def by_type(details: DataFrame) -> DataFrame:
     )
 
 
-def precision_at_k(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """Expected items among the first k, divided by k even when fewer came back."""
-    e = expected.select("query_id", "item").distinct().withColumn("_e", F.lit(1))
-    top = ranked.filter(F.col("rank") <= k).join(e, ["query_id", "item"], "left")
-    return top.groupBy("query_id").agg((F.sum(F.coalesce("_e", F.lit(0))) / F.lit(float(k))).alias("precision"))
+def precision_at_k(ranked: DataFrame, expected: DataFrame, k: int, questions: DataFrame | None = None) -> DataFrame:
+    """Expected items among the first k, divided by k even when fewer came back.
+
+    One row for each of ``questions`` (all that have expected or ranked items, if not given); without results it scores 0.
+    """
+    asked = questions if questions is not None else expected.select("query_id").union(ranked.select("query_id"))
+    e = expected.select("query_id", "item").distinct()
+    hits = ranked.filter(F.col("rank") <= k).join(e, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    scored = asked.select("query_id").distinct().join(hits, "query_id", "left")
+    return scored.select("query_id", (F.coalesce("_n", F.lit(0)) / F.lit(float(k))).alias("precision"))
 
 
 def faithfulness(samples: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -158,10 +158,23 @@ def quantile_position(q: float) -> tuple[float, list[Column]]:
     return q, [F.floor(F.col("n") * F.lit(float(q)))]
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key. Spark keeps at most ``k`` per key in each map task before the shuffle."""
+#: Largest k for which Spark limits a window's rows before its shuffle.
+MAP_SIDE_K = 1000
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", salts: int = 64) -> DataFrame:
+    """First ``k`` rows per key.
+
+    Spark keeps at most ``k`` per key in each map task before the shuffle, up to a ``k`` of
+    ``MAP_SIDE_K``. Beyond it each key is dealt to ``salts`` parts that are cut to k first.
+    """
+    cut = df
+    if k > MAP_SIDE_K:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if not df.schema[c].dataType.typeName() == "map"]), F.lit(salts)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        cut = salted.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= k).drop("_salt", rank)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return cut.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

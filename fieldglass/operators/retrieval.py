@@ -1,13 +1,14 @@
 """Dense and lexical top-k search, fusion, reranking and result merging.
 
-The query side of a search goes to the tasks in blocks of bounded length; each
-block is one scan of the items that keeps, per batch, only rows that can still
-be among a query's first k. Nothing is emitted per (query, item) pair.
+A search deals items and queries into blocks of bounded length and compares each block of
+items with each block of queries in a task of its own, as one matrix product that keeps at most
+k rows per query. Items and texts are read once for any number of queries, nothing is emitted
+per (query, item) pair, and neither side passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import word_tokens
 from fieldglass.operators.ordered import first_per_key, top_per_group
-from fieldglass.session import blocks, union_all
+from fieldglass.session import cut_lineage, union_all
 
-QUERY_BLOCK = 512
-TERM_CELLS = 1 << 23
+QUERY_BLOCK, ITEM_BLOCK = 512, 4096
+#: Classes that one task compares a vector with; a routing table, not a collection.
+MOST_CENTROIDS = 4096
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -55,6 +57,37 @@ def _type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def usable_vector(vector: Column, length: Column | None = None) -> Column:
+    """False for null and empty vectors, vectors with a null or NaN entry, and those of another length."""
+    plain = vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    fits = plain if length is None else plain & (F.size(vector) == length)
+    return F.coalesce(fits, F.lit(False))
+
+
+def unusable_vectors(df: DataFrame, vector: str, dimensions: int) -> DataFrame:
+    """Rows that a search over vectors of this many dimensions leaves out."""
+    return df.filter(~usable_vector(F.col(vector), F.lit(dimensions)))
+
+
+def block_join(items: DataFrame, queries: DataFrame, compare: Callable, schema: str, item_rows: int = ITEM_BLOCK, query_rows: int = QUERY_BLOCK) -> DataFrame:
+    """``compare(items, queries)`` for every block of items with every block of queries.
+
+    ``items`` have ``item_id``, ``queries`` have ``query_id``. Blocks come from a hash of the id; their
+    number from two counts. Each item travels once per block of queries and each query once per
+    block of items, so the smaller side pays for the blocks of the larger one.
+    """
+    n_items = max(1, -(-items.count() // item_rows))
+    n_queries = max(1, -(-queries.count() // query_rows))
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = items.withColumn("_i", F.pmod(F.xxhash64("item_id"), F.lit(n_items)).cast("int")).withColumn("_j", other(n_queries))
+    right = queries.withColumn("_j", F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int")).withColumn("_i", other(n_items))
+
+    def both(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return compare(mine, asked) if len(mine) and len(asked) else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(both, schema)
+
+
 def vector_top_k(
     items: DataFrame,
     queries: DataFrame,
@@ -63,28 +96,28 @@ def vector_top_k(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
-    block_rows: int = QUERY_BLOCK,
+    query_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Exact cosine top-k: ``(query_id, item_id, score, rank)``, ties by item id."""
+    """Exact cosine top-k: ``(query_id, item_id, score, rank)``, ties by item id.
+
+    Rows without a usable vector are left out; ``unusable_vectors`` names them. A query is
+    compared with the items of its own length.
+    """
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(items, item_id)}, score double"
-    source = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"))
-    frames = []
-    for block in blocks(queries.select(query_id, query_vector), [query_id], block_rows):
-        ids = [r[0] for r in block]
-        matrix = _unit_rows([r[1] for r in block]).T
+    mine = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v")).filter(usable_vector(F.col("v")))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v")).filter(usable_vector(F.col("v")))
 
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    scores = _unit_rows(pdf["v"]) @ matrix
-                    best = _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, -np.inf)
-                    if len(best):
-                        yield best
+    def compare(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for size, part in queries.groupby(queries["v"].map(len)):
+            same = items[items["v"].map(len) == size]
+            if len(same):
+                scores = _unit_rows(same["v"]) @ _unit_rows(part["v"]).T
+                found.append(_best_of_batch(scores, same["item_id"].to_numpy(), part["query_id"].tolist(), k, -np.inf))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
-        frames.append(source.mapInPandas(scan, schema))
-    if not frames:
-        return items.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_per_group(union_all(frames), ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    best = block_join(mine, asked, compare, schema, query_rows=query_rows)
+    return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 def _centroid_scorer(block: list, label_type: str):
@@ -111,19 +144,20 @@ def nearest_centroid(
     vector: str = "embedding",
     label: str = "label",
     centroid: str = "centroid",
-    block_rows: int = 4096,
+    most: int = MOST_CENTROIDS,
 ) -> DataFrame:
-    """Add ``best_label`` and ``best_score``: the centroid with the largest dot product, first label on ties."""
+    """Add ``best_label`` and ``best_score``: the centroid with the largest dot product, first label on ties.
+
+    The centroids of a routing table, at most ``most`` rows, go to the tasks; more raise an error.
+    """
+    table = centroids.select(label, centroid).orderBy(label).limit(most + 1).collect()
+    if len(table) > most:
+        raise ValueError(f"more than {most} centroids: search them with vector_top_k")
     label_type = _type_of(centroids, label)
-    out = items.withColumn("best_label", F.lit(None).cast(label_type)).withColumn("best_score", F.lit(None).cast("double"))
-    for block in blocks(centroids.select(label, centroid), [label], block_rows):
-        best = _centroid_scorer(block, label_type)
-        scored = out.withColumn("_b", best(F.col(vector)))
-        better = F.col("best_score").isNull() | (F.col("_b.score") > F.col("best_score"))
-        out = scored.withColumn("best_label", F.when(better, F.col("_b.label")).otherwise(F.col("best_label"))).withColumn(
-            "best_score", F.when(better, F.col("_b.score")).otherwise(F.col("best_score"))
-        ).drop("_b")
-    return out
+    if not table:
+        return items.withColumn("best_label", F.lit(None).cast(label_type)).withColumn("best_score", F.lit(None).cast("double"))
+    scored = items.withColumn("_b", _centroid_scorer(table, label_type)(F.col(vector)))
+    return scored.withColumn("best_label", F.col("_b.label")).withColumn("best_score", F.col("_b.score")).drop("_b")
 
 
 def centroids(examples: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -138,20 +172,6 @@ def centroids(examples: DataFrame, label: str = "label", vector: str = "embeddin
     return ordered.select(label, l2_normalise(F.col("mean")).alias("centroid"))
 
 
-def _term_blocks(query_blocks: Iterator[list]) -> Iterator[tuple[list, list[str]]]:
-    """Query blocks with their terms, halved until terms x queries fits ``TERM_CELLS``."""
-    for block in query_blocks:
-        open_ = [block]
-        while open_:
-            part = open_.pop()
-            vocab = sorted({w for r in part for w in r["tokens"]})
-            if len(vocab) * len(part) > TERM_CELLS and len(part) > 1:
-                half = len(part) // 2
-                open_ += [part[half:], part[:half]]
-            elif vocab:
-                yield part, vocab
-
-
 def bm25_top_k(
     docs: DataFrame,
     queries: DataFrame,
@@ -162,60 +182,72 @@ def bm25_top_k(
     query_text: str = "query",
     k1: float = fixed.BM25_K1,
     b: float = fixed.BM25_B,
-    block_rows: int = QUERY_BLOCK,
+    query_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Lexical top-k over whole texts: ``(query_id, item_id, score, rank)``.
 
-    Corpus size, mean length and the document frequency of the query terms come
-    from aggregates; scoring is one more scan of the tokens per query block. A
-    block is bounded in its queries and in its table of terms by queries.
+    The texts are tokenised once: their tokens are cut to the terms that queries use and counted
+    per document, and those counts, written out, give both the document frequencies and the
+    vectors that are scored. A null text has no words but counts as a document.
     """
-    spark = docs.sparkSession
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(docs, doc_id)}, score double"
-    tokens = docs.select(F.col(doc_id).alias("item_id"), word_tokens(F.col(text)).alias("tokens"))
-    corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    asked = queries.select(F.col(query_id).alias("query_id"), word_tokens(F.col(query_text)).alias("tokens"))
-    frames = []
-    for block, vocab in _term_blocks(blocks(asked, ["query_id"], block_rows)):
-        terms = spark.createDataFrame(list(enumerate(vocab)), "t int, term string")
-        freq = (
-            tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
-            .join(terms, "term")
-            .groupBy("t")
-            .agg(F.count(F.lit(1)).alias("df"))
-            .collect()  # one row per query term of the block
-        )
-        idf = np.zeros(len(vocab))
-        for r in freq:
-            idf[r["t"]] = np.log(1.0 + (corpus["n"] - r["df"] + 0.5) / (r["df"] + 0.5))
-        index = {w: i for i, w in enumerate(vocab)}
-        weights = np.zeros((len(vocab), len(block)))
-        for j, r in enumerate(block):
-            for w in r["tokens"]:
-                weights[index[w], j] += 1.0
-        weights *= idf[:, None]
-        shared = spark.sparkContext.broadcast((index, weights, [r["query_id"] for r in block]))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, avgdl=corpus["avgdl"]) -> Iterator[pd.DataFrame]:
-            index, weights, ids = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                scores = np.zeros((len(pdf), len(ids)))
-                for i, toks in enumerate(pdf["tokens"]):
-                    hits = [index[w] for w in toks if w in index]
-                    if hits:
-                        at, tf = np.unique(np.asarray(hits), return_counts=True)
-                        scale = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * len(toks) / avgdl))
-                        scores[i] = scale @ weights[at]
-                best = _best_of_batch(scores, pdf["item_id"].to_numpy(), ids, k, 0.0)
-                if len(best):
-                    yield best
-
-        frames.append(tokens.mapInPandas(scan, schema))
-    if not frames:
-        return spark.createDataFrame([], schema + ", rank int")
-    return top_per_group(union_all(frames), ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    tokens = lambda c: word_tokens(F.coalesce(F.col(c), F.lit("")))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.select("term").distinct()
+    sized = docs.select(F.col(doc_id).alias("item_id"), tokens(text).alias("t")).select("item_id", F.size("t").alias("dl"), "t")
+    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    held = sized.select("item_id", "dl", F.explode("t").alias("term")).join(wanted, "term")
+    counts = cut_lineage(held.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, avgdl = (corpus.select(c).scalar() for c in ("n", "avgdl"))
+    idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(frequency, "term").withColumn("w", F.col("qtf") * idf)
+    pack = lambda df, key, value: df.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list(value).alias("x"))  # noqa: E731  terms of one text
+    scale = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
+    mine = pack(counts.withColumn("s", scale), "item_id", "s")
+    wants = pack(weighted, "query_id", "w")
+
+    def compare(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        index: dict[str, int] = {}
+        for terms in queries["terms"]:
+            for w in terms:
+                index.setdefault(w, len(index))
+        weights = np.zeros((len(index), len(queries)))
+        for j, (terms, x) in enumerate(zip(queries["terms"], queries["x"], strict=True)):
+            weights[[index[w] for w in terms], j] = x
+        scores = np.zeros((len(items), len(queries)))
+        for i, (terms, x) in enumerate(zip(items["terms"], items["x"], strict=True)):
+            at = np.array([index.get(w, -1) for w in terms])
+            scores[i] = np.asarray(x)[at >= 0] @ weights[at[at >= 0]]
+        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, 0.0)
+
+    best = block_join(cut_lineage(mine), wants, compare, schema, query_rows=query_rows)
+    return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+
+
+def sparse_top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_id", vector: str = "sparse", query_id: str = "query_id", query_vector: str = "sparse") -> DataFrame:
+    """Top-k by the dot product of sparse vectors (``map<int,double>``): ``(query_id, item_id, score, rank)``.
+
+    Items without a shared dimension are no results; null maps and null values count as empty.
+    """
+    schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(items, item_id)}, score double"
+    flat = lambda df, key, c, name: df.select(F.col(key).alias(name), F.map_keys(c).alias("dims"), F.map_values(c).alias("x")).filter(F.size("dims") > 0)
+    clean = lambda df, c: df.withColumn(c, F.map_filter(F.col(c), lambda _, x: x.isNotNull() & ~F.isnan(x)))
+
+    def compare(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        index = {d: i for i, d in enumerate(sorted({d for dims in queries["dims"] for d in dims}))}
+        weights = np.zeros((len(index), len(queries)))
+        for j, (dims, x) in enumerate(zip(queries["dims"], queries["x"], strict=True)):
+            weights[[index[d] for d in dims], j] = x
+        scores = np.full((len(items), len(queries)), -np.inf)
+        for i, (dims, x) in enumerate(zip(items["dims"], items["x"], strict=True)):
+            at = np.array([index.get(d, -1) for d in dims])
+            rows = weights[at[at >= 0]]
+            scores[i] = np.where((rows != 0).any(axis=0), np.asarray(x)[at >= 0] @ rows, -np.inf)
+        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, -np.inf)
+
+    best = block_join(flat(clean(items, vector), item_id, vector, "item_id"), flat(clean(queries, query_vector), query_id, query_vector, "query_id"), compare, schema)
+    return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 def weighted_rank_fusion(
@@ -283,14 +315,16 @@ def attach_metadata(ranked: DataFrame, documents: DataFrame, columns: list[str],
     )
 
 
-def merge_key(item_id: Column, text: Column, prefix: int = 120) -> Column:
-    """Identity of a result: its id, or the start of its text when it has none."""
-    return F.coalesce(F.nullif(item_id.cast("string"), F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, prefix))
+def merge_key(item_id: Column, text: Column, prefix: int | None = None) -> Column:
+    """Identity of a result: its id, or its text when it has none; with ``prefix`` the start of the text."""
+    whole = F.coalesce(text, F.lit(""))
+    named = F.sha2(whole, 256) if prefix is None else F.substring(whole, 1, prefix)
+    return F.coalesce(F.concat(F.lit("i"), F.nullif(item_id.cast("string"), F.lit(""))), F.concat(F.lit("t"), named))
 
 
-def merge_results(results: DataFrame, order: list[str], top_k: int | None = None, by_score: bool = True) -> DataFrame:
+def merge_results(results: DataFrame, order: list[str], top_k: int | None = None, by_score: bool = True, prefix: int | None = None) -> DataFrame:
     """Union of result lists keeping each item's first appearance, per query, optionally cut to 2k."""
-    keyed = results.withColumn("_key", merge_key(F.col("item_id"), F.col("text")))
+    keyed = results.withColumn("_key", merge_key(F.col("item_id"), F.col("text"), prefix))
     first = first_per_key(keyed, ["query_id", "_key"], order).drop("_key")
     if top_k is None:
         return first

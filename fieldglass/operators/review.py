@@ -55,9 +55,10 @@ def merge_by_id(items: DataFrame, run: list[str], key: str, seq: str) -> DataFra
     return first_per_key(items.filter(F.coalesce(F.col(key), F.lit("")) != ""), [*run, key], [seq])
 
 
-def merge_history(history: DataFrame, run: list[str], seq: str) -> DataFrame:
-    """First entry per subtask and first hundred characters of its query."""
-    keyed = history.withColumn("_q", F.substring(F.coalesce("query", F.lit("")), 1, 100))
+def merge_history(history: DataFrame, run: list[str], seq: str, prefix: int | None = None) -> DataFrame:
+    """First entry per subtask and query; with ``prefix`` queries are told apart by so many first characters."""
+    query = F.coalesce("query", F.lit(""))
+    keyed = history.withColumn("_q", F.sha2(query, 256) if prefix is None else F.substring(query, 1, prefix))
     return first_per_key(keyed, [*run, "subtask_id", "_q"], [seq]).drop("_q")
 
 

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import let, strip, word_tokens
+from fieldglass.functions.text import strip, word_tokens
 from fieldglass.operators.predicates import is_noise_term
-from fieldglass.session import blocks, union_all
 
-TERM_BLOCK = 50_000
-RUN_WORDS = 4
-_WORD_CLASS = r"[\p{L}\p{N}_]"
+#: Characters at the start of a term that texts are joined on.
+GRAM = 3
 
 
 def _quoted(term: Column) -> Column:
@@ -23,110 +18,49 @@ def _quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _ngrams(text: Column, sizes: list[int]) -> Column:
-    """Distinct runs of 1..n whole words of a lower-cased text, with the characters between them."""
-    pieces = F.struct(
-        F.filter(F.split(text, f"{fixed.NON_WORD_CLASS}+"), lambda w: w != "").alias("w"),
-        F.split(text, f"{_WORD_CLASS}+").alias("s"),
-    )
-
-    def run(p: Column, i: Column, n: int) -> Column:
-        parts = [F.get(p["w"], i)]
-        for k in range(1, n):
-            parts += [F.get(p["s"], i + k), F.get(p["w"], i + k)]
-        return F.concat(*parts)  # null past the last word
-
-    def runs(p: Column) -> Column:
-        of_size = lambda n: p["w"] if n == 1 else F.transform(p["w"], lambda _, i: run(p, i, n))
-        found = [of_size(n) for n in sizes]
-        return F.array_distinct(F.array_compact(F.concat(*found)))
-
-    return let(pieces, runs)
-
-
 def match_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``(doc_id, term)`` where the term stands in the text as a whole word, ignoring case.
 
-    Terms of a few words are found by an equi-join of the dictionary with the
-    texts' own word runs, so there is no pass over text x terms. Longer terms and
-    terms with other characters at an edge are joined on their longest word,
-    which a match always contains as a complete word, and then checked against
-    the text with the pattern itself. A term without any letter or digit has no
-    such word and never matches.
+    Every term is joined with the texts' distinct words on its longest word, which a match always
+    holds as a complete word. A term that is that word is a match; for the others the texts, once
+    each with the terms in question, are searched with the pattern itself. A term without any
+    letter or digit has no such word and never matches.
     """
     tokens = word_tokens(F.col("term"))
     longest = F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    plain = F.col("term").rlike(f"(?s)^{_WORD_CLASS}(?:.*{_WORD_CLASS})?$") & (F.size(tokens) <= RUN_WORDS)
-    keyed = terms.select("term").distinct().select(
-        "term", F.lower("term").alias("_t"), F.size(tokens).alias("_n"), longest.alias("_w"), plain.alias("_plain")
-    )
-    sizes = sorted(r[0] for r in keyed.filter("_plain").select("_n").distinct().collect())  # at most RUN_WORDS values
-    odd = keyed.filter(~F.col("_plain") & F.col("_w").isNotNull())
-    found = []
-    if sizes:
-        runs = docs.select(doc_id, F.explode(_ngrams(F.lower(F.col(text)), sizes)).alias("_t"))
-        found.append(runs.join(keyed.filter("_plain").select("term", "_t"), "_t").select(doc_id, "term"))
-    if not odd.isEmpty():
-        words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
-        pattern = F.concat(F.lit(r"(?iuU)\b"), _quoted(F.col("term")), F.lit(r"\b"))
-        found.append(
-            words.join(odd.select("term", "_w"), "_w")
-            .select(doc_id, "term")
-            .join(docs.select(doc_id, F.col(text).alias("_x")), doc_id)
-            .filter(F.rlike(F.col("_x"), pattern))
-            .select(doc_id, "term")
-        )
-    if not found:
-        return docs.select(doc_id, F.lit("").alias("term")).limit(0)
-    return union_all(found)
-
-
-def tag_keywords(
-    docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = fixed.KEYWORDS_PER_CHUNK
-) -> DataFrame:
-    """First ``most`` matching terms per text in alphabetical order, and how many matched."""
+    keyed = terms.select("term").distinct().select("term", longest.alias("_w")).filter(F.col("_w").isNotNull())
+    words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
+    pairs = words.join(keyed, "_w")
+    sure = F.lower("term") == F.col("_w")
+    open_ = pairs.filter(~sure).groupBy(doc_id).agg(F.collect_set("term").alias("_open"))  # terms with a word of one text
+    pattern = lambda term: F.concat(F.lit(r"(?iuU)\b"), _quoted(term), F.lit(r"\b"))
+    found = docs.join(open_, doc_id).select(doc_id, F.explode(F.filter("_open", lambda t: F.rlike(F.col(text), pattern(t)))).alias("term"))
+    return pairs.filter(sure).select(doc_id, "term").unionByName(found)
+
+
+def tag_keywords(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """Matching terms per text in alphabetical order, the first ``most`` of them if given, and how many matched."""
     tags = match_terms(docs, terms, doc_id, text).groupBy(doc_id).agg(F.array_sort(F.collect_set("term")).alias("_k"))
-    return tags.select(doc_id, F.slice("_k", 1, most).alias("keywords"), F.size("_k").alias("n_keywords"))
+    shown = F.col("_k") if most is None else F.slice("_k", 1, most)
+    return tags.select(doc_id, shown.alias("keywords"), F.size("_k").alias("n_keywords"))
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text") -> DataFrame:
     """Pairs where the upper-cased term is a substring of the upper-cased text, no word border needed.
 
-    The dictionary travels in blocks of bounded size; each block is one scan
-    with a multi-pattern automaton.
+    A text holds a term only if it holds its first characters, so both sides are joined on runs
+    of up to ``GRAM`` characters; the texts, once each, are then searched for the terms so found.
     """
-    id_type = texts.schema[text_id].dataType.simpleString()
-    source = texts.select(F.col(text_id).alias("id"), F.upper(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    wanted = terms.filter(F.col("term") != "").select("term", F.upper("term").alias("u")).distinct()
-    frames = []
-    for block in blocks(wanted, ["term"], TERM_BLOCK):
-        by_upper: dict[str, list[str]] = {}
-        for r in block:
-            by_upper.setdefault(r["u"], []).append(r["term"])
-
-        def scan(batches: Iterator[pd.DataFrame], by_upper=by_upper) -> Iterator[pd.DataFrame]:
-            find = substring_finder(list(by_upper))
-            for pdf in batches:
-                rows = [(i, t) for i, text in zip(pdf["id"], pdf["t"]) for u in find(text) for t in by_upper[u]]
-                yield pd.DataFrame(rows, columns=[text_id, "term"])
-
-        frames.append(source.mapInPandas(scan, f"{text_id} {id_type}, term string"))
-    if not frames:
-        return texts.sparkSession.createDataFrame([], f"{text_id} {id_type}, term string")
-    return union_all(frames)
-
-
-def substring_finder(patterns: list[str]):
-    """Function from a text to the set of patterns it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {p for p in patterns if p in text}
-    automaton = ahocorasick.Automaton()
-    for p in patterns:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    return lambda text: {p for _, p in automaton.iter(text)}
+    upper = F.upper(F.coalesce(F.col(text), F.lit("")))
+    wanted = terms.filter(F.col("term") != "").select("term", F.upper("term").alias("_u")).distinct()
+    wanted = wanted.withColumn("_g", F.substring("_u", 1, GRAM))
+    rows = texts.select(F.col(text_id), upper.alias("_t")).distinct()
+    starts = F.when(F.length("_t") > 0, F.sequence(F.lit(1), F.length("_t"))).otherwise(F.array().cast("array<int>"))
+    runs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("_t"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+    pairs = rows.select(text_id, F.explode(runs).alias("_g")).distinct().join(wanted, "_g").select(text_id, "term", "_u")
+    asked = pairs.groupBy(text_id).agg(F.collect_set(F.struct("term", "_u")).alias("_a"))  # terms that start in one text
+    held = rows.join(asked, text_id).select(text_id, F.explode(F.filter("_a", lambda a: F.contains(F.col("_t"), a["_u"]))).alias("_a"))
+    return held.select(text_id, "_a.term").distinct()
 
 
 def query_context(history: DataFrame, acronyms: DataFrame, key: str) -> DataFrame:

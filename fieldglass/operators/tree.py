@@ -10,10 +10,25 @@ from fieldglass.functions.text import node_id
 
 
 def with_ids(raw: DataFrame) -> DataFrame:
-    """Stable ids from module and path; the parent is the node at the parent path, if that exists."""
+    """Stable ids from module and path; the parent is the node at the parent path, if that exists.
+
+    A path that several modules define belongs to the node's own module, else to the last one by name.
+    """
     nodes = raw.withColumn("node_id", node_id(F.col("module"), F.col("schema_path")))
-    parents = nodes.select(F.col("schema_path").alias("parent_path"), F.col("node_id").alias("parent_id"))
-    return nodes.join(parents, "parent_path", "left")
+    own = nodes.select("module", F.col("schema_path").alias("parent_path"), F.col("node_id").alias("_own")).dropDuplicates(["module", "parent_path"])
+    any_ = nodes.groupBy(F.col("schema_path").alias("parent_path")).agg(F.max_by("node_id", "module").alias("_any"))
+    joined = nodes.join(own, ["module", "parent_path"], "left").join(any_, "parent_path", "left")
+    return joined.withColumn("parent_id", F.coalesce("_own", "_any")).drop("_own", "_any")
+
+
+def _one_per_path(rows: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """``rows`` joined with one node per ``path``: that of the row's ``_module``, else the last module's."""
+    rest = [c for c in nodes.columns if c != "schema_path"]
+    held = nodes.select(F.col("schema_path").alias(path), F.struct(*rest).alias("_node"))
+    own = held.withColumn("_module", F.col("_node.module")).groupBy(path, "_module").agg(F.min_by("_node", "_node.node_id").alias("_own"))
+    last = held.groupBy(path).agg(F.max_by("_node", F.struct("_node.module", "_node.node_id")).alias("_any"))
+    found = rows.join(own, [path, "_module"], "left").join(last, path, "left")
+    return found.withColumn("_node", F.coalesce("_own", "_any")).drop("_own", "_any")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -40,9 +55,10 @@ def path_nodes(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     instead of one join per level. ``(target_id, depth)`` plus the node's columns.
     """
     steps = targets.select(
-        F.col("node_id").alias("target_id"), F.posexplode(_prefixes(F.col("schema_path"))).alias("depth", "schema_path")
+        F.col("node_id").alias("target_id"), F.col("module").alias("_module"), F.posexplode(_prefixes(F.col("schema_path"))).alias("depth", "schema_path")
     )
-    return steps.join(nodes, "schema_path")
+    found = _one_per_path(steps, nodes, "schema_path").filter(F.col("_node").isNotNull())
+    return found.select("schema_path", "target_id", "depth", "_node.*")
 
 
 def ancestors(targets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,10 +69,9 @@ def required_keys(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Keys of every list on the path with the type of their leaf; no leaf means string."""
     lists = path_nodes(targets, nodes).filter(F.col("node_kind") == "list")
     keys = lists.select(
-        "target_id", "depth", F.col("schema_path").alias("list_path"), F.posexplode("keys").alias("key_pos", "key_name")
+        "target_id", "depth", F.col("module").alias("_module"), F.col("schema_path").alias("list_path"), F.posexplode("keys").alias("key_pos", "key_name")
     ).withColumn("leaf_path", F.concat_ws("/", "list_path", "key_name"))
-    leaves = nodes.select(F.col("schema_path").alias("leaf_path"), F.col("type_info.base").alias("_base"))
-    typed = keys.join(leaves, "leaf_path", "left")
+    typed = _one_per_path(keys, nodes, "leaf_path").withColumn("_base", F.col("_node.type_info.base"))
     return typed.select(
         "target_id", "depth", "list_path", "key_pos", "key_name", F.coalesce("_base", F.lit("string")).alias("type")
     )

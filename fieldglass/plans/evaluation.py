@@ -10,7 +10,7 @@ ROUTES = ["en", "fr", "de", "es", "other"]
 
 def gold(t):
     """Per order the smallest supplier as gold document; odd orders also ask for a section."""
-    lines = t.lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
     joined = lines.join(t.orders, lines.l_orderkey == F.col("o_orderkey"))
     return joined.select(
         F.col("l_orderkey").alias("query_id"),
@@ -21,7 +21,7 @@ def gold(t):
 
 
 def retrieved(t):
-    return t.lines.select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("query_id"),
         F.col("l_linenumber").alias("rank"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source_doc"),
@@ -71,11 +71,11 @@ def metrics_by_type(t):
 
 @register(
     "precision_at_k",
-    """SELECT l_orderkey AS query_id, round(sum(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END)/3.0::DOUBLE,6) AS precision
-       FROM lineitem WHERE l_linenumber<=3 GROUP BY 1""",
+    """SELECT l_orderkey AS query_id, round(sum(CASE WHEN l_linenumber<=3 AND l_returnflag='R' THEN 1 ELSE 0 END)/3.0::DOUBLE,6) AS precision
+       FROM lineitem GROUP BY 1""",
 )
 def precision_at_k(t):
-    li = t.lines.select(
+    li = t.lineitem.select(
         F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"),
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("item"), "l_returnflag",
     )
@@ -130,7 +130,7 @@ def language_pairs(t):
         F.when(x.contains(" the "), "en").when(x.contains(" les "), "fr").when(x.contains(" der "), "de")
         .when(x.contains(" los "), "es").otherwise("other")
     )
-    return t.texts.select(F.col("doc_id"), F.col("lang").alias("expected"), guess.alias("predicted"))
+    return t.documents.select(F.col("doc_id"), F.col("lang").alias("expected"), guess.alias("predicted"))
 
 
 _PAIRS = """WITH p AS (SELECT doc_id, lang AS expected, CASE WHEN lower(text) LIKE '% the %' THEN 'en' WHEN lower(text) LIKE '% les %' THEN 'fr'

@@ -98,7 +98,7 @@ def node_filter(t):
 
 
 def scored_edges(t):
-    li = t.lines
+    li = t.lineitem
     return li.select(
         _id("O", "l_orderkey").alias("from_id"),
         _id("S", "l_suppkey").alias("to_id"),
@@ -167,38 +167,38 @@ def paths_to_region(t):
 
 
 _MODEL_PATHS = [
-    ["RSRP", "Throughput"],
-    ["ResourceUtilization", "Throughput"],
-    ["SchedulingEfficiency", "Throughput"],
-    ["Interference", "RSRP", "Throughput"],
-    ["TrafficLoad", "ResourceUtilization", "Throughput"],
-    ["TrafficLoad", "Interference", "RSRP", "Throughput"],
+    ["Discount", "Margin"],
+    ["Demand", "Margin"],
+    ["Handling", "Margin"],
+    ["Discount", "Demand", "Margin"],
+    ["Demand", "Handling", "Margin"],
+    ["Discount", "Demand", "Handling", "Margin"],
 ]
 
 
 @register(
     "model_paths",
-    "SELECT s_suppkey::VARCHAR || ':Throughput>Throughput' AS path FROM supplier UNION ALL "
+    "SELECT s_suppkey::VARCHAR || ':Margin>Margin' AS path FROM supplier UNION ALL "
     + " UNION ALL ".join(
-        "SELECT " + " || '>' || ".join(f"s_suppkey || ':{v}'" for v in p) + " || '>Throughput' FROM supplier"
+        "SELECT " + " || '>' || ".join(f"s_suppkey || ':{v}'" for v in p) + " || '>Margin' FROM supplier"
         for p in _MODEL_PATHS
     ),
 )
 def model_paths(t):
-    """Causal paths to throughput over one copy of the model graph per supplier."""
+    """Causal paths to the margin over one copy of the model graph per supplier."""
     k = F.col("s_suppkey").cast("string")
     name = lambda v: F.concat_ws(":", k, v if not isinstance(v, str) else F.lit(v))
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in causal.cellular_model().edges()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in causal.order_model().edges()]))
     inner = t.supplier.select("s_suppkey", pairs.alias("e")).select(
         name(F.col("e.a")).alias("from_id"), name(F.col("e.b")).alias("to_id")
     )
-    sink = t.supplier.select(name("Throughput").alias("from_id"), F.lit("Throughput").alias("to_id"))
-    return graph.simple_paths_to(inner.unionByName(sink), "Throughput").select(F.array_join("path", ">").alias("path"))
+    sink = t.supplier.select(name("Margin").alias("from_id"), F.lit("Margin").alias("to_id"))
+    return graph.simple_paths_to(inner.unionByName(sink), "Margin").select(F.array_join("path", ">").alias("path"))
 
 
 def task_table(t):
     """Order lines as tasks that wait for the line before; some wait for a task nobody has."""
-    li = t.lines.groupBy("l_orderkey", "l_linenumber").agg(
+    li = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_linestatus").alias("s"), F.min("l_returnflag").alias("r"), F.min("l_partkey").alias("p")
     )
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -395,7 +395,7 @@ def validate_values(t):
         F.when(kind == 0, F.col("l_quantity").cast("long").cast("string")).when(kind == 1, F.col("l_suppkey").cast("string"))
         .when(kind == 2, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
     )
-    rows = t.lines.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), value.alias("v"), info.alias("i"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), value.alias("v"), info.alias("i"))
     return rows.select("l_orderkey", "l_linenumber", "x", tree.validation_error(F.col("v"), F.col("i")).isNull().alias("valid"))
 
 
@@ -415,7 +415,7 @@ def validate_nodes(t):
 
 def triples(t):
     """Order lines as triples: supplier delivers part, some of them unusable."""
-    li = t.lines
+    li = t.lineitem
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"),
         F.when(F.col("l_orderkey") % 97 != 0, _id("S", "l_suppkey")).alias("subject"),
@@ -474,7 +474,7 @@ def triple_edges(t):
     "SELECT l_suppkey, count(DISTINCT l_partkey) AS chunks FROM lineitem GROUP BY 1",
 )
 def provenance(t):
-    p = ontology.provenance(t.lines.select("l_suppkey", F.col("l_partkey").alias("chunk_id")), ["l_suppkey"])
+    p = ontology.provenance(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("chunk_id")), ["l_suppkey"])
     return p.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("chunks"))
 
 

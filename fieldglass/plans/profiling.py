@@ -371,29 +371,16 @@ def packet_counters(t):
 
 @register(
     "causal_model",
-    """WITH u AS (SELECT l_orderkey, l_linenumber, l_discount*6 AS u1, l_tax-0.04 AS u2, -90+(l_quantity-25)/10 AS u3,
-       (l_tax-0.04)/2 AS u4, 0.5+l_discount*2 AS u5, ln(l_extendedprice)/7 AS u6 FROM lineitem),
-       a AS (SELECT *, least(greatest(u1,0),1) AS load, least(greatest(u5,0),1) AS sched FROM u),
-       b AS (SELECT *, least(greatest(0.7*load+u2,0),1) AS interf, least(greatest(0.8*load+u4,0),1) AS ru FROM a),
-       c AS (SELECT *, least(greatest((u3-10*interf+110)/40,0),1) AS rn FROM b)
-       SELECT l_orderkey, l_linenumber, round(greatest(0,60*rn+20*sched-40*ru+u6),6)::DOUBLE AS throughput,
-       round(greatest(0,60*rn+20*0.9-40*ru+u6)-greatest(0,60*rn+20*sched-40*ru+u6),6)::DOUBLE AS effect FROM c""",
+    """WITH u AS (SELECT l_orderkey, l_linenumber, l_discount AS d, l_quantity AS q, l_tax AS h, l_extendedprice/1000 AS m FROM lineitem),
+       b AS (SELECT *, m*(q*(1+2*d))*(1-d) - (h+0.25*(q*(1+2*d))) AS margin, m*(q*(1+2*0.1))*(1-0.1) - (h+0.25*(q*(1+2*0.1))) AS margin_do FROM u)
+       SELECT l_orderkey, l_linenumber, round(margin,10)::DOUBLE AS margin, round(margin_do-margin,10)::DOUBLE AS effect FROM b""",
 )
 def causal_model(t):
+    """Margin of each order line, and what a discount of a tenth would change of it."""
     from fieldglass.operators import causal
 
-    li = t.lineitem
-    noise = li.select(
-        "l_orderkey",
-        "l_linenumber",
-        (F.col("l_discount") * 6).alias("u_TrafficLoad"),
-        (F.col("l_tax") - 0.04).alias("u_Interference"),
-        (F.lit(-90.0) + (F.col("l_quantity") - 25) / 10).alias("u_RSRP"),
-        ((F.col("l_tax") - 0.04) / 2).alias("u_ResourceUtilization"),
-        (F.lit(0.5) + F.col("l_discount") * 2).alias("u_SchedulingEfficiency"),
-        (F.ln("l_extendedprice") / 7).alias("u_Throughput"),
-    )
-    out = causal.counterfactual(noise, causal.cellular_model(), {"SchedulingEfficiency": 0.9}, "Throughput")
-    return out.select(
-        "l_orderkey", "l_linenumber", F.round("base", 6).alias("throughput"), F.round("effect", 6).alias("effect")
-    )
+    noise = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.col("l_discount").alias("u_Discount"), F.col("l_quantity").cast("double").alias("u_Demand"),
+        F.col("l_tax").alias("u_Handling"), (F.col("l_extendedprice") / 1000).alias("u_Margin"))
+    out = causal.counterfactual(noise, causal.order_model(), {"Discount": 0.1}, "Margin")
+    return out.select("l_orderkey", "l_linenumber", F.round("base", 10).alias("margin"), F.round("effect", 10).alias("effect"))

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.session import spread
-
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 
@@ -21,17 +19,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @property
-    def texts(self) -> DataFrame:
-        """The documents, spread by id for work on their whole texts."""
-        return spread(self.documents, "doc_id")
-
-    @property
-    def lines(self) -> DataFrame:
-        """The order lines, spread by order."""
-        return spread(self.lineitem, "l_orderkey")
-
-
 
 def register(name: str, sql: str | None = None):
     def keep(fn: Callable[[Tables], DataFrame]):

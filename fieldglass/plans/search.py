@@ -137,7 +137,7 @@ _BM25 = r"""WITH tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(t
 
 @register("bm25_topk", _BM25 + "SELECT query_id, item_id, round(score,6)::DOUBLE AS score FROM r WHERE rank<=10")
 def bm25_topk(t):
-    hits = retrieval.bm25_top_k(t.texts, t.benchmark, 10, query_id="item_id", query_text="text")
+    hits = retrieval.bm25_top_k(t.documents, t.benchmark, 10, query_id="item_id", query_text="text")
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
@@ -159,7 +159,7 @@ def hybrid_search(t):
     queries = t.benchmark.join(cents, F.col("item_id") % 10 == F.col("k")).select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding"
     )
-    out = retrieval.hybrid_search(t.embeddings, t.texts, queries, 5, "vec_id", "embedding", "doc_id", "text")
+    out = retrieval.hybrid_search(t.embeddings, t.documents, queries, 5, "vec_id", "embedding", "doc_id", "text")
     return out.select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
@@ -346,7 +346,7 @@ def route_doc_types(t):
 def retrieval_filter(t):
     from fieldglass.functions.text import word_tokens
 
-    docs = t.texts.select(
+    docs = t.documents.select(
         "doc_id", F.col("lang").alias("product"), F.col("source").alias("release"), word_tokens(F.col("text")).alias("keywords")
     )
     return docs.filter(predicates.retrieval_filter("en", "src7", ["the", "were"])).select("doc_id")

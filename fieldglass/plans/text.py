@@ -24,7 +24,7 @@ _FIXED = f"""WITH w AS (SELECT doc_id::VARCHAR AS source_doc, {_WORDS('text')} A
     array_to_string(w[chunk_index*500+1:chunk_index*500+500], ' ') AS text FROM c""",
 )
 def chunk_fixed(t):
-    return chunks.chunk_fixed(t.texts, "doc_id", "mop").select("chunk_id", "source_doc", "chunk_index", "text")
+    return chunks.chunk_fixed(t.documents, "doc_id", "mop").select("chunk_id", "source_doc", "chunk_index", "text")
 
 
 def headed_documents(t):
@@ -36,7 +36,7 @@ def headed_documents(t):
             F.concat(F.array_join(F.array_repeat(F.lit("#"), (i % 3 + 1).cast("int")), ""), F.lit(" "), (i / 5).cast("int").cast("string"), F.lit("."), (i % 7).cast("string"), F.lit(" part "), F.length(l).cast("string")),
         ).otherwise(l),
     )
-    return t.texts.select(
+    return t.documents.select(
         "doc_id",
         F.when(F.col("doc_id") % 4 == 0, "mop").otherwise("spec").alias("doc_type"),
         F.array_join(lines, "\n").alias("text"),
@@ -80,7 +80,7 @@ def chunk_sections(t):
 def section_parents(t):
     i = F.posexplode(F.split("text", "\n")).alias("i", "l")
     head = F.concat_ws(" ", F.concat_ws(".", F.floor(F.col("i") / 5), F.col("i") % 7, F.col("i") % 3), F.lit("Overview ##"))
-    rows = t.texts.select("doc_id", i).filter(F.col("i") % 5 == 2).select("doc_id", head.alias("h"))
+    rows = t.documents.select("doc_id", i).filter(F.col("i") % 5 == 2).select("doc_id", head.alias("h"))
     num = tx.section_number(F.col("h"))
     return rows.select("doc_id", num.alias("num"), F.array_join(tx.parent_sections(num), "|").alias("parents"))
 
@@ -104,7 +104,7 @@ def chunk_dispatch(t):
 
 @register("head_lines", f"SELECT doc_id, array_to_string({_LINES}[1:3], chr(10)) AS head FROM documents")
 def head_lines(t):
-    return t.texts.select("doc_id", tx.head_lines(F.col("text"), 3).alias("head"))
+    return t.documents.select("doc_id", tx.head_lines(F.col("text"), 3).alias("head"))
 
 
 def benchmark_terms(t):
@@ -119,7 +119,7 @@ def benchmark_terms(t):
     rf"""SELECT DISTINCT term FROM (SELECT unnest({_TOKENS('text')}) AS term FROM documents) WHERE NOT regexp_matches(term, '^\d+$|^.{{1,2}}$')""",
 )
 def term_filter(t):
-    names = t.texts.select(F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term"))
+    names = t.documents.select(F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term"))
     none = t.spark.createDataFrame([], "term string")
     return terms.vocabulary(none, names)
 
@@ -138,39 +138,48 @@ _TERMS = rf"""WITH b AS (SELECT {_TOKENS('text')} AS w FROM benchmark),
 @register(
     "keyword_tags",
     _TERMS
-    + """SELECT doc_id, array_to_string(list_sort(list(term))[1:50], '|') AS keywords, count(*)::INTEGER AS n_keywords FROM m GROUP BY 1""",
+    + """SELECT doc_id, array_to_string(list_sort(list(term)), '|') AS keywords, count(*)::INTEGER AS n_keywords FROM m GROUP BY 1""",
 )
 def keyword_tags(t):
     wanted = benchmark_terms(t).filter(~predicates.is_noise_term(F.col("term")))
-    out = terms.tag_keywords(t.texts, wanted)
+    out = terms.tag_keywords(t.documents, wanted)
     return out.withColumn("keywords", F.array_join("keywords", "|"))
 
 
+_LONG_WORDS = r"""WITH k AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS term FROM benchmark) WHERE length(term) >= 8)
+"""
+
+
+def long_words(t):
+    """A dictionary for substring search: the benchmark's words of eight letters or more."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("term"))
+    return words.filter(F.length("term") >= 8).distinct()
+
+
 @register(
     "contained_terms",
-    r"""SELECT conv_id || '-' || turn AS id, n_name AS term FROM conversations, nation WHERE contains(upper(text), upper(substr(n_name,1,3)))""",
+    _LONG_WORDS
+    + """SELECT conv_id || '-' || turn AS id, term FROM conversations, k WHERE contains(upper(text), upper(term))""",
 )
 def contained_terms(t):
-    """Three-letter starts of nation names anywhere in a message, also inside words."""
+    """Long words of the benchmark anywhere in a message, also inside words."""
     texts = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    short = t.nation.select(F.substring("n_name", 1, 3).alias("term"), "n_name")
-    hits = terms.contained_terms(texts, short, "id")
-    return hits.join(short, "term").select("id", F.col("n_name").alias("term"))
+    return terms.contained_terms(texts, long_words(t), "id")
 
 
 @register(
     "query_context",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations),
+    _LONG_WORDS.rstrip()
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations),
        h AS (SELECT conv_id, string_agg((CASE WHEN role='user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) ORDER BY turn) AS h FROM r WHERE b <= 10 GROUP BY 1),
-       a AS (SELECT DISTINCT conv_id, '- ' || substr(n_name,1,3) || ': ' || lower(substr(n_name,1,3)) AS l FROM conversations, nation WHERE contains(upper(text), upper(substr(n_name,1,3)))),
+       a AS (SELECT DISTINCT conv_id, '- ' || term || ': ' || lower(term) AS l FROM conversations, k WHERE contains(upper(text), upper(term))),
        g AS (SELECT conv_id, string_agg(l, chr(10) ORDER BY l) AS a FROM a GROUP BY 1)
        SELECT conv_id, 'Conversation history:' || chr(10) || h || CASE WHEN a IS NOT NULL THEN chr(10) || chr(10) || 'Relevant acronyms:' || chr(10) || a ELSE '' END AS context FROM h LEFT JOIN g USING (conv_id)""",
 )
 def query_context(t):
     from fieldglass.operators.traffic import last_turns
 
-    short = t.nation.select(F.substring("n_name", 1, 3).alias("term")).distinct()
-    hits = terms.contained_terms(t.conversations.select("conv_id", "text"), short, "conv_id")
+    hits = terms.contained_terms(t.conversations.select("conv_id", "text"), long_words(t), "conv_id")
     named = hits.withColumn("expansion", F.lower("term"))
     return terms.query_context(last_turns(t.conversations), named, "conv_id")
 
@@ -184,7 +193,7 @@ def query_context(t):
        SELECT source, line, pages FROM c JOIN n USING (source) WHERE pages >= greatest(2, ceil(n*0.02))""",
 )
 def repeated_lines(t):
-    return terms.repeated_lines(t.texts, "source", "doc_id", "text", 0.02)
+    return terms.repeated_lines(t.documents, "source", "doc_id", "text", 0.02)
 
 
 def glossaried_documents(t):
@@ -193,7 +202,7 @@ def glossaried_documents(t):
         F.filter(F.split("text", "\n"), lambda l: F.length(l) > 12),
         lambda l, i: F.concat(F.upper(F.regexp_replace(F.substring(l, 1, 2), "[^A-Za-z]", "q")), (i % 9).cast("string"), F.lit("  "), F.regexp_replace(F.substring(l, 3, 10), "[^A-Za-z]", "x")),
     )
-    return t.texts.select(
+    return t.documents.select(
         "doc_id",
         F.concat(F.lit("intro\n## 3.2 Abbreviations\n\n"), F.array_join(lines, "\n"), F.lit("\n\n## 4 General\nXX9 not an entry\n")).alias("text"),
     )
@@ -225,13 +234,13 @@ def acronym_dictionary(t):
 
 
 def document_acronyms(t):
-    found = t.texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z]{2,})\b"), 1)).alias("acronym")).distinct()
+    found = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z]{2,})\b"), 1)).alias("acronym")).distinct()
     return found.withColumn("expansion", F.concat(F.lit("long form of "), F.lower("acronym")))
 
 
 @register("acronym_expansion")
 def acronym_expansion(t):
-    return acronyms.expand_text(t.texts.select("doc_id", "text"), document_acronyms(t)).select("doc_id", "expanded")
+    return acronyms.expand_text(t.documents.select("doc_id", "text"), document_acronyms(t)).select("doc_id", "expanded")
 
 
 @register("query_expansion")
@@ -251,7 +260,7 @@ def query_expansion(t):
 )
 def conflict_contexts(t):
     ambiguous = t.spark.createDataFrame([("THE",)], "acronym string")
-    return acronyms.conflict_contexts(t.texts, ambiguous, "doc_id").select("doc_id", "start", "context")
+    return acronyms.conflict_contexts(t.documents, ambiguous, "doc_id").select("doc_id", "start", "context")
 
 
 @register(
@@ -264,7 +273,7 @@ def conflict_contexts(t):
 def text_samples(t):
     """Header-free texts (heading marks blanked) sampled by position."""
     plain = F.regexp_replace("text", r"\n(?=#+ )", "\n")
-    out = t.texts.select("doc_id", F.array_join(tx.text_samples(F.translate(plain, "", ""), 300), "|").alias("samples"))
+    out = t.documents.select("doc_id", F.array_join(tx.text_samples(F.translate(plain, "", ""), 300), "|").alias("samples"))
     return out
 
 
@@ -280,7 +289,7 @@ def slugs(t):
 )
 def line_cleanup(t):
     """A stray letter is added to every line and removed again."""
-    rows = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
     dirty = F.concat(F.col("l"), F.lit("  X"))
     return rows.select("doc_id", "i", tx.collapse_spaces(tx.drop_stray_letter(dirty)).alias("clean"))
 
@@ -311,7 +320,7 @@ def protocol_hints(t):
 def context_texts(t):
     from fieldglass.operators.ordered import top_per_group
 
-    top = top_per_group(t.texts.select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], 5)
+    top = top_per_group(t.documents.select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], 5)
     return chunks.context_text(top, ["source"], "rank", chars=300, glue="\n---\n")
 
 
@@ -360,6 +369,6 @@ def lenient_json(t):
 def excluded_documents(t):
     """Ids planted in every seventh document; the even ones are on the exclusion table."""
     name = F.concat(F.lit("FGR-AB"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))
-    docs = t.texts.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text"), F.lit(" see "), name)).otherwise(F.col("text")).alias("text"))
+    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text"), F.lit(" see "), name)).otherwise(F.col("text")).alias("text"))
     excluded = t.documents.filter(F.col("doc_id") % 2 == 0).select(name.alias("feature_id"))
     return predicates.exclude_documents(docs, excluded).select("doc_id")

@@ -62,22 +62,6 @@ def blocks(df: DataFrame, order: list[str], rows_per_block: int):
         yield block
 
 
-SMALL_BYTES = 1 << 30
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input one partition per core before row-local work.
-
-    A small table often is a single file split, which would keep every other
-    core idle. Larger inputs come in many splits and are returned as they are;
-    the size is the optimizer's own estimate.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -100,13 +100,17 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
+def document_file_rows(spark: SparkSession, folder: str, pattern: str = "*.md") -> tuple[DataFrame, DataFrame]:
+    """One row per matching file under a folder tree, and the files that are no UTF-8 text (``path``, ``reason``)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("source_doc"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    good = files.filter(F.col("text").isNotNull())
+    return good, files.filter(F.col("text").isNull()).select("path", F.lit("not UTF-8 text").alias("reason"))
+
+
 def document_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """One row per matching file under a folder tree; unreadable files are skipped."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    files = reader.text(folder, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_doc"), F.col("value").alias("text")
-    )
+    """One row per readable file; ``document_file_rows`` also names the others."""
+    return document_file_rows(spark, folder, pattern)[0]
 
 
 def release_of(path: Column) -> Column:
@@ -165,8 +169,20 @@ def require_fields(df: DataFrame, required: list[str]) -> DataFrame:
     return df.withColumn(required[0], checked.cast(df.schema[required[0]].dataType))
 
 
+def gold_question_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Good questions, and the lines that are no JSON object or lack an id (``line``)."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.from_json("value", f"{GOLD_SCHEMA}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("q"))
+    good = F.col("q._broken").isNull() & F.col("q.query_id").isNotNull()
+    return lines.filter(good).select("q.*").drop("_broken"), lines.filter(~F.coalesce(good, F.lit(False))).select(F.col("value").alias("line"))
+
+
 def gold_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GOLD_SCHEMA).json(path).filter(F.col("query_id").isNotNull())
+    """Gold questions; a broken line fails the read, as it would go missing from every score."""
+    lines, broken = gold_question_rows(spark, path)
+    first = broken.head()
+    if first is not None:
+        raise ValueError(f"broken gold line: {first['line'][:200]}")
+    return lines
 
 
 def answer_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -320,11 +320,11 @@ def test_review_queue(spark, rows):
 
 
 def test_intervention_only_changes_descendants(spark):
-    m = causal.cellular_model()
+    m = causal.order_model()
     noise = spark.createDataFrame([tuple(0.5 for _ in m.parents)], ", ".join(f"u_{v} double" for v in m.parents))
-    a, b = causal.evaluate(noise, m).first(), causal.evaluate(noise, m, {"ResourceUtilization": 0.4}).first()
-    assert b.ResourceUtilization == 0.4 and a.RSRP == b.RSRP
-    assert b.Throughput - a.Throughput == pytest.approx(40 * (a.ResourceUtilization - 0.4))
+    a, b = causal.evaluate(noise, m).first(), causal.evaluate(noise, m, {"Handling": 0.4}).first()
+    assert b.Handling == 0.4 and a.Demand == b.Demand
+    assert b.Margin - a.Margin == pytest.approx(a.Handling - 0.4)
 
 
 def test_embedding_counts_must_match(spark):
