@@ -96,7 +96,7 @@ def vector_top_k(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
-    query_rows: int = QUERY_BLOCK,
+    block_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact cosine top-k: ``(query_id, item_id, score, rank)``, ties by item id.
 
@@ -116,7 +116,7 @@ def vector_top_k(
                 found.append(_best_of_batch(scores, same["item_id"].to_numpy(), part["query_id"].tolist(), k, -np.inf))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
-    best = block_join(mine, asked, compare, schema, query_rows=query_rows)
+    best = block_join(mine, asked, compare, schema, query_rows=block_rows)
     return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
@@ -182,7 +182,7 @@ def bm25_top_k(
     query_text: str = "query",
     k1: float = fixed.BM25_K1,
     b: float = fixed.BM25_B,
-    query_rows: int = QUERY_BLOCK,
+    block_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Lexical top-k over whole texts: ``(query_id, item_id, score, rank)``.
 
@@ -221,7 +221,7 @@ def bm25_top_k(
             scores[i] = np.asarray(x)[at >= 0] @ weights[at[at >= 0]]
         return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, 0.0)
 
-    best = block_join(cut_lineage(mine), wants, compare, schema, query_rows=query_rows)
+    best = block_join(cut_lineage(mine), wants, compare, schema, query_rows=block_rows)
     return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 

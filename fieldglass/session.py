@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "fieldglass", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and benchmarks; a cluster brings its own."""
-    return (
+def build_session(app: str = "fieldglass", cores: str = "*", shuffle_partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """Local session for tests and benchmarks, with its checkpoint folder; a cluster brings its own."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +19,10 @@ def build_session(app: str = "fieldglass", cores: str = "*", shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoints is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
+    return builder.getOrCreate()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -9,8 +9,8 @@ from fieldglass.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "8", 8)
+def spark(tmp_path_factory):
+    s = build_session("tests", "8", 8, checkpoints=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -67,13 +67,10 @@ def test_vector_search_without_queries(spark):
     assert retrieval.vector_top_k(i, q, 3).count() == 0
 
 
-def test_bm25_blocks_agree(spark, rows, monkeypatch):
+def test_bm25_blocks_agree(spark, rows):
     docs = spark.createDataFrame([(i, "a " * (i % 4) + "b c " + ("rare" if i == 5 else "")) for i in range(20)], "doc_id int, text string").repartition(5)
     q = spark.createDataFrame([(1, "a rare"), (2, "c"), (3, "zzz"), (4, "")], "query_id int, query string")
     one, many = retrieval.bm25_top_k(docs, q, 4), retrieval.bm25_top_k(docs, q, 4, block_rows=1)
-    monkeypatch.setattr(retrieval, "TERM_CELLS", 2)
-    halved = retrieval.bm25_top_k(docs, q, 4)
-    assert rows(one, "query_id", "item_id", "rank") == rows(halved, "query_id", "item_id", "rank")
     assert rows(one, "query_id", "item_id", "rank") == rows(many, "query_id", "item_id", "rank")
     assert one.filter("query_id = 1 AND rank = 1").first().item_id == 5
     assert one.filter("query_id = 2").count() == 4 and one.filter("query_id > 2").count() == 0
@@ -333,3 +330,44 @@ def test_embedding_counts_must_match(spark):
     assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-9 for r in got)
     with pytest.raises(Exception, match="returned 0 vectors"):
         models.embed(df, lambda texts: []).collect()
+
+
+def test_search_survives_odd_rows(spark, rows):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 1.0, 0.0]), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [0.6, 0.8])], "item_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0, 0.0])], "query_id long, embedding array<double>")
+    assert rows(retrieval.vector_top_k(items, queries, 2), "query_id", "item_id", "rank") == [(1, 1, 1), (1, 7, 2), (3, 4, 1)]
+    assert rows(retrieval.vector_top_k(items, queries, 2, block_rows=1), "query_id", "item_id", "rank") == [(1, 1, 1), (1, 7, 2), (3, 4, 1)]
+    assert rows(retrieval.unusable_vectors(items, "embedding", 2), "item_id") == [(2,), (3,), (4,), (6,)]
+    assert retrieval.vector_top_k(items.limit(0), queries, 2).count() == 0
+    docs = spark.createDataFrame([(1, "red car"), (2, None), (3, "red red bus"), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red"), (2, None), (3, "unknown")], "query_id long, query string")
+    assert rows(retrieval.bm25_top_k(docs, asked, 5), "query_id", "item_id", "rank") == [(1, 1, 2), (1, 3, 1)]
+
+
+def test_sparse_search(spark, rows):
+    items = spark.createDataFrame([(1, {1: 1.0, 5: 2.0}), (2, {5: 1.0}), (3, {9: 1.0}), (4, None), (5, {})], "item_id long, sparse map<int,double>")
+    queries = spark.createDataFrame([(1, {5: 1.0, 1: -1.0}), (2, None)], "query_id long, sparse map<int,double>")
+    assert rows(retrieval.sparse_top_k(items, queries, 3), "query_id", "item_id", "score", "rank") == [(1, 1, 1.0, 1), (1, 2, 1.0, 2)]
+
+
+def test_precision_counts_questions_without_results(spark, rows):
+    ranked = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2)], "query_id string, item string, rank int")
+    expected = spark.createDataFrame([("q1", "a"), ("q2", "c")], "query_id string, item string")
+    assert rows(evaluate.precision_at_k(ranked, expected, 2)) == [("q1", 0.5), ("q2", 0.0)]
+
+
+def test_one_parent_for_a_path_of_two_modules(spark, rows):
+    raw = spark.createDataFrame([("m1", "/a", None), ("m2", "/a", None), ("m1", "/a/b", "/a"), ("m3", "/a/c", "/a")], "module string, schema_path string, parent_path string")
+    nodes = tree.with_ids(raw)
+    ids = {(r.module, r.schema_path): (r.node_id, r.parent_id) for r in nodes.collect()}
+    assert nodes.count() == 4 and ids["m1", "/a/b"][1] == ids["m1", "/a"][0] and ids["m3", "/a/c"][1] == ids["m2", "/a"][0]
+    assert tree.path_nodes(nodes.filter("schema_path = '/a/b'"), nodes).count() == 2
+
+
+def test_identities_are_whole_texts(spark):
+    head = "x" * 150
+    results = spark.createDataFrame([("q", None, head + "1", 1.0, 1), ("q", None, head + "2", 1.0, 2)], "query_id string, item_id string, text string, score double, pos int")
+    assert retrieval.merge_results(results, ["pos"]).count() == 2
+    assert retrieval.merge_results(results, ["pos"], prefix=120).count() == 1
+    history = spark.createDataFrame([("r", "s", head + "1", 1), ("r", "s", head + "2", 2)], "run string, subtask_id string, query string, seq int")
+    assert review.merge_history(history, ["run"], "seq").count() == 2 and review.merge_history(history, ["run"], "seq", 100).count() == 1

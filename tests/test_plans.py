@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from fieldglass.operators import chunks, terms
-from fieldglass.operators.ordered import previous_row, time_slice
+from fieldglass.operators.ordered import previous_row, time_slice, top_per_group
+from fieldglass.operators.retrieval import vector_top_k
 from fieldglass.plans import Tables
 from fieldglass.plans.text import benchmark_terms
 
@@ -57,10 +58,27 @@ def test_slices_shuffle_the_rows_once(spark):
     assert len(moved) == 4, text
 
 
-def test_single_word_tags_combine_before_the_shuffle(spark):
+def test_tags_combine_before_the_shuffle(spark):
     t = Tables(spark, FOLDER)
     text = plan(terms.tag_keywords(t.documents, benchmark_terms(t)))
-    assert "partial_collect_set" in text
+    assert "partial_collect_set" in text and "Python" not in text and "CartesianProduct" not in text
+
+
+def test_items_of_a_search_are_scanned_once(spark):
+    """However many queries there are: no scan or plan branch for each block of them."""
+    items = Tables(spark, FOLDER).embeddings
+    queries = spark.range(5000).select(F.col("id").alias("query_id"), F.array(*[F.lit(float(k)) for k in range(64)]).alias("embedding"))
+    text = plan(vector_top_k(items, queries, 3, "vec_id"))
+    assert text.count("Scan parquet") == 1 and text.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_map_side_limit_beyond_a_thousand(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), F.col("id"))
+    assert "WindowGroupLimit" in plan(top_per_group(df, ["g"], [F.col("id")], 999))
+    big = top_per_group(df, ["g"], [F.col("id").desc()], 2000)
+    got = big.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("rank").alias("r")).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [(0, 2000, 26_000, 2000), (1, 2000, 26_001, 2000)]
+    assert plan(big).count("_salt") > 0
 
 
 def test_flow_windows_are_cut_into_slices(spark):
@@ -80,5 +98,5 @@ def test_library_keeps_out_of_unsafe_calls():
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     from fieldglass.session import checkpoint_folder
 
-    assert checkpoint_folder(spark)
+    assert spark.conf.get("spark.checkpoint.dir") in checkpoint_folder(spark)
     assert spark.range(3).withColumn("x", F.lit(1)).count() == 3

@@ -128,3 +128,20 @@ def test_sinks(spark, tmp_path):
     assert text == "a,b,c\n1,,x\n"
     readers.write_jsonl(df.coalesce(1), str(tmp_path / "j"))
     assert json.loads(next((tmp_path / "j").glob("part-*.json")).read_text()) == {"a": "1", "b": "", "c": "x"}
+
+
+def test_broken_gold_lines_are_not_lost(spark, tmp_path):
+    path = tmp_path / "gold.jsonl"
+    path.write_text('{"query_id": "q1", "query": "x"}\nnot json\n\n{"query": "no id"}\n', encoding="utf-8")
+    good, broken = readers.gold_question_rows(spark, str(path))
+    assert [r.query_id for r in good.collect()] == ["q1"] and sorted(r.line for r in broken.collect()) == ["not json", '{"query": "no id"}']
+    with pytest.raises(ValueError, match="broken gold line"):
+        readers.gold_questions(spark, str(path))
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    (tmp_path / "a.md").write_text("fine", encoding="utf-8")
+    (tmp_path / "b.md").write_bytes(b"\xff\xfe\xff")
+    good, bad = readers.document_file_rows(spark, str(tmp_path))
+    assert [(r.source_doc, r.text) for r in good.collect()] == [("a.md", "fine")]
+    assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["b.md"]

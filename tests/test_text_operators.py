@@ -90,8 +90,10 @@ def test_match_terms_equals_pattern_search(spark, rows):
 def test_keyword_cap_keeps_count(spark):
     words = [f"term{i:03d}" for i in range(70)]
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
-    r = terms.tag_keywords(docs, spark.createDataFrame([(w,) for w in words], "term string")).first()
+    wanted = spark.createDataFrame([(w,) for w in words], "term string")
+    r = terms.tag_keywords(docs, wanted, most=50).first()
     assert r.keywords == words[:50] and r.n_keywords == 70
+    assert terms.tag_keywords(docs, wanted).first().keywords == words
 
 
 def test_contained_terms_is_plain_substring(spark, rows):
