@@ -12,16 +12,20 @@ from fieldglass.operators.profile import numeric_columns
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
-def aggregate_time_rows(df: DataFrame, keys: list[str], how: str = "mean", columns: list[str] | None = None) -> DataFrame:
-    """One row per time (and entity): the chosen aggregate of every numeric column; null keys are dropped."""
-    if how not in AGGREGATES:
-        raise ValueError(f"unsupported aggregate: {how}")
+def aggregate_time_rows(df: DataFrame, keys: list[str], how: str | list[str] = "mean", columns: list[str] | None = None) -> DataFrame:
+    """One row per time (and entity): the chosen aggregate of every numeric column; null keys are dropped.
+
+    Several aggregates come from the same pass, as columns named ``<aggregate>_<column>``.
+    """
+    chosen = [how] if isinstance(how, str) else how
+    for name in chosen:
+        if name not in AGGREGATES:
+            raise ValueError(f"unsupported aggregate: {name}")
     columns = columns or [c for c in numeric_columns(df) if c not in keys]
-    fn = AGGREGATES[how]
     clean = df.dropna(subset=keys)
-    return clean.groupBy(*keys).agg(
-        *[fn(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]
-    )
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    label = (lambda name, c: c) if isinstance(how, str) else "{}_{}".format
+    return clean.groupBy(*keys).agg(*[AGGREGATES[name](value(c)).alias(label(name, c)) for name in chosen for c in columns])
 
 
 def drift_scores(

@@ -181,8 +181,8 @@ def failure_reasons(details: DataFrame) -> DataFrame:
 
 
 def failure_sample(details: DataFrame, n: int = 50, per_reason: int = 10, seed: int = 42) -> DataFrame:
-    """Seeded sample of the misses, then a few per reason; the hash order makes it repeatable."""
-    order = F.xxhash64(F.lit(seed), F.col("query_id"))
+    """Seeded sample of the misses, then a few per reason; the digest of seed and id makes the order repeatable."""
+    order = F.sha2(F.concat_ws("::", F.lit(str(seed)), F.col("query_id")), 256)
     sampled = missed(details).withColumn("_h", order).orderBy("_h", "query_id").limit(n)
     return top_per_group(sampled, ["reason"], [F.col("_h"), F.col("query_id")], per_reason).drop("_h")
 

@@ -106,29 +106,23 @@ def node_key(value: Column, explicit: Column) -> Column:
 def graph_nodes(triples: DataFrame) -> DataFrame:
     """One node per (label, key, name); per property the value of the last line wins.
 
-    Properties are resolved one by one before they are put together again, so a
-    node that stands in a large share of all triples is never gathered.
+    Both ends of a triple come from one scan. Properties are resolved one by one before they are
+    put together again, so a node that stands in a large share of all triples is never gathered;
+    a nameless property stands for the bare node.
     """
-    end = lambda p: triples.select(
+    end = lambda p, side: F.struct(
         F.coalesce(F.col(f"{p}_label"), F.lit("")).alias("label"),
         node_key(F.col(p), F.col(f"{p}_node_key")).alias("node_key"),
         F.col(p).alias("name"),
         F.coalesce(F.col(f"{p}_properties"), F.create_map().cast("map<string,string>")).alias("properties"),
-        F.struct("line", F.lit(0 if p == "subject" else 1).alias("side")).alias("at"),
+        F.struct("line", F.lit(side).alias("side")).alias("at"),
     )
-    ends = end("subject").unionByName(end("object"))
+    ends = triples.select(F.inline(F.array(end("subject", 0), end("object", 1))))
     keys = ["label", "node_key", "name"]
-    distinct = ends.select(*keys).distinct()
-    props = (
-        ends.select(*keys, "at", F.explode("properties").alias("k", "v"))
-        .groupBy(*keys, "k")
-        .agg(F.max_by("v", "at").alias("v"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    )
-    return distinct.join(props, keys, "left").withColumn(
-        "properties", F.coalesce("properties", F.create_map().cast("map<string,string>"))
-    )
+    bare = ends.select(*keys, "at", F.explode(F.concat(F.map_entries("properties"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))))).alias("p"))
+    last = bare.select(*keys, "at", "p.key", "p.value").groupBy(*keys, "key").agg(F.max_by("value", "at").alias("v"))
+    named = F.when(F.col("key").isNotNull(), F.struct(F.col("key").alias("k"), "v"))  # lists leave nulls out
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(named))).alias("properties"))
 
 
 def graph_edges(triples: DataFrame) -> DataFrame:

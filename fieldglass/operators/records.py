@@ -27,14 +27,16 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return merged.select("sheet", "row", "col", value.alias("value")).filter(F.col("value").isNotNull())
 
 
-def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str], last: bool = False) -> DataFrame:
+def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str], last: bool = False, header_rows: int | None = None) -> DataFrame:
     """Header row and fields of each sheet: ``(sheet, header_row, fields)``, ``fields`` a map of column to field.
 
-    The header is the first of the leading rows whose cells name all required
-    fields. When two columns name a field the first one counts (``last``: the last).
+    The header is the first row (of the leading ``header_rows``, if given) whose cells name
+    all required fields. When two columns name a field the first one counts (``last``: the last).
     """
     names = cells.sparkSession.createDataFrame(list(aliases.items()), "alias string, field string")
-    head = cells.filter((F.col("row") <= fixed.HEADER_ROWS) & F.col("value").isNotNull())
+    head = cells.filter(F.col("value").isNotNull())
+    if header_rows is not None:
+        head = head.filter(F.col("row") <= header_rows)
     named = head.withColumn("alias", F.lower(strip(F.col("value")))).join(names, "alias")
     pick = F.max("col") if last else F.min("col")
     fields = named.groupBy("sheet", "row", "field").agg(pick.alias("col"))

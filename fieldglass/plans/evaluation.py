@@ -229,7 +229,13 @@ def failure_reason_rows(t):
     return evaluate.missed(question_details(t)).select("query_id", "reason")
 
 
-@register("failure_sample")
+@register(
+    "failure_sample",
+    _DETAILS
+    + """, o AS (SELECT *, sha256('42::' || query_id) AS h FROM f), s AS (SELECT * FROM o ORDER BY h, query_id LIMIT 50),
+    r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY h, query_id) AS rank FROM s)
+    SELECT query_id, reason, rank::INTEGER AS rank FROM r WHERE rank <= 10""",
+)
 def failure_sample(t):
     return evaluate.failure_sample(question_details(t)).select("query_id", "reason", "rank")
 

@@ -105,13 +105,7 @@ def drift_histogram_w1(t):
 )
 def time_row_aggregate(t):
     e = t.events.select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour"), "value")
-    parts = [
-        drift.aggregate_time_rows(e, ["hour"], how, ["value"]).withColumnRenamed("value", f"{how}_value")
-        for how in ("mean", "sum", "max", "min")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "hour")
+    out = drift.aggregate_time_rows(e, ["hour"], ["mean", "sum", "max", "min"], ["value"])
     return out.select(
         "hour", F.round("mean_value", 6).alias("mean_value"), F.round("sum_value", 4).alias("sum_value"),
         "max_value", "min_value",

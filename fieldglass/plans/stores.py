@@ -107,13 +107,18 @@ def upsert_latest(t):
     return stores.upsert(old, new, ["id"], "v").select("id", "balance")
 
 
-@register("hash_embedding")
+@register(
+    "hash_embedding",
+    r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM conversations),
+    c AS (SELECT conv_id, turn, ('0x' || substr(sha1(word), 7, 2))::INTEGER % 32 AS cell, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+    s AS (SELECT conv_id, turn, sqrt(sum(n*n)) AS length FROM c GROUP BY ALL)
+    SELECT conv_id, turn, cell, round(n/length, 6) AS value FROM c JOIN s USING (conv_id, turn)""",
+)
 def hash_embedding(t):
-    """Messages embedded by the stand-in encoder; the vectors' lengths are reported."""
-    from fieldglass.functions.vectors import norm
-
+    """Messages embedded by the stand-in encoder: the cells of each vector that are not zero."""
     out = models.embed(t.conversations.select("conv_id", "turn", "text"), models.hash_encoder())
-    return out.select("conv_id", "turn", F.round(norm(F.col("embedding")), 6).alias("length"))
+    cells = out.select("conv_id", "turn", F.posexplode("embedding").alias("cell", "value")).filter(F.col("value") != 0)
+    return cells.withColumn("value", F.round("value", 6))
 
 
 @register(
