@@ -29,6 +29,8 @@ from fieldglass.llm.common import materialise
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
 BLOCK = 2048
+#: What filing a row costs, in comparisons of two fingerprints.
+ROW_COST = 50
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -135,7 +137,7 @@ def choose_partitions(values: DataFrame, radius: int = RADIUS, choices: tuple[in
             n, pairs = found.get((m, k), (0.0, 0.0))
             balls = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(radius + 1)]
             # chance pairs grow with the values within the threshold, and so do the rows to file
-            costs.append([0.0, *(n * ball + (pairs - n) * ball for ball in balls)])
+            costs.append([0.0, *((n * ROW_COST + pairs - n) * ball for ball in balls)])
         cost, thresholds = allocate(costs, radius - m + 1)
         plans.append((cost, -m, thresholds))
     _, m, thresholds = min(plans)
@@ -144,13 +146,12 @@ def choose_partitions(values: DataFrame, radius: int = RADIUS, choices: tuple[in
 
 def filed_rows(values: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
     """Each fingerprint under its own and, within the threshold, all near values of every used partition."""
-    places = []
-    for k, (bits, threshold) in enumerate(zip(groups, thresholds, strict=True)):
-        if threshold >= 0:
-            flips = [sum(1 << b for b in chosen) for d in range(threshold + 1) for chosen in combinations(range(len(bits)), d)]
-            value = value_of(bits, F.col("fp"))
-            near = F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda f, value=value: value.bitwiseXOR(f))
-            places.append(F.transform(near, lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    def near(k: int, bits: list[int], threshold: int) -> Column:
+        flips = [sum(1 << b for b in chosen) for d in range(threshold + 1) for chosen in combinations(range(len(bits)), d)]
+        own = value_of(bits, F.col("fp"))
+        return F.array(*[F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(f).cast("bigint")).alias("v")) for f in flips])
+
+    places = [near(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
     return values.select("fp", F.explode(F.concat(*places)).alias("p")).select("fp", "p.k", "p.v")
 
 

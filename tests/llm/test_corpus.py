@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldglass.llm import html_text, packing, pii, secret_scan, simhash, substrings
 
@@ -90,6 +91,17 @@ def test_every_link_is_found(spark):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_partitions_spread_the_fingerprints(spark):
+    """Buckets are as many as the values of a partition, and wider thresholds file every near value once."""
+    df = spark.range(4000).select(F.xxhash64("id").alias("fp"))
+    groups, thresholds = simhash.choose_partitions(df)
+    assert sorted(b for g in groups for b in g) == list(range(64)) and sum(thresholds) == simhash.RADIUS - len(groups) + 1
+    filed = simhash.filed_rows(df, groups, thresholds)
+    assert filed.groupBy("k", "v").count().agg(F.max("count")).first()[0] < 20
+    rows = simhash.filed_rows(spark.createDataFrame([(5,)], "fp bigint"), [[0, 1, 2, 3], [4, 5]], [1, 0]).collect()
+    assert sorted((r["k"], r["v"]) for r in rows) == [(0, 1), (0, 4), (0, 5), (0, 7), (0, 13), (1, 0)]
+
+
 def test_thresholds_cover_the_radius():
     costs = [[0.0, 5.0, 50.0, 500.0, 5000.0] for _ in range(4)]
     assert sum(simhash.allocate(costs, 0)[1]) == 0
@@ -132,7 +144,7 @@ def test_no_passages(make_docs):
 def test_packing(make_docs, odd_texts):
     from tokenizers import Tokenizer
 
-    pairs = [*odd_texts, (60, "a  b\n \n c \t d "), (61, " lead"), (62, "x" + " " * 5000), (63, "it's <|endoftext|> 12 34!?    é")]
+    pairs = [*odd_texts, (60, "a  b\n \n c \t d "), (61, " lead"), (62, "x" + " " * 5000), (64, "nul \0 and\0 more \0\0 . \0."), (63, "it's <|endoftext|> 12 34!?    é")]
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     tokenizer.encode_special_tokens = True
     rows = packing.pack(make_docs(pairs)).collect()
