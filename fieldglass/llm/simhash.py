@@ -24,42 +24,53 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.functions.text import let
 from fieldglass.llm.common import materialise
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
 BLOCK = 2048
+#: For texts of a given similarity: bits apart at most in the fingerprint that is probed, and a larger block, as buckets hold more.
+SIMILAR_RADIUS, SIMILAR_BLOCK = 10, 16384
+MOST_PARTITIONS = 8
 #: What filing a row costs, in comparisons of two fingerprints.
 ROW_COST = 50
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def fingerprints_of(text: str | None, shingle: int, seeds: tuple[int, ...]) -> list[int]:
+    """A fingerprint for each seed of the shingles' hash, as signed 64-bit integers."""
     import xxhash
 
     words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWERED).split()
     if not words:
-        return 0
-    grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
-    votes = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        votes += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``fp`` in place of the text."""
-    @F.pandas_udf("bigint")
+        return [0] * len(seeds)
+    grams = list(map(b" ".join, zip(*[words[k:] for k in range(shingle)]))) if len(words) >= shingle else [b" ".join(words)]
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
+        votes = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, len(hashes), 8192):
+            part = hashes[at : at + 8192]
+            votes += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprints_of(text, shingle, (SEED,))[0]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """``docs`` with ``fp`` in place of the text, and with ``more``, the fingerprint of the second seed (0 without one)."""
+    @F.pandas_udf("fp bigint, more bigint")
     def vote(texts):
         import pandas as pd
 
-        return pd.Series([fingerprint(x, shingle) for x in texts], dtype="int64")
+        return pd.DataFrame([(*fingerprints_of(x, shingle, seeds), 0)[:2] for x in texts], columns=["fp", "more"], dtype="int64")
 
-    return docs.withColumn("fp", vote(F.col(text))).drop(text)
+    voted = docs.withColumn("__fps", vote(F.col(text)))
+    return voted.withColumns({"fp": F.col("__fps.fp"), "more": F.col("__fps.more")}).drop(text, "__fps")
 
 
 def bit_correlation(values: DataFrame) -> np.ndarray:
@@ -122,8 +133,9 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def choose_partitions(values: DataFrame, radius: int = RADIUS, choices: tuple[int, ...] = (4, 3, 2)) -> tuple[list[list[int]], list[int]]:
+def choose_partitions(values: DataFrame, radius: int = RADIUS, choices: tuple[int, ...] | None = None) -> tuple[list[list[int]], list[int]]:
     """Bit groups and thresholds with the fewest candidates and probes, estimated over all fingerprints."""
+    choices = choices or tuple(range(2, min(radius + 1, MOST_PARTITIONS) + 1))
     correlation = bit_correlation(values)
     dealt = {m: deal_bits(correlation, m) for m in choices}
     named = [(m, k, bits) for m in choices for k, bits in enumerate(dealt[m])]
@@ -134,7 +146,7 @@ def choose_partitions(values: DataFrame, radius: int = RADIUS, choices: tuple[in
     for m in choices:
         costs = []
         for k, bits in enumerate(dealt[m]):
-            n, pairs = found.get((m, k), (0.0, 0.0))
+            n, pairs = found.get((m, k), (1.0, 1.0))
             balls = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(radius + 1)]
             # chance pairs grow with the values within the threshold, and so do the rows to file
             costs.append([0.0, *((n * ROW_COST + pairs - n) * ball for ball in balls)])
@@ -148,42 +160,58 @@ def filed_rows(values: DataFrame, groups: list[list[int]], thresholds: list[int]
     """Each fingerprint under its own and, within the threshold, all near values of every used partition."""
     def near(k: int, bits: list[int], threshold: int) -> Column:
         flips = [sum(1 << b for b in chosen) for d in range(threshold + 1) for chosen in combinations(range(len(bits)), d)]
-        own = value_of(bits, F.col("fp"))
-        return F.array(*[F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(f).cast("bigint")).alias("v")) for f in flips])
+        masks = F.array(*[F.lit(f).cast("bigint") for f in flips])
+        return let(value_of(bits, F.col("fp")), lambda own: F.transform(masks, lambda f: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(f).alias("v"))))
 
     places = [near(k, bits, t) for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
-    return values.select("fp", F.explode(F.concat(*places)).alias("p")).select("fp", "p.k", "p.v")
-
-
-def local_stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Components among distinct ``values`` as edges from each member to the component's smallest; one edge per member at most."""
-    left = np.sort(values)
-    tails, heads = [], []
-    while len(left):
-        root, todo, left = left[0], [left[0]], left[1:]
-        while todo and len(left):
-            near = np.bitwise_count(left ^ todo.pop()) <= radius
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                todo.extend(found)
-                tails.append(found)
-                heads.append(np.full(len(found), root))
-    if not tails:
-        return np.zeros(0, "<u8"), np.zeros(0, "<u8")
+    return values.select("*", F.explode(F.concat(*places)).alias("p")).select(*values.columns, "p.k", "p.v")
+
+
+class Near:
+    """Whether two rows are linked: few enough bits differ in the first fingerprint, and in both together."""
+
+    def __init__(self, radius: int, total: int):
+        self.radius, self.total = radius, total
+
+    def __call__(self, fp: np.ndarray, more: np.ndarray, other_fp, other_more) -> np.ndarray:
+        first = np.bitwise_count(fp ^ other_fp)
+        return (first <= self.radius) & (first + np.bitwise_count(more ^ other_more) <= self.total)
+
+
+def local_stars(node: np.ndarray, fp: np.ndarray, more: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Components among the rows as edges from each node to the component's smallest; one edge per node at most."""
+    order = np.argsort(node, kind="stable")
+    node, fp, more = node[order], fp[order], more[order]
+    tails, heads = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
+    while len(node):
+        root, todo = node[0], [(fp[0], more[0])]
+        node, fp, more = node[1:], fp[1:], more[1:]
+        while todo and len(node):
+            found = near(fp, more, *todo.pop())
+            if found.any():
+                todo.extend(zip(fp[found], more[found], strict=True))
+                tails.append(node[found])
+                heads.append(np.full(int(found.sum()), root))
+                node, fp, more = node[~found], fp[~found], more[~found]
     return np.concatenate(tails), np.concatenate(heads)
 
 
-def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly those reachable by steps of at most ``radius`` bits."""
-    rows = materialise(filed_rows(values, *choose_partitions(values, radius)), "filed")
+def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes that connect exactly those reachable by steps of linked fingerprints.
+
+    ``values`` has distinct ``fp``, or ``node``, ``fp`` and ``more`` with a ``total`` for both fingerprints.
+    """
+    if "node" not in values.columns:
+        values = values.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("more"))
+    near = Near(radius, radius if total is None else total)
+    rows = materialise(filed_rows(values.select("node", "fp", "more"), *choose_partitions(values, radius)), "filed")
     counts = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(materialise(counts, "buckets"), ["k", "v"])
     # a bucket of several blocks is compared by pairs of blocks; a fingerprint goes to all pairs with its block
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q")))
-    dealt = shared.select("fp", "k", "v", F.explode(pairs).alias("b")).select("fp", "k", "v", "b.p", "b.q")
+    dealt = shared.select("node", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "fp", "more", "k", "v", "b.p", "b.q")
 
     def compare(frames):
         import pandas as pd
@@ -192,21 +220,22 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
         key = ["k", "v", "p", "q"]
 
         def compared(frame):
-            keys, fps = frame[key].to_numpy(), frame["fp"].to_numpy(dtype="<i8").view("<u8")
+            keys, node = frame[key].to_numpy(), frame["node"].to_numpy()
+            fp, more = (frame[c].to_numpy(dtype="<i8").view("<u8") for c in ("fp", "more"))
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            sizes = np.diff(np.r_[starts, len(fps)])
-            tails, heads = [], []
-            small = np.repeat(sizes <= 8, sizes)
-            group = np.repeat(np.arange(len(starts)), sizes)
+            sizes = np.diff(np.r_[starts, len(node)])
+            tails, heads = [node[:0]], [node[:0]]
+            small, group = np.repeat(sizes <= 8, sizes), np.repeat(np.arange(len(starts)), sizes)
             for d in range(1, min(8, int(sizes.max(initial=0)))):
-                near = (group[d:] == group[:-d]) & small[d:] & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius)
-                tails.append(fps[d:][near])
-                heads.append(fps[:-d][near])
+                linked = (group[d:] == group[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
+                tails.append(node[d:][linked])
+                heads.append(node[:-d][linked])
             for at in np.flatnonzero(sizes > 8):
-                t, h = local_stars(fps[starts[at] : starts[at] + sizes[at]], radius)
+                rows = slice(starts[at], starts[at] + sizes[at])
+                t, h = local_stars(node[rows], fp[rows], more[rows], near)
                 tails.append(t)
                 heads.append(h)
-            return pd.DataFrame({"a": np.concatenate(tails or [fps[:0]]).view("<i8"), "b": np.concatenate(heads or [fps[:0]]).view("<i8")})
+            return pd.DataFrame({"a": np.concatenate(tails), "b": np.concatenate(heads)})
 
         for frame in frames:
             frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
@@ -247,20 +276,23 @@ def connected(edges: DataFrame) -> DataFrame:
         now = step
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, total: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``first``, the document of its component that comes first.
 
     ``first`` holds an id and a digest of the text; ids go by value, rows without one come last.
+    With ``total``, links are verified by a second fingerprint: both together may differ in so many bits.
     """
+    seeds = (SEED,) if total is None else (SEED, SEED + 1)
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    rows = materialise(fingerprints(named, shingle=shingle), "fingerprints")
+    node = F.col("fp") if total is None else F.xxhash64("fp", "more")
+    rows = materialise(fingerprints(named, shingle=shingle, seeds=seeds).withColumn("node", node), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    values = materialise(rows.groupBy("fp").agg(F.min(rank).alias("first")), "values")
-    roots = connected(links(values, radius))
-    rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    values = materialise(rows.groupBy("node", "fp", "more").agg(F.min(rank).alias("first")), "values")
+    roots = connected(links(values, radius, block, total))
+    rooted = values.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted")
     first = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")), "components")
-    return rows.join(materialise(rooted.select("fp", "root").join(first, "root").select("fp", "first"), "named"), "fp")
+    return rows.join(materialise(rooted.select("node", "root").join(first, "root").select("node", "first"), "named"), "node")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -269,9 +301,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return grouped(docs, radius, shingle).select("doc_id", fingerprint.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the first document of each component; one row of it if that row is repeated."""
-    first = grouped(docs, radius).select("first.doc_id", "first.digest").distinct().alias("f")
+def bits_at(similarity: float, bits: int = 2 * BITS) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity of shingles are expected to differ, rounded up."""
+    from math import acos, ceil, pi
+
+    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """``docs`` with the first document of each group of near-duplicates; one row of it if that row is repeated.
+
+    Texts are near-duplicates if their fingerprints over five-word shingles differ in no more bits
+    than those of texts of this similarity do: candidates come from the first fingerprint, at
+    most ``radius`` bits apart, and both fingerprints together decide.
+    """
+    first = grouped(docs, radius, shingle, bits_at(similarity), SIMILAR_BLOCK).select("first.doc_id", "first.digest").distinct().alias("f")
     named = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__digest") == F.col("f.digest"))
     return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
