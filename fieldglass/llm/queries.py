@@ -69,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.quality_sql(),
     "op4_decontamination": decontam.contamination_sql(),
+    "op9_substrings": substrings.repeats_sql(),
     "op10_url_filters": url_rules.judge_urls_sql(),
 }

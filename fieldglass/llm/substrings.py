@@ -220,3 +220,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         plain = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
         out.append(F.when(whole, F.lit("")).otherwise(F.coalesce("left_text", plain)).alias("kept_text"))
     return rows.select(*out)
+
+
+def repeats_sql(window: int = WINDOW) -> str:
+    """The same rows for the table ``documents`` in SQL, with every window written out."""
+    last = window - 1
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    a AS (SELECT r, w, unnest(generate_series(1, len(w) - {last})) AS i FROM d WHERE len(w) >= {window}),
+    k AS (SELECT r, i, array_to_string(w[i:i + {last}], ' ') AS k FROM a),
+    t AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+    g AS (SELECT DISTINCT r, unnest(generate_series(i, i + {last})) AS p FROM k JOIN t USING (k)),
+    u AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+    l AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.p) AS words, count(*) AS n FROM u LEFT JOIN g ON u.r = g.r AND u.p = g.p WHERE g.p IS NULL GROUP BY u.r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+    FROM d LEFT JOIN l USING (r)"""
