@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import ascii_lower
+from fieldglass.llm.common import ascii_lower, release_memory
 
 WINDOW = 10
 #: Most windows that are sent to the tasks; a larger benchmark is joined instead.
@@ -85,14 +87,14 @@ def _scan(docs: DataFrame, windows: tuple, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     @F.pandas_udf(FOUND)
-    def scan(texts):
-        import pandas as pd
-
-        rows = []
-        for x in texts:
-            words = word_list(x)
-            rows.append((len(words), *scan_words(words, *shared.value)))
-        return pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for x in texts:
+                words = word_list(x)
+                rows.append((len(words), *scan_words(words, *shared.value)))
+            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+        release_memory()
 
     return docs.withColumn("__found", scan(F.col(text)))
 
@@ -156,8 +158,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", dro
     """
     @F.pandas_udf("string")
     def cut(texts, hits):
-        import pandas as pd
-
         return pd.Series([cut_words(x, h) for x, h in zip(texts, hits, strict=True)], dtype=object)
 
     found = find_hits(docs, benchmark, doc_text=text, **options)

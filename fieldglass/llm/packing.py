@@ -18,13 +18,13 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import materialise
+from fieldglass.llm.common import materialise, tidy
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Word pieces a task remembers the ids of, before it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 #: Unseen words that are encoded in one call's text; neither single words nor long texts are as fast.
 WORDS_AT_ONCE = 50
 #: Ranges that the ranks of one length are counted in, and rows of one range at most on average.
@@ -55,6 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
         self.unsafe = re.compile(r" (?:\s|\Z)")
         self.border = re.compile(r"(?<!\s) (?=\S)")
 
@@ -86,10 +87,13 @@ class Encoder:
             known.clear()
         missing = set().union(*parts).difference(known)
         odd = [w for w in missing if "\0" in w]
-        missing.difference_update(odd)
-        plain = list(missing)
+        # a mark after letters is a piece of its own
+        ended = {w: w[:-1] for w in missing if w[-1:] in self.marks and w[:-1].isalpha()}
+        missing.difference_update(odd, ended)
+        plain = list(missing.union(ended.values()).difference(known))
         known.update(zip(plain, self._encode_words(plain), strict=True))
         known.update(zip(odd, self._encode([" " + w for w in odd]), strict=True))
+        known.update({w: known[letters] + self.marks[w[-1]] for w, letters in ended.items()})
         return [head + b"".join(map(known.__getitem__, p)) for head, p in zip(heads, parts, strict=True)]
 
 
@@ -121,7 +125,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         rows.append((None if pd.isna(doc_id) else doc_id, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), len(ids) // 4))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return docs.select("doc_id", "text").mapInPandas(tidy(cut), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

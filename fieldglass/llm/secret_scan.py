@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import materialise
+from fieldglass.llm.common import materialise, tidy
 
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDINGS}"
@@ -97,7 +97,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
     texts = versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), blob_of(F.col("text")).alias("blob")).alias("v")
     same = F.col("v.doc_id").eqNullSafe(F.col("t.path")) & (F.col("v.blob") == F.col("t.blob"))
-    scanned = texts.join(todo.alias("t"), same).select("v.text", "v.blob", "t.rules").mapInPandas(scan, LEDGER)
+    scanned = texts.join(todo.alias("t"), same).select("v.text", "v.blob", "t.rules").mapInPandas(tidy(scan), LEDGER)
     return materialise(scanned.dropDuplicates(["blob"]), "ledger")
 
 

@@ -17,15 +17,17 @@ repeated results; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions.text import let
-from fieldglass.llm.common import materialise
+from fieldglass.llm.common import materialise, release_memory, tidy
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
@@ -64,10 +66,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """``docs`` with ``fp`` in place of the text, and with ``more``, the fingerprint of the second seed (0 without one)."""
     @F.pandas_udf("fp bigint, more bigint")
-    def vote(texts):
-        import pandas as pd
-
-        return pd.DataFrame([(*fingerprints_of(x, shingle, seeds), 0)[:2] for x in texts], columns=["fp", "more"], dtype="int64")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([(*fingerprints_of(x, shingle, seeds), 0)[:2] for x in texts], columns=["fp", "more"], dtype="int64")
+        release_memory()
 
     voted = docs.withColumn("__fps", vote(F.col(text)))
     return voted.withColumns({"fp": F.col("__fps.fp"), "more": F.col("__fps.more")}).drop(text, "__fps")
@@ -76,8 +78,6 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, se
 def bit_correlation(values: DataFrame) -> np.ndarray:
     """Absolute correlation of every two bits over all rows; 64 x 64 sums are all that leaves the tasks."""
     def sums(frames):
-        import pandas as pd
-
         total, n = np.zeros((BITS, BITS), dtype=np.int64), 0
         for frame in frames:
             bits = np.unpackbits(frame["fp"].to_numpy(dtype="<i8").view(np.uint8), bitorder="little").reshape(-1, BITS).astype(np.float32)
@@ -214,8 +214,6 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: in
     dealt = shared.select("node", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "fp", "more", "k", "v", "b.p", "b.q")
 
     def compare(frames):
-        import pandas as pd
-
         kept = None
         key = ["k", "v", "p", "q"]
 
@@ -249,7 +247,7 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: in
             yield compared(kept)
 
     sorted_rows = dealt.repartition("k", "v", "p", "q").sortWithinPartitions("k", "v", "p", "q")
-    return sorted_rows.mapInPandas(compare, "a bigint, b bigint").where("a != b").distinct()
+    return sorted_rows.mapInPandas(tidy(compare), "a bigint, b bigint").where("a != b").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

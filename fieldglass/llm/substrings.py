@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import materialise
+from fieldglass.llm.common import materialise, tidy
 
 WINDOW = 35
 #: Bits of a selection key that hold the position, so that of equal short windows the last is chosen.
@@ -148,7 +148,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
 
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     outlined = named.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(
-        outline, "rid bigint, doc_id bigint, digest string, n_words bigint, words_sha256 string, at array<int>, short array<bigint>, `right` array<bigint>, `left` array<bigint>")
+        tidy(outline), "rid bigint, doc_id bigint, digest string, n_words bigint, words_sha256 string, at array<int>, short array<bigint>, `right` array<bigint>, `left` array<bigint>")
     outlines = materialise(outlined, "outlines")
     groups = materialise(outlines.groupBy("digest").agg(F.count("*").alias("n"), F.min("rid").alias("first_rid")), "texts")
     copies = materialise(outlines.select("rid", "digest").join(groups, "digest").select("rid", (F.col("rid") == F.col("first_rid")).alias("first"), (F.col("n") > 1).alias("copied")), "copies")
@@ -176,7 +176,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                 yield pd.DataFrame({"rid": np.repeat(part["rid"].to_numpy(), sizes), "at": np.concatenate([f[0] for f in found]),
                                     "one": np.concatenate([f[1] for f in found]), "two": np.concatenate([f[2] for f in found])})
 
-    long = texts.mapInPandas(extend, "rid bigint, at int, one bigint, two bigint")
+    long = texts.mapInPandas(tidy(extend), "rid bigint, at int, one bigint, two bigint")
     starts = long.join(repeated(long, "one", "two"), ["one", "two"]).groupBy("rid").agg(F.collect_list("at").alias("starts"))  # positions of one text
     return outlines.drop("at", "short", "right", "left"), copies, texts.select("rid", "text").join(materialise(starts, "starts"), "rid")
 
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
                 rows.append((gone, hashlib.sha256(data).hexdigest(), data.decode("utf-8", "surrogatepass") if with_text else None))
             yield pd.concat([frame[["rid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["gone", "sha", "left_text"])], axis=1)
 
-    changed = repeats.mapInPandas(cut, "rid bigint, gone bigint, sha string, left_text string")
+    changed = repeats.mapInPandas(tidy(cut), "rid bigint, gone bigint, sha string, left_text string")
     if not with_text:
         changed = changed.drop("left_text")
     whole = F.col("copied") & (F.col("n_words") >= window)
