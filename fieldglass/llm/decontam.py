@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import ascii_lower, release_memory
+from fieldglass.llm.common import LOWER, UPPER, ascii_lower, release_memory
 
 WINDOW = 10
 #: Most windows that are sent to the tasks; a larger benchmark is joined instead.
 MAX_WINDOWS = 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = str.maketrans(UPPER, LOWER)
 FOUND = "struct<n_words:bigint,hits:array<int>,items:array<bigint>>"
 #: lower-cases A-Z, keeps what makes words, blanks the rest
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -135,9 +136,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def cut_words(text: str, hits) -> str:
-    """``text`` without the runs of hit words; white space around a cut becomes one blank."""
+    """``text`` without the runs of hit words; white space around a cut becomes one blank.
+
+    Words are counted in the lower-cased text, as hits are; it has the same length.
+    """
     spans, hit = [], set(hits)
-    for at, m in enumerate(re.finditer(WORD, text)):
+    for at, m in enumerate(re.finditer(WORD, text.translate(LOWERED))):
         if at in hit:
             if spans and at - 1 in hit:
                 spans[-1][1] = m.end()

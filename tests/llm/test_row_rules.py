@@ -103,6 +103,17 @@ def test_passages_are_cut(make_docs, benchmark, leaks, spark):
     assert decontam.contamination(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("most", [decontam.MAX_WINDOWS, 3])
+def test_capitals_do_not_shift_the_cut(make_docs, benchmark, most):
+    """Exact texts left: 'I', acronyms and camel case before the passage, and a passage in capitals."""
+    before, after, passage = prose(60, 60), prose(61, 60), prose(50, 30)
+    mixed = "I saw that NASA and the EU use myCamelCase and A B C D E F G H, as I said. " + before
+    cases = {40: (mixed, passage), 41: (before, passage.upper()), 42: (mixed, passage.title())}
+    docs = make_docs([(k, f"{a} {p} {after}") for k, (a, p) in cases.items()])
+    left = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, benchmark, max_windows=most).collect()}
+    assert left == {k: f"{a} . {after}" for k, (a, _) in cases.items()}
+
+
 def test_url_rules(spark):
     rows = [
         (1, "http://a.example.com/en/1"), (2, "http://www.example.com/en/1"), (3, "https://x.net/es/"), (4, "https://x.net/fr/2?q=/es/"), (5, "HTTP://X.NET/de/"), (6, None),
