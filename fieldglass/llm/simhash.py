@@ -32,8 +32,10 @@ from fieldglass.llm.common import materialise, release_memory, tidy
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
 BLOCK = 2048
-#: For texts of a given similarity: bits apart at most in the fingerprint that is probed, and a larger block, as buckets hold more.
-SIMILAR_RADIUS, SIMILAR_BLOCK = 10, 16384
+#: For texts of a given similarity: bands of least hashes and hashes in a band. One band is shared with a chance of 0.998 at 0.8.
+BANDS, BAND_ROWS = 12, 4
+#: Standard deviations over the expected bits apart up to which two fingerprints together make a candidate; 0.999 stay below.
+SPREADS = 3.1
 MOST_PARTITIONS = 8
 #: What filing a row costs, in comparisons of two fingerprints.
 ROW_COST = 50
@@ -167,6 +169,11 @@ def filed_rows(values: DataFrame, groups: list[list[int]], thresholds: list[int]
     return values.select("*", F.explode(F.concat(*places)).alias("p")).select(*values.columns, "p.k", "p.v")
 
 
+def rank() -> Column:
+    """What makes a document the first of its component."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+
+
 class Near:
     """Whether two rows are linked: few enough bits differ in the first fingerprint, and in both together."""
 
@@ -179,23 +186,35 @@ class Near:
 
 
 def local_stars(node: np.ndarray, fp: np.ndarray, more: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Components among the rows as edges from each node to the component's smallest; one edge per node at most."""
+    """Components among the rows as edges between linked nodes, a tree for each; one edge per node at most."""
     order = np.argsort(node, kind="stable")
     node, fp, more = node[order], fp[order], more[order]
     tails, heads = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
     while len(node):
-        root, todo = node[0], [(fp[0], more[0])]
+        todo = [(node[0], fp[0], more[0])]
         node, fp, more = node[1:], fp[1:], more[1:]
         while todo and len(node):
-            found = near(fp, more, *todo.pop())
+            from_node, *prints = todo.pop()
+            found = near(fp, more, *prints)
             if found.any():
-                todo.extend(zip(fp[found], more[found], strict=True))
+                todo.extend(zip(node[found], fp[found], more[found], strict=True))
                 tails.append(node[found])
-                heads.append(np.full(int(found.sum()), root))
+                heads.append(np.full(int(found.sum()), from_node))
                 node, fp, more = node[~found], fp[~found], more[~found]
     return np.concatenate(tails), np.concatenate(heads)
 
 
+def cross_links(node: np.ndarray, root: np.ndarray, fp: np.ndarray, more: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of nodes of unlike roots."""
+    tails, heads = [node[:0]], [node[:0]]
+    for at in range(len(node) - 1):
+        found = np.flatnonzero(root[at + 1 :] != root[at]) + at + 1
+        found = found[near(fp[found], more[found], fp[at], more[at])]
+        tails.append(node[found])
+        heads.append(np.full(len(found), node[at]))
+    return np.concatenate(tails), np.concatenate(heads)
+
+
 def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes that connect exactly those reachable by steps of linked fingerprints.
 
@@ -205,32 +224,43 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: in
         values = values.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("more"))
     near = Near(radius, radius if total is None else total)
     rows = materialise(filed_rows(values.select("node", "fp", "more"), *choose_partitions(values, radius)), "filed")
-    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    return bucket_links(rows, near, block)
+
+
+def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect, bucket by bucket, the ``node`` of ``rows`` filed under the same ``k`` and ``v``.
+
+    With a column ``root``, only buckets of several roots are compared, and edges are all linked pairs of unlike roots.
+    """
+    rooted = "root" in rows.columns
+    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n"), *([F.min("root").alias("least"), F.max("root").alias("most")] if rooted else []))
+    counts = counts.where("n > 1 AND least != most").drop("least", "most") if rooted else counts.where("n > 1")
+    rows = rows if rooted else rows.withColumn("root", F.col("node"))
     shared = rows.join(materialise(counts, "buckets"), ["k", "v"])
     # a bucket of several blocks is compared by pairs of blocks; a fingerprint goes to all pairs with its block
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q")))
-    dealt = shared.select("node", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "fp", "more", "k", "v", "b.p", "b.q")
+    dealt = shared.select("node", "root", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "root", "fp", "more", "k", "v", "b.p", "b.q")
 
     def compare(frames):
         kept = None
         key = ["k", "v", "p", "q"]
 
         def compared(frame):
-            keys, node = frame[key].to_numpy(), frame["node"].to_numpy()
+            keys, node, root = frame[key].to_numpy(), frame["node"].to_numpy(), frame["root"].to_numpy()
             fp, more = (frame[c].to_numpy(dtype="<i8").view("<u8") for c in ("fp", "more"))
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[starts, len(node)])
             tails, heads = [node[:0]], [node[:0]]
             small, group = np.repeat(sizes <= 8, sizes), np.repeat(np.arange(len(starts)), sizes)
             for d in range(1, min(8, int(sizes.max(initial=0)))):
-                linked = (group[d:] == group[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
+                linked = (group[d:] == group[:-d]) & (root[d:] != root[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
                 tails.append(node[d:][linked])
                 heads.append(node[:-d][linked])
             for at in np.flatnonzero(sizes > 8):
                 rows = slice(starts[at], starts[at] + sizes[at])
-                t, h = local_stars(node[rows], fp[rows], more[rows], near)
+                t, h = cross_links(node[rows], root[rows], fp[rows], more[rows], near) if rooted else local_stars(node[rows], fp[rows], more[rows], near)
                 tails.append(t)
                 heads.append(h)
             return pd.DataFrame({"a": np.concatenate(tails), "b": np.concatenate(heads)})
@@ -274,23 +304,24 @@ def connected(edges: DataFrame) -> DataFrame:
         now = step
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, total: int | None = None, block: int = BLOCK) -> DataFrame:
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``first``, the document of its component that comes first.
 
     ``first`` holds an id and a digest of the text; ids go by value, rows without one come last.
-    With ``total``, links are verified by a second fingerprint: both together may differ in so many bits.
     """
-    seeds = (SEED,) if total is None else (SEED, SEED + 1)
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    node = F.col("fp") if total is None else F.xxhash64("fp", "more")
-    rows = materialise(fingerprints(named, shingle=shingle, seeds=seeds).withColumn("node", node), "fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    values = materialise(rows.groupBy("node", "fp", "more").agg(F.min(rank).alias("first")), "values")
-    roots = connected(links(values, radius, block, total))
+    rows = materialise(fingerprints(named, shingle=shingle).withColumn("node", F.col("fp")), "fingerprints")
+    values = materialise(rows.groupBy("node", "fp", "more").agg(F.min(rank()).alias("first")), "values")
+    named = first_of_each(values, connected(links(values, radius)))
+    return rows.join(materialise(named.select("node", "first"), "named"), "node")
+
+
+def first_of_each(values: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node``, ``root`` and ``first`` of its whole component, for all of ``values``."""
     rooted = values.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted")
     first = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")), "components")
-    return rows.join(materialise(rooted.select("node", "root").join(first, "root").select("node", "first"), "named"), "node")
+    return rooted.select("node", "root").join(first, "root").select("node", "root", "first")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -299,21 +330,107 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return grouped(docs, radius, shingle).select("doc_id", fingerprint.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def bits_at(similarity: float, bits: int = 2 * BITS) -> int:
-    """Bits in which fingerprints of texts with this Jaccard similarity of shingles are expected to differ, rounded up."""
-    from math import acos, ceil, pi
+def bits_at(similarity: float, bits: int = 2 * BITS, spreads: float = 0.0) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and ``spreads`` standard deviations more, rounded up."""
+    from math import acos, ceil, pi, sqrt
+
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * p + spreads * sqrt(bits * p * (1 - p)))
 
-    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+def shingles_of(text: str | None, shingle: int) -> set[bytes]:
+    words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWERED).split()
+    if not words:
+        return set()
+    return set(map(b" ".join, zip(*[words[k:] for k in range(shingle)]))) if len(words) >= shingle else {b" ".join(words)}
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of what 64-bit hashes stand for."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def sketch_of(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
+    """A name of the set of shingles, two fingerprints of it, and a value for each band of least hashes; no bands for an empty set."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    grams = shingles_of(text, shingle)
+    if not grams:
+        return 0, 0, 0, []
+    hashes = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(grams)))
+    factors = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype="<u8")) | np.uint64(1)
+    votes, least = np.zeros((2, BITS), dtype=np.int64), np.full(len(factors), 2**64 - 1, dtype="<u8")
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192]
+        for k, seen in enumerate((part, mixed(part))):
+            votes[k] += np.unpackbits(seen.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        for k, factor in enumerate(factors):
+            least[k] = min(least[k], (part * factor).min())
+    prints = np.packbits(votes * 2 > len(hashes), axis=1, bitorder="little").view("<i8")
+    signed = lambda x: x - (x >> 63 << 64)
+    bands = [signed(digest(row.tobytes(), SEED)) for row in least.reshape(BANDS, BAND_ROWS)]
+    return signed(digest(hashes.tobytes(), SEED)), int(prints[0, 0]), int(prints[1, 0]), bands
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with ``node``, ``fp``, ``more`` and ``bands``."""
+    @F.pandas_udf("node bigint, fp bigint, more bigint, bands array<bigint>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketch_of(x, shingle) for x in texts], columns=["node", "fp", "more", "bands"])
+        release_memory()
+
+    return docs.withColumn("__sketch", sketch(F.col("text"))).select(*docs.columns, "__sketch.*")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``texts`` have so large a share of their shingles in common."""
+    def similar(frames):
+        last, own = None, set()
+        for frame in frames:
+            kept = []
+            for a, text, other in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
+                if a != last:
+                    last, own = a, shingles_of(text, shingle)
+                of_other = shingles_of(other, shingle)
+                both = len(own & of_other)
+                kept.append(both >= similarity * (len(own) + len(of_other) - both))
+            yield frame.loc[kept, ["a", "b"]]
+
+    with_texts = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialise(with_texts.select("a", "b", "text_a", "text_b").mapInPandas(tidy(similar), "a bigint, b bigint"), "alike")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with the first document of each group of near-duplicates; one row of it if that row is repeated.
 
-    Texts are near-duplicates if their fingerprints over five-word shingles differ in no more bits
-    than those of texts of this similarity do: candidates come from the first fingerprint, at
-    most ``radius`` bits apart, and both fingerprints together decide.
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
+    ``similarity``. Candidates share a band of least hashes and differ in few bits of two fingerprints;
+    each link is verified on the texts. First a tree of candidates is verified in each bucket; then,
+    between what that leaves apart, every candidate pair.
     """
-    first = grouped(docs, radius, shingle, bits_at(similarity), SIMILAR_BLOCK).select("first.doc_id", "first.digest").distinct().alias("f")
+    named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = materialise(sketches(named, shingle), "sketches")
+    values = materialise(rows.groupBy("node").agg(F.min(rank()).alias("first"), *[F.any_value(c).alias(c) for c in ("fp", "more", "bands")]), "values")
+    filed = materialise(values.select("node", "fp", "more", F.posexplode("bands").alias("k", "v")), "filed")
+    near = Near(BITS, bits_at(similarity, spreads=SPREADS))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(values.select("node", "first"), "node")
+        same = [F.col("r.node") == F.col("u.node"), F.col("r.digest") == F.col("u.first.digest"), F.col("r.doc_id").eqNullSafe(F.col("u.first.doc_id"))]
+        texts = materialise(rows.alias("r").join(used.alias("u"), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+        return pairs, alike(pairs, texts, similarity, shingle)
+
+    tried, found = verified(bucket_links(filed, near))
+    roots = connected(found)
+    apart = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crossing = bucket_links(materialise(apart, "apart"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    _, more = verified(crossing.join(tried, ["a", "b"], "left_anti"))
+    first = first_of_each(values, connected(found.unionByName(more))).select("first.doc_id", "first.digest").distinct().alias("f")
     named = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__digest") == F.col("f.digest"))
     return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

@@ -76,6 +76,28 @@ def test_one_of_each_group_stays(make_docs, near_texts):
     assert simhash.bits_at(0.8) == 20 and simhash.bits_at(1.0) == 0
 
 
+def test_only_similar_texts_are_linked(make_docs):
+    """Pairs of 0.82 and more go, pairs of 0.78 and less stay, in groups of two and in one large group."""
+    pairs, expected = [], set()
+
+    def changed(seed, places, spacing=7):
+        words = prose(seed, 600).split()
+        for k in range(places):
+            words[10 + spacing * k] = f"other{k}"
+        return " ".join(words)
+
+    grams = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for g in range(60):
+        first, second = prose(3000 + g, 600), changed(3000 + g, 11 if g % 2 else 16)
+        same = len(grams(first) & grams(second)) / len(grams(first) | grams(second))
+        assert same > 0.82 if g % 2 else same < 0.78
+        pairs += [(2 * g, " ".join(first.split())), (2 * g + 1, second)]
+        expected |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
+    pairs += [(1000 + k, changed(2999, 1, k)) for k in range(1, 30)]
+    left = {r["doc_id"] for r in simhash.one_of_each(make_docs(pairs)).collect()}
+    assert left == expected | {1001}
+
+
 def test_every_link_is_found(spark):
     """All fingerprints within three bits of a few centres, and chains, against all pairs; small blocks force splitting."""
     rng = random.Random(9)
