@@ -43,9 +43,12 @@ FURNITURE = re.compile(
     r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|widget|copyright|skip|hidden)(?:$|[\s_-])|^header$|^header\s|\sheader$|\sheader\s", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Comments and elements whose content is not markup.
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.I | re.S)
+RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^<>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
+    r"|<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.I | re.S)
 TAG = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)|[!?][^>]*)>")
-ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, with its value, or a stray quoted string.
+ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 
 class Page:
@@ -82,7 +85,8 @@ class Page:
                 continue
             if tag == "br":
                 texts.append((top, " ", False))
-            if tag in VOID:
+            # of elements with content only those of SVG and MathML can close themselves
+            if tag in VOID or (tag in ("svg", "math") and parts[k + 3].endswith("/")):
                 continue
             if block or tag in ENDS:
                 ended = ENDS.get(tag, ())

@@ -280,6 +280,13 @@ def test_pages(spark, most):
     assert html_text.page_texts(pages.limit(0)).count() == 0
 
 
+def test_self_closed_icons_and_quoted_values_drop_nothing():
+    """Neither text after <svg/> nor text of an element whose title holds an attribute's name."""
+    text = lambda html: html_text.Page(html).text(None)
+    assert text("<body><p>one <svg class='i' data-a='x>y' href=a/b /> two</p><p>three <math/>four <svg><path/><text>no</text></svg>five</p></body>") == "one two\n\nthree four five"
+    assert text("<body><div title=\"a hidden place\"><p>kept</p></div><div title='style=\"display:none\" role=menu'>too</div><div hidden>no</div><div data-x=\"1\" hidden=''>no</div></body>") == "kept\n\ntoo"
+
+
 def test_consensus_beats_a_page_of_its_own(spark):
     """A page whose longest part is furniture without a name follows its host."""
     page = lambda k, a, b: (k, f"http://h.org/{k}", f"<body><div class='text-{k}'><p>{a}</p></div><div class='extra'><p>{b}</p></div></body>")
