@@ -1,12 +1,15 @@
-"""Main text of web pages by a consensus of container paths on each host.
-
-Every page names the container that best holds its prose by a path of tags and classes (digits
-generalised). The pages of a host vote, each with the prose it has there; the winning path is
-then extracted from all of them. A page without that path, or with nothing in it, and a page
-without a host use their own best container.
-
-A null or empty page, and one without prose, has an empty text. Repeated rows vote and are
-extracted as often as they occur; an empty table gives an empty one.
+"""Main text of web pages: each page's own container, without what its host repeats.
+
+A page's text is that of the smallest container that holds all of its unlinked prose outside
+furniture. Furniture is named by tags, roles and classes, or found by a consensus of the host:
+every page lists what stands beside the container with most of its prose, by a path of tags and
+classes (digits generalised). A path that has the same texts again and again on the pages of a
+host is furniture on all of them, unless a page has no prose but there. A page without a host
+knows only named furniture.
+
+A null or empty page, and one without prose, has an empty text. Repeated rows count and are
+extracted as often as they occur; an empty table gives an empty one. What stands beside the main
+container and is the same on most pages of a host is taken for furniture even if it is prose.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import materialise
 from fieldglass.llm.url_rules import host_of
 
-#: Hosts whose winning paths are sent to every task; more are joined.
+#: Hosts whose furniture is sent to every task; more are joined.
 MAX_HOSTS = 100_000
-#: A container must hold this share of the page's prose; the deepest such container is the page's best.
+#: What stands outside the deepest container with this share of the page's prose is compared across the host.
 MIN_SHARE = 0.6
+#: A path is furniture from this many pages of a host on, if no more than this share of them have a text of their own there.
+MIN_PAGES, MAX_TEXTS = 3, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose whole content is no article text.
@@ -116,70 +121,107 @@ class Page:
             stack.append((tag, top))
             links += tag == "a"
 
-    def best(self) -> tuple[int, int]:
-        """The deepest container with enough of the prose, and its characters; (0, 0) without prose."""
+    def prose(self, dropped: list[bool]) -> list[int]:
+        """Unlinked characters in and below each node."""
         prose = [0] * len(self.parents)
         for node, text, linked in self.texts:
-            if text is not None and not linked and not self.dropped[node]:
+            if text is not None and not linked and not dropped[node]:
                 prose[node] += len(text.strip())
         for node in range(len(prose) - 1, 0, -1):  # a parent stands before its children
             prose[self.parents[node]] += prose[node]
-        if not prose[0]:
-            return 0, 0
+        return prose
+
+    def best(self, prose: list[int], dropped: list[bool], share: float) -> int:
+        """The deepest container with this share of the prose; 0 without one."""
         found = 0
         for node in range(1, len(prose)):
-            if self.containers[node] and prose[node] >= prose[0] * MIN_SHARE:
+            if prose[0] and self.containers[node] and not dropped[node] and prose[node] >= prose[0] * share:
                 found = node  # nodes with more than half of the prose lie in each other
-        return found, prose[found]
-
-    def text(self, path: str | None) -> str:
-        """Blocks of all outermost nodes at ``path``, or of the best container."""
-        inside = [False] * len(self.parents)
-        for own in (False, True):
-            top = self.best()[0] if own else None
-            if not own and not path:
+        return found
+
+    def beside(self) -> list[tuple[str, str | None]]:
+        """Path and text of every element with prose that stands beside the container with most of it, or beside one around that; these containers and all in the first without text."""
+        prose = self.prose(self.dropped)
+        node = self.best(prose, self.dropped, MIN_SHARE)
+        if not node:
+            return []
+        main, around = node, {0}
+        while node > 0:
+            around.add(node)
+            node = self.parents[node]
+        own, unit, texts = {self.paths[k] for k in around if k}, [0] * len(self.parents), {}
+        for k in range(1, len(unit)):
+            parent = self.parents[k]
+            if k in around or not prose[k] or self.dropped[k]:
                 continue
-            for node, parent in enumerate(self.parents):
-                inside[node] = not self.dropped[node] and ((parent >= 0 and inside[parent]) or (node == top if own else self.paths[node] == path))
-            blocks, now = [], []
-            for node, text, _ in [*self.texts, (0, None, False)]:
-                if text is None:
-                    if now:
-                        blocks.append(" ".join(unescape("".join(now)).split()))
-                        now = []
-                elif inside[node]:
-                    now.append(text)
-            blocks = [b for b in blocks if b]
-            if blocks:
-                return "\n\n".join(blocks)
-        return ""
-
-
-def host_paths(pages: DataFrame) -> DataFrame:
-    """``host`` and ``path`` for every host: the path with most prose, ties to the smaller one."""
-    def vote(frames):
+            if parent == main or unit[parent] == main:
+                unit[k] = main
+                own.add(self.paths[k])
+            else:
+                unit[k] = unit[parent] or k
+        for k, text, _ in self.texts:
+            if text is not None and unit[k] not in (0, main) and not self.dropped[k]:
+                texts.setdefault(unit[k], []).append(text)
+        return [*((p, None) for p in own), *((self.paths[k], " ".join("".join(t).split())) for k, t in texts.items())]
+
+    def text(self, furniture=None) -> str:
+        """Blocks of the smallest container with all prose outside ``furniture``, paths of the host; of all prose if there is none outside."""
+        dropped = list(self.dropped)
+        if furniture is not None and len(furniture):
+            named = set(furniture)
+            for node in range(1, len(dropped)):
+                dropped[node] = dropped[node] or dropped[self.parents[node]] or self.paths[node] in named
+        prose = self.prose(dropped)
+        if not prose[0]:
+            dropped = self.dropped
+            prose = self.prose(dropped)
+            if not prose[0]:
+                return ""
+        top = self.best(prose, dropped, 1)
+        inside = [False] * len(self.parents)
+        for node, parent in enumerate(self.parents):
+            inside[node] = not dropped[node] and ((parent >= 0 and inside[parent]) or node == top)
+        blocks, now = [], []
+        for node, text, _ in [*self.texts, (0, None, False)]:
+            if text is None:
+                if now:
+                    blocks.append(" ".join(unescape("".join(now)).split()))
+                    now = []
+            elif inside[node]:
+                now.append(text)
+        return "\n\n".join(b for b in blocks if b)
+
+
+def host_furniture(pages: DataFrame) -> DataFrame:
+    """``host`` and ``paths`` for every host that has furniture."""
+    def listed(frames):
         import pandas as pd
+        import xxhash
 
         for frame in frames:
             rows = []
             for host, html in zip(frame["host"], frame["html"], strict=True):
-                page = Page(html)
-                node, prose = page.best()
-                if node:
-                    rows.append((host, page.paths[node], prose))
-            yield pd.DataFrame(rows, columns=["host", "path", "prose"])
+                # a path counts once a page, with all its texts there
+                texts: dict[str, list[str | None]] = {}
+                for path, text in Page(html).beside():
+                    texts.setdefault(path, []).append(text)
+                rows += [(host, p, None if None in t else xxhash.xxh64_hexdigest("\n".join(t).encode("utf-8", "surrogatepass"))) for p, t in texts.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "text"])
 
-    votes = pages.where("host != '' AND html IS NOT NULL").select("host", "html").mapInPandas(vote, "host string, path string, prose bigint")
-    sums = votes.groupBy("host", "path").agg(F.sum("prose").alias("prose"))
-    return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("prose"), F.col("path"))).alias("path"))
+    found = pages.where("host != '' AND html IS NOT NULL").select("host", "html").mapInPandas(listed, "host string, path string, text string")
+    # where a path holds most of a page's prose, its text counts as one of its own
+    own = F.when(F.col("text").isNull(), F.col("n")).otherwise(1)
+    counts = found.groupBy("host", "path", "text").agg(F.count("*").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(own).alias("texts"))
+    repeated = counts.where((F.col("pages") >= MIN_PAGES) & (F.col("texts") <= F.col("pages") * MAX_TEXTS))
+    return repeated.groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
 def extract(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
     """``pages`` with ``__text``, the main text, for columns ``url`` and ``html``."""
     named = pages.withColumn("__host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    winners = materialise(host_paths(named.select(F.col("__host").alias("host"), "html")).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host_paths")
+    found = materialise(host_furniture(named.select(F.col("__host").alias("host"), "html")).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "host_furniture")
     # one short row for each host: sent to all tasks while they are few, else joined
-    side = F.broadcast(winners) if winners.count() <= max_hosts else winners
+    side = F.broadcast(found) if found.count() <= max_hosts else found
 
     @F.pandas_udf("string")
     def text(htmls, paths):
@@ -187,7 +229,7 @@ def extract(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
 
         return pd.Series([Page(h).text(p) if h else "" for h, p in zip(htmls, paths, strict=True)], dtype=object)
 
-    return named.join(side, "__host", "left").withColumn("__text", text(F.col("html"), F.col("__path"))).drop("__host", "__path")
+    return named.join(side, "__host", "left").withColumn("__text", text(F.col("html"), F.col("__paths"))).drop("__host", "__paths")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -287,6 +287,22 @@ def test_self_closed_icons_and_quoted_values_drop_nothing():
     assert text("<body><div title=\"a hidden place\"><p>kept</p></div><div title='style=\"display:none\" role=menu'>too</div><div hidden>no</div><div data-x=\"1\" hidden=''>no</div></body>") == "kept\n\ntoo"
 
 
+def test_split_articles_and_two_templates_are_whole(spark):
+    """A heading, a lead, a second part of another class and a table cell all stay, on a host with two templates."""
+    def split(k):
+        parts = [f"Title {k}", prose(800 + k, 200), prose(830 + k, 50), prose(860 + k, 20)]
+        return f"<h1>{parts[0]}</h1><div class='lead'><p>{parts[1]}</p></div><div class='more'><p>{parts[2]}</p></div><table><tr><td>{parts[3]}</td></tr></table>", parts
+
+    def other(k):
+        parts = [prose(900 + k, 120)]
+        return f"<div class='lead'><p>Short.</p></div><section class='body-{k}'><p>{parts[0]}</p></section>", ["Short.", *parts]
+
+    made = [(split if k % 3 else other)(k) for k in range(12)]
+    rows = [(k, f"http://two.org/{k}", f"<body><nav>n</nav>{html}<div class='cookie-note'><p>The same words on all pages.</p></div></body>") for k, (html, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: "\n\n".join(" ".join(p.split()) for p in parts) for k, (_, parts) in enumerate(made)}
+
+
 def test_consensus_beats_a_page_of_its_own(spark):
     """A page whose longest part is furniture without a name follows its host."""
     page = lambda k, a, b: (k, f"http://h.org/{k}", f"<body><div class='text-{k}'><p>{a}</p></div><div class='extra'><p>{b}</p></div></body>")
