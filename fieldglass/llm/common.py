@@ -68,3 +68,15 @@ def blank_words(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """A 128-bit name of a text's content; null stays null."""
     return F.md5(text)
+
+
+def crc32_sql(strings: str) -> str:
+    """DuckDB tables for a WITH list: ``checksums`` (``s``, ``crc``) of the column ``s`` of the query ``strings``."""
+    return f"""
+    crc_steps AS (
+        SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS step
+        FROM (SELECT unnest(range(256)) AS n)),
+    checksums AS (
+        SELECT s, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+        FROM ({strings}), crc_steps)"""

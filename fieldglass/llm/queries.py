@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.llm import decontam, html_text, langid, packing, pii, quality, secret_scan, simhash, substrings, url_rules
+from fieldglass.llm import classifier, conversations, decontam, html_text, langid, packing, pii, quality, secret_scan, simhash, spelling, substrings, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_substrings": op9_substrings,
     "op10_url_filters": op10_url_filters,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -71,4 +86,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontam.contamination_sql(),
     "op9_substrings": substrings.repeats_sql(),
     "op10_url_filters": url_rules.judge_urls_sql(),
+    "op12_conversation_repair": conversations.repair_sql(),
+    "op13_spelling_variants": spelling.variants_sql(),
 }

@@ -9,7 +9,7 @@ from .conftest import prose
 
 def test_stages(spark, make_docs, tmp_path):
     names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5 and set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert len(names) == 5 and set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
     passage = prose(700, 24)
     spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     good = prose(701, 120)
