@@ -32,10 +32,12 @@ from fieldglass.llm.common import materialise, release_memory, tidy
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
 BLOCK = 2048
-#: For texts of a given similarity: bands of least hashes and hashes in a band. One band is shared with a chance of 0.998 at 0.8.
-BANDS, BAND_ROWS = 12, 4
-#: Standard deviations over the expected bits apart up to which two fingerprints together make a candidate; 0.999 stay below.
-SPREADS = 3.1
+#: For texts of a given similarity: bands of least hashes and hashes in a band. One band is shared with a chance of 0.99997 at 0.8.
+BANDS, BAND_ROWS = 20, 4
+#: Standard deviations over the expected bits apart up to which two fingerprints together make a candidate; 0.99997 stay below.
+SPREADS = 4.0
+#: Shingles of one bucket that a task compares at once, about.
+BLOCK_SHINGLES = 1 << 19
 MOST_PARTITIONS = 8
 #: What filing a row costs, in comparisons of two fingerprints.
 ROW_COST = 50
@@ -204,17 +206,6 @@ def local_stars(node: np.ndarray, fp: np.ndarray, more: np.ndarray, near: Near)
     return np.concatenate(tails), np.concatenate(heads)
 
 
-def cross_links(node: np.ndarray, root: np.ndarray, fp: np.ndarray, more: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of nodes of unlike roots."""
-    tails, heads = [node[:0]], [node[:0]]
-    for at in range(len(node) - 1):
-        found = np.flatnonzero(root[at + 1 :] != root[at]) + at + 1
-        found = found[near(fp[found], more[found], fp[at], more[at])]
-        tails.append(node[found])
-        heads.append(np.full(len(found), node[at]))
-    return np.concatenate(tails), np.concatenate(heads)
-
-
 def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes that connect exactly those reachable by steps of linked fingerprints.
 
@@ -228,39 +219,33 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: in
 
 
 def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect, bucket by bucket, the ``node`` of ``rows`` filed under the same ``k`` and ``v``.
-
-    With a column ``root``, only buckets of several roots are compared, and edges are all linked pairs of unlike roots.
-    """
-    rooted = "root" in rows.columns
-    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n"), *([F.min("root").alias("least"), F.max("root").alias("most")] if rooted else []))
-    counts = counts.where("n > 1 AND least != most").drop("least", "most") if rooted else counts.where("n > 1")
-    rows = rows if rooted else rows.withColumn("root", F.col("node"))
+    """Edges (a, b) that connect, bucket by bucket, the ``node`` of ``rows`` filed under the same ``k`` and ``v``."""
+    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(materialise(counts, "buckets"), ["k", "v"])
     # a bucket of several blocks is compared by pairs of blocks; a fingerprint goes to all pairs with its block
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q")))
-    dealt = shared.select("node", "root", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "root", "fp", "more", "k", "v", "b.p", "b.q")
+    dealt = shared.select("node", "fp", "more", "k", "v", F.explode(pairs).alias("b")).select("node", "fp", "more", "k", "v", "b.p", "b.q")
 
     def compare(frames):
         kept = None
         key = ["k", "v", "p", "q"]
 
         def compared(frame):
-            keys, node, root = frame[key].to_numpy(), frame["node"].to_numpy(), frame["root"].to_numpy()
+            keys, node = frame[key].to_numpy(), frame["node"].to_numpy()
             fp, more = (frame[c].to_numpy(dtype="<i8").view("<u8") for c in ("fp", "more"))
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[starts, len(node)])
             tails, heads = [node[:0]], [node[:0]]
             small, group = np.repeat(sizes <= 8, sizes), np.repeat(np.arange(len(starts)), sizes)
             for d in range(1, min(8, int(sizes.max(initial=0)))):
-                linked = (group[d:] == group[:-d]) & (root[d:] != root[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
+                linked = (group[d:] == group[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
                 tails.append(node[d:][linked])
                 heads.append(node[:-d][linked])
             for at in np.flatnonzero(sizes > 8):
                 rows = slice(starts[at], starts[at] + sizes[at])
-                t, h = cross_links(node[rows], root[rows], fp[rows], more[rows], near) if rooted else local_stars(node[rows], fp[rows], more[rows], near)
+                t, h = local_stars(node[rows], fp[rows], more[rows], near)
                 tails.append(t)
                 heads.append(h)
             return pd.DataFrame({"a": np.concatenate(tails), "b": np.concatenate(heads)})
@@ -338,13 +323,6 @@ def bits_at(similarity: float, bits: int = 2 * BITS, spreads: float = 0.0) -> in
     return ceil(bits * p + spreads * sqrt(bits * p * (1 - p)))
 
 
-def shingles_of(text: str | None, shingle: int) -> set[bytes]:
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWERED).split()
-    if not words:
-        return set()
-    return set(map(b" ".join, zip(*[words[k:] for k in range(shingle)]))) if len(words) >= shingle else {b" ".join(words)}
-
-
 def mixed(hashes: np.ndarray) -> np.ndarray:
     """Other hashes of what 64-bit hashes stand for."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -352,85 +330,170 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(31))
 
 
-def sketch_of(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
-    """A name of the set of shingles, two fingerprints of it, and a value for each band of least hashes; no bands for an empty set."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the set of shingles, in order."""
     import xxhash
 
+    words = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWERED).split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    grams = set(map(b" ".join, zip(*[words[k:] for k in range(shingle)]))) if len(words) >= shingle else {b" ".join(words)}
     digest = xxhash.xxh64_intdigest
-    grams = shingles_of(text, shingle)
-    if not grams:
-        return 0, 0, 0, []
-    hashes = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(grams)))
-    factors = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype="<u8")) | np.uint64(1)
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(grams)))
+
+
+def sketch_of(text: str | None, shingle: int) -> tuple[int, int, int, int, list[int]]:
+    """A name of the set of shingles, its size, two fingerprints of it, and a value for each band of least hashes; no bands for an empty set."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0, 0, 0, 0, []
+    factors = (mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype="<u8")) | np.uint64(1))[:, None]
     votes, least = np.zeros((2, BITS), dtype=np.int64), np.full(len(factors), 2**64 - 1, dtype="<u8")
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
+    for at in range(0, len(hashes), 512):
+        part = hashes[at : at + 512]
         for k, seen in enumerate((part, mixed(part))):
             votes[k] += np.unpackbits(seen.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-        for k, factor in enumerate(factors):
-            least[k] = min(least[k], (part * factor).min())
+        least = np.minimum(least, (part[None, :] * factors).min(axis=1))
     prints = np.packbits(votes * 2 > len(hashes), axis=1, bitorder="little").view("<i8")
     signed = lambda x: x - (x >> 63 << 64)
     bands = [signed(digest(row.tobytes(), SEED)) for row in least.reshape(BANDS, BAND_ROWS)]
-    return signed(digest(hashes.tobytes(), SEED)), int(prints[0, 0]), int(prints[1, 0]), bands
+    return signed(digest(hashes.tobytes(), SEED)), len(hashes), int(prints[0, 0]), int(prints[1, 0]), bands
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with ``node``, ``fp``, ``more`` and ``bands``."""
-    @F.pandas_udf("node bigint, fp bigint, more bigint, bands array<bigint>")
+    """``docs`` with ``node``, ``size``, ``fp``, ``more`` and ``bands`` in place of the text."""
+    @F.pandas_udf("node bigint, size bigint, fp bigint, more bigint, bands array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sketch_of(x, shingle) for x in texts], columns=["node", "fp", "more", "bands"])
+            yield pd.DataFrame([sketch_of(x, shingle) for x in texts], columns=["node", "size", "fp", "more", "bands"])
         release_memory()
 
-    return docs.withColumn("__sketch", sketch(F.col("text"))).select(*docs.columns, "__sketch.*")
+    return docs.withColumn("__sketch", sketch(F.col("text"))).select(*[c for c in docs.columns if c != "text"], "__sketch.*")
+
+
+def verified_forest(node: np.ndarray, root: np.ndarray, block: np.ndarray | None, fp: np.ndarray, more: np.ndarray, sets: list[np.ndarray], near: Near, similarity: float) -> tuple[list, list]:
+    """Edges between rows whose sets are at least so similar, as few as connect those that such links connect; at most one for each row.
+
+    ``root`` names what is connected already; with ``block``, only rows of unlike blocks are compared. Sets that
+    similar share one of their rarest shingles, those that remain when the share that must be common is left out.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, codes, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(seen, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    once = int((seen == 1).sum())  # places before this one belong to a single set
+    ends = np.cumsum(sizes)
+    parts = [np.sort(place[codes[b - n : b]]) for b, n in zip(ends, sizes, strict=True)]
+    rare = [p[: n - int(np.ceil(similarity * n - 1e-9)) + 1] for p, n in zip(parts, sizes, strict=True)]
+    rare = [p[np.searchsorted(p, once) :] for p in rare]
+    tokens, holder = np.concatenate(rare), np.repeat(np.arange(len(node)), [len(p) for p in rare])
+    by_token = np.argsort(tokens, kind="stable")
+    tokens, holder = tokens[by_token], holder[by_token]
+    root, mark = np.unique(root, return_inverse=True)[1], np.zeros(len(seen), dtype=bool)
+    tails, heads = [], []
+    for i in range(len(node) - 1):
+        lo, hi = np.searchsorted(tokens, rare[i], "left"), np.searchsorted(tokens, rare[i], "right")
+        found = np.concatenate([holder[:0], *[holder[a:b] for a, b in zip(lo, hi, strict=True) if b - a > 1]])
+        found = np.unique(found[(found > i) & (root[found] != root[i])])
+        if block is not None:
+            found = found[block[found] != block[i]]
+        found = found[np.minimum(sizes[found], sizes[i]) >= similarity * np.maximum(sizes[found], sizes[i]) - 1e-9]
+        found = found[near(fp[found], more[found], fp[i], more[i])]
+        if not len(found):
+            continue
+        mark[parts[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([parts[j] for j in found])], np.r_[0, np.cumsum(sizes[found])[:-1]], dtype=np.int64)
+        mark[parts[i]] = False
+        found = found[both >= similarity * (sizes[i] + sizes[found] - both) - 1e-9]
+        joined, first = np.unique(root[found], return_index=True)
+        tails += [node[i]] * len(first)
+        heads += node[found[first]].tolist()
+        root[np.isin(root, joined)] = root[i]
+    return tails, heads
+
+
+def similar_links(rows: DataFrame, near: Near, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the similar rows of each (k, v, p, q); ``rows`` have ``node``, ``root``, ``block``, ``fp``, ``more`` and ``hashes``."""
+    key = ["k", "v", "p", "q"]
 
+    def compare(frames):
+        kept = None
+
+        def compared(frame):
+            tails, heads = [], []
+            starts = np.flatnonzero(np.r_[True, (frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]).any(axis=1)])
+            for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
+                if b - a > 1:
+                    part = frame.iloc[a:b]
+                    node, root, block = (part[c].to_numpy() for c in ("node", "root", "block"))
+                    fp, more = (part[c].to_numpy(dtype="<i8").view("<u8") for c in ("fp", "more"))
+                    across = block if part["p"].iloc[0] != part["q"].iloc[0] else None
+                    t, h = verified_forest(node, root, across, fp, more, [np.frombuffer(x, dtype="<u8") for x in part["hashes"]], near, similarity)
+                    tails += t
+                    heads += h
+            return pd.DataFrame({"a": np.array(tails, dtype="<i8"), "b": np.array(heads, dtype="<i8")})
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``texts`` have so large a share of their shingles in common."""
-    def similar(frames):
-        last, own = None, set()
         for frame in frames:
-            kept = []
-            for a, text, other in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
-                if a != last:
-                    last, own = a, shingles_of(text, shingle)
-                of_other = shingles_of(other, shingle)
-                both = len(own & of_other)
-                kept.append(both >= similarity * (len(own) + len(of_other) - both))
-            yield frame.loc[kept, ["a", "b"]]
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            last = (frame[key] == frame[key].iloc[-1]).all(axis=1)
+            kept = frame[last]
+            if not last.all():
+                yield compared(frame[~last])
+        if kept is not None:
+            yield compared(kept)
 
-    with_texts = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(with_texts.select("a", "b", "text_a", "text_b").mapInPandas(tidy(similar), "a bigint, b bigint"), "alike")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(tidy(compare), "a bigint, b bigint").distinct()
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs`` with the first document of each group of near-duplicates; one row of it if that row is repeated.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
-    ``similarity``. Candidates share a band of least hashes and differ in few bits of two fingerprints;
-    each link is verified on the texts. First a tree of candidates is verified in each bucket; then,
-    between what that leaves apart, every candidate pair.
+    ``similarity``, which is computed on the sets' 64-bit hashes wherever two texts share a band of least hashes
+    and differ in few enough bits of two fingerprints. Buckets with the same members are compared once.
+    A task compares a block of a bucket and returns a forest of its links, never all pairs; blocks of one
+    bucket are compared with each other if more than one component is left in it.
     """
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     rows = materialise(sketches(named, shingle), "sketches")
-    values = materialise(rows.groupBy("node").agg(F.min(rank()).alias("first"), *[F.any_value(c).alias(c) for c in ("fp", "more", "bands")]), "values")
-    filed = materialise(values.select("node", "fp", "more", F.posexplode("bands").alias("k", "v")), "filed")
-    near = Near(BITS, bits_at(similarity, spreads=SPREADS))
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(values.select("node", "first"), "node")
-        same = [F.col("r.node") == F.col("u.node"), F.col("r.digest") == F.col("u.first.digest"), F.col("r.doc_id").eqNullSafe(F.col("u.first.doc_id"))]
-        texts = materialise(rows.alias("r").join(used.alias("u"), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-        return pairs, alike(pairs, texts, similarity, shingle)
+    values = materialise(rows.groupBy("node").agg(F.min(rank()).alias("first"), *[F.any_value(c).alias(c) for c in ("size", "fp", "more", "bands")]), "values")
+    filed = materialise(values.select("node", "size", F.posexplode("bands").alias("k", "v")), "filed")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"name{salt}") for salt in (1, 2)]
+    shared = filed.groupBy("k", "v").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), *members).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / block_shingles)).cast("int").alias("blocks")
+    buckets = materialise(shared.groupBy("n", "weight", "name1", "name2").agg(F.min(F.struct("k", "v")).alias("b")).select("b.k", "b.v", blocks), "buckets")
+    dealt = filed.join(buckets, ["k", "v"]).select("node", "k", "v", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    dealt = materialise(dealt, "dealt")
+
+    @F.pandas_udf("binary")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_hashes(x, shingle).tobytes() for x in texts], dtype=object)
+        release_memory()
 
-    tried, found = verified(bucket_links(filed, near))
+    used = values.join(dealt.select("node").distinct(), "node").select("node", "fp", "more", "first").alias("u")
+    same = (F.col("d.digest") == F.col("u.first.digest")) & F.col("d.doc_id").eqNullSafe(F.col("u.first.doc_id"))
+    texts = named.alias("d").join(used, same).select("u.node", "u.fp", "u.more", "d.text").dropDuplicates(["node"])
+    sets = materialise(texts.select("node", "fp", "more", hashed("text").alias("hashes")), "sets")
+    near = Near(BITS, bits_at(similarity, spreads=SPREADS))
+    inside = dealt.join(sets, "node").withColumns({"root": F.col("node"), "p": F.col("block"), "q": F.col("block")})
+    found = materialise(similar_links(inside, near, similarity), "links")
     roots = connected(found)
-    apart = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crossing = bucket_links(materialise(apart, "apart"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    _, more = verified(crossing.join(tried, ["a", "b"], "left_anti"))
-    first = first_of_each(values, connected(found.unionByName(more))).select("first.doc_id", "first.digest").distinct().alias("f")
+    cut = dealt.where("blocks > 1")
+    if not cut.isEmpty():
+        apart = materialise(cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "apart")
+        open_ = apart.groupBy("k", "v").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("k", "v")
+        other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
+        pairs = F.explode(F.transform(other, lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))).alias("b")
+        crossing = apart.join(open_, ["k", "v"]).select("node", "root", "k", "v", "block", pairs).select("node", "root", "k", "v", "block", "b.p", "b.q").join(sets, "node")
+        roots = connected(found.unionByName(materialise(similar_links(crossing, near, similarity), "links")))
+    first = first_of_each(values, roots).select("first.doc_id", "first.digest").distinct().alias("f")
     named = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__digest") == F.col("f.digest"))
     return named.join(first, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

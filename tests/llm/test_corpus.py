@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,51 @@ def test_only_similar_texts_are_linked(make_docs):
     assert left == expected | {1001}
 
 
+def jaccard_groups(pairs):
+    """First id of each group of (id, text) linked at 0.8 or more, by all pairs."""
+    grams = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in pairs}
+    root = {i: i for i in grams}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in grams:
+        for j in grams:
+            if i < j and 10 * len(grams[i] & grams[j]) >= 8 * len(grams[i] | grams[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in grams}
+
+
+def test_groups_of_any_size_against_all_pairs(make_docs):
+    """Chains, groups that are near but below 0.8, and copies, whether a bucket is one block or many."""
+    rng, pairs = random.Random(12), []
+    for group in range(12):
+        words = prose(6000 + group, 120).split()
+        for copy in range(12):
+            changed = list(words)
+            for _ in range(rng.randint(0, 5) if group % 3 else 4 + group):
+                changed[rng.randrange(len(words))] = f"w{rng.randrange(9)}"
+            pairs.append((100 * group + copy, " ".join(changed)))
+    expected = jaccard_groups(pairs)
+    assert 20 < len(expected) < len(pairs) - 20
+    for parameters in ({}, {"block": 3}, {"block_shingles": 300}):
+        assert {r["doc_id"] for r in simhash.one_of_each(make_docs(pairs), **parameters).collect()} == expected
+
+
+def test_links_of_a_group_below_the_threshold_are_few():
+    """2,000 sets alike to 0.7 in one bucket: what leaves the task is bounded by its rows."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 70, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 2**63, 13, dtype=np.uint64)]) for _ in range(2000)]
+    sets += [np.unique(np.r_[s[:-2], rng.integers(0, 2**63, 2, dtype=np.uint64)]) for s in sets[:300]]
+    none, node = np.zeros(len(sets), np.uint64), np.arange(len(sets))
+    tails, heads = simhash.verified_forest(node, node, None, none, none, sets, simhash.Near(64, 64), 0.8)
+    assert sorted(zip(tails, heads, strict=True)) == [(k, 2000 + k) for k in range(300)]
+
+
 def test_every_link_is_found(spark):
     """All fingerprints within three bits of a few centres, and chains, against all pairs; small blocks force splitting."""
     rng = random.Random(9)
