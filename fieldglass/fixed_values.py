@@ -7,6 +7,7 @@ stated here once, as plain data, and used by the operators.
 # white space as str.split() sees it, and everything that is not a word character
 SPACE_CLASS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_WORD_CLASS = r"[^\p{L}\p{N}_]"
+WORD_CLASS = r"[\p{L}\p{N}_]"
 
 # chunking
 CHUNK_WORDS = 500

@@ -27,10 +27,10 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return merged.select("sheet", "row", "col", value.alias("value")).filter(F.col("value").isNotNull())
 
 
-def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str], last: bool = False, header_rows: int | None = None) -> DataFrame:
+def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str], last: bool = False, header_rows: int | None = fixed.HEADER_ROWS) -> DataFrame:
     """Header row and fields of each sheet: ``(sheet, header_row, fields)``, ``fields`` a map of column to field.
 
-    The header is the first row (of the leading ``header_rows``, if given) whose cells name
+    The header is the first of the leading ``header_rows`` rows (of all, if None) whose cells name
     all required fields. When two columns name a field the first one counts (``last``: the last).
     """
     names = cells.sparkSession.createDataFrame(list(aliases.items()), "alias string, field string")
@@ -46,6 +46,11 @@ def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str
     return complete.groupBy("sheet").agg(F.min("row").alias("header_row"), F.min_by("fields", "row").alias("fields"))
 
 
+def headerless_rejects(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """A reject without a row for each sheet that has no header."""
+    return sheets_without_header(cells, columns).select("sheet", F.lit(None).cast(cells.schema["row"].dataType).alias("row"), F.lit("no header row").alias("reason"))
+
+
 def sheets_without_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
     return cells.select("sheet").distinct().join(columns.select("sheet"), "sheet", "left_anti")
 
@@ -72,7 +77,7 @@ def split_rejects(records: DataFrame, required: list[str]) -> tuple[DataFrame, D
 def alarm_records(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = header_columns(cells, fixed.ALARM_HEADERS, fixed.ALARM_REQUIRED)
     good, bad = split_rejects(sheet_records(cells, columns, ["alarm_id", "alarm_name", "severity", "group"]), fixed.ALARM_REQUIRED)
-    return good.withColumn("alarm_id", F.upper("alarm_id")).withColumn("alarm_type", alarm_type(F.col("alarm_id"))), bad
+    return good.withColumn("alarm_id", F.upper("alarm_id")).withColumn("alarm_type", alarm_type(F.col("alarm_id"))), bad.unionByName(headerless_rejects(cells, columns))
 
 
 COUNTER_FIELDS = [
@@ -91,13 +96,14 @@ def counter_records(cells: DataFrame, merges: DataFrame | None = None) -> tuple[
     out = good.withColumn("_lo", F.when(split, range_low(raw)).otherwise(F.col("min_val"))).withColumn(
         "max_val", F.when(split, range_high(raw)).otherwise(F.col("max_val"))
     )
-    return out.withColumn("min_val", F.col("_lo")).drop("_lo", "value_range"), bad
+    return out.withColumn("min_val", F.col("_lo")).drop("_lo", "value_range"), bad.unionByName(headerless_rejects(full, columns))
 
 
 def parameter_records(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = list(dict.fromkeys(fixed.PARAMETER_HEADERS.values()))
     columns = header_columns(cells, fixed.PARAMETER_HEADERS, fixed.PARAMETER_REQUIRED, last=True)
-    return split_rejects(sheet_records(cells, columns, fields), fixed.PARAMETER_REQUIRED)
+    good, bad = split_rejects(sheet_records(cells, columns, fields), fixed.PARAMETER_REQUIRED)
+    return good, bad.unionByName(headerless_rejects(cells, columns))
 
 
 def leaf_object(path: Column) -> Column:

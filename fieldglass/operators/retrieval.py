@@ -32,13 +32,17 @@ def _unit_rows(vectors) -> np.ndarray:
     return m / length
 
 
-def _best_of_batch(scores: np.ndarray, ids: np.ndarray, query_ids: list, k: int, floor: float) -> pd.DataFrame:
+#: Digits after the point to which scores are equal: of cosines, and of sums without a bound.
+COSINE_DIGITS, SUM_DIGITS = 12, 9
+
+
+def _best_of_batch(scores: np.ndarray, ids: np.ndarray, query_ids: list, k: int, floor: float, digits: int) -> pd.DataFrame:
     """At most ``k`` rows per query: best scores first, smaller ids first among equal scores.
 
-    Scores are rounded so that copies of one item tie exactly wherever they are stored.
+    Scores are rounded so that copies of one item tie wherever they are stored and in whatever order their terms are added up.
     """
     by_id = np.argsort(ids, kind="stable")
-    ids, scores = ids[by_id], np.round(scores[by_id], 12)
+    ids, scores = ids[by_id], np.round(scores[by_id], digits)
     n = len(ids)
     cut = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
     frames = []
@@ -113,7 +117,7 @@ def vector_top_k(
             same = items[items["v"].map(len) == size]
             if len(same):
                 scores = _unit_rows(same["v"]) @ _unit_rows(part["v"]).T
-                found.append(_best_of_batch(scores, same["item_id"].to_numpy(), part["query_id"].tolist(), k, -np.inf))
+                found.append(_best_of_batch(scores, same["item_id"].to_numpy(), part["query_id"].tolist(), k, -np.inf, COSINE_DIGITS))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
     best = block_join(mine, asked, compare, schema, query_rows=block_rows)
@@ -202,7 +206,8 @@ def bm25_top_k(
     n, avgdl = (corpus.select(c).scalar() for c in ("n", "avgdl"))
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(frequency, "term").withColumn("w", F.col("qtf") * idf)
-    pack = lambda df, key, value: df.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list(value).alias("x"))  # noqa: E731  terms of one text
+    # terms of one text, in order, so that equal texts add up equal sums
+    pack = lambda df, key, value: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("term"), F.col(value).alias("x")))).alias("_p")).select(key, F.col("_p.term").alias("terms"), F.col("_p.x").alias("x"))
     scale = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
     mine = pack(counts.withColumn("s", scale), "item_id", "s")
     wants = pack(weighted, "query_id", "w")
@@ -219,7 +224,7 @@ def bm25_top_k(
         for i, (terms, x) in enumerate(zip(items["terms"], items["x"], strict=True)):
             at = np.array([index.get(w, -1) for w in terms])
             scores[i] = np.asarray(x)[at >= 0] @ weights[at[at >= 0]]
-        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, 0.0)
+        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, 0.0, SUM_DIGITS)
 
     best = block_join(cut_lineage(mine), wants, compare, schema, query_rows=block_rows)
     return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
@@ -244,7 +249,7 @@ def sparse_top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "i
             at = np.array([index.get(d, -1) for d in dims])
             rows = weights[at[at >= 0]]
             scores[i] = np.where((rows != 0).any(axis=0), np.asarray(x)[at >= 0] @ rows, -np.inf)
-        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, -np.inf)
+        return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, -np.inf, SUM_DIGITS)
 
     best = block_join(flat(clean(items, vector), item_id, vector, "item_id"), flat(clean(queries, query_vector), query_id, query_vector, "query_id"), compare, schema)
     return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import strip, word_tokens
+from fieldglass.functions.text import let, strip, word_tokens
 from fieldglass.operators.predicates import is_noise_term
 
 #: Characters at the start of a term that texts are joined on.
@@ -18,24 +18,48 @@ def _quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def _spans(text: Column, sizes: Column) -> Column:
+    """Distinct stretches of the lower-cased text from the start of a word to the end of a word, for each number of words in ``sizes``.
+
+    Words and what stands between them alternate, so a stretch of m words has 2m - 1 parts.
+    """
+    whole = F.regexp_replace(F.lower(text), f"^{fixed.NON_WORD_CLASS}+", "")
+    parts = F.regexp_extract_all(whole, F.lit(f"{fixed.WORD_CLASS}+|{fixed.NON_WORD_CLASS}+"), F.lit(0))
+
+    def of_size(p: Column, m: Column) -> Column:
+        width = m * 2 - 1
+        starts = F.when(F.size(p) >= width, F.sequence(F.lit(1), F.size(p) - width + 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        longer = F.transform(starts, lambda i: F.array_join(F.slice(p, i, width), ""))
+        return F.when(m == 1, F.filter(p, lambda _, i: i % 2 == 0)).otherwise(longer)
+
+    return let(parts, lambda p: F.array_distinct(F.flatten(F.transform(sizes, lambda m: of_size(p, m)))))
+
+
 def match_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``(doc_id, term)`` where the term stands in the text as a whole word, ignoring case.
 
-    Every term is joined with the texts' distinct words on its longest word, which a match always
-    holds as a complete word. A term that is that word is a match; for the others the texts, once
-    each with the terms in question, are searched with the pattern itself. A term without any
-    letter or digit has no such word and never matches.
+    A text is read once into its stretches of as many words as some term has, separators included,
+    and those are joined with the lower-cased terms: no text is searched for a term and none is
+    joined back. Only terms that begin or end with something else than a letter, digit or underscore
+    are looked for by pattern, in the texts that hold their longest word. A term without any letter or
+    digit never matches.
     """
-    tokens = word_tokens(F.col("term"))
-    longest = F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = terms.select("term").distinct().select("term", longest.alias("_w")).filter(F.col("_w").isNotNull())
+    edges = F.col("term").rlike(f"^{fixed.WORD_CLASS}") & F.col("term").rlike(f"{fixed.WORD_CLASS}$")
+    wanted = terms.select("term").distinct().withColumn("_m", F.size(word_tokens(F.col("term")))).filter("_m > 0")
+    plain = wanted.filter(edges).select("term", "_m", F.lower("term").alias("_w"))
+    sizes = F.coalesce(plain.agg(F.sort_array(F.collect_set("_m"))).scalar(), F.array().cast("array<int>"))
+    spans = docs.select(doc_id, F.col(text).alias("_t"), sizes.alias("_n")).select(doc_id, F.explode(_spans(F.col("_t"), F.col("_n"))).alias("_w"))
+    found = spans.join(plain.select("term", "_w"), "_w").select(doc_id, "term")
+    return found.unionByName(_by_pattern(docs, wanted.filter(~edges).select("term"), doc_id, text))
+
+
+def _by_pattern(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The same pairs for terms with other characters at an end, which word borders alone do not settle."""
+    longest = F.array_max(F.transform(word_tokens(F.col("term")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
-    pairs = words.join(keyed, "_w")
-    sure = F.lower("term") == F.col("_w")
-    open_ = pairs.filter(~sure).groupBy(doc_id).agg(F.collect_set("term").alias("_open"))  # terms with a word of one text
+    open_ = words.join(terms.select("term", longest.alias("_w")), "_w").groupBy(doc_id).agg(F.collect_set("term").alias("_open"))  # such terms with a word of one text
     pattern = lambda term: F.concat(F.lit(r"(?iuU)\b"), _quoted(term), F.lit(r"\b"))
-    found = docs.join(open_, doc_id).select(doc_id, F.explode(F.filter("_open", lambda t: F.rlike(F.col(text), pattern(t)))).alias("term"))
-    return pairs.filter(sure).select(doc_id, "term").unionByName(found)
+    return docs.join(open_, doc_id).select(doc_id, F.explode(F.filter("_open", lambda t: F.rlike(F.col(text), pattern(t)))).alias("term"))
 
 
 def tag_keywords(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:

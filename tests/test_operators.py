@@ -238,7 +238,8 @@ def test_sheet_without_header(spark, rows):
     assert rows(records.sheets_without_header(cells, cols)) == [("b",), ("c",)]
     good, bad = records.alarm_records(cells)
     assert good.count() == 0
-    assert rows(bad) == [("a", 2, "empty: alarm_name"), ("a", 3, "empty: alarm_id, alarm_name")]
+    assert rows(bad) == [("a", 2, "empty: alarm_name"), ("a", 3, "empty: alarm_id, alarm_name"), ("b", None, "no header row"), ("c", None, "no header row")]
+    assert rows(records.sheets_without_header(cells, records.header_columns(cells, fixed.ALARM_HEADERS, fixed.ALARM_REQUIRED, header_rows=None))) == [("b",)]
 
 
 def test_counter_range_columns(spark):

@@ -87,6 +87,19 @@ def test_match_terms_equals_pattern_search(spark, rows):
     assert rows(terms.match_terms(docs, wanted), "doc_id", "term") == brute
 
 
+def test_only_odd_terms_are_searched_by_pattern(spark, rows, monkeypatch):
+    """Terms that begin and end with a word go by a join, however many words they have; no text is searched for them."""
+    seen = []
+    by_pattern = terms._by_pattern
+    monkeypatch.setattr(terms, "_by_pattern", lambda docs, odd, *rest: seen.extend(r.term for r in odd.collect()) or by_pattern(docs, odd, *rest))
+    texts = ["a long-term plan, C++ code and (x) marks", "Long-Term  plan; c++code", "one two three four five six", None, ""]
+    wanted = ["long-term plan", "C++", "(x)", "two three four five", "plan", "--", "six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = rows(terms.match_terms(docs, spark.createDataFrame([(t,) for t in wanted], "term string")), "doc_id", "term")
+    assert got == [(0, "long-term plan"), (0, "plan"), (1, "C++"), (1, "plan"), (2, "two three four five")]
+    assert sorted(seen) == ["(x)", "C++"]
+
+
 def test_keyword_cap_keeps_count(spark):
     words = [f"term{i:03d}" for i in range(70)]
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
