@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions import vectors
-from fieldglass.operators import predicates, retrieval, routing
+from fieldglass.functions.text import word_tokens
+from fieldglass.operators import predicates, retrieval, routing, vector_index
 from fieldglass.plans.registry import register
-from fieldglass.session import cut_lineage
+from fieldglass.session import checkpoint_folder, cut_lineage
 
 _UNIT = """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
  n AS (SELECT vec_id, label, list_transform(e, lambda x: x/sqrt(list_sum(list_transform(e, lambda y: y*y)))) AS e FROM u),
@@ -56,6 +57,31 @@ def centroid_route(t):
     )
 
 
+def indexed_search(t):
+    """Every twentieth vector searched in a stored index of all vectors; the index and its queries."""
+    import uuid
+
+    path = f"{checkpoint_folder(t.spark)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build_index(t.embeddings, path, "vec_id")
+    queries = t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return path, queries
+
+
+@register("vector_index_topk")
+def vector_index_topk(t):
+    path, queries = indexed_search(t)
+    return vector_index.search_index(t.spark, path, queries, 10).withColumn("score", F.round("score", 6))
+
+
+@register("vector_index_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id%20=0")
+def vector_index_recall(t):
+    """The same search held against the exact one: whether 0.9 of all true neighbours are found."""
+    path, queries = indexed_search(t)
+    exact = retrieval.vector_top_k(t.embeddings, queries, 10, "vec_id")
+    each = vector_index.recall_against(vector_index.search_index(t.spark, path, queries, 10), exact)
+    return each.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 _FIELDS = ["meta_sparse", "contents_dense", "contents_sparse", "meta_dense"]
 _FIELD_SQL = (
     _UNIT
@@ -141,6 +167,30 @@ def bm25_topk(t):
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@register(
+    "sparse_topk",
+    _BM25
+    + """, id AS (SELECT term, row_number() OVER (ORDER BY term) AS d FROM (SELECT DISTINCT term FROM q)),
+    dot AS (SELECT query_id, doc_id AS item_id, sum(qtf*tf)::DOUBLE AS score FROM q JOIN tf USING (term) GROUP BY 1,2),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS k FROM dot)
+    SELECT query_id, item_id, score, k::INTEGER AS rank FROM rk WHERE k<=10""",
+)
+def sparse_topk(t):
+    """Benchmark texts and documents as sparse vectors of term counts, a term's dimension being a hash of it."""
+    def counts(df, key, name):
+        words = df.select(F.col(key).alias(name), F.explode(word_tokens(F.coalesce("text", F.lit("")))).alias("w")).groupBy(name, "w").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return words
+
+    asked = counts(t.benchmark, "item_id", "query_id")
+    terms = cut_lineage(asked.select("w").distinct())
+    numbered = terms.withColumn("d", F.hash("w"))
+    shared = numbered.groupBy("d").agg(F.min("w").alias("w"))  # a dimension stands for one term; others of its hash would be added up
+    if shared.count() != numbered.count():
+        raise ValueError("two terms of the queries share a dimension")
+    packed = lambda df, key: df.join(shared, "w").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("sparse"))  # noqa: E731  terms of one text
+    return retrieval.sparse_top_k(packed(counts(t.documents, "doc_id", "item_id"), "item_id"), packed(asked, "query_id"), 10)
+
+
 @register(
     "hybrid_search",
     _UNIT

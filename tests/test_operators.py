@@ -372,3 +372,36 @@ def test_identities_are_whole_texts(spark):
     assert retrieval.merge_results(results, ["pos"], prefix=120).count() == 1
     history = spark.createDataFrame([("r", "s", head + "1", 1), ("r", "s", head + "2", 2)], "run string, subtask_id string, query string, seq int")
     assert review.merge_history(history, ["run"], "seq").count() == 2 and review.merge_history(history, ["run"], "seq", 100).count() == 1
+
+
+def test_vector_index_against_exact_search(spark, rows, tmp_path):
+    """Recall of the wanted size, the index read again without its source, hot cells in parts, all probes exact."""
+    import numpy as np
+
+    from fieldglass.operators import vector_index
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    which = np.r_[np.zeros(700, int), rng.integers(0, 12, 800)]
+    vectors = centres[which] + 0.4 * rng.normal(size=(1500, 16))
+    data = [(i, [float(x) for x in v], "x", 1) for i, v in enumerate(vectors)] + [(9001, None, "x", 1), (9002, [], "x", 1), (9003, [1.0, 2.0], "x", 1), (9004, [float("nan")] * 16, "x", 1)]
+    items = spark.createDataFrame(data, "item_id long, embedding array<double>, cell string, part int")
+    queries = items.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    path = str(tmp_path / "index")
+    old, vector_index.PART_ROWS = vector_index.PART_ROWS, 100
+    try:
+        vector_index.build_index(items, path, cells=24)
+    finally:
+        vector_index.PART_ROWS = old
+    exact = retrieval.vector_top_k(items, queries, 10)
+    found = vector_index.search_index(spark, path, queries, 10, recall=0.95)
+    reached = vector_index.recall_against(found, exact)
+    assert reached.count() == 75 and reached.agg(F.avg("recall")).first()[0] >= 0.95
+    assert vector_index.probes_for(spark, path, 0.95) < 24
+    stored = spark.read.parquet(path + "/rows")
+    assert stored.count() == 1500 and stored.groupBy("cell", "part").count().agg(F.max("count")).first()[0] < 300
+    everywhere = vector_index.search_index(spark, path, queries, 10, probes=24)
+    assert rows(everywhere, "query_id", "item_id", "rank") == rows(exact, "query_id", "item_id", "rank")
+    assert vector_index.search_index(spark, path, queries.limit(0), 10).count() == 0
+    with pytest.raises(ValueError):
+        vector_index.build_index(items.filter("item_id > 9000 AND item_id != 9003"), str(tmp_path / "none"))
