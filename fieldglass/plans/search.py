@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions import vectors
 from fieldglass.functions.text import word_tokens
-from fieldglass.operators import predicates, retrieval, routing, vector_index
+from fieldglass.operators import predicates, retrieval, routing, text_index, vector_index
 from fieldglass.plans.registry import register
 from fieldglass.session import checkpoint_folder, cut_lineage
 
@@ -167,6 +167,17 @@ def bm25_topk(t):
     return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@register("text_index_topk", _BM25 + "SELECT query_id, item_id, round(score,6)::DOUBLE AS score FROM r WHERE rank<=10")
+def text_index_topk(t):
+    """The same search in a stored inverted index of the documents."""
+    import uuid
+
+    path = f"{checkpoint_folder(t.spark)}/text-index-{uuid.uuid4().hex}"
+    text_index.build_text_index(t.documents, path)
+    hits = text_index.search_text_index(t.spark, path, t.benchmark, 10, "item_id", "text")
+    return hits.select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
 @register(
     "sparse_topk",
     _BM25

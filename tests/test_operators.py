@@ -405,3 +405,29 @@ def test_vector_index_against_exact_search(spark, rows, tmp_path):
     assert vector_index.search_index(spark, path, queries.limit(0), 10).count() == 0
     with pytest.raises(ValueError):
         vector_index.build_index(items.filter("item_id > 9000 AND item_id != 9003"), str(tmp_path / "none"))
+
+
+def test_text_index_equals_the_scan(spark, rows, tmp_path):
+    """Equal to the exact search for any k and block size, with hot terms, empty texts and queries, from the stored files alone."""
+    import random
+
+    from fieldglass.operators import text_index
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["the"] * rng.randint(1, 9) + [vocabulary[min(int(rng.expovariate(0.12)), 59)] for _ in range(rng.randint(1, 25))]) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, texts[0]), (903, texts[0])], "doc_id int, text string")
+    asked = [(q, " ".join(rng.choice([*vocabulary, "the", "absent"]) for _ in range(rng.randint(1, 8)))) for q in range(40)] + [(50, "the the"), (51, ""), (52, None), (53, "nowhere")]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    for k, block in ((3, 4096), (10, 20), (400, 7)):
+        path = str(tmp_path / f"index-{k}")
+        text_index.build_text_index(docs, path, block_documents=block)
+        exact = retrieval.bm25_top_k(docs, queries, k)
+        got = text_index.search_text_index(spark, path, queries, k)
+        assert rows(got, "query_id", "item_id", "rank") == rows(exact, "query_id", "item_id", "rank")
+        assert all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(rows(got, "query_id", "item_id", "score"), rows(exact, "query_id", "item_id", "score"), strict=True))
+    postings = spark.read.parquet(str(tmp_path / "index-10") + "/postings")
+    assert postings.where("term = 'the'").count() > 10 and postings.agg(F.max(F.size("held"))).first()[0] < 60
+    empty = str(tmp_path / "empty")
+    text_index.build_text_index(docs.limit(0), empty)
+    assert text_index.search_text_index(spark, empty, queries, 3).count() == 0
