@@ -13,7 +13,6 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 CHUNK_WORDS = 500
 CHUNK_OVERLAP = 50
 SECTION_NUMBER = r"(?s)^(\d+(?:\.\d+)*)\s+(.*)$"
-KEYWORDS_PER_CHUNK = 50
 NOISE_TERM = r"^\d+$|^.{1,2}$"
 
 # codes
@@ -279,14 +278,11 @@ REPEAT_MAX_WORDS = 8
 
 # graph vocabulary
 NODE_TYPES = ["control_group", "function", "feature", "layer", "kpi", "parameter"]
-EDGE_RELATIONS = [
-    "INCLUDES",
-    "REALIZED_BY",
-    "MEASURED_BY",
-    "IMPLEMENTED_IN",
-    "TUNED_BY",
-    "DEPENDS_ON",
-    "AFFECTS",
-    "CONFLICTS_WITH",
-]
 DEFAULT_RELATION = "RELATED_TO"
+
+# fixed forms of an abbreviations section and its entries
+ACRONYM_ENTRY = r"^\s*>?\s*([A-Za-z][A-Za-z0-9_\\\-]{1,19})[ \t]+(.+?)\s*$"
+ACRONYM_SECTION = (
+    r"(?sm)(?:^#{1,6}\s+[\d.]*\s*[Aa]bbreviations\s*$|^[\d.]*\s*[Aa]bbreviations\s*\n[-=]{3,}\s*$)"
+    r"(.*?)(?=^#{1,6}\s+\S|^\S[^\n]*\n[-=]{3,}\s*$|\z)"
+)

@@ -130,34 +130,30 @@ def head_lines(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
 
 
-def text_samples(text: Column, sample_size: int = 3000, max_samples: int = 5) -> Column:
-    """Evenly spaced pieces of a text.
+def text_samples(text: Column, width: int = 3000, count: int = 5) -> Column:
+    """``count`` pieces of a text, evenly spread, as one array.
 
-    Texts with two or more header sections give whole sections of more than 50
-    characters; other long texts give a head, middle and tail window.
+    If the text has headings, the pieces are the starts of sections (those of more than 50
+    characters, all of them if there are no more than ``count``); else they are windows over the characters, the first
+    at the start, the last at the end, the others around their share of the length. A text of at most two
+    widths is its own only piece.
     """
-    sections = F.split(text, r"\n(?=#+ )")
-    valid = F.filter(sections, lambda s: F.length(strip(s)) > 50)
-    n = F.size(valid)
-    spread = F.transform(
-        F.array(*[F.lit(i) for i in range(max_samples)]),
-        lambda i: F.get(valid, F.expr("int(0)") + F.floor(i * (n - 1) / F.lit(max_samples - 1)).cast("int")),
-    )
-    by_section = F.transform(
-        F.when(n > max_samples, spread).otherwise(valid), lambda s: F.substring(s, 1, sample_size)
-    )
-    size = F.length(text)
-    windows = [F.substring(text, 1, sample_size)]
-    half = sample_size // 2
-    for i in range(1, max_samples - 1):
-        pos = F.floor(size * F.lit(i / (max_samples - 1))).cast("int")
-        windows.append(F.substring(text, pos - half + 1, F.lit(2 * half)))
-    windows.append(F.substring(text, -sample_size, sample_size))
-    return (
-        F.when(F.size(sections) > 1, by_section)
-        .when(size <= 2 * sample_size, F.array(text))
-        .otherwise(F.array(*windows))
-    )
+    steps = F.lit(count - 1)
+    places = F.sequence(F.lit(0), steps)
+    parts = F.split(text, r"\n(?=#+ )")
+
+    def starts_of(sections: Column) -> Column:
+        last = F.size(sections) - 1
+        picked = F.when(last >= count, F.transform(places, lambda k: F.floor(k * last / steps).cast("int"))).otherwise(F.sequence(F.lit(0), last))
+        return F.transform(F.filter(picked, lambda at: at.between(0, last)), lambda at: F.substring(F.get(sections, at), 1, width))
+
+    def windows_of(size: Column) -> Column:
+        at_an_end = lambda k: (k == 0) | (k == steps)
+        begin = lambda k: F.when(k == 0, 1).when(k == steps, size - width + 1).otherwise(F.floor(size * k / steps).cast("int") - width // 2 + 1)
+        return F.transform(places, lambda k: F.substring(text, begin(k), F.when(at_an_end(k), width).otherwise(width // 2 * 2)))
+
+    pieces = F.when(F.length(text) <= 2 * width, F.array(text)).otherwise(windows_of(F.length(text)))
+    return F.when(F.size(parts) > 1, let(F.filter(parts, lambda s: F.length(strip(s)) > 50), starts_of)).otherwise(pieces)
 
 
 def first_score(response: Column) -> Column:

@@ -8,21 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import strip
 from fieldglass.operators.terms import match_terms
 from fieldglass.session import blocks
 
-ENTRY = r"^\s*>?\s*([A-Za-z][A-Za-z0-9_\\\-]{1,19})[ \t]+(.+?)\s*$"
-SECTION = (
-    r"(?sm)(?:^#{1,6}\s+[\d.]*\s*[Aa]bbreviations\s*$|^[\d.]*\s*[Aa]bbreviations\s*\n[-=]{3,}\s*$)"
-    r"(.*?)(?=^#{1,6}\s+\S|^\S[^\n]*\n[-=]{3,}\s*$|\z)"
-)
 DICTIONARY_BLOCK = 20_000
 
 
 def abbreviation_section(text: Column) -> Column:
     """Body of the abbreviations section up to the next heading, null when there is none."""
-    return F.when(text.rlike(SECTION), F.regexp_extract(text, SECTION, 1))
+    return F.when(text.rlike(fixed.ACRONYM_SECTION), F.regexp_extract(text, fixed.ACRONYM_SECTION, 1))
 
 
 def likely_acronym(token: Column) -> Column:
@@ -63,14 +59,14 @@ def section_entries(section: Column) -> Column:
         )
 
     def step(s: Column, line: Column) -> Column:
-        token = F.regexp_replace(F.regexp_extract(line, ENTRY, 1), r"\\([_\-])", "$1")
-        opens = line.rlike(ENTRY) & likely_acronym(token)
+        token = F.regexp_replace(F.regexp_extract(line, fixed.ACRONYM_ENTRY, 1), r"\\([_\-])", "$1")
+        opens = line.rlike(fixed.ACRONYM_ENTRY) & likely_acronym(token)
         blank = strip(line) == ""
         return F.struct(
             F.when(blank | opens, closed(s)).otherwise(s.done).alias("done"),
             F.when(blank, F.lit(None)).when(opens, token).otherwise(s.acronym).alias("acronym"),
             F.when(blank, F.lit(""))
-            .when(opens, F.regexp_extract(line, ENTRY, 2))
+            .when(opens, F.regexp_extract(line, fixed.ACRONYM_ENTRY, 2))
             .otherwise(F.concat_ws(" ", s.raw, strip(line)))
             .alias("raw"),
         )

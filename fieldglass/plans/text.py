@@ -271,10 +271,8 @@ def conflict_contexts(t):
        SELECT doc_id, array_to_string(s, '|') AS samples FROM s""",
 )
 def text_samples(t):
-    """Header-free texts (heading marks blanked) sampled by position."""
-    plain = F.regexp_replace("text", r"\n(?=#+ )", "\n")
-    out = t.documents.select("doc_id", F.array_join(tx.text_samples(F.translate(plain, "", ""), 300), "|").alias("samples"))
-    return out
+    """Texts without headings, sampled by position."""
+    return t.documents.select("doc_id", F.array_join(tx.text_samples(F.col("text"), 300), "|").alias("samples"))
 
 
 @register("slugs", "SELECT DISTINCT p_name, trim(regexp_replace(lower(p_name),'[^a-z0-9]+','_','g'),'_') AS slug FROM part")
