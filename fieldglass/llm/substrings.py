@@ -8,7 +8,9 @@ is repeated at the last is removed.
   (winnowing). Equal long windows choose equal short ones, so none is missed, and about one
   position in fourteen is shuffled instead of all.
 * A repeated short window is extended to both sides; a long window around it holds one of the two.
-* Long windows around a repeated extension are counted by two 64-bit hashes of their words.
+* Long windows around a repeated extension are counted by two 64-bit hashes of their words. The
+  shorter levels only propose, and use one polynomial hash; the last decides, and adds XXH64 of the
+  words, as two polynomials modulo 2^64 have collisions in common.
 
 Texts that occur more than once are removed whole (if they hold a window), and one of them
 stands for all in later levels. A null text has no words. Repeated rows are copies of each
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +75,12 @@ class Words:
     def windows(self, hasher: Hasher, prefix: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
         return hasher.ranges(prefix, self.starts[first], self.ends[first + length - 1])
 
+    def names(self, first: np.ndarray, length: int) -> np.ndarray:
+        """XXH64 of each window's bytes."""
+        data, hashed = memoryview(self.data), xxhash.xxh64_intdigest
+        ranges = zip(self.starts[first].tolist(), self.ends[first + length - 1].tolist(), strict=True)
+        return np.fromiter((hashed(data[a:b]) for a, b in ranges), np.uint64, len(first))
+
 
 def chosen(short: np.ndarray, width: int) -> np.ndarray:
     """For every run of ``width`` short windows the position of the least, of equal ones the last."""
@@ -107,11 +116,11 @@ def sketch(words: Words, hasher: Hasher, window: int) -> tuple[np.ndarray, ...]:
     return (at.astype(np.int32), *(x.view(np.int64) for x in out))
 
 
-def candidates(words: Words, hashers: tuple[Hasher, Hasher], spots: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(words: Words, hasher: Hasher, spots: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and two hashes of the long windows around repeated extensions; a spot is 2 x position + (1 if to the right)."""
     n, (first, second) = len(words.words), levels(window)
-    prefix = hashers[0].prefix(words.bytes)
-    own = chosen(words.windows(hashers[0], prefix, np.arange(n - first + 1), first), window - first + 1)
+    prefix = hasher.prefix(words.bytes)
+    own = chosen(words.windows(hasher, prefix, np.arange(n - first + 1), first), window - first + 1)
     wanted = np.zeros(len(own), dtype=bool)
     for spot in spots:
         at, right = divmod(spot, 2)
@@ -120,9 +129,7 @@ def candidates(words: Words, hashers: tuple[Hasher, Hasher], spots: list[int], w
         a, b = np.searchsorted(own, at), np.searchsorted(own, at, side="right")
         wanted[max(a, lo, 0) : max(min(b, hi + 1), 0)] = True
     start = np.flatnonzero(wanted)
-    one = words.windows(hashers[0], prefix, start, window)
-    two = words.windows(hashers[1], hashers[1].prefix(words.bytes), start, window)
-    return start, one.view(np.int64), two.view(np.int64)
+    return start, words.windows(hasher, prefix, start, window).view(np.int64), words.names(start, window).view(np.int64)
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -167,11 +174,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     def extend(frames):
         import pandas as pd
 
-        hashers = Hasher(1), Hasher(2)
+        hasher = Hasher(1)
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
-                found = [candidates(Words(x), hashers, s, window) for x, s in zip(part["text"], part["spots"], strict=True)]
+                found = [candidates(Words(x), hasher, s, window) for x, s in zip(part["text"], part["spots"], strict=True)]
                 sizes = [len(f[0]) for f in found]
                 yield pd.DataFrame({"rid": np.repeat(part["rid"].to_numpy(), sizes), "at": np.concatenate([f[0] for f in found]),
                                     "one": np.concatenate([f[1] for f in found]), "two": np.concatenate([f[2] for f in found])})
