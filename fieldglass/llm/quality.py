@@ -2,7 +2,9 @@
 
 Every line is judged by punctuation, navigation, symbol and boilerplate rules; failing lines are
 removed, and a document that loses too much of its text is rejected. All rules are row-local, so
-nothing is shuffled. A null text has no words, no lines and fails; lines without a word neither
+nothing is shuffled. A line without a sentence mark passes if it carries on a sentence over a line
+break (no stop before the break, a small letter behind it) in prose with enough marks, or is in a
+script that writes none. Very long texts are judged whole. An empty table gives an empty one. A null text has no words, no lines and fails; lines without a word neither
 fail nor count. Repeated rows give repeated results.
 """
 
@@ -29,7 +31,14 @@ MAX_SHOUTS_PER_WORD = 0.5
 #: Separators for each word from which a line is a menu.
 MAX_BARS_PER_WORD = 0.25
 
-SENTENCE_MARK = r"[.,;:!?…。！？।؟]"
+#: Marks that end or join a sentence in any script: other punctuation without these signs.
+SENTENCE_MARK, SIGNS = r"\p{Po}", "\"#%&'*/@\\"
+#: Letters of Thai and Lao, Burmese, and Khmer, which write blanks where others have marks.
+UNMARKED_SCRIPTS = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]"
+#: A line break between two sentences: after a stop or an empty line, or before anything but a small letter.
+HARD_BREAK = r"(?<![^\n.!?])\n|\n(?![\x20\t]*\p{Ll})"
+#: Prose over several lines has a mark for so many words.
+WORDS_PER_MARK = 40
 SEPARATORS = r"[|»›→]"
 #: Fixed phrases of notices and page furniture, in lower case.
 BOILERPLATE = (
@@ -40,8 +49,13 @@ BOILERPLATE = (
 BOILERPLATE_WORDS = 20
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule; false for a line without a word."""
+def marks(text: Column) -> Column:
+    """Number of sentence marks."""
+    return let(F.translate(text, SIGNS, ""), lambda t: F.length(t) - F.length(F.regexp_replace(t, SENTENCE_MARK, "")))
+
+
+def line_fails(line: Column, passage: Column) -> Column:
+    """Whether a line breaks a rule; false for a line without a word. ``passage``: the lines it shares sentences with, itself included."""
     def judge(parts: Column) -> Column:
         n, text = parts["n"], parts["line"]
         bars = F.length(text) - F.length(F.regexp_replace(text, SEPARATORS, ""))
@@ -51,13 +65,20 @@ def line_fails(line: Column) -> Column:
             (symbols > n * MAX_SYMBOLS_PER_WORD)
             | (bars > n * MAX_BARS_PER_WORD)
             | (shouts > n * MAX_SHOUTS_PER_WORD)
-            | ((n >= PUNCTUATION_FROM) & ~text.rlike(SENTENCE_MARK))
+            | ((n >= PUNCTUATION_FROM) & ~F.translate(text, SIGNS, "").rlike(SENTENCE_MARK) & ~text.rlike(UNMARKED_SCRIPTS)
+               & (marks(passage) * WORDS_PER_MARK < F.size(blank_words(passage))))
             | ((n <= BOILERPLATE_WORDS) & F.lower(text).rlike(BOILERPLATE))
         )
 
     return let(F.struct(line.alias("line"), F.size(blank_words(line)).alias("n")), judge)
 
 
+def lines_that(text: Column, keep) -> Column:
+    """Lines of a text in order for which ``keep``, of whether the line fails, holds."""
+    of_passage = lambda p: F.filter(F.split(p, "\n"), lambda line: keep(line_fails(line, p)))
+    return F.flatten(F.transform(F.split(text, HARD_BREAK), of_passage))
+
+
 def repeated_words(words: Column, window: int = 3) -> Column:
     """Number of words in windows of ``window`` words that the text holds twice or more.
 
@@ -95,7 +116,7 @@ def measures(text: str = "text") -> Column:
             repeated_words(words).cast("bigint").alias("n_repeat_words"),
         )
 
-    failed = F.filter(F.split(content, "\n"), line_fails)
+    failed = lines_that(content, lambda fails: fails)
     return F.struct(
         let(blank_words(content), of_words).alias("words"),
         (F.length(content) - F.length(F.regexp_replace(content, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -122,15 +143,14 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """Kept documents with their failing lines removed; a text without any such line stays as it is."""
-    lines = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
+    left = F.array_join(lines_that(F.col(text), lambda fails: ~fails), "\n")
     return judge(docs, text).where("__quality.kept").withColumn(text, F.when(F.col("__quality.lost_chars") > 0, left).otherwise(F.col(text))).drop("__quality")
 
 
 def quality_sql() -> str:
     """The same report for the table ``documents`` in SQL."""
     blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-    mark, bars = r"[.,;:!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{0964}\x{061F}]", r"[|\x{00BB}\x{203A}\x{2192}]"
+    bars, signs = r"[|\x{00BB}\x{203A}\x{2192}]", SIGNS.replace("'", "''")
     gone = lambda col, cls: f"length({col}) - length(regexp_replace({col}, '{cls}', '', 'g'))"
     return f"""
     WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -139,11 +159,16 @@ def quality_sql() -> str:
     win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM win_at),
     twice AS (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1),
     rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT win.r, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice ON win.r = twice.r AND win.k = twice.k) GROUP BY r),
-    line_of AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM doc),
-    line AS (SELECT r, line, len(regexp_extract_all(line, '{word}+')) AS n FROM line_of WHERE regexp_matches(line, '{word}')),
+    line_at AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM doc),
+    joins AS (SELECT *, regexp_matches(line, '^[\\x20\\t]*\\p{{Ll}}') AND coalesce(regexp_matches(right(lag(line) OVER (PARTITION BY r ORDER BY i), 1), '[^.!?]'), false) AS joined FROM line_at),
+    line_of AS (SELECT r, i, line, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS p FROM joins),
+    passage_of AS (SELECT r, p, string_agg(line, chr(10) ORDER BY i) AS passage FROM line_of GROUP BY r, p),
+    passage AS (SELECT r, p, {gone(f"translate(passage, '{signs}', '')", SENTENCE_MARK)} AS marks, len(regexp_extract_all(passage, '{word}+')) AS words FROM passage_of),
+    line AS (SELECT r, line, len(regexp_extract_all(line, '{word}+')) AS n, marks, words FROM line_of JOIN passage USING (r, p) WHERE regexp_matches(line, '{word}')),
     judged AS (
       SELECT r, line, {gone('line', SYMBOLS)} > n * {MAX_SYMBOLS_PER_WORD} OR {gone('line', bars)} > n * {MAX_BARS_PER_WORD}
-        OR {gone('line', '!')} > n * {MAX_SHOUTS_PER_WORD} OR (n >= {PUNCTUATION_FROM} AND NOT regexp_matches(line, '{mark}'))
+        OR {gone('line', '!')} > n * {MAX_SHOUTS_PER_WORD}
+        OR (n >= {PUNCTUATION_FROM} AND NOT regexp_matches(translate(line, '{signs}', ''), '{SENTENCE_MARK}') AND NOT regexp_matches(line, '{UNMARKED_SCRIPTS}') AND marks * {WORDS_PER_MARK} < words)
         OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{BOILERPLATE}')) AS fails FROM line),
     lines AS (SELECT r, count(*) - count(DISTINCT line) AS dups, coalesce(sum(CASE WHEN fails THEN length(regexp_replace(line, '{blank}', '', 'g')) END), 0) AS lost FROM judged GROUP BY r),
     m AS (
