@@ -1,12 +1,16 @@
 """Main text of web pages: each page's own container, without what its host repeats.
 
 A page's text is that of the smallest container that holds all of its unlinked prose outside
-furniture. Furniture is named by tags, roles and classes, or found by a consensus of the host:
+furniture. Furniture is named by tags (headers inside an article as well), roles and classes, or found by a consensus of the host:
 every page lists what stands beside the container with most of its prose, by a path of tags and
 classes (digits generalised). A path that has the same texts again and again on the pages of a
 host is furniture on all of them, unless a page has no prose but there. A page without a host
 knows only named furniture.
 
+A class with a word that may also be an article's subject (social, notice) names furniture only if
+its other words name parts of a page, and never around most of the prose; if names leave no prose,
+they are not used.
+
 A null or empty page, and one without prose, has an empty text. Repeated rows count and are
 extracted as often as they occur; an empty table gives an empty one. What stands beside the main
 container and is the same on most pages of a host is taken for furniture even if it is prose.
@@ -42,10 +46,18 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: An element left open is not looked for beyond these.
 SCOPES = CONTAINERS | {"ul", "ol", "table", "blockquote"}
 #: Class and id words of page furniture.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adbox|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|masthead|site-header|page-header|top-bar|topbar|comment|comments|commentlist|reply|replies|respond|discussion|disqus"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|widget|copyright|skip|hidden)(?:$|[\s_-])|^header$|^header\s|\sheader$|\sheader\s", re.I)
+FURNITURE = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense sponsored banner cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar"
+    " comment comments commentlist replies respond disqus newsletter signup login popup modal pagination pager skip".split())
+#: Words that name furniture but subjects of articles too: they count if the rest of the class is no other subject, and not for most of a page's prose.
+SUBJECTS = frozenset(
+    "sponsor promo promotion notice notices notification alert menu aside reply discussion share sharing social related recommended subscribe subscription overlay toolbar widget copyright hidden header".split())
+#: Words that may stand beside a subject in the name of furniture.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box btn button buttons container content entry icon icons inner item items left link links list main outer page panel post posts right row section site text title top wrap wrapper".split())
+#: Classes that sort articles by subject start so.
+SORTED = ("category-", "tag-", "topic-")
+WORD = re.compile(r"[a-z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Comments and elements whose content is not markup.
 RAW = re.compile(
@@ -56,13 +68,31 @@ TAG = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[
 ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 
+def furniture_name(tag: str, names: str) -> int:
+    """What the class and id words of an element say: 2 that it is furniture, 1 that it may be, 0 nothing."""
+    found = 0
+    for name in names.lower().split():
+        words = [] if name.startswith(SORTED) else WORD.findall(name)
+        known = [w for w in words if w in FURNITURE]
+        if known:
+            return 2
+        subjects = [w for w in words if w in SUBJECTS]
+        if subjects and len(subjects) + sum(w in NEUTRAL for w in words) == len(words) and (subjects != ["header"] or len(words) == 1 or words[0] in ("site", "page", "top")):
+            found = 1
+    return found
+
+
 class Page:
-    """The parts of a page: nodes (parent, path, inside furniture, container) and text with the node it stands in, in page order."""
+    """The parts of a page: nodes (parent, path, inside furniture, container) and text with the node it stands in, in page order.
+
+    ``hard``: inside furniture by tag, role or style alone. ``dropped``: by name as well.
+    """
 
-    __slots__ = ("parents", "paths", "dropped", "containers", "texts")
+    __slots__ = ("parents", "paths", "hard", "dropped", "containers", "texts")
 
     def __init__(self, html: str):
-        self.parents, self.paths, self.dropped, self.containers = [-1], [""], [False], [False]
+        self.parents, self.paths, self.hard, self.containers = [-1], [""], [False], [False]
+        named = [0]
         self.texts: list[tuple[int, str | None, bool]] = []
         stack: list[tuple[str, int]] = [("", 0)]
         links = 0
@@ -105,21 +135,29 @@ class Page:
                         break
             parent, raw = stack[-1][1], parts[k + 3]
             attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(raw)} if raw else {}
-            drop, path = self.dropped[parent] or tag in SKIPPED, tag
+            drop, path, name = self.hard[parent] or tag in SKIPPED, tag, 0
             if attrs:
-                words = " ".join(attrs[a] for a in ("class", "id") if a in attrs)
+                if tag not in ("html", "body", "main", "article"):
+                    name = furniture_name(tag, " ".join(attrs[a] for a in ("class", "id") if a in attrs))
                 drop = (
-                    drop or (tag not in ("html", "body", "main", "article") and bool(words) and FURNITURE.search(words) is not None)
-                    or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+                    drop or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                     or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None)
                 path = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", attrs.get("class", "")).lower().split()))])
             self.parents.append(parent)
             self.paths.append(f"{self.paths[parent]}>{path}")
-            self.dropped.append(drop)
+            self.hard.append(drop)
+            named.append(name)
             self.containers.append(tag in CONTAINERS and not drop)
             top = len(self.parents) - 1
             stack.append((tag, top))
             links += tag == "a"
+        prose = self.prose(self.hard) if 1 in named else [0] * len(named)
+        self.dropped = list(self.hard)
+        for node in range(1, len(named)):  # a parent stands before its children
+            by_name = named[node] == 2 or (named[node] == 1 and 2 * prose[node] <= prose[0])
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]] or by_name
+        if 2 in named and not any(t is not None and t.strip() and not linked and not self.dropped[node] for node, t, linked in self.texts):
+            self.dropped = list(self.hard)  # the names leave nothing: they name no furniture here
 
     def prose(self, dropped: list[bool]) -> list[int]:
         """Unlinked characters in and below each node."""

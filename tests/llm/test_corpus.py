@@ -213,6 +213,14 @@ def test_repeated_passages(make_docs, odd_texts, window):
         assert by_row([(g[0], g[4]) for g in got]) == by_row([(e[0], e[4]) for e in expected])
 
 
+def test_texts_with_equal_polynomial_hashes_are_no_passages(make_docs):
+    """The Thue-Morse word and its complement collide for every odd base modulo 2^64."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    start = " ".join(f"w{k}" for k in range(34))
+    docs = make_docs([(1, f"{start} {morse}"), (2, f"{start} {morse.translate(str.maketrans('ab', 'ba'))}")])
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+
+
 def test_no_passages(make_docs):
     docs = make_docs([(1, "a b"), (2, None)])
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
@@ -333,6 +341,18 @@ def test_self_closed_icons_and_quoted_values_drop_nothing():
     assert text("<body><div title=\"a hidden place\"><p>kept</p></div><div title='style=\"display:none\" role=menu'>too</div><div hidden>no</div><div data-x=\"1\" hidden=''>no</div></body>") == "kept\n\ntoo"
 
 
+def test_subjects_in_class_words_name_no_furniture():
+    text = lambda html: html_text.Page(html).text(None)
+    body = "The council met on Monday to speak about the bridge. " * 3
+    assert text(f'<div class="post category-social tag-comments"><p>{body}</p></div>') == body.strip()
+    assert text(f'<article><p>{body}</p><section class="social-science"><p>A study.</p></section></article>') == f"{body.strip()}\n\nA study."
+    for name in ("social-links", "social", "share-buttons", "comment-list", "user-comments", "site-header", "header", "notice-box", "ad-slot-7", "widget_2"):
+        assert text(f'<div><p>{body}</p><div class="{name}"><p>Away with this.</p></div></div>') == body.strip(), name
+    assert text(f'<div class="notice"><p>{body}</p></div><p>Short.</p>') == f"{body.strip()}\n\nShort."
+    assert text(f'<div class="comments"><p>{body}</p></div>') == body.strip()
+    assert text("<article><header><h1>Title</h1></header><p>Body.</p></article>") == "Body."
+
+
 def test_split_articles_and_two_templates_are_whole(spark):
     """A heading, a lead, a second part of another class and a table cell all stay, on a host with two templates."""
     def split(k):

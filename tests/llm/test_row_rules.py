@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -46,6 +47,34 @@ def test_quality_verdicts_and_cleaning(make_docs):
     assert quality.quality_report(docs.limit(0)).count() == 0
 
 
+def test_wrapped_prose_and_unmarked_scripts_stay(make_docs):
+    sentence = "the river that had been low since the end of a dry spring rose again in the night and carried away the wooden bridge below the mill"
+    more = "It was rebuilt, in the years after the war by people from the villages on both banks who needed it to reach their fields and the old market. Nobody knows who paid"
+    wrapped = "\n".join(textwrap.wrap(f"{sentence}. {more}", 60)) + "."
+    thai = "\n".join(" ".join("ภาษาไทยเขียนติดกัน" + "กขคง"[k % 4] * (k + j + 1) for k in range(9)) for j in range(7))
+    salad = "\n".join(f"Home news sport weather travel culture money list number {k}" for k in range(12))
+    docs = make_docs([(1, wrapped), (2, thai), (3, salad), (4, wrapped + "\n" + salad.split("\n")[0])])
+    got = {r["doc_id"]: (r["kept"], r["lost_chars"]) for r in quality.quality_report(docs).collect()}
+    assert got[1] == (True, 0) and got[2] == (True, 0) and not got[3][0]
+    assert got[4] == (True, len(salad.split("\n")[0].replace(" ", "")))
+    assert {r["doc_id"]: r["text"] for r in quality.clean(docs).collect()} == {1: wrapped, 2: thai, 4: wrapped}
+
+
+def test_quality_sql(make_docs, odd_texts, tmp_path):
+    import duckdb
+
+    lines = ["one two three four five six seven eight nine", "ten, it was told;", "ends here.", "small letters go on and on without a single mark", "Ünd weiter «so» geht es über viele Zeilen ohne", "", " indented line of eight or more words in all", "a\u061b b c d e f g h i"]
+    texts = [*odd_texts, *((100 + k, "\n".join(lines[(k * j) % 7] for j in range(1, 12))) for k in range(30)), (200, "\n".join(lines)), (201, "x y z 'a b' c/d e@f g h"), (202, "end.\nsmall after a stop and eight more words here")]
+    docs = make_docs(texts)
+    docs.select("doc_id", "text").toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text FROM '{tmp_path}/d.parquet'")
+    got = quality.quality_report(docs)
+    want = con.sql(quality.quality_sql())
+    pick = ", ".join(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, con.sql(f"SELECT {pick} FROM ({quality.quality_sql()})").fetchall())), want
+
+
 def test_quality_is_row_local_and_native(make_docs):
     plan = quality.quality_report(make_docs([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
