@@ -1,10 +1,13 @@
 """Store queries: records as text and JSON, replacement by source, upserts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldglass.operators import models
 from fieldglass.plans.registry import register
-from fieldglass.sources import readers, stores
+from fieldglass.session import checkpoint_folder
+from fieldglass.sources import readers, stores, versions
 
 
 @register(
@@ -95,6 +98,22 @@ def replace_by_source(t):
     return out.select("doc_id", "source", F.col("text").isNull().alias("emptied"))
 
 
+@register(
+    "versioned_store",
+    """SELECT doc_id, source, text FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id%97=0)
+       UNION ALL SELECT doc_id+1000000, source, upper(lang) FROM documents WHERE doc_id%97=0""",
+)
+def versioned_store(t):
+    """Documents as a first version, new rows for some sources as a second that is sent twice, read back."""
+    path = f"{checkpoint_folder(t.spark)}/versions-{uuid.uuid4().hex}"
+    d = t.documents
+    versions.write_version(d.select("doc_id", "source", "text"), path, "source", "first")
+    incoming = d.filter(F.col("doc_id") % 97 == 0).select((F.col("doc_id") + 1000000).alias("doc_id"), "source", F.upper("lang").alias("text"))
+    for _ in range(2):
+        versions.write_version(incoming, path, "source", "second")
+    return versions.read_live(t.spark, path, "source")
+
+
 @register(
     "upsert_latest",
     """WITH c AS (SELECT o_custkey AS id, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS balance FROM orders GROUP BY 1)

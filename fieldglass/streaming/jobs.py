@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fieldglass.functions.vectors import METHODS
-from fieldglass.sources.stores import replace_in_buckets
+from fieldglass.sources.versions import write_version
 
 
 def events_per_window(events: DataFrame, time_col: str, width: str) -> DataFrame:
@@ -84,15 +84,16 @@ def drift_stream(stream: DataFrame, key: str, time_col: str, bins: list[str], me
     )
 
 
-def ingest_documents(stream: DataFrame, chunker, target: str, checkpoint: str, source: str = "source_doc", buckets: int = 64):
-    """Chunk arriving documents and replace what is stored for their sources.
+def ingest_documents(stream: DataFrame, chunker, target: str, checkpoint: str, source: str = "source_doc"):
+    """Chunk arriving documents and replace what is stored for their sources in the versioned store ``target``.
 
-    Writing a batch again gives the same rows, so a restart repeats nothing.
-    ``chunker`` turns a batch of documents into chunk rows with the source column.
+    A batch writes its own rows alone, as one version named after it, so a restart repeats nothing.
+    ``chunker`` turns a batch of documents into chunk rows with the source column; read the store
+    with ``versions.read_live``.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            replace_in_buckets(chunker(batch), target, source, buckets)
+            write_version(chunker(batch), target, source, f"{checkpoint}#{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

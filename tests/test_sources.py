@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.operators import ontology
 from fieldglass.plans import Tables
 from fieldglass.plans.traffic import calls
-from fieldglass.sources import readers, stores
+from fieldglass.sources import readers, stores, versions
 
 
 def write(folder, name, text):
@@ -145,3 +145,25 @@ def test_unreadable_files_are_named(spark, tmp_path):
     good, bad = readers.document_file_rows(spark, str(tmp_path))
     assert [(r.source_doc, r.text) for r in good.collect()] == [("a.md", "fine")]
     assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["b.md"]
+
+
+def test_versions_replace_sources_and_survive_restarts(spark, tmp_path, rows):
+    path = str(tmp_path / "store")
+    make = lambda data: spark.createDataFrame(data, "source_doc string, text string")
+    live = lambda upto=None: rows(versions.read_live(spark, path, "source_doc", upto), "source_doc", "text")
+    first = [("a", "1"), ("a", "1"), ("b", "2"), (None, "3")]
+    assert versions.write_version(make(first), path, "source_doc", "w0") == 0
+    # an interrupted writer leaves rows without a list
+    make([("a", "broken")]).write.parquet(f"{path}/rows/version=1")
+    assert live() == rows(make(first), "source_doc", "text")
+    size = lambda n: len(list((tmp_path / "store" / "rows" / f"version={n}").glob("*.parquet")))
+    assert versions.write_version(make([("a", "4"), (None, "5")]).coalesce(1), path, "source_doc", "w1") == 1
+    assert versions.write_version(make([("a", "other")]), path, "source_doc", "w1") == 1 and size(1) == 1
+    second = rows(make([("a", "4"), ("b", "2"), (None, "5")]), "source_doc", "text")
+    assert live() == second and live(0) == rows(make(first), "source_doc", "text")
+    versions.write_version(make([]), path, "source_doc", "w2", removed=make([("b", "")]))
+    assert live() == rows(make([("a", "4"), (None, "5")]), "source_doc", "text")
+    assert versions.compact(spark, path, "source_doc") == 3 and size(0) == size(1) == 0
+    assert live() == rows(make([("a", "4"), (None, "5")]), "source_doc", "text")
+    versions.write_version(make([]), path, "source_doc", "w4", removed=make([("a", ""), (None, "")]))
+    assert live() == []
