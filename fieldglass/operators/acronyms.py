@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import strip
 from fieldglass.operators.terms import match_terms
-from fieldglass.session import blocks
-
-DICTIONARY_BLOCK = 20_000
+from fieldglass.session import cut_lineage
 
 
 def abbreviation_section(text: Column) -> Column:
@@ -114,50 +109,51 @@ def ordered_forms(dictionary: DataFrame) -> DataFrame:
     )
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, f"{fixed.NON_WORD_CLASS}+"), lambda w: w != ""))
+
+
+def rewriting_rules(dictionary: DataFrame) -> DataFrame:
+    """``(rule, word, brings)``: place, pattern and replacement of each rule, the first word of its form and the words of its gloss."""
+    forms = ordered_forms(dictionary).filter("form IS NOT NULL AND gloss IS NOT NULL")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("form", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b(?!\()"))
+    put = F.regexp_replace(F.concat("form", F.lit("("), "gloss", F.lit(")")), r"[\\$]", r"\\$0")
+    rule = F.struct("conflict", "acronym", "v", quoted.alias("pattern"), put.alias("put"))
+    return forms.select(rule.alias("rule"), F.coalesce(F.get(_words(F.col("form")), F.lit(0)), F.lit("")).alias("word"), _words(F.col("gloss")).alias("brings"))
+
+
+def rules_of_texts(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """``(_key, rules)``: for each different text, by its MD5, the rules that may change it, in order.
+
+    A rule may apply if the first word of its form stands in the text or in the gloss of an
+    earlier rule that may apply. The closure is semi-naive: only pairs new in the last round are
+    joined with the rules that glosses bring; a rule brings later ones only, so rounds end.
+    """
+    brought = rules.select("rule", F.explode("brings").alias("word")).join(rules.select(F.col("rule").alias("later"), "word"), "word").filter(F.col("later") > F.col("rule")).select("rule", "later").distinct()
+    steps = cut_lineage(brought)
+    # a form without a word is tried on every text
+    words = texts.select(F.md5(text).alias("_key"), F.explode(F.array_append(_words(F.col(text)), F.lit(""))).alias("word"))
+    newest = cut_lineage(words.join(rules.select("rule", "word"), "word").select("_key", "rule").distinct())
+    found = newest
+    while not newest.isEmpty():
+        following = newest.join(steps, "rule").select("_key", F.col("later").alias("rule")).distinct()
+        newest = cut_lineage(following.join(found, ["_key", "rule"], "left_anti"))
+        found = found.unionByName(newest)
+    return found.groupBy("_key").agg(F.array_sort(F.collect_list("rule")).alias("rules"))  # of one text's own words and their glosses
+
+
 def expand_text(texts: DataFrame, dictionary: DataFrame, text: str = "text", out: str = "expanded") -> DataFrame:
     """``HO`` -> ``HO(Handover)`` unless a bracket follows, rule after rule.
 
-    A rule sees the text as the rules before left it. Rules travel in ordered
-    blocks; inside a block only those whose first word occurs in the text run.
+    A rule sees the text as the rules before left it. Each text meets only the rules that its
+    words, or glosses put into it, can start; they are applied by one fold in its row. A null text
+    stays null, and rules without a gloss are none.
     """
-    result = texts.withColumn(out, F.col(text))
-    for block in blocks(ordered_forms(dictionary), ["conflict", "acronym", "v"], DICTIONARY_BLOCK):
-        result = result.withColumn(out, _expander([(r["form"], r["gloss"]) for r in block])(F.col(out)))
-    return result
-
-
-def _expander(rules: list[tuple[str, str]]):
-    word = re.compile(r"\w+")
-    by_word: dict[str, list[int]] = {}
-    for i, (form, _) in enumerate(rules):
-        m = word.search(form)
-        by_word.setdefault(m.group(0) if m else "", []).append(i)
-
-    @F.pandas_udf("string")
-    def expand(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            known = set(word.findall(text))
-            queue = sorted({i for w in known | {""} for i in by_word.get(w, ())})
-            at = 0
-            while at < len(queue):
-                i = queue[at]
-                form, gloss = rules[i]
-                new = re.sub(rf"\b{re.escape(form)}\b(?!\()", lambda m: f"{form}({gloss})", text)
-                if new != text:
-                    # a gloss may bring words that later rules apply to
-                    fresh = set(word.findall(new)) - known
-                    known |= fresh
-                    later = {j for w in fresh for j in by_word.get(w, ()) if j > i} - set(queue[at:])
-                    queue = queue[: at + 1] + sorted(set(queue[at + 1 :]) | later)
-                    text = new
-                at += 1
-            return text
-
-        return texts.map(one)
-
-    return expand
+    rules = cut_lineage(rewriting_rules(dictionary))
+    own = rules_of_texts(texts, rules, text).select(F.col("_key").alias("_k"), F.col("rules").alias("_rules"))
+    done = F.aggregate("_rules", F.col(text), lambda t, r: F.regexp_replace(t, r["pattern"], r["put"]))
+    joined = texts.join(own, F.md5(text) == F.col("_k"), "left")
+    return joined.withColumn(out, F.when(F.col("_rules").isNull(), F.col(text)).otherwise(done)).drop("_k", "_rules")
 
 
 def reverse_forms(dictionary: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: builder, lineage cutting and size-checked small sides."""
+"""Session helpers: builder, lineage cutting, unions and scalars."""
 
 from __future__ import annotations
 
@@ -48,22 +48,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def blocks(df: DataFrame, order: list[str], rows_per_block: int):
-    """Yield ``df`` on the driver in lists of bounded length, in a fixed order.
-
-    Small sides go through here. However many rows there are, the driver and
-    every closure hold one block at a time.
-    """
-    block: list = []
-    for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=False):
-        block.append(row)
-        if len(block) == rows_per_block:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -221,11 +221,38 @@ def test_acronym_expansion_is_sequential(spark):
     assert got == {i: brute_expand(t) for i, t in enumerate(texts)}
 
 
-def test_expansion_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(acronyms, "DICTIONARY_BLOCK", 2)
-    df = spark.createDataFrame([(0, "HO CA gNB BWP")], "i int, text string")
-    d = spark.createDataFrame(DICTIONARY, "acronym string, expansion string, variants array<string>, candidates array<string>")
-    assert acronyms.expand_text(df, d).first().expanded == brute_expand("HO CA gNB BWP")
+def test_expansion_of_words_that_glosses_bring(spark):
+    """A chain of rules, each started by the gloss before it; backwards nothing follows; signs stay literal."""
+    rules = [(f"A{k:02d}", f"see A{k + 1:02d} $1\\\\x") for k in range(12)] + [("Z", "A00 Y"), ("C++", "sea"), (".Q.", "dots"), ("N", None), (None, "none")]
+    d = spark.createDataFrame(rules, "acronym string, expansion string")
+    texts = ["A00 and Z", "A05(x) A05", "a.Q.b C++x", "", None, "Y N", "A00 and Z"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, text string, rules string")
+    got = {r.i: r.expanded for r in acronyms.expand_text(df, d).collect()}
+
+    def brute(text):
+        for form, gloss in sorted(r for r in rules if None not in r):
+            text = re.sub(rf"\b{re.escape(form)}\b(?!\()", lambda m: f"{form}({gloss})", text)
+        return text
+
+    assert got == {i: t if t is None else brute(t) for i, t in enumerate(texts)}
+    assert "A11(see A12" in got[0] and acronyms.expand_text(df.limit(0), d).count() == 0
+    assert {r.i: r.expanded for r in acronyms.expand_text(df, d.limit(0)).collect()} == dict(enumerate(texts))
+
+
+def test_expansion_of_whole_documents(spark):
+    from fieldglass.plans import Tables
+    from fieldglass.plans.text import document_acronyms
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rules = sorted((r.acronym, r.expansion) for r in document_acronyms(t).collect())
+    rows = acronyms.expand_text(t.documents.select("doc_id", "text"), document_acronyms(t)).collect()
+    assert len(rows) == t.documents.count()
+    for r in rows:
+        text = r.text
+        for form, gloss in rules:
+            if text and form in text:
+                text = re.sub(rf"\b{form}\b(?!\()", f"{form}({gloss})", text)
+        assert r.expanded == text
 
 
 def test_query_expansion_adds_missing_acronyms(spark):
