@@ -132,7 +132,9 @@ def rules_of_texts(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
     brought = rules.select("rule", F.explode("brings").alias("word")).join(rules.select(F.col("rule").alias("later"), "word"), "word").filter(F.col("later") > F.col("rule")).select("rule", "later").distinct()
     steps = cut_lineage(brought)
     # a form without a word is tried on every text
-    words = texts.select(F.md5(text).alias("_key"), F.explode(F.array_append(_words(F.col(text)), F.lit(""))).alias("word"))
+    # the key is made before the words are exploded, once for a text
+    keyed = texts.select(F.md5(text).alias("_key"), F.array_append(_words(F.col(text)), F.lit("")).alias("words"))
+    words = keyed.select("_key", F.explode("words").alias("word"))
     newest = cut_lineage(words.join(rules.select("rule", "word"), "word").select("_key", "rule").distinct())
     found = newest
     while not newest.isEmpty():
