@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import clock_seconds
-from fieldglass.operators.ordered import previous_row
+from fieldglass.operators.ordered import equal_depth, previous_row
 
 
 def parse_packet_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -34,10 +34,15 @@ def filter_flow(packets: DataFrame, src: str | None = None, dst: str | None = No
 
 
 def interarrival(
-    packets: DataFrame, keys: list[str], order: list[str], slice_col: Column, time_col: str = "time_s"
+    packets: DataFrame, keys: list[str], order: list[str], slice_col: Column | None = None, time_col: str = "time_s"
 ) -> DataFrame:
-    """Microseconds since the packet before in the same flow, with the wrap at midnight; first is null."""
-    paired = previous_row(packets, keys, order, [time_col], slice_col)
+    """Microseconds since the packet before in the same flow, with the wrap at midnight; first is null.
+
+    Without ``slice_col`` flows are cut into ranges of equal depth, whatever their share of the packets.
+    """
+    if slice_col is None:
+        packets, slice_col = equal_depth(packets, keys, order, "_range"), F.col("_range")
+    paired = previous_row(packets, keys, order, [time_col], slice_col).drop("_range")
     t, before = F.col(time_col), F.col(f"prev.{time_col}")
     delta = t - before + F.when(t < before, F.lit(float(fixed.DAY_SECONDS))).otherwise(F.lit(0.0))
     return paired.withColumn("delta_us", F.round(delta * 1e6, 3)).drop("prev")

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.session import cut_lineage
+
 
 def time_slice(ts: str | Column, grain: str = "day") -> Column:
     return F.date_trunc(grain, ts)
@@ -24,6 +26,33 @@ def number_slice(value: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
+def equal_depth(df: DataFrame, keys: list[str], order: list[str], out: str = "slice", at: str | None = None) -> DataFrame:
+    """Rows sorted into ranges of about as many rows each, the range's number added as ``out``.
+
+    Spark's range exchange draws the borders from a sample over key and order, so a key of all rows is cut as
+    evenly as many small ones. ``at`` adds the 0-based place inside the range. The sorted rows are written, as
+    a second sample could draw other borders.
+    """
+    number = F.monotonically_increasing_id()  # partition number above 33 bits of row number
+    numbered = cut_lineage(df.orderBy(*keys, *order).withColumn(out, number))
+    place = [F.col(out).bitwiseAND(F.lit((1 << 33) - 1)).alias(at)] if at else []
+    return numbered.select(*df.columns, F.shiftright(out, 33).alias(out), *place)
+
+
+def positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
+    """1-based position of every row in the order of all rows: place in its range, plus the rows of earlier ranges.
+
+    Rows are sorted once and only the ranges' counts are added up. ``order`` has to tell rows apart for the
+    positions to be the same in every run.
+    """
+    placed = equal_depth(df, [], order, "_slice", "_at")
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = placed.join(before, "_slice")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(out))
+
+
 def _sliced(df: DataFrame, keys: list[str], slice_col: Column, extra: dict[str, Column] | None = None) -> DataFrame:
     """Rows with their key packed as ``_k`` and their slice.
 
@@ -106,42 +135,79 @@ def running_last(
     return running_values(df, keys, order, slice_col, lasts=values)
 
 
+#: Parts a bracket is cut into in one round of ``order_statistics``.
+BRACKET_PARTS = 64
+
+
+def brackets(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    picks: dict[str, tuple[float, list[Column]]],
+    accuracy: int = 10_000,
+    sorted_rows: int = 100_000,
+) -> DataFrame:
+    """Distinct values around the wanted positions: ``(_k, n, _before, _x, _c)``.
+
+    ``_before`` counts a group's rows below the bracket a value lies in and names the bracket; ``_c`` counts
+    the value's rows. No bracket holds more than ``sorted_rows`` distinct values: larger ones are cut again
+    at quantiles of their own values, and only parts that hold a wanted position stay.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(value).alias("_x"))
+    margin = 4.0 / accuracy
+    probs = sorted({min(max(q + d, 0.0), 1.0) for q, _ in picks.values() for d in (-margin, margin)})
+    counts = rows.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    bounds = rows.groupBy("_k").agg(F.percentile_approx("_x", probs, accuracy).alias("_b"), F.count(F.lit(1)).alias("n"))
+    near = _wanted_parts(counts.join(bounds, "_k").withColumn("_before", F.lit(0).cast("long")), picks)
+    steps = [i / BRACKET_PARTS for i in range(1, BRACKET_PARTS)]
+    while (near.agg(F.max("_d").alias("d")).head()["d"] or 0) > sorted_rows:
+        cuts = near.groupBy("_k", "_before").agg(F.percentile_approx("_x", steps, 10_000).alias("_b"))
+        near = _wanted_parts(near.drop("_d").join(cuts, ["_k", "_before"]), picks)
+    return near.drop("_d")
+
+
+def _wanted_parts(rows: DataFrame, picks: dict[str, tuple[float, list[Column]]]) -> DataFrame:
+    """Cut brackets at ``_b`` and keep the parts that hold a position, with their number of values ``_d``."""
+    placed = rows.withColumn("_slice", F.size(F.filter("_b", lambda b: b < F.col("_x")))).drop("_b")
+    part = ["_k", "_before", "_slice"]
+    earlier = Window.partitionBy("_k", "_before").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*part, "n").agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_d"))
+    totals = totals.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    positions = [p for _, ps in picks.values() for p in ps]
+    holds = reduce(lambda x, y: x | y, [_inside(p, F.col("_start"), F.col("_t")) for p in positions])
+    hit = totals.filter(holds).select(*part, "_start", "_d")
+    return cut_lineage(placed.join(hit, part).select("_k", "n", F.col("_start").alias("_before"), "_x", "_c", "_d"))
+
+
+def _inside(position: Column, low: Column, count: Column) -> Column:
+    return (position >= low) & (position < low + count)
+
+
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[float, list[Column]]], accuracy: int = 10_000
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    picks: dict[str, tuple[float, list[Column]]],
+    accuracy: int = 10_000,
+    sorted_rows: int = 100_000,
 ) -> DataFrame:
     """Exact values at given 0-based positions of each group's sorted values.
 
     ``picks`` maps an output name to the quantile it is near and to position
     expressions over ``n`` (the group's count); several positions are averaged.
 
-    An approximate quantile on either side brackets each position. Distinct
-    values are counted, counts are summed per bracket, and only brackets a
-    position really falls into are sorted, so no group is ever gathered. The
-    brackets decide how much is sorted, never the result.
+    ``brackets`` narrows each group to at most ``sorted_rows`` distinct values around a position, and only
+    those are sorted together. The brackets decide how much is sorted, never the result.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    margin = 4.0 / accuracy
-    probs = sorted({min(max(q + d, 0.0), 1.0) for q, _ in picks.values() for d in (-margin, margin)})
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, accuracy).alias("_b"), F.count(F.lit(1)).alias("n")
-    )
-    placed = counts.join(bounds, keys).withColumn("_slice", F.size(F.filter("_b", lambda b: b < F.col(value))))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "n", "_slice").agg(F.sum("_c").alias("_t"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
-    inside = lambda p, low, count: (p >= low) & (p < low + count)
-    wanted = reduce(
-        lambda x, y: x | y, [inside(p, F.col("_before"), F.col("_t")) for _, ps in picks.values() for p in ps]
-    )
-    hit = totals.filter(wanted).select(*keys, "_slice", "_before")
-    upto = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ends = placed.join(hit, [*keys, "_slice"]).withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    at = lambda p: F.max(F.when(inside(p, F.col("_end") - F.col("_c"), F.col("_c")), F.col(value)))
+    near = brackets(df, keys, value, picks, accuracy, sorted_rows)
+    upto = Window.partitionBy("_k", "_before").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = near.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    at = lambda p: F.max(F.when(_inside(p, F.col("_end") - F.col("_c"), F.col("_c")), F.col("_x")))
     aggs = [
         (reduce(lambda x, y: x + y, [at(p) for p in ps]) / F.lit(len(ps))).alias(name) for name, (_, ps) in picks.items()
     ]
-    return ends.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    found = ends.groupBy("_k").agg(F.max("n").alias("n"), *aggs)
+    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "n", *picks)
 
 
 def median_position() -> tuple[float, list[Column]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass import fixed_values as fixed
+from fieldglass.operators.ordered import positions
 from fieldglass.session import scalar_of, union_all
 
 
@@ -164,7 +165,13 @@ def recommendation(df: DataFrame, text_column: str | None = None, columns: list[
     return union_all(parts)
 
 
-def curriculum_order(df: DataFrame, text_column: str = "text", tie: str | None = None) -> DataFrame:
-    """Shortest text first: a range-partitioned global sort."""
-    keys = [F.length(F.coalesce(F.col(text_column), F.lit("")))]
-    return df.orderBy(*keys, *([tie] if tie else []))
+def curriculum_order(df: DataFrame, text_column: str = "text", tie: str | None = None, position: str | None = None) -> DataFrame:
+    """Shortest text first: a range-partitioned global sort; null is as short as empty.
+
+    ``position`` adds each row's 1-based place as a column, so that the order outlives a later shuffle.
+    """
+    length = F.length(F.coalesce(F.col(text_column), F.lit("")))
+    order = ["_length", *([tie] if tie else [])]
+    if position is None:
+        return df.withColumn("_length", length).orderBy(*order).drop("_length")
+    return positions(df.withColumn("_length", length), order, position).drop("_length")

@@ -237,19 +237,8 @@ def recommend(t):
     """SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) AS pos FROM documents""",
 )
 def curriculum_order(t):
-    """Position of every document in shortest-first order, by range slices of the length."""
-    from fieldglass.operators.ordered import number_slice, running_totals
-
-    # positions are asked for here, so the order is numbered slice by slice
-    # instead of in one window over all rows
-    ranked = running_totals(
-        t.documents.select("doc_id", F.length("text").alias("len"), F.lit(1).alias("all")),
-        ["all"],
-        ["len", "doc_id"],
-        {"pos": F.lit(1)},
-        number_slice("len", 256),
-    )
-    return ranked.select("doc_id", F.col("pos").cast("long").alias("pos"))
+    """Position of every document in shortest-first order."""
+    return profile.curriculum_order(t.documents.select("doc_id", "text"), tie="doc_id", position="pos").select("doc_id", "pos")
 
 
 def packet_lines(t):
@@ -290,7 +279,7 @@ def packet_line_scan(t):
 
 def _deltas(t):
     packets = flows.parse_packet_lines(packet_lines(t))
-    return flows.interarrival(packets, ["src"], ["ts", "no"], time_slice("ts", "day"))
+    return flows.interarrival(packets, ["src"], ["ts", "no"])
 
 
 @register("interarrival", _PACKETS_SQL + "SELECT no, src, round(delta_us,0)::DOUBLE AS delta_us FROM dd")

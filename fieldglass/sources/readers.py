@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -100,6 +100,23 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
+def split_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of large logs with their 0-based position: ``(path, line, value)``; a log is read by as many tasks as it has splits.
+
+    Positions come from the splits' line counts: rows of a split are numbered where they are read, and only one
+    row for each split is windowed over its file. Lines themselves are not shuffled while the splits' rows fit a
+    broadcast. Unlike ``log_lines`` there is no row behind the last line's end. A compressed log is one split.
+    """
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"), "value",
+    )
+    splits = read.groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return read.join(before, ["path", "_split"]).select("path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line"), "value")
+
+
 def document_file_rows(spark: SparkSession, folder: str, pattern: str = "*.md") -> tuple[DataFrame, DataFrame]:
     """One row per matching file under a folder tree, and the files that are no UTF-8 text (``path``, ``reason``)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)

@@ -167,3 +167,21 @@ def test_versions_replace_sources_and_survive_restarts(spark, tmp_path, rows):
     assert live() == rows(make([("a", "4"), (None, "5")]), "source_doc", "text")
     versions.write_version(make([]), path, "source_doc", "w4", removed=make([("a", ""), (None, "")]))
     assert live() == []
+
+
+def test_one_log_is_read_by_many_tasks(spark, tmp_path, rows):
+    lines = [f"{i} {'x' * (i % 97)}" for i in range(20_000)]
+    (tmp_path / "logs").mkdir()
+    write(tmp_path, "logs/a.log", "\n".join(lines) + "\n")
+    write(tmp_path, "logs/b.log", "one\r\n\r\nthree")
+    write(tmp_path, "logs/empty.log", "")
+    conf = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(conf, "65536")
+    try:
+        got = readers.split_log_lines(spark, str(tmp_path / "logs")).cache()
+        assert got.select(F.spark_partition_id()).distinct().count() > 4
+        numbered = {r["line"]: r["value"] for r in got.filter("path like '%a.log'").collect()}
+        assert numbered == dict(enumerate(lines))
+        assert rows(got.filter("path not like '%a.log'"), "line", "value") == [(0, "one"), (1, ""), (2, "three")]
+    finally:
+        spark.conf.unset(conf)
