@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import strip
-from fieldglass.operators.terms import match_terms
+from fieldglass.functions.text import let, strip
+from fieldglass.operators.terms import match_terms, quoted
 from fieldglass.session import cut_lineage
 
 
@@ -113,12 +115,20 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"{fixed.NON_WORD_CLASS}+"), lambda w: w != ""))
 
 
+def _form_pattern(form: Column) -> Column:
+    """A written form as a whole word that no bracket follows."""
+    return F.concat(F.lit(r"(?U)\b"), quoted(form), F.lit(r"\b(?!\()"))
+
+
+def _form_put(form: Column, gloss: Column) -> Column:
+    return F.regexp_replace(F.concat(form, F.lit("("), gloss, F.lit(")")), r"[\\$]", r"\\$0")
+
+
 def rewriting_rules(dictionary: DataFrame) -> DataFrame:
     """``(rule, word, brings)``: place, pattern and replacement of each rule, the first word of its form and the words of its gloss."""
     forms = ordered_forms(dictionary).filter("form IS NOT NULL AND gloss IS NOT NULL")
-    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("form", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b(?!\()"))
-    put = F.regexp_replace(F.concat("form", F.lit("("), "gloss", F.lit(")")), r"[\\$]", r"\\$0")
-    rule = F.struct("conflict", "acronym", "v", quoted.alias("pattern"), put.alias("put"))
+    form, gloss = F.col("form"), F.col("gloss")
+    rule = F.struct("conflict", "acronym", "v", _form_pattern(form).alias("pattern"), _form_put(form, gloss).alias("put"))
     return forms.select(rule.alias("rule"), F.coalesce(F.get(_words(F.col("form")), F.lit(0)), F.lit("")).alias("word"), _words(F.col("gloss")).alias("brings"))
 
 
@@ -158,6 +168,69 @@ def expand_text(texts: DataFrame, dictionary: DataFrame, text: str = "text", out
     return joined.withColumn(out, F.when(F.col("_rules").isNull(), F.col(text)).otherwise(done)).drop("_k", "_rules")
 
 
+def choose_by_overlap(acronym: Column, candidates: Column, context: Column) -> Column:
+    """The candidate with most words in the context, null unless one has more than every other."""
+
+    def score(seen: Column) -> Column:
+        shared = lambda c: -F.size(F.array_intersect(_words(F.lower(c)), seen))
+        return F.array_sort(F.transform(F.array_distinct(candidates), lambda c: F.struct(shared(c).alias("s"), c.alias("c"))))
+
+    def first(scored: Column) -> Column:
+        best, next_ = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
+        return F.when((best["s"] < 0) & (next_.isNull() | (best["s"] < next_["s"])), best["c"])
+
+    return let(let(_words(F.lower(context)), score), first)
+
+
+def resolved_conflicts(
+    texts: DataFrame, conflicts: DataFrame, key: str, text: str = "text", choose: Callable[[Column, Column, Column], Column] | None = None, chars: int = 200
+) -> DataFrame:
+    """``(key, acronym, variants, gloss)``: what each ambiguous acronym of a text stands for, by its first context.
+
+    ``choose`` maps acronym, candidates and context to the chosen candidate and may wrap a model as a UDF; any other reply, null
+    included, means unsure, and all candidates are kept. ``conflicts``: acronym, variants, candidates. Texts with the
+    same key are taken as one.
+    """
+    wanted = conflicts.select("acronym", "variants", "candidates")
+    one = texts.select(key, text).dropDuplicates([key])
+    pairs = match_terms(one, wanted.select(F.col("acronym").alias("term")), key, text)
+    entry = F.struct("acronym", "variants", "candidates")
+    asked = pairs.join(wanted, F.col("term") == F.col("acronym")).groupBy(key).agg(F.collect_list(entry).alias("_e"))  # ambiguous acronyms of one text
+    head = lambda a: F.split(F.col(text), F.concat(F.lit(r"(?U)\b"), quoted(a), F.lit(r"\b")), 2)
+
+    def context(before: Column, width: Column) -> Column:
+        low = F.greatest(F.length(before) - chars, F.lit(0))
+        return F.substring(F.col(text), low + 1, F.length(before) + width + chars - low)
+
+    found = one.join(asked, key).select(key, F.explode(F.transform("_e", lambda e: F.struct(e.alias("e"), let(head(e["acronym"]), lambda p: F.when(F.size(p) > 1, context(p[0], F.length(e["acronym"])))).alias("context")))).alias("f"))
+    found = found.select(key, "f.e.*", "f.context").filter(F.col("context").isNotNull())
+    chosen = (choose or choose_by_overlap)(F.col("acronym"), F.col("candidates"), F.col("context"))
+    decided = found.withColumn("_c", chosen)
+    gloss = F.when(F.array_contains("candidates", F.col("_c")), F.col("_c")).otherwise(F.array_join("candidates", "|"))
+    return decided.select(key, "acronym", "variants", gloss.alias("gloss"))
+
+
+def expand_by_context(
+    texts: DataFrame, dictionary: DataFrame, text: str = "text", out: str = "expanded", choose: Callable[[Column, Column, Column], Column] | None = None
+) -> DataFrame:
+    """``expand_text`` for unambiguous acronyms; then each ambiguous one that stands in the text, in order of acronyms, by its context.
+
+    A text without ambiguous acronyms is as ``expand_text`` leaves it; null stays null.
+    """
+    if "candidates" not in dictionary.columns:
+        return expand_text(texts, dictionary, text, out)
+    plain = expand_text(texts, dictionary.filter("candidates IS NULL"), text, out).withColumn("_key", F.md5(out))
+    variants = F.coalesce(F.col("variants"), F.array().cast("array<string>")) if "variants" in dictionary.columns else F.array().cast("array<string>")
+    conflicts = dictionary.filter("acronym IS NOT NULL AND candidates IS NOT NULL").select("acronym", variants.alias("variants"), "candidates")
+    glosses = resolved_conflicts(plain.filter(F.col(out).isNotNull()), conflicts, "_key", out, choose)
+    forms = glosses.select("_key", "acronym", "gloss", F.posexplode(F.concat(F.array("acronym"), "variants")).alias("v", "form"))
+    rule = F.struct("acronym", "v", _form_pattern(F.col("form")).alias("pattern"), _form_put(F.col("form"), F.col("gloss")).alias("put"))
+    own = forms.groupBy("_key").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))  # of one text's own acronyms
+    done = F.aggregate("_rules", F.col(out), lambda t, r: F.regexp_replace(t, r["pattern"], r["put"]))
+    joined = plain.join(own, "_key", "left")
+    return joined.select(*texts.columns, F.when(F.col("_rules").isNull(), F.col(out)).otherwise(done).alias(out))
+
+
 def reverse_forms(dictionary: DataFrame) -> DataFrame:
     """Every written form of an expansion or variant with its acronym, the last acronym per form."""
     d = dictionary.filter(F.col("expansion").isNotNull())

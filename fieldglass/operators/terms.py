@@ -13,7 +13,7 @@ from fieldglass.operators.predicates import is_noise_term
 GRAM = 3
 
 
-def _quoted(term: Column) -> Column:
+def quoted(term: Column) -> Column:
     """Term as a literal inside a pattern."""
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
@@ -58,7 +58,7 @@ def _by_pattern(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> Da
     longest = F.array_max(F.transform(word_tokens(F.col("term")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     words = docs.select(doc_id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_w"))
     open_ = words.join(terms.select("term", longest.alias("_w")), "_w").groupBy(doc_id).agg(F.collect_set("term").alias("_open"))  # such terms with a word of one text
-    pattern = lambda term: F.concat(F.lit(r"(?iuU)\b"), _quoted(term), F.lit(r"\b"))
+    pattern = lambda term: F.concat(F.lit(r"(?iuU)\b"), quoted(term), F.lit(r"\b"))
     return docs.join(open_, doc_id).select(doc_id, F.explode(F.filter("_open", lambda t: F.rlike(F.col(text), pattern(t)))).alias("term"))
 
 

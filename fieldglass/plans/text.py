@@ -1,11 +1,15 @@
 """Chunking, tagging, acronym and text-function queries over whole documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions import text as tx
-from fieldglass.operators import acronyms, chunks, predicates, terms
+from fieldglass.operators import acronyms, chunks, ingest, models, predicates, terms
 from fieldglass.plans.registry import register
+from fieldglass.session import checkpoint_folder
+from fieldglass.sources import versions
 
 _SP = fixed.SPACE_CLASS
 _WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '{_SP}+'), lambda x: x<>'')"
@@ -252,6 +256,30 @@ def query_expansion(t):
     return acronyms.expand_queries(t.benchmark.select("item_id", F.col("text").alias("query")), one, "item_id").select("item_id", "expanded")
 
 
+def ambiguous_acronyms(t):
+    """Acronyms of the documents with two meanings each: the first and the last long benchmark word of the acronym's first letter."""
+    words = long_words(t).select(F.lower("term").alias("w")).groupBy(F.upper(F.substring("w", 1, 1)).alias("letter"))
+    meanings = words.agg(F.array(F.min("w"), F.max("w")).alias("candidates"))
+    names = document_acronyms(t).select("acronym", F.substring("acronym", 1, 1).alias("letter"))
+    return names.join(meanings, "letter").select("acronym", F.lit(None).cast("string").alias("expansion"), "candidates")
+
+
+@register("acronym_choice")
+def acronym_choice(t):
+    """Documents with every ambiguous acronym expanded to what its context speaks for, else to all its meanings."""
+    return acronyms.expand_by_context(t.documents.select("doc_id", "text"), ambiguous_acronyms(t)).select("doc_id", "expanded")
+
+
+@register("composed_ingest")
+def composed_ingest(t):
+    """Documents expanded, cut by type, tagged with long benchmark words, embedded and stored, then read back."""
+    path = f"{checkpoint_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("source_doc"), F.when(F.col("lang") == "en", "spec").otherwise("mop").alias("doc_type"), "text")
+    ingest.ingest(docs, path, "first", document_acronyms(t), long_words(t), models.hash_encoder())
+    stored = versions.read_live(t.spark, path, "source_doc")
+    return stored.select("chunk_id", "source_doc", "doc_type", "chunk_index", F.sha2("text", 256).alias("text_sha256"), F.array_join("keywords", "|").alias("keywords"), F.size("embedding").alias("dims"))
+
+
 @register(
     "conflict_contexts",
     r"""WITH w AS (SELECT doc_id, text, unnest(range(1, length(text)-1)) AS p FROM documents WHERE contains(text,'THE'))
