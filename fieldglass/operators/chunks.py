@@ -142,20 +142,21 @@ def chunk_records(records: DataFrame, source: str, index: str, section: str, tex
 
 
 def chunk_rows_udtf():
-    """Table function ``(text, size, overlap) -> (pos, text)`` for use in SQL with LATERAL."""
+    """Table function ``(text, size, overlap) -> (pos, text)`` for use in SQL with LATERAL; rows travel in Arrow batches.
+
+    The windows are those of ``fixed_pieces``. A null or blank text gives no row; an overlap that is not below
+    the size fails, as windows would not move on.
+    """
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="pos int, text string")
+    @udtf(returnType="pos int, text string", useArrow=True)
     class WordWindows:
         def eval(self, text: str, size: int, overlap: int):
+            if not 0 <= overlap < size:
+                raise ValueError(f"overlap {overlap} is not below the size {size}")
             words = (text or "").split()
-            start = 0
-            pos = 0
-            while start < len(words):
+            for pos, start in enumerate(range(0, max(len(words) - overlap, min(len(words), 1)), size - overlap)):
                 yield pos, " ".join(words[start : start + size])
-                if start + size >= len(words):
-                    break
-                pos, start = pos + 1, start + size - overlap
 
     return WordWindows
 

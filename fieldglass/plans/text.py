@@ -106,6 +106,18 @@ def chunk_dispatch(t):
     return out.groupBy("doc_type").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@register(
+    "chunk_table_function",
+    _FIXED + "SELECT source_doc::BIGINT AS doc_id, chunk_index::INTEGER AS pos, array_to_string(w[chunk_index*500+1:chunk_index*500+500], ' ') AS text FROM c",
+)
+def chunk_table_function(t):
+    """Documents cut by size through SQL's LATERAL."""
+    t.spark.udtf.register("word_windows", chunks.chunk_rows_udtf())
+    return t.spark.sql(
+        f"SELECT doc_id, w.pos, w.text FROM {{docs}}, LATERAL word_windows(text, {fixed.CHUNK_WORDS}, 0) w", docs=t.documents.select("doc_id", "text")
+    )
+
+
 @register("head_lines", f"SELECT doc_id, array_to_string({_LINES}[1:3], chr(10)) AS head FROM documents")
 def head_lines(t):
     return t.documents.select("doc_id", tx.head_lines(F.col("text"), 3).alias("head"))

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.functions import text as tx
 from fieldglass.operators import acronyms, chunks, terms
 
 FENCED = """lost
@@ -72,6 +73,24 @@ def test_chunk_table_function(spark):
     assert [tuple(r) for r in got] == [(0, "a b c"), (1, "c d e")]
 
 
+@pytest.mark.parametrize("size, overlap", [(1, 0), (3, 0), (3, 1), (3, 2), (7, 3)])
+def test_chunk_table_function_equals_expressions(spark, rows, size, overlap):
+    texts = [None, "", " \n ", "a", "a b", "a b c", "a\u00a0b  c\nd", " ".join(map(str, range(23)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    docs.createOrReplaceTempView("udtf_texts")
+    spark.udtf.register("word_windows", chunks.chunk_rows_udtf())
+    got = spark.sql(f"SELECT i, w.pos, w.text FROM udtf_texts, LATERAL word_windows(text, {size}, {overlap}) w")
+    windows = F.filter(tx.overlap_windows(tx.words(F.col("text")), size, overlap), lambda w: F.size(w) > 0)
+    want = docs.select("i", F.posexplode(windows).alias("pos", "w")).select("i", "pos", F.array_join("w", " ").alias("text"))
+    assert rows(got) == rows(want)
+
+
+def test_chunk_table_function_that_would_not_move(spark):
+    spark.udtf.register("word_windows", chunks.chunk_rows_udtf())
+    with pytest.raises(Exception, match="overlap 3 is not below the size 3"):
+        spark.sql("SELECT * FROM word_windows('a b', 3, 3)").collect()
+
+
 TERMS = ["HO", "ho rate", "C-RAN", "gNB", "5G NR", "N2", "über", "a.b", "RRC\\E", "x_y"]
 TEXTS = [
     "HO fails; the Ho  rate", "ho rate and HO rate", "c-ran or CRAN", "GNB5 gnb", "5g nr/N2", "핸드오버HO를 HO는 gNB", "ÜBER uber über1", "a.b axb a.b.", "rrc\\e RRC\\Ex", "x_y x y", ""
