@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import alarm_type, range_high, range_low, strip
 
+#: Parts that the rows of one sheet are dealt into when they meet its header.
+SHEET_SLICES = 64
+
 
 def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Copy the top value of each merge range ``(sheet, row0, row1, col0, col1)`` to all its cells.
@@ -37,7 +40,7 @@ def header_columns(cells: DataFrame, aliases: dict[str, str], required: list[str
     head = cells.filter(F.col("value").isNotNull())
     if header_rows is not None:
         head = head.filter(F.col("row") <= header_rows)
-    named = head.withColumn("alias", F.lower(strip(F.col("value")))).join(names, "alias")
+    named = head.withColumn("alias", F.lower(strip(F.col("value")))).join(F.broadcast(names), "alias")  # the aliases are a fixed list
     pick = F.max("col") if last else F.min("col")
     fields = named.groupBy("sheet", "row", "field").agg(pick.alias("col"))
     rows = fields.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "field"))).alias("fields"))
@@ -56,13 +59,20 @@ def sheets_without_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def sheet_records(cells: DataFrame, columns: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows below the header as one column per field, trimmed, missing cells empty; blank rows dropped."""
-    present = cells.filter(F.col("value").isNotNull())
-    body = present.join(columns, "sheet").filter(F.col("row") > F.col("header_row"))
-    placed = body.select("sheet", "row", F.col("fields")[F.col("col")].alias("field"), strip(F.col("value")).alias("v"))
-    return placed.groupBy("sheet", "row").agg(
+    """Rows below the header as one column per field, trimmed, missing cells empty; blank rows dropped.
+
+    The rows of a sheet are dealt into slices and the header, one row per sheet, is copied to each. The header
+    is named as the side that is hashed: by its estimates Spark would send all cells through the driver.
+    """
+    slice_ = F.pmod(F.xxhash64("row"), F.lit(SHEET_SLICES)).cast("int")
+    present = cells.filter(F.col("value").isNotNull()).withColumn("_slice", slice_)
+    heads = columns.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SHEET_SLICES - 1))))
+    body = present.join(heads.hint("shuffle_hash"), ["sheet", "_slice"]).filter(F.col("row") > F.col("header_row"))
+    placed = body.select("sheet", "_slice", "row", F.col("fields")[F.col("col")].alias("field"), strip(F.col("value")).alias("v"))
+    # dealt by sheet and slice already, so the rows need no other shuffle
+    return placed.groupBy("sheet", "_slice", "row").agg(
         *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("v"))), F.lit("")).alias(f) for f in fields]
-    )
+    ).drop("_slice")
 
 
 def split_rejects(records: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
