@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import let, strip, word_tokens
+from fieldglass.functions.text import let, simple_upper, strip, word_tokens
 from fieldglass.operators.predicates import is_noise_term
 
 #: Characters at the start of a term that texts are joined on.
@@ -72,17 +72,18 @@ def tag_keywords(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text
 def contained_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text") -> DataFrame:
     """Pairs where the upper-cased term is a substring of the upper-cased text, no word border needed.
 
-    A text holds a term only if it holds its first characters, so both sides are joined on runs
-    of up to ``GRAM`` characters; the texts, once each, are then searched for the terms so found.
+    Upper case is taken character by character. A text holds a term only if it holds its first
+    characters, so both sides are joined on runs of up to ``GRAM`` characters, as long as some
+    term's start; the texts are then searched for the terms so found.
     """
-    upper = F.upper(F.coalesce(F.col(text), F.lit("")))
-    wanted = terms.filter(F.col("term") != "").select("term", F.upper("term").alias("_u")).distinct()
+    wanted = terms.filter(F.col("term") != "").select("term", simple_upper(F.col("term")).alias("_u")).distinct()
     wanted = wanted.withColumn("_g", F.substring("_u", 1, GRAM))
-    rows = texts.select(F.col(text_id), upper.alias("_t")).distinct()
-    starts = F.when(F.length("_t") > 0, F.sequence(F.lit(1), F.length("_t"))).otherwise(F.array().cast("array<int>"))
-    runs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("_t"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
-    pairs = rows.select(text_id, F.explode(runs).alias("_g")).distinct().join(wanted, "_g").select(text_id, "term", "_u")
-    asked = pairs.groupBy(text_id).agg(F.collect_set(F.struct("term", "_u")).alias("_a"))  # terms that start in one text
+    sizes = F.coalesce(wanted.agg(F.collect_set(F.length("_g"))).scalar(), F.array().cast("array<int>"))
+    rows = texts.select(F.col(text_id), simple_upper(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    # a look-ahead of n characters at every place
+    runs = [F.when(F.array_contains("_n", n), F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    starts = rows.withColumn("_n", sizes).select(text_id, F.explode(F.array_distinct(F.concat(*runs))).alias("_g"))
+    asked = starts.join(wanted, "_g").groupBy(text_id).agg(F.collect_set(F.struct("term", "_u")).alias("_a"))  # terms that start in one text
     held = rows.join(asked, text_id).select(text_id, F.explode(F.filter("_a", lambda a: F.contains(F.col("_t"), a["_u"]))).alias("_a"))
     return held.select(text_id, "_a.term").distinct()
 
