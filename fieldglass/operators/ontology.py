@@ -106,7 +106,8 @@ def node_key(value: Column, explicit: Column) -> Column:
 def graph_nodes(triples: DataFrame) -> DataFrame:
     """One node per (label, key, name); per property the value of the last line wins.
 
-    Both ends of a triple come from one scan. Properties are resolved one by one before they are
+    Both ends of a triple come from one scan, one row for each. The properties of the last line are kept for each
+    set of names that a node's properties have, and are then resolved one by one before they are
     put together again, so a node that stands in a large share of all triples is never gathered;
     a nameless property stands for the bare node.
     """
@@ -114,13 +115,15 @@ def graph_nodes(triples: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"{p}_label"), F.lit("")).alias("label"),
         node_key(F.col(p), F.col(f"{p}_node_key")).alias("node_key"),
         F.col(p).alias("name"),
-        F.coalesce(F.col(f"{p}_properties"), F.create_map().cast("map<string,string>")).alias("properties"),
+        F.map_entries(F.coalesce(F.col(f"{p}_properties"), F.create_map().cast("map<string,string>"))).alias("held"),
         F.struct("line", F.lit(side).alias("side")).alias("at"),
     )
     ends = triples.select(F.inline(F.array(end("subject", 0), end("object", 1))))
     keys = ["label", "node_key", "name"]
-    bare = ends.select(*keys, "at", F.explode(F.concat(F.map_entries("properties"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))))).alias("p"))
-    last = bare.select(*keys, "at", "p.key", "p.value").groupBy(*keys, "key").agg(F.max_by("value", "at").alias("v"))
+    alike = ends.groupBy(*keys, F.col("held.key").alias("names")).agg(F.max_by(F.struct("at", "held"), "at").alias("s"))
+    bare = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    each = alike.select(*keys, F.col("s.at").alias("at"), F.explode(F.concat("s.held", bare)).alias("p"))
+    last = each.select(*keys, "at", "p.key", "p.value").groupBy(*keys, "key").agg(F.max_by("value", "at").alias("v"))
     named = F.when(F.col("key").isNotNull(), F.struct(F.col("key").alias("k"), "v"))  # lists leave nulls out
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(named))).alias("properties"))
 
