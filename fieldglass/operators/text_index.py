@@ -2,21 +2,23 @@
 
 Postings are rows of a term and a block of documents (by a hash of the id), so that a frequent term is many rows of
 bounded length; each knows the largest share of a score that any of its postings gives. A search
-reads the postings of its terms alone, never a text, in three joins: partial scores of each query's rarest
-terms give a score that its k-th result surely reaches; terms whose bounds together stay below that
-score bring no document by themselves, and blocks whose bound is too low are left out; what remains is scored in
-full. The results are those of ``retrieval.bm25_top_k``.
+reads the postings of its terms alone, never a text, and a task adds up one block for a block of queries, of
+which at most k rows per query leave it. It does so twice: partial scores of each query's rarest terms give a
+score that its k-th result surely reaches; then the blocks whose bounds together reach that score are scored
+in full. The results are those of ``retrieval.bm25_top_k``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import word_tokens
 from fieldglass.operators.ordered import top_per_group
-from fieldglass.operators.retrieval import SUM_DIGITS
+from fieldglass.operators.retrieval import QUERY_BLOCK, SUM_DIGITS, _best_of_batch, _type_of
 from fieldglass.session import cut_lineage
 
 #: Documents of a block, about, and terms of a query that its sure score comes from.
@@ -35,17 +37,51 @@ def build_text_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
     n, avgdl = spark.read.parquet(f"{path}/corpus").first()
     blocks = max(1, -(-n // block_documents))
-    # partial counts of a text combine before they leave its task
-    counts = sized.select("item_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # a text travels once, to its block; its words are then counted and listed where it lies
+    dealt = docs.select(F.col(doc_id).alias("item_id"), F.col(text).alias("text")).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition("block")
+    words = dealt.select("item_id", "block", word_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    counts = words.select("item_id", "block", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("block", "item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    placed = counts.withColumn("part", part).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    listed = F.map_from_entries(F.collect_list(F.struct("item_id", "part"))).alias("held")  # at most a block's documents
-    postings = placed.groupBy("term", "block").agg(listed, F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
+    listed = F.collect_list(F.struct("item_id", "part")).alias("held")  # at most a block's documents
+    postings = counts.withColumn("part", part).groupBy("term", "block").agg(listed, F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings").select("term", "most", "n")
     stored.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
+def _best_of_blocks(postings: DataFrame, wants: DataFrame, k: int, blocks: int, query_blocks: int) -> DataFrame:
+    """The k best ``(query_id, item_id, score)`` of each query in each block whose bounds reach the query's ``sure`` score.
+
+    ``wants``: query_id, term, w, sure. A posting travels once for each block of queries with its term, a query once for each block.
+    """
+    wants = wants.withColumn("_j", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+    mine = postings.join(wants.select("term", "_j").distinct().toDF("term", "_j"), "term").select("block", "_j", "term", F.col("held.item_id").alias("ids"), F.col("held.part").alias("parts"), "most")
+    # terms of one query, in order, so that equal texts add up equal sums
+    packed = wants.groupBy("_j", "query_id", "sure").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("p"))
+    asked = packed.select("_j", "query_id", "sure", F.col("p.term").alias("terms"), F.col("p.w").alias("w"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    schema = f"query_id {_type_of(wants, 'query_id')}, item_id {postings.schema['held'].dataType.elementType['item_id'].dataType.simpleString()}, score double"
+
+    def compare(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "item_id": [], "score": []}, dtype=object)]
+        if len(mine) and len(asked):
+            ids, places = np.unique(np.concatenate(mine["ids"].to_numpy()), return_inverse=True)
+            ends = mine["ids"].map(len).cumsum()
+            held = {t: (places[e - len(p) : e], np.asarray(p), most) for t, p, e, most in zip(mine["term"], mine["parts"], ends, mine["most"], strict=True)}
+            for query_id, terms, weights, sure in zip(asked["query_id"], asked["terms"], asked["w"], asked["sure"], strict=True):
+                used = [(*held[t], w) for t, w in zip(terms, weights, strict=True) if t in held]
+                if sum(w * most for _, _, most, w in used) < sure * (1 - SLACK):
+                    continue
+                scores = np.zeros(len(ids))
+                for at, parts, _, w in used:
+                    scores[at] += w * parts
+                rows = np.flatnonzero(scores >= sure * (1 - SLACK))
+                if len(rows):
+                    found.append(_best_of_batch(scores[rows, None], ids[rows], [query_id], k, 0.0, SUM_DIGITS))
+        return pd.concat(found[1:]) if len(found) > 1 else found[0]
+
+    return mine.groupBy("block", "_j").cogroup(asked.groupBy("block", "_j")).applyInPandas(compare, schema)
+
+
 def search_text_index(spark: SparkSession, path: str, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", first_terms: int = FIRST_TERMS) -> DataFrame:
     """Lexical top-k: ``(query_id, item_id, score, rank)``, ties by item id."""
     postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
@@ -53,30 +89,21 @@ def search_text_index(spark: SparkSession, path: str, queries: DataFrame, k: int
     words = queries.select(F.col(query_id).alias("query_id"), F.explode(word_tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term"))
     asked = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(terms, "term")
     idf = F.ln(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.withColumn("w", F.col("qtf") * idf).withColumn("bound", F.col("w") * F.col("most")).select("query_id", "term", "df", "w", "bound")
+    weighted = asked.withColumn("w", F.col("qtf") * idf).select("query_id", "term", "df", "w")
     weighted = cut_lineage(weighted)
 
+    blocks = postings.agg(F.max("block")).first()[0]
+    blocks = 1 if blocks is None else blocks + 1
+    query_blocks = max(1, -(-weighted.select("query_id").distinct().count() // QUERY_BLOCK))
+    best = [F.col("score").desc(), F.col("item_id")]
+
     # a score that k documents of each query reach
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
-    first = weighted.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= first_terms).select("query_id", "term", "w")
-    opened = first.join(postings, "term").select("query_id", F.explode("held").alias("item_id", "part"), "w")
-    partial = opened.groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
-    reached = top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("item_id")], k).where(F.col("rank") == k)
-    sure = reached.select("query_id", (F.col("score") * (1 - SLACK)).alias("sure"))
-
-    # terms that may bring a document, and the blocks of theirs that may
-    upto = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("query_id")
-    judged = weighted.join(sure, "query_id", "left").withColumn("sure", F.coalesce("sure", F.lit(0.0)))
-    judged = judged.withColumn("upto", F.sum("bound").over(upto)).withColumn("others", F.sum("bound").over(whole) - F.col("bound"))
-    bringing = judged.where(F.col("upto") >= F.col("sure")).select("query_id", "term", "w", "others", "sure")
-    kept = bringing.join(postings, "term").where(F.col("w") * F.col("most") + F.col("others") >= F.col("sure") * (1 - SLACK))
-    candidates = kept.select("query_id", "block", F.explode(F.map_keys("held")).alias("item_id")).distinct()
-
-    # full scores: a candidate looks itself up in its block of each of the query's terms
-    wanted = candidates.join(weighted.select("query_id", "term", "w"), "query_id")
-    found = wanted.join(postings.select("term", "block", "held"), ["term", "block"]).withColumn("part", F.element_at("held", F.col("item_id"))).where(F.col("part").isNotNull())
-    terms_of = F.array_sort(F.collect_list(F.struct("term", (F.col("w") * F.col("part")).alias("x"))))  # terms of one query, added up in order
-    score = F.round(F.aggregate(terms_of, F.lit(0.0), lambda a, s: a + s["x"]), SUM_DIGITS)
-    scored = found.groupBy("query_id", "item_id").agg(score.alias("score")).where("score > 0")
-    return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    first = weighted.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= first_terms).select("query_id", "term", "w", F.lit(0.0).alias("sure"))
+    partial = _best_of_blocks(postings, first, k, blocks, query_blocks)
+    reached = top_per_group(partial, ["query_id"], best, k).where(F.col("rank") == k)
+    sure = cut_lineage(reached.select("query_id", ((F.col("score") - 10.0**-SUM_DIGITS) * (1 - SLACK)).alias("sure")))  # scores are rounded
+
+    # full scores in the blocks that may reach it
+    judged = weighted.join(sure, "query_id", "left").select("query_id", "term", "w", F.coalesce("sure", F.lit(0.0)).alias("sure"))
+    return top_per_group(_best_of_blocks(postings, judged, k, blocks, query_blocks), ["query_id"], best, k)

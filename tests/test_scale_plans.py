@@ -39,3 +39,32 @@ def test_chunk_dispatch_counts_no_marks_of_documents_cut_by_size(spark, tmp_path
     written(spark, tmp_path, "documents", [(0, "\n".join([line] * 106))], "doc_id long, text string")
     got = load_all()["chunk_dispatch"][0](Tables(spark, str(tmp_path))).collect()
     assert [tuple(r) for r in got] == [("mop", 1)]
+
+
+def test_text_index_adds_up_blocks_in_tasks(spark):
+    """No row for each candidate and term of a query: a block's postings meet a block of queries in one task."""
+    plan = plan_of(load_all()["text_index_topk"][0](Tables(spark, FOLDER)))
+    assert "FlatMapCoGroupsInPandas" in plan and "map_keys" not in plan and "element_at" not in plan
+
+
+def test_graph_nodes_explodes_properties_after_combining(spark):
+    from fieldglass.operators import ontology
+
+    triple = "subject string, object string, subject_label string, object_label string, subject_node_key string, object_node_key string, subject_properties map<string,string>, object_properties map<string,string>, line int"
+    rows = [("s", "o", "l", None, None, None, p, None, at) for at, p in ((1, {"a": "1", "b": "1"}), (2, {"a": "2"}), (0, {"b": "0", "c": "0"}), (5, None), (4, {"d": None}), (3, {"d": "3"}))]
+    nodes = ontology.graph_nodes(spark.createDataFrame(rows, triple))
+    assert {r.name: r.properties for r in nodes.collect()} == {"s": {"a": "2", "b": "1", "c": "0", "d": None}, "o": {}}
+    lines = plan_of(ontology.graph_nodes(spark.createDataFrame(rows, triple))).splitlines()
+    steps = [w for line in lines for w in ("Generate inline", "Generate explode", "Exchange hashpartitioning") if w in line]
+    assert steps[-3:] == ["Generate explode", "Exchange hashpartitioning", "Generate inline"]
+
+
+def test_acronyms_are_sought_as_written(spark):
+    from fieldglass.operators import acronyms
+
+    texts = spark.createDataFrame([(1, "the at"), (2, "THE at"), (3, "THE\u00b2 AT"), (4, "the THE\u00b2"), (5, "at R&D r&d")], "k int, t string")
+    terms = spark.createDataFrame([("THE",), ("AT",), ("R&D",)], "term string")
+    assert sorted(map(tuple, acronyms._standing(texts, terms, "k", "t").collect())) == [(2, "THE"), (3, "AT"), (3, "THE"), (4, "THE"), (5, "R&D")]
+    conflicts = terms.selectExpr("term AS acronym", "array() AS variants", "array('x', 'y') AS candidates")
+    got = acronyms.resolved_conflicts(texts, conflicts, "k", "t").collect()
+    assert sorted((r.k, r.acronym) for r in got) == [(2, "THE"), (3, "AT"), (4, "THE"), (5, "R&D")]
