@@ -162,6 +162,8 @@ def expand_text(texts: DataFrame, dictionary: DataFrame, text: str = "text", out
     stays null, and rules without a gloss are none.
     """
     rules = cut_lineage(rewriting_rules(dictionary))
+    if rules.isEmpty():
+        return texts.withColumn(out, F.col(text))
     own = rules_of_texts(texts, rules, text).select(F.col("_key").alias("_k"), F.col("rules").alias("_rules"))
     done = F.aggregate("_rules", F.col(text), lambda t, r: F.regexp_replace(t, r["pattern"], r["put"]))
     joined = texts.join(own, F.md5(text) == F.col("_k"), "left")
@@ -182,6 +184,24 @@ def choose_by_overlap(acronym: Column, candidates: Column, context: Column) -> C
     return let(let(_words(F.lower(context)), score), first)
 
 
+def _plain(term: Column) -> Column:
+    return F.coalesce(term.rlike("^[A-Za-z0-9_]+$"), F.lit(False))
+
+
+def _whole_word(text: Column, term: Column) -> Column:
+    """The rule of ``match_terms`` for a plain term."""
+    return F.rlike(F.lower(text), F.concat(F.lit(f"(?<!{fixed.WORD_CLASS})"), quoted(F.lower(term)), F.lit(f"(?!{fixed.WORD_CLASS})")))
+
+
+def _standing(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs of text and term; a plain term's are those with the term in the text as it is written, others those of ``match_terms``."""
+    plain = _plain(F.col("term"))
+    runs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+"), F.lit(0)))
+    found = texts.select(key, F.explode(runs).alias("term")).join(terms.filter(plain), "term").select(key, "term")
+    other = terms.filter(~plain)
+    return found if other.isEmpty() else found.unionByName(match_terms(texts, other, key, text))
+
+
 def resolved_conflicts(
     texts: DataFrame, conflicts: DataFrame, key: str, text: str = "text", choose: Callable[[Column, Column, Column], Column] | None = None, chars: int = 200
 ) -> DataFrame:
@@ -189,11 +209,11 @@ def resolved_conflicts(
 
     ``choose`` maps acronym, candidates and context to the chosen candidate and may wrap a model as a UDF; any other reply, null
     included, means unsure, and all candidates are kept. ``conflicts``: acronym, variants, candidates. Texts with the
-    same key are taken as one.
+    same key are taken as one. A text is split only at acronyms that stand in it as written.
     """
-    wanted = conflicts.select("acronym", "variants", "candidates")
+    wanted = cut_lineage(conflicts.select("acronym", "variants", "candidates"))
     one = texts.select(key, text).dropDuplicates([key])
-    pairs = match_terms(one, wanted.select(F.col("acronym").alias("term")), key, text)
+    pairs = _standing(one, wanted.select(F.col("acronym").alias("term")).distinct(), key, text)
     entry = F.struct("acronym", "variants", "candidates")
     asked = pairs.join(wanted, F.col("term") == F.col("acronym")).groupBy(key).agg(F.collect_list(entry).alias("_e"))  # ambiguous acronyms of one text
     head = lambda a: F.split(F.col(text), F.concat(F.lit(r"(?U)\b"), quoted(a), F.lit(r"\b")), 2)
@@ -202,7 +222,7 @@ def resolved_conflicts(
         low = F.greatest(F.length(before) - chars, F.lit(0))
         return F.substring(F.col(text), low + 1, F.length(before) + width + chars - low)
 
-    found = one.join(asked, key).select(key, F.explode(F.transform("_e", lambda e: F.struct(e.alias("e"), let(head(e["acronym"]), lambda p: F.when(F.size(p) > 1, context(p[0], F.length(e["acronym"])))).alias("context")))).alias("f"))
+    found = one.join(asked, key).select(key, F.explode(F.transform("_e", lambda e: F.struct(e.alias("e"), let(head(e["acronym"]), lambda p: F.when((F.size(p) > 1) & (~_plain(e["acronym"]) | _whole_word(F.col(text), e["acronym"])), context(p[0], F.length(e["acronym"])))).alias("context")))).alias("f"))
     found = found.select(key, "f.e.*", "f.context").filter(F.col("context").isNotNull())
     chosen = (choose or choose_by_overlap)(F.col("acronym"), F.col("candidates"), F.col("context"))
     decided = found.withColumn("_c", chosen)
