@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.session import cut_lineage, union_all
+from fieldglass.session import cut_lineage, union_all, write_down
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -19,12 +19,12 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = both.select(F.col("a").alias("id"))
     frontier = seeds.select("id").distinct().join(known, "id", "left_semi").withColumn("hop", F.lit(0))
-    frontier = cut_lineage(frontier)
+    frontier = write_down(frontier)
     seen = frontier
     for hop in range(1, hops + 1):
         reached = both.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
         fresh = reached.distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-        frontier = cut_lineage(fresh)
+        frontier = write_down(fresh)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -46,7 +46,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, ge
     near = nodes.join(neighbourhood(edges, seeds, hops), "id")
     if generation:
         near = near.filter(generation_filter("gen", generation))
-    return near, induced_edges(edges, near)
+    return near, induced_edges(edges, write_down(near.select("id").distinct()))
 
 
 def successors(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -68,3 +68,9 @@ def test_acronyms_are_sought_as_written(spark):
     conflicts = terms.selectExpr("term AS acronym", "array() AS variants", "array('x', 'y') AS candidates")
     got = acronyms.resolved_conflicts(texts, conflicts, "k", "t").collect()
     assert sorted((r.k, r.acronym) for r in got) == [(2, "THE"), (3, "AT"), (4, "THE"), (5, "R&D")]
+
+
+def test_subgraph_ids_are_written_once(spark):
+    """Each edge table is read once and meets the written ids of the nodes near, which are broadcast while they are small."""
+    plan = plan_of(load_all()["subgraph_generation"][0](Tables(spark, FOLDER)))
+    assert plan.count("FileScan parquet [o_orderkey") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin [" in plan
