@@ -32,11 +32,14 @@ from fieldglass.llm.common import materialise, release_memory, tidy
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks of this size, taken in pairs.
 BLOCK = 2048
-#: For texts of a given similarity: bands of least hashes and hashes in a band. One band is shared with a chance of 0.99997 at 0.8.
-BANDS, BAND_ROWS = 20, 4
+#: Near-duplicates by shingle sets have long fingerprints, cut into bands of bits. One band is shared with a chance of 0.99997 at a similarity of 0.8.
+BANDS, BAND_BITS = 83, 13
+WORDS = -(-BANDS * BAND_BITS // BITS)
 #: Standard deviations over the expected bits apart up to which two fingerprints together make a candidate; 0.99997 stay below.
 SPREADS = 4.0
-#: Shingles of one bucket that a task compares at once, about.
+#: Rows of a bucket up to which its pairs are tried for all buckets of a batch at once.
+MEDIUM = 512
+#: Shingles of one component that a task compares at once, about.
 BLOCK_SHINGLES = 1 << 19
 MOST_PARTITIONS = 8
 #: What filing a row costs, in comparisons of two fingerprints.
@@ -218,10 +221,13 @@ def links(values: DataFrame, radius: int = RADIUS, block: int = BLOCK, total: in
     return bucket_links(rows, near, block)
 
 
-def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect, bucket by bucket, the ``node`` of ``rows`` filed under the same ``k`` and ``v``."""
-    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(materialise(counts, "buckets"), ["k", "v"])
+def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK, dense: bool = False) -> DataFrame:
+    """Edges (a, b) that connect, bucket by bucket, the ``node`` of ``rows`` filed under the same ``k`` and ``v``.
+
+    Of ``dense`` buckets few hold a single row, so that only those of several blocks are looked up.
+    """
+    counts = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > (block if dense else 1))
+    shared = rows.join(materialise(counts, "buckets"), ["k", "v"], "left" if dense else "inner").withColumn("n", F.coalesce("n", F.lit(1)))
     # a bucket of several blocks is compared by pairs of blocks; a fingerprint goes to all pairs with its block
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -238,13 +244,22 @@ def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[starts, len(node)])
             tails, heads = [node[:0]], [node[:0]]
-            small, group = np.repeat(sizes <= 8, sizes), np.repeat(np.arange(len(starts)), sizes)
-            for d in range(1, min(8, int(sizes.max(initial=0)))):
-                linked = (group[d:] == group[:-d]) & small[d:] & near(fp[d:], more[d:], fp[:-d], more[:-d])
-                tails.append(node[d:][linked])
-                heads.append(node[:-d][linked])
-            for at in np.flatnonzero(sizes > 8):
-                rows = slice(starts[at], starts[at] + sizes[at])
+            group, place = np.repeat(np.arange(len(starts)), sizes), np.arange(len(node)) - np.repeat(starts, sizes)
+            met = sizes[group] > MEDIUM  # rows that their bucket's stars are looked for among
+            later = np.flatnonzero(~met)
+            for d in range(1, min(MEDIUM, int(sizes.max(initial=0)))):
+                later = later[place[later] >= d]
+                if not len(later):
+                    break
+                linked = later[near(fp[later], more[later], fp[later - d], more[later - d])]
+                few = linked[sizes[group[linked]] <= 8]
+                tails.append(node[few])
+                heads.append(node[few - d])
+                met[linked] = met[linked - d] = True
+            met &= sizes[group] > 8
+            for at in np.unique(group[met]):
+                rows = np.arange(starts[at], starts[at] + sizes[at])
+                rows = rows[met[rows]]
                 t, h = local_stars(node[rows], fp[rows], more[rows], near)
                 tails.append(t)
                 heads.append(h)
@@ -266,7 +281,7 @@ def bucket_links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` for every node of an edge: the smallest node it is connected with.
+    """``node``, ``root`` for every node of an edge but the roots: the smallest node it is connected with.
 
     Alternates two steps: every node hands its larger neighbours, then its smaller ones, to the
     smallest node next to it, until all edges lead to a root. Each step is a join with one row
@@ -343,29 +358,34 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def sketch_of(text: str | None, shingle: int) -> tuple[int, int, int, int, list[int]]:
-    """A name of the set of shingles, its size, two fingerprints of it, and a value for each band of least hashes; no bands for an empty set."""
+    """A name of the set of shingles, its size, the first two words of its long fingerprint, and a value for each band of it; no bands for an empty set.
+
+    A bit is the majority of the set's hashes; where as many are for it as against it, a majority of unequal votes decides.
+    """
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
     hashes = shingle_hashes(text, shingle)
     if not len(hashes):
         return 0, 0, 0, 0, []
-    factors = (mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype="<u8")) | np.uint64(1))[:, None]
-    votes, least = np.zeros((2, BITS), dtype=np.int64), np.full(len(factors), 2**64 - 1, dtype="<u8")
-    for at in range(0, len(hashes), 512):
-        part = hashes[at : at + 512]
-        for k, seen in enumerate((part, mixed(part))):
-            votes[k] += np.unpackbits(seen.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-        least = np.minimum(least, (part[None, :] * factors).min(axis=1))
-    prints = np.packbits(votes * 2 > len(hashes), axis=1, bitorder="little").view("<i8")
-    signed = lambda x: x - (x >> 63 << 64)
-    bands = [signed(digest(row.tobytes(), SEED)) for row in least.reshape(BANDS, BAND_ROWS)]
-    return signed(digest(hashes.tobytes(), SEED)), len(hashes), int(prints[0, 0]), int(prints[1, 0]), bands
+    factors = (mixed(np.arange(1, WORDS + 1, dtype="<u8")) | np.uint64(1))[None, :]
+    votes, unequal = np.zeros((2, WORDS * BITS), dtype=np.int64)
+    weights = (hashes >> np.uint64(54)).astype(np.float32) * 2 - 1023
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        bits = np.unpackbits(mixed(hashes[at : at + 255, None] * factors).view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.uint8)
+        if len(hashes) % 2 == 0:
+            unequal += (weights[at : at + 255] @ bits.astype(np.float32)).astype(np.int64)
+    lead = votes * 2 - len(hashes)
+    won = np.where(lead == 0, unequal * 2 > int(weights.sum(dtype=np.float64)), lead > 0).astype(np.uint8)
+    words = np.packbits(won[: 2 * BITS], bitorder="little").view("<i8")
+    bands = won[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
+    name = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return name - (name >> 63 << 64), len(hashes), int(words[0]), int(words[1]), bands.tolist()
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """``docs`` with ``node``, ``size``, ``fp``, ``more`` and ``bands`` in place of the text."""
-    @F.pandas_udf("node bigint, size bigint, fp bigint, more bigint, bands array<bigint>")
+    @F.pandas_udf("node bigint, size bigint, fp bigint, more bigint, bands array<int>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([sketch_of(x, shingle) for x in texts], columns=["node", "size", "fp", "more", "bands"])
@@ -455,20 +475,22 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bloc
     """``docs`` with the first document of each group of near-duplicates; one row of it if that row is repeated.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
-    ``similarity``, which is computed on the sets' 64-bit hashes wherever two texts share a band of least hashes
-    and differ in few enough bits of two fingerprints. Buckets with the same members are compared once.
-    A task compares a block of a bucket and returns a forest of its links, never all pairs; blocks of one
-    bucket are compared with each other if more than one component is left in it.
+    ``similarity``. SimHash fingerprints find what may be: texts that share a band of their bits and differ in few enough
+    of 128 of them are connected, and the similarity is computed on the sets' 64-bit hashes inside each component of those.
+    A task compares a block of a component and returns a forest of its links, never all pairs; blocks of one
+    component are compared with each other if it is still in several parts.
     """
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     rows = materialise(sketches(named, shingle), "sketches")
     values = materialise(rows.groupBy("node").agg(F.min(rank()).alias("first"), *[F.any_value(c).alias(c) for c in ("size", "fp", "more", "bands")]), "values")
-    filed = materialise(values.select("node", "size", F.posexplode("bands").alias("k", "v")), "filed")
-    members = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"name{salt}") for salt in (1, 2)]
-    shared = filed.groupBy("k", "v").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), *members).where("n > 1")
+    near = Near(2 * BITS, bits_at(similarity, spreads=SPREADS))
+    filed = values.select("node", "fp", "more", F.posexplode("bands").alias("k", "v"))
+    alike = connected(bucket_links(filed, near, dense=True))
+    alike = alike.unionByName(alike.select(F.col("root").alias("node"), "root").distinct())
+    alike = materialise(alike.join(values.select("node", "size"), "node").select("node", F.col("root").alias("k"), F.lit(0).alias("v"), "size"), "alike")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / block_shingles)).cast("int").alias("blocks")
-    buckets = materialise(shared.groupBy("n", "weight", "name1", "name2").agg(F.min(F.struct("k", "v")).alias("b")).select("b.k", "b.v", blocks), "buckets")
-    dealt = filed.join(buckets, ["k", "v"]).select("node", "k", "v", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    parts = materialise(alike.groupBy("k", "v").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).select("k", "v", blocks), "parts")
+    dealt = alike.join(parts, ["k", "v"]).select("node", "k", "v", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     dealt = materialise(dealt, "dealt")
 
     @F.pandas_udf("binary")
@@ -481,7 +503,6 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bloc
     same = (F.col("d.digest") == F.col("u.first.digest")) & F.col("d.doc_id").eqNullSafe(F.col("u.first.doc_id"))
     texts = named.alias("d").join(used, same).select("u.node", "u.fp", "u.more", "d.text").dropDuplicates(["node"])
     sets = materialise(texts.select("node", "fp", "more", hashed("text").alias("hashes")), "sets")
-    near = Near(BITS, bits_at(similarity, spreads=SPREADS))
     inside = dealt.join(sets, "node").withColumns({"root": F.col("node"), "p": F.col("block"), "q": F.col("block")})
     found = materialise(similar_links(inside, near, similarity), "links")
     roots = connected(found)

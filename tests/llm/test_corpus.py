@@ -99,6 +99,22 @@ def test_only_similar_texts_are_linked(make_docs):
     assert left == expected | {1001}
 
 
+def test_candidates_come_from_fingerprints():
+    """Bands are runs of the SimHash bits, and pairs of sets at 0.8, small and even ones too, share one and are near."""
+    rng, near = np.random.default_rng(5), simhash.Near(128, simhash.bits_at(0.8, spreads=simhash.SPREADS))
+    for common, own in ((16, 2), (24, 3), (160, 20)):
+        for _ in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 2**40, common + own + 8)]
+            first = " ".join(words[: common + own + 4])
+            other = " ".join(words[: common + 4] + [f"v{k}" for k in range(own)])
+            (_, n, *prints, bands), (_, m, *others, other_bands) = simhash.sketch_of(first, 5), simhash.sketch_of(other, 5)
+            assert n == m == common + own and any(a == b for a, b in zip(bands, other_bands, strict=True))
+            assert near(*np.array([prints, others], dtype="<i8").view("<u8").T.ravel()[[0, 2, 1, 3]])
+            bits = "".join(format(b, f"0{simhash.BAND_BITS}b")[::-1] for b in bands)
+            assert bits[:128] == "".join(format(x % 2**64, "064b")[::-1] for x in prints)
+    assert simhash.sketch_of(" ", 5)[-1] == []
+
+
 def jaccard_groups(pairs):
     """First id of each group of (id, text) linked at 0.8 or more, by all pairs."""
     grams = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in pairs}
