@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators.ordered import top_per_group
 from fieldglass.operators.retrieval import COSINE_DIGITS, QUERY_BLOCK, _best_of_batch, _type_of, _unit_rows, usable_vector, vector_top_k
-from fieldglass.session import cut_lineage
+from fieldglass.session import cut_lineage, write_down
 
 #: Rows that centroids are fitted on, rows taken as queries for the measured recall, and cells, at most about.
 SAMPLE, QUESTIONS, MOST_CELLS = 20_000, 256, 4096
 #: Rows of a cell that one task compares; larger cells are stored in parts.
 PART_ROWS = 4096
 ROUNDS = 8
+#: Vectors of a batch that are compared with all centroids at once.
+SLICE = 256
 
 
 def coarse_centroids(vectors: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -49,8 +51,12 @@ def _cell_order(centres: np.ndarray, most: int) -> Callable:
     """Cells by falling similarity, the first ``most``."""
     @F.pandas_udf("array<int>")
     def order(vectors: pd.Series) -> pd.Series:
-        dots = np.round(_unit_rows(vectors) @ centres.T, COSINE_DIGITS)
-        return pd.Series(list(np.argsort(-dots, axis=1, kind="stable")[:, :most].astype(np.int32)), index=vectors.index)
+        out = []
+        for at in range(0, len(vectors), SLICE):
+            dots = np.round(_unit_rows(vectors.iloc[at : at + SLICE]) @ centres.T, COSINE_DIGITS)
+            best = dots.argmax(axis=1)[:, None] if most == 1 else np.argsort(-dots, axis=1, kind="stable")[:, :most]
+            out.extend(best.astype(np.int32))
+        return pd.Series(out, index=vectors.index, dtype=object)
 
     return order
 
@@ -114,13 +120,13 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, rec
     centres = np.array([r["centroid"] for r in table])
     probes = probes_for(spark, path, recall) if probes is None else probes
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter(usable_vector(F.col("v"), F.lit(centres.shape[1])))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    probed = asked.withColumn("cell", F.explode(_cell_order(centres, min(probes, len(centres)))("v"))).withColumn("_j", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    probed = cut_lineage(probed)  # read by both sides of the search
-    right = probed.join(cells.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    probed = cut_lineage(asked.withColumn("cell", F.explode(_cell_order(centres, min(probes, len(centres)))("v"))))  # read by both sides of the search
+    # the queries of each cell in blocks of their own, so that a part travels once for so many queries of its cell; a row for each cell
+    blocks = write_down(probed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")))
+    right = probed.join(cells.select("cell", "parts"), "cell").join(blocks, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.withColumn("_j", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("query_id", "v", "cell", "part", "_j")
     rows = spark.read.parquet(f"{path}/rows")
-    # a part travels once to each block of queries that asks for its cell
-    left = rows.join(probed.select("cell", "_j").distinct().toDF("cell", "_j"), "cell")
+    left = rows.join(blocks, "cell").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(rows, 'item_id')}, score double"
 
     def compare(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -374,6 +374,29 @@ def test_identities_are_whole_texts(spark):
     assert review.merge_history(history, ["run"], "seq").count() == 2 and review.merge_history(history, ["run"], "seq", 100).count() == 1
 
 
+def test_cells_of_a_batch_take_bounded_memory(spark):
+    """A batch is compared with the centroids by slices, and the order of cells is that of the whole product."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from fieldglass.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    centres = vector_index._unit_rows(rng.normal(size=(1024, 8)))
+    batch = rng.normal(size=(5000, 8))
+    whole = np.argsort(-(vector_index._unit_rows(batch) @ centres.T), axis=1, kind="stable")
+    vectors = pd.Series(list(batch))
+    for most in (1, 3):
+        tracemalloc.start()
+        got = vector_index._cell_order(centres, most).func(vectors)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(np.stack(got), whole[:, :most])
+        assert peak < 16e6  # a product of the whole batch is 41 MB
+
+
 def test_vector_index_against_exact_search(spark, rows, tmp_path):
     """Recall of the wanted size, the index read again without its source, hot cells in parts, all probes exact."""
     import numpy as np
