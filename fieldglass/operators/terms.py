@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
-from fieldglass.functions.text import let, simple_upper, strip, word_tokens
+from fieldglass.functions.text import simple_upper, strip, word_tokens
 from fieldglass.operators.predicates import is_noise_term
+from fieldglass.session import union_all, write_down
 
 #: Characters at the start of a term that texts are joined on.
 GRAM = 3
@@ -18,21 +19,13 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _spans(text: Column, sizes: Column) -> Column:
-    """Distinct stretches of the lower-cased text from the start of a word to the end of a word, for each number of words in ``sizes``.
-
-    Words and what stands between them alternate, so a stretch of m words has 2m - 1 parts.
-    """
-    whole = F.regexp_replace(F.lower(text), f"^{fixed.NON_WORD_CLASS}+", "")
-    parts = F.regexp_extract_all(whole, F.lit(f"{fixed.WORD_CLASS}+|{fixed.NON_WORD_CLASS}+"), F.lit(0))
-
-    def of_size(p: Column, m: Column) -> Column:
-        width = m * 2 - 1
-        starts = F.when(F.size(p) >= width, F.sequence(F.lit(1), F.size(p) - width + 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        longer = F.transform(starts, lambda i: F.array_join(F.slice(p, i, width), ""))
-        return F.when(m == 1, F.filter(p, lambda _, i: i % 2 == 0)).otherwise(longer)
-
-    return let(parts, lambda p: F.array_distinct(F.flatten(F.transform(sizes, lambda m: of_size(p, m)))))
+def _spans(text: Column, sizes: list[int]) -> Column:
+    """Distinct stretches of the lower-cased text from the start of a word to the end of a word, for each number of words in ``sizes``."""
+    word, gap = f"{fixed.WORD_CLASS}++", f"{fixed.NON_WORD_CLASS}++"
+    # a look-ahead at the start of every word, as stretches overlap; single words need none
+    patterns = [f"({word})" if m == 1 else f"(?<!{fixed.WORD_CLASS})(?=({word}(?:{gap}{word}){{{m - 1}}}))" for m in sizes]
+    found = [F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in patterns]
+    return F.array_distinct(F.concat(*found))
 
 
 def match_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,11 +39,17 @@ def match_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     """
     edges = F.col("term").rlike(f"^{fixed.WORD_CLASS}") & F.col("term").rlike(f"{fixed.WORD_CLASS}$")
     wanted = terms.select("term").distinct().withColumn("_m", F.size(word_tokens(F.col("term")))).filter("_m > 0")
-    plain = wanted.filter(edges).select("term", "_m", F.lower("term").alias("_w"))
-    sizes = F.coalesce(plain.agg(F.sort_array(F.collect_set("_m"))).scalar(), F.array().cast("array<int>"))
-    spans = docs.select(doc_id, F.col(text).alias("_t"), sizes.alias("_n")).select(doc_id, F.explode(_spans(F.col("_t"), F.col("_n"))).alias("_w"))
-    found = spans.join(plain.select("term", "_w"), "_w").select(doc_id, "term")
-    return found.unionByName(_by_pattern(docs, wanted.filter(~edges).select("term"), doc_id, text))
+    wanted = write_down(wanted.select("term", "_m", F.lower("term").alias("_w"), edges.alias("_plain")))
+    sizes = sorted(wanted.filter("_plain").select("_m").distinct().toPandas()["_m"])  # one row for each length of a term
+    none = docs.select(doc_id, F.lit(None).cast("string").alias("term")).limit(0)
+    found = [none]
+    if sizes:
+        spans = docs.select(doc_id, F.explode(_spans(F.col(text), sizes)).alias("_w"))
+        found.append(spans.join(wanted.filter("_plain").select("term", "_w"), "_w").select(doc_id, "term"))
+    others = wanted.filter("NOT _plain").select("term")
+    if not others.isEmpty():
+        found.append(_by_pattern(docs, others, doc_id, text))
+    return union_all(found)
 
 
 def _by_pattern(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
