@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import word_tokens
 from fieldglass.operators.ordered import first_per_key, top_per_group
-from fieldglass.session import cut_lineage, union_all
+from fieldglass.session import cut_lineage, union_all, write_down
 
 QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 #: Classes that one task compares a vector with; a routing table, not a collection.
@@ -233,7 +233,8 @@ def bm25_top_k(
 def sparse_top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_id", vector: str = "sparse", query_id: str = "query_id", query_vector: str = "sparse") -> DataFrame:
     """Top-k by the dot product of sparse vectors (``map<int,double>``): ``(query_id, item_id, score, rank)``.
 
-    Items without a shared dimension are no results; null maps and null values count as empty.
+    Items without a shared dimension are no results; null maps and null values count as empty. The items are written
+    down once, as they are counted and then compared.
     """
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(items, item_id)}, score double"
     flat = lambda df, key, c, name: df.select(F.col(key).alias(name), F.map_keys(c).alias("dims"), F.map_values(c).alias("x")).filter(F.size("dims") > 0)
@@ -251,7 +252,7 @@ def sparse_top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "i
             scores[i] = np.where((rows != 0).any(axis=0), np.asarray(x)[at >= 0] @ rows, -np.inf)
         return _best_of_batch(scores, items["item_id"].to_numpy(), queries["query_id"].tolist(), k, -np.inf, SUM_DIGITS)
 
-    best = block_join(flat(clean(items, vector), item_id, vector, "item_id"), flat(clean(queries, query_vector), query_id, query_vector, "query_id"), compare, schema)
+    best = block_join(write_down(flat(clean(items, vector), item_id, vector, "item_id")), flat(clean(queries, query_vector), query_id, query_vector, "query_id"), compare, schema)
     return top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 

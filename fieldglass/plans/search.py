@@ -7,7 +7,7 @@ from fieldglass.functions import vectors
 from fieldglass.functions.text import word_tokens
 from fieldglass.operators import predicates, retrieval, routing, text_index, vector_index
 from fieldglass.plans.registry import register
-from fieldglass.session import checkpoint_folder, cut_lineage
+from fieldglass.session import checkpoint_folder, cut_lineage, write_down
 
 _UNIT = """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
  n AS (SELECT vec_id, label, list_transform(e, lambda x: x/sqrt(list_sum(list_transform(e, lambda y: y*y)))) AS e FROM u),
@@ -188,18 +188,21 @@ def text_index_topk(t):
 )
 def sparse_topk(t):
     """Benchmark texts and documents as sparse vectors of term counts, a term's dimension being a hash of it."""
-    def counts(df, key, name):
-        words = df.select(F.col(key).alias(name), F.explode(word_tokens(F.coalesce("text", F.lit("")))).alias("w")).groupBy(name, "w").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        return words
+    def words(df, key, name):
+        return df.select(F.col(key).alias(name), F.explode(word_tokens(F.coalesce("text", F.lit("")))).alias("w"))
 
-    asked = counts(t.benchmark, "item_id", "query_id")
-    terms = cut_lineage(asked.select("w").distinct())
+    terms = write_down(words(t.benchmark, "item_id", "query_id").select("w").distinct())
     numbered = terms.withColumn("d", F.hash("w"))
-    shared = numbered.groupBy("d").agg(F.min("w").alias("w"))  # a dimension stands for one term; others of its hash would be added up
+    shared = write_down(numbered.groupBy("d").agg(F.min("w").alias("w")))  # a dimension stands for one term; others of its hash would be added up
     if shared.count() != numbered.count():
         raise ValueError("two terms of the queries share a dimension")
-    packed = lambda df, key: df.join(shared, "w").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("sparse"))  # noqa: E731  terms of one text
-    return retrieval.sparse_top_k(packed(counts(t.documents, "doc_id", "item_id"), "item_id"), packed(asked, "query_id"), 10)
+
+    def packed(df, key, name):
+        """Words that no query has are left out before they are counted; a map holds the terms of one text."""
+        counted = words(df, key, name).join(shared, "w").groupBy(name, "d").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return counted.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("sparse"))
+
+    return retrieval.sparse_top_k(packed(t.documents, "doc_id", "item_id"), packed(t.benchmark, "item_id", "query_id"), 10)
 
 
 @register(

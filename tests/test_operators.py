@@ -345,6 +345,31 @@ def test_search_survives_odd_rows(spark, rows):
     assert rows(retrieval.bm25_top_k(docs, asked, 5), "query_id", "item_id", "rank") == [(1, 1, 2), (1, 3, 1)]
 
 
+def read_once(spark, df, column, kind):
+    """``df`` with a column that counts its evaluations, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(same, kind).asNondeterministic()(column)), seen
+
+
+def test_lexical_search_reads_each_text_once(spark, rows):
+    docs, seen = read_once(spark, spark.createDataFrame([(1, "red car"), (2, None), (3, "red red bus"), (4, "")], "doc_id long, text string"), "text", "string")
+    asked = spark.createDataFrame([(1, "red"), (2, None)], "query_id long, query string")
+    assert rows(retrieval.bm25_top_k(docs, asked, 5), "query_id", "item_id", "rank") == [(1, 1, 2), (1, 3, 1)]
+    assert seen.value == 4
+
+
+def test_sparse_search_reads_each_item_once(spark, rows):
+    items, seen = read_once(spark, spark.createDataFrame([(1, {1: 1.0}), (2, {1: 2.0}), (3, None)], "item_id long, sparse map<int,double>"), "sparse", "map<int,double>")
+    queries = spark.createDataFrame([(1, {1: 1.0})], "query_id long, sparse map<int,double>")
+    assert rows(retrieval.sparse_top_k(items, queries, 3), "query_id", "item_id", "rank") == [(1, 1, 2), (1, 2, 1)]
+    assert seen.value == 3
+
+
 def test_sparse_search(spark, rows):
     items = spark.createDataFrame([(1, {1: 1.0, 5: 2.0}), (2, {5: 1.0}), (3, {9: 1.0}), (4, None), (5, {})], "item_id long, sparse map<int,double>")
     queries = spark.createDataFrame([(1, {5: 1.0, 1: -1.0}), (2, None)], "query_id long, sparse map<int,double>")
