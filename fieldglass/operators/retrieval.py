@@ -197,11 +197,13 @@ def bm25_top_k(
     schema = f"query_id {_type_of(queries, query_id)}, item_id {_type_of(docs, doc_id)}, score double"
     tokens = lambda c: word_tokens(F.coalesce(F.col(c), F.lit("")))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
+    # the empty term, which no text has, stands for the text itself and gives the number of texts and their lengths in the same pass
+    wanted = write_down(asked.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())
     sized = docs.select(F.col(doc_id).alias("item_id"), tokens(text).alias("t")).select("item_id", F.size("t").alias("dl"), "t")
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    held = sized.select("item_id", "dl", F.explode("t").alias("term")).join(wanted, "term")
-    counts = cut_lineage(held.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    held = sized.select("item_id", "dl", F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).join(wanted, "term")
+    found = cut_lineage(held.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("words")))
+    corpus = found.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum("words") / F.sum("tf")).alias("avgdl"))
+    counts = found.filter("term <> ''")
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = (corpus.select(c).scalar() for c in ("n", "avgdl"))
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
