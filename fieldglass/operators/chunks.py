@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldglass import fixed_values as fixed
 from fieldglass.functions import text as tx
+from fieldglass.session import release_memory
 
+#: Characters that a table function's worker reads before it gives freed memory back to the system.
+MOST_CHARS = 1 << 24
 # private-use characters that mark a header found outside fenced code
 _OPEN, _CLOSE = "\ue000", "\ue001"
 _S = fixed.SPACE_CLASS
@@ -145,18 +148,28 @@ def chunk_rows_udtf():
     """Table function ``(text, size, overlap) -> (pos, text)`` for use in SQL with LATERAL; rows travel in Arrow batches.
 
     The windows are those of ``fixed_pieces``. A null or blank text gives no row; an overlap that is not below
-    the size fails, as windows would not move on.
+    the size fails, as windows would not move on. Freed memory goes back to the system during and after a task.
     """
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="pos int, text string", useArrow=True)
     class WordWindows:
+        def __init__(self):
+            self.chars = 0
+
         def eval(self, text: str, size: int, overlap: int):
             if not 0 <= overlap < size:
                 raise ValueError(f"overlap {overlap} is not below the size {size}")
             words = (text or "").split()
             for pos, start in enumerate(range(0, max(len(words) - overlap, min(len(words), 1)), size - overlap)):
                 yield pos, " ".join(words[start : start + size])
+            self.chars += len(text or "")
+            if self.chars > MOST_CHARS:
+                self.cleanup()
+
+        def cleanup(self):
+            self.chars = 0
+            release_memory()
 
     return WordWindows
 

@@ -66,3 +66,17 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def scalar_of(df: DataFrame, *columns) -> "F.Column":
     """One-row aggregate as a scalar subquery (a struct), so that no join is needed."""
     return df.agg(F.struct(*columns).alias("s")).scalar()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; a Python worker lives on between tasks and stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
