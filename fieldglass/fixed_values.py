@@ -6,6 +6,8 @@ stated here once, as plain data, and used by the operators.
 
 # white space as str.split() sees it, and everything that is not a word character
 SPACE_CLASS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The characters of ``SPACE_CLASS`` by a property that Java tests in one step; for its patterns alone.
+SPACE_PROPERTY = r"(?U)[\s\x1c-\x1f]"
 NON_WORD_CLASS = r"[^\p{L}\p{N}_]"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
@@ -287,6 +289,7 @@ DEFAULT_RELATION = "RELATED_TO"
 
 # fixed forms of an abbreviations section and its entries
 ACRONYM_ENTRY = r"^\s*>?\s*([A-Za-z][A-Za-z0-9_\\\-]{1,19})[ \t]+(.+?)\s*$"
+ACRONYM_TITLE = "bbreviations"  # stands in every such section
 ACRONYM_SECTION = (
     r"(?sm)(?:^#{1,6}\s+[\d.]*\s*[Aa]bbreviations\s*$|^[\d.]*\s*[Aa]bbreviations\s*\n[-=]{3,}\s*$)"
     r"(.*?)(?=^#{1,6}\s+\S|^\S[^\n]*\n[-=]{3,}\s*$|\z)"

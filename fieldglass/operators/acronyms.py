@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from fieldglass import fixed_values as fixed
 from fieldglass.functions.text import let, strip
 from fieldglass.operators.terms import match_terms, quoted
-from fieldglass.session import cut_lineage
+from fieldglass.session import cut_lineage, write_down
+
+
+#: Characters that words are sought by in a pattern; for more, texts are split into all their words.
+MOST_STARTS = 64
 
 
 def abbreviation_section(text: Column) -> Column:
     """Body of the abbreviations section up to the next heading, null when there is none."""
-    return F.when(text.rlike(fixed.ACRONYM_SECTION), F.regexp_extract(text, fixed.ACRONYM_SECTION, 1))
+    return F.when(text.contains(fixed.ACRONYM_TITLE) & text.rlike(fixed.ACRONYM_SECTION), F.regexp_extract(text, fixed.ACRONYM_SECTION, 1))
 
 
 def likely_acronym(token: Column) -> Column:
@@ -115,9 +119,18 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"{fixed.NON_WORD_CLASS}+"), lambda w: w != ""))
 
 
+def _words_from(text: Column, starts: list[str]) -> Column:
+    """At least the words of ``_words`` that begin with one of ``starts``; from inside another word also its rest."""
+    if len(starts) > MOST_STARTS:
+        return _words(text)
+    if not starts:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{''.join(starts)}]{fixed.WORD_CLASS}*+"), F.lit(0)))
+
+
 def _form_pattern(form: Column) -> Column:
-    """A written form as a whole word that no bracket follows."""
-    return F.concat(F.lit(r"(?U)\b"), quoted(form), F.lit(r"\b(?!\()"))
+    """A written form as a whole word that no bracket follows; the form comes first, as a border is slow to seek."""
+    return F.concat(F.lit("(?U)"), quoted(form), F.lit(r"(?<=\b"), quoted(form), F.lit(r")\b(?!\()"))
 
 
 def _form_put(form: Column, gloss: Column) -> Column:
@@ -143,7 +156,8 @@ def rules_of_texts(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
     steps = cut_lineage(brought)
     # a form without a word is tried on every text
     # the key is made before the words are exploded, once for a text
-    keyed = texts.select(F.md5(text).alias("_key"), F.array_append(_words(F.col(text)), F.lit("")).alias("words"))
+    starts = [r[0] for r in rules.filter("word != ''").select(F.substring("word", 1, 1)).distinct().collect()]  # as many as letters
+    keyed = texts.select(F.md5(text).alias("_key"), F.array_append(_words_from(F.col(text), starts), F.lit("")).alias("words"))
     words = keyed.select("_key", F.explode("words").alias("word"))
     newest = cut_lineage(words.join(rules.select("rule", "word"), "word").select("_key", "rule").distinct())
     found = newest
@@ -161,7 +175,7 @@ def expand_text(texts: DataFrame, dictionary: DataFrame, text: str = "text", out
     words, or glosses put into it, can start; they are applied by one fold in its row. A null text
     stays null, and rules without a gloss are none.
     """
-    rules = cut_lineage(rewriting_rules(dictionary))
+    rules = write_down(rewriting_rules(dictionary))
     if rules.isEmpty():
         return texts.withColumn(out, F.col(text))
     own = rules_of_texts(texts, rules, text).select(F.col("_key").alias("_k"), F.col("rules").alias("_rules"))

@@ -48,7 +48,8 @@ def header_sections(text: Column) -> Column:
     clean = F.translate(text, _OPEN + _CLOSE, "")
     marked = F.regexp_replace(clean, _FENCE_OR_HEADER, f"$1{_OPEN}$2{_CLOSE}$3$4")
     marked = F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit(""))
-    return tx.let(F.split(marked, _OPEN), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
+    cut = tx.let(F.split(marked, _OPEN), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
+    return F.when(~F.contains(text, F.lit("#")), F.array().cast("array<string>")).otherwise(cut)
 
 
 def _parsed(section: Column) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.operators import acronyms, chunks, models, terms
+from fieldglass.session import write_down
 from fieldglass.sources.versions import write_version
 
 
 def known_acronyms(docs: DataFrame, source: str, text: str, dictionary: DataFrame) -> DataFrame:
     """The dictionary and what the documents' own abbreviation sections add; known entries stay as they are."""
+    dictionary = write_down(dictionary)  # it may be drawn from all texts, and is read twice
     found = acronyms.build_dictionary(acronyms.extract_entries(docs, source, text))
     new = found.join(dictionary.select("acronym").distinct(), "acronym", "left_anti")
     return dictionary.unionByName(new, allowMissingColumns=True)
@@ -44,7 +46,7 @@ def prepare_chunks(
     named = docs.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(source).alias("source"), F.col(doc_type).alias("type"), F.col(text).alias("text"))
     known = known_acronyms(named, "source", "text", dictionary)
     expanded = acronyms.expand_by_context(named, known, choose=choose).select("source", "type", F.col("expanded").alias("text"))
-    cut = chunks.chunk_by_type(expanded, "source", "type")
+    cut = write_down(chunks.chunk_by_type(expanded, "source", "type"))  # tags and rows are of the same chunks
     tags = terms.tag_keywords(cut, keywords, "chunk_id", most=most)
     none = F.array().cast("array<string>")
     tagged = cut.join(tags, "chunk_id", "left").withColumns({"keywords": F.coalesce("keywords", none), "n_keywords": F.coalesce("n_keywords", F.lit(0))})

@@ -11,20 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENCODE_BATCH = 8
+#: Words whose places the stand-in encoder remembers, before it starts anew.
+CACHED_WORDS = 500_000
 
 
 def embed(
     docs: DataFrame, encoder: Callable[[list[str]], list], text: str = "text", out: str = "embedding", batch: int = ENCODE_BATCH
 ) -> DataFrame:
     """Add unit-length vectors from an encoder called on batches of texts; the counts must match."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(columns):
+        for column in columns:
             vectors: list[np.ndarray] = []
-            texts = pdf[text].fillna("").tolist()
+            texts = column.fillna("").tolist()
             for i in range(0, len(texts), batch):
                 part = texts[i : i + batch]
                 got = encoder(part)
@@ -34,21 +32,30 @@ def embed(
                     v = np.asarray(v, dtype=np.float64)
                     length = np.linalg.norm(v)
                     vectors.append(v / length if length > 0 else v)
-            yield pdf.assign(**{out: vectors})
+            yield pd.Series(vectors, dtype=object)
 
-    return docs.mapInPandas(run, schema)
+    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn(out, F.pandas_udf(run, "array<double>")(F.col(text)))
 
 
 def hash_encoder(dim: int = 32) -> Callable[[list[str]], list]:
-    """Deterministic stand-in: counts of hashed words."""
+    """Deterministic stand-in: counts of hashed words, each hashed once."""
+
+    class Places(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = place = int.from_bytes(hashlib.sha1(word.encode()).digest()[:4], "big") % dim
+            return place
+
+    known = Places()
 
     def encode(texts: list[str]) -> list:
         out = []
         for text in texts:
-            v = np.zeros(dim)
-            for word in text.lower().split():
-                v[int.from_bytes(hashlib.sha1(word.encode()).digest()[:4], "big") % dim] += 1.0
-            out.append(v)
+            words = text.lower().split()
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            places = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            out.append(np.bincount(places, minlength=dim).astype(np.float64))
         return out
 
     return encode

@@ -22,9 +22,9 @@ def quoted(term: Column) -> Column:
 def _spans(text: Column, sizes: list[int]) -> Column:
     """Distinct stretches of the lower-cased text from the start of a word to the end of a word, for each number of words in ``sizes``."""
     word, gap = f"{fixed.WORD_CLASS}++", f"{fixed.NON_WORD_CLASS}++"
-    # a look-ahead at the start of every word, as stretches overlap; single words need none
-    patterns = [f"({word})" if m == 1 else f"(?<!{fixed.WORD_CLASS})(?=({word}(?:{gap}{word}){{{m - 1}}}))" for m in sizes]
-    found = [F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in patterns]
+    # a look-ahead at the start of every word, as stretches overlap; single words are what a split leaves, empty ones at an end too
+    pattern = lambda m: f"(?<!{fixed.WORD_CLASS})(?=({word}(?:{gap}{word}){{{m - 1}}}))"
+    found = [F.split(F.lower(text), gap) if m == 1 else F.regexp_extract_all(F.lower(text), F.lit(pattern(m)), F.lit(1)) for m in sizes]
     return F.array_distinct(F.concat(*found))
 
 

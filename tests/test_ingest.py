@@ -129,3 +129,51 @@ def test_composed_ingest_on_whole_documents(spark):
     got = load_all()["composed_ingest"][0](t).collect()
     assert len(got) == len(want) == len({r.chunk_id for r in got})
     assert {(r.source_doc, r.chunk_index): (r.doc_type, r.text_sha256, r.keywords, r.dims) for r in got} == want
+
+
+def test_ingest_reads_each_text_once_for_a_step(spark):
+    """Chunks and the dictionary are written down, and the rows of both are not made again for tags."""
+    docs = spark.createDataFrame(DOCS, "source_doc string, doc_type string, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    read = F.udf(seen, "string").asNondeterministic()
+    known = docs.select(F.explode(F.split(read(F.coalesce("text", F.lit("none"))), "\\s+")).alias("acronym")).filter("acronym = 'UE'").distinct().withColumn("expansion", F.lit("User Equipment"))
+    terms = spark.createDataFrame([("link",)], "term string")
+    got = ingest.prepare_chunks(docs, known, terms, models.hash_encoder(8))
+    rows = {(r.source_doc, r.chunk_index): (r.text, r.keywords) for r in got.collect()}
+    assert made.value == len(DOCS) and rows["a/b.md", 0] == ("radio link radio", ["link"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "posexplode" not in plan  # neither expanded nor cut again for tags
+
+
+def test_words_are_hashed_once_by_the_encoder(monkeypatch):
+    import hashlib
+
+    encode, hashed = models.hash_encoder(8), []
+    sha1 = hashlib.sha1
+    monkeypatch.setattr(hashlib, "sha1", lambda b: hashed.append(b) or sha1(b))
+    got = encode(["b a B", "", "a é\x1cb"])
+    place = lambda w: int.from_bytes(sha1(w.encode()).digest()[:4], "big") % 8
+    for v, text in zip(got, (["b", "a", "b"], [], ["a", "é", "b"]), strict=True):
+        assert v.tolist() == [float(sum(place(w) == i for w in text)) for i in range(8)]
+    assert sorted(hashed) == [b"a", b"b", "é".encode()]
+
+
+def test_candidate_words_miss_none(spark):
+    """Rules whose words begin with many characters or few, with letters beyond the BMP and inside other words."""
+    texts = ["AB xAB AB_ 가나 \U00010400A AB(x)", "(AB)AB", "áAB AB́ AB.", "AB", "", None, "\U00010400\U00010401 B1 ÉA", "가나다 가나", "$AB -B1- AB-B1"]
+    forms = ["AB", "B1", "가나", "\U00010400A", "\U00010400\U00010401", "ÉA", "AB-B1", "-B1", "$AB"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    few = [(f, f"long {i}") for i, f in enumerate(forms)]
+    many = few + [(chr(0x4E00 + i) + "x", "none") for i in range(80)]
+    for known in (few, many):
+        got = acronyms.expand_text(docs, spark.createDataFrame(known, "acronym string, expansion string"))
+        old = F.col("text")
+        for form, gloss in sorted(known, key=lambda k: k[0].encode()):
+            put = f"{form}({gloss})".replace("$", "\\$")
+            old = F.regexp_replace(old, F.lit(rf"(?U)\b\Q{form}\E\b(?!\()"), F.lit(put))
+        assert {r.i: r.expanded for r in got.collect()} == {r.i: r.x for r in docs.select("i", old.alias("x")).collect()}
