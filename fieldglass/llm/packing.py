@@ -27,6 +27,8 @@ TOKENIZER = "byte_bpe_50k.json"
 CACHED_WORDS = 500_000
 #: Unseen words that are encoded in one call's text; neither single words nor long texts are as fast.
 WORDS_AT_ONCE = 50
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ranges that the ranks of one length are counted in, and rows of one range at most on average.
 SALTS, ROWS_PER_SALT = 256, 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -42,7 +44,9 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, remembering the ids of words.
 
     The pre-tokeniser starts a new piece at a blank between two other characters, so the parts
-    between such blanks are encoded apart.
+    between such blanks are encoded apart. It does so before a line feed that a
+    character other than white space follows, and where letters end and ASCII marks begin: a part is
+    cut there if marks end it.
     """
 
     def __init__(self, path: str):
@@ -50,50 +54,73 @@ class Encoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # letters are one piece, so they need no more than a cut at the NUL characters between them
+        cuts = [pre_tokenizers.Split("\0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.encode_special_tokens = True
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(cuts)
         self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.tails: dict[str, bytes] = {}
+        self.line = self._encode(["\n"])[0]
         self.unsafe = re.compile(r" (?:\s|\Z)")
+        self.lines = re.compile(r"\n(?=\S)")
         self.border = re.compile(r"(?<!\s) (?=\S)")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str], by=None) -> list[bytes]:
         import numpy as np
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of `` word`` for each word, encoded some at a time with a NUL character after each, which only NUL characters make ids of."""
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of `` word`` for each word, or of the word alone if it begins with a line feed.
+
+        They are encoded some at a time with a NUL character after each, which only NUL characters make ids of.
+        """
         import numpy as np
 
-        if not words:
-            return []
-        mark = np.frombuffer(self._encode([" \0"])[0], dtype="<u4")
-        groups = ["".join([f" {w} \0" for w in words[at : at + WORDS_AT_ONCE]]) for at in range(0, len(words), WORDS_AT_ONCE)]
-        data = b"".join(self._encode(groups))
-        ends = np.flatnonzero(np.frombuffer(data, dtype="<u4") == mark[-1]) + 1
-        width = 4 * len(mark)
-        return [data[4 * a : 4 * b - width] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        def split(texts: list[str], mark: str, by) -> list[bytes]:
+            if not texts:
+                return []
+            ids = np.frombuffer(self._encode([mark], by)[0], dtype="<u4")
+            groups = [mark.join([*texts[at : at + WORDS_AT_ONCE], ""]) for at in range(0, len(texts), WORDS_AT_ONCE)]
+            data = b"".join(self._encode(groups, by))
+            ends = np.flatnonzero(np.frombuffer(data, dtype="<u4") == ids[-1]) + 1
+            width = 4 * len(ids)
+            return [data[4 * a : 4 * b - width] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+        plain = [w for w in words if w.isalpha()]
+        heads = [w for w in words if w[:1] == "\n" and w[1:].isalpha()]
+        others = list(set(words).difference(plain, heads))
+        made = dict(zip(plain, split([" " + w for w in plain], "\0", self.letters), strict=True))
+        made.update(zip(heads, (self.line + ids for ids in split([w[1:] for w in heads], "\0", self.letters)), strict=True))
+        made.update(zip(others, split([w if w[:1] == "\n" else " " + w for w in others], " \0", self.tokenizer), strict=True))
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.border.split(x) if self.unsafe.search(x) else x.split(" ") for x in texts]
+        # no other part begins with a line feed than those of lines
+        parts = [self.border.split(x) if self.unsafe.search(x) else self.lines.sub(" \n", x).split(" ") for x in texts]
         heads = self._encode([p[0] for p in parts])
         for p in parts:
             del p[0]
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
+            self.tails.clear()
         missing = set().union(*parts).difference(known)
         odd = [w for w in missing if "\0" in w]
-        # a mark after letters is a piece of its own
-        ended = {w: w[:-1] for w in missing if w[-1:] in self.marks and w[:-1].isalpha()}
+        # marks after letters are a piece of their own
+        ended = {w: body for w in missing if (body := w.rstrip(MARKS)) != w and body[body[:1] == "\n" :].isalpha()}
         missing.difference_update(odd, ended)
         plain = list(missing.union(ended.values()).difference(known))
-        known.update(zip(plain, self._encode_words(plain), strict=True))
-        known.update(zip(odd, self._encode([" " + w for w in odd]), strict=True))
-        known.update({w: known[letters] + self.marks[w[-1]] for w, letters in ended.items()})
+        known.update(self._encode_words(plain))
+        known.update(zip(odd, self._encode([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
+        tails = list({w[len(body) :] for w, body in ended.items()}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        known.update({w: known[body] + self.tails[w[len(body) :]] for w, body in ended.items()})
         return [head + b"".join(map(known.__getitem__, p)) for head, p in zip(heads, parts, strict=True)]
 
 

@@ -243,6 +243,20 @@ def test_no_passages(make_docs):
     assert [tuple(r)[1:3] for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == [(2, 0), (0, 0)]
 
 
+def test_encoder_shares_words_of_lines_and_before_marks():
+    import random
+
+    encoder = packing.Encoder(packing.tokenizer_path())
+    whole = lambda text: b"".join(i.to_bytes(4, "little") for i in encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+    text = "x inwh.\nWas*** inwh Was y"
+    assert encoder.encode([text]) == [whole(text)]
+    assert set(encoder.known) == {"inwh", "inwh.", "\nWas", "\nWas***", "Was", "y"}  # no word across a line feed
+    pick = random.Random(5)
+    signs = ["a", "B", "é", "가", "1", "²", "_", "'", "s", "ll", ".", " ", "\n", "\r", "\t", "\x1c", "\0", "***", "!", "\u0301", "\U00010400", "\u3000"]
+    texts = ["".join(pick.choices(signs, k=pick.randint(0, 14))) for _ in range(3000)]
+    assert encoder.encode(texts) == [whole(t) for t in texts]
+
+
 def test_packing(make_docs, odd_texts):
     from tokenizers import Tokenizer
 
